@@ -34,4 +34,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": OP9}
+OP10 = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT rid, list_slice(ws, i, i + 4) AS five
+  FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+shared AS (SELECT a.rid AS x, b.rid AS y, count(*) AS n_both FROM s a JOIN s b USING (five) WHERE a.rid < b.rid GROUP BY 1, 2),
+link AS (
+  SELECT x, y FROM shared JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y
+  WHERE 100 * n_both >= 85 * (nx.n + ny.n - n_both)),
+either AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(x, y) AS (SELECT x, y FROM either UNION SELECT r.x, e.y FROM reach r JOIN either e ON e.x = r.y),
+least_doc AS (SELECT r.x AS rid, min(w.doc_id) AS m FROM reach r JOIN w ON w.rid = r.y GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM w LEFT JOIN n USING (rid) LEFT JOIN least_doc USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": OP9, "op10_minhash": OP10}

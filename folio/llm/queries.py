@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, quality, tokenfile
+from folio.llm import bpe, minhash, quality, tokenfile
 from folio.llm.common import documents, new_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,6 +31,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_quality(docs.select("doc_id", "text"), order=quality.cascade_order(docs)).drop("text")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("cluster")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op6_token_files, op9_quality_rules)
+    f.__name__: f for f in (op2_byte_bpe, op6_token_files, op9_quality_rules, op10_minhash)
 }
