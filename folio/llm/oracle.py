@@ -55,4 +55,15 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, d
 FROM w LEFT JOIN n USING (rid) LEFT JOIN least_doc USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": OP9, "op10_minhash": OP10}
+OP7 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_top_k": OP7, "op9_quality_rules": OP9, "op10_minhash": OP10}
