@@ -66,4 +66,35 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_top_k": OP7, "op9_quality_rules": OP9, "op10_minhash": OP10}
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         coalesce(doc_id, -9223372036854775808) AS id FROM documents),
+u AS (SELECT *, (('0x' || substr(md5(concat_ws(':', id, size, '1')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM src),
+w AS (SELECT *, [5.0::DOUBLE, 2, 1][((place - 1) % 3) + 1] AS weight, 3 * source_size AS lim FROM p),
+l AS (
+  SELECT *, row_number() OVER f AS turn,
+         (sum(source_size) OVER () - coalesce(sum(lim) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS lvl
+  FROM w WINDOW f AS (ORDER BY lim / weight, place), b AS (ORDER BY lim / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+per AS (SELECT coalesce(min_by(lvl, turn), 0) AS per_weight FROM l WHERE lim >= lvl * weight),
+t AS (SELECT source, source_size, least(lim::DOUBLE, per_weight * weight) AS target FROM l, per),
+g AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+         CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS part FROM t),
+o AS (
+  SELECT u.doc_id, id, size, source_size, target, whole, u.source, target - whole * source_size AS rest,
+         CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part) * sqrt(greatest(size, 1))) END AS q
+  FROM u JOIN g ON u.source IS NOT DISTINCT FROM g.source),
+r AS (SELECT *, coalesce(q / (1 + q), 1) AS rnk FROM o),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rnk, id, size ROWS UNBOUNDED PRECEDING) AS upto FROM r),
+k AS (
+  SELECT source, max(ROW(rnk, id, size)) AS last FROM c
+  WHERE rest > 0 AND (upto <= rest OR upto - rest < rest - (upto - size)) GROUP BY source)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN last IS NOT NULL AND ROW(rnk, id, size) <= last THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r LEFT JOIN k ON r.source IS NOT DISTINCT FROM k.source
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_mix_sources": OP5, "op7_top_k": OP7, "op9_quality_rules": OP9, "op10_minhash": OP10}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, minhash, pivots, quality, tokenfile
+from folio.llm import bpe, minhash, mixing, pivots, quality, tokenfile
 from folio.llm.common import documents, new_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,6 +20,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.with_copies(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return docs.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
     tokenfile.write_tokens(documents(spark, sf_dir), folder, WORD_TOKENIZER)
@@ -41,5 +46,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op6_token_files, op7_top_k, op9_quality_rules, op10_minhash)
+    f.__name__: f for f in (op2_byte_bpe, op5_mix_sources, op6_token_files, op7_top_k, op9_quality_rules, op10_minhash)
 }
