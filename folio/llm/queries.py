@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, minhash, mixing, pivots, quality, tokenfile
+from folio.llm import bpe, minhash, mixing, pivots, quality, secrets, tokenfile
 from folio.llm.common import documents, new_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base_sha256 = F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), base_sha256, secrets.listed(F.col("all")).alias("spans"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.with_tokens(documents(spark, sf_dir).select("doc_id", "text"), BYTE_RANKS, public_tokenizers.PATTERN)
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -46,5 +53,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op5_mix_sources, op6_token_files, op7_top_k, op9_quality_rules, op10_minhash)
+    f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op5_mix_sources, op6_token_files, op7_top_k, op9_quality_rules, op10_minhash)
 }
