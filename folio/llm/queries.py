@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, minhash, mixing, pivots, quality, secrets, tokenfile
+from folio.llm import bpe, lines, minhash, mixing, pivots, quality, secrets, tokenfile
 from folio.llm.common import documents, new_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,6 +43,11 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(vectors, F.col("id") % 100 == 0)
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.with_quality(docs.select("doc_id", "text"), order=quality.cascade_order(docs)).drop("text")
@@ -53,5 +58,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op5_mix_sources, op6_token_files, op7_top_k, op9_quality_rules, op10_minhash)
+    f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op5_mix_sources, op6_token_files, op7_top_k, op8_line_templates, op9_quality_rules, op10_minhash)
 }
