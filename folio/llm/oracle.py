@@ -97,4 +97,45 @@ SELECT doc_id, size, source_size, target,
 FROM r LEFT JOIN k ON r.source IS NOT DISTINCT FROM k.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_mix_sources": OP5, "op7_top_k": OP7, "op9_quality_rules": OP9, "op10_minhash": OP10}
+OP3 = r"""
+WITH t0 AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+a AS (
+  SELECT conv_id, max(pos) AS last_pos, CASE WHEN count(*) > 1 THEN min_by(text, pos) ELSE '' END AS stale
+  FROM t0 WHERE role = 'assistant' GROUP BY 1),
+t AS (
+  SELECT * FROM t0 UNION ALL
+  SELECT -1 - conv_id, role, CASE WHEN pos = last_pos THEN stale ELSE text END, pos FROM t0 JOIN a USING (conv_id)),
+o AS (SELECT conv_id, min(conv_id) OVER (PARTITION BY role, text) AS chosen_id FROM t0 WHERE pos = 1),
+p AS (
+  SELECT chosen_id, conv_id AS rejected_id FROM o WHERE conv_id <> chosen_id
+  UNION ALL SELECT conv_id, -1 - conv_id FROM a),
+eq AS (
+  SELECT p.*, c.pos, c.role = r.role AND c.text = r.text AS same
+  FROM p JOIN t c ON c.conv_id = chosen_id JOIN t r ON r.conv_id = rejected_id AND r.pos = c.pos),
+s AS (
+  SELECT chosen_id, rejected_id, least(coalesce(min(pos) FILTER (NOT same) - 1, max(pos)), max(pos))::INTEGER AS n_shared
+  FROM eq GROUP BY 1, 2),
+x AS (
+  SELECT conv_id, pos, role, text, '<|' || role || '|>' || chr(10) || text || chr(10) AS turn,
+         length('<|' || role || '|>' || chr(10)) AS head FROM t),
+y AS (
+  SELECT s.*, w.side, x.pos, x.turn, x.role, x.head, length(x.text) AS len, x.pos <= n_shared AS shared,
+         coalesce(sum(length(x.turn)) FILTER (x.pos > n_shared) OVER (
+           PARTITION BY chosen_id, rejected_id, side ORDER BY x.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM s, (VALUES ('c'), ('r')) w(side) JOIN x ON x.conv_id = CASE WHEN side = 'c' THEN chosen_id ELSE rejected_id END),
+g AS (
+  SELECT chosen_id, rejected_id, n_shared, side,
+         coalesce(string_agg(turn, '' ORDER BY pos) FILTER (shared), '') AS prompt,
+         coalesce(string_agg(turn, '' ORDER BY pos) FILTER (NOT shared), '') AS completion,
+         coalesce(string_agg((before + head)::BIGINT || ':' || (before + head + len)::BIGINT, ',' ORDER BY pos)
+           FILTER (NOT shared AND role = 'assistant'), '') AS mask
+  FROM y GROUP BY 1, 2, 3, 4)
+SELECT c.chosen_id, c.rejected_id, c.n_shared, c.prompt, c.completion AS chosen, r.completion AS rejected,
+       c.mask AS chosen_mask, r.mask AS rejected_mask, c.completion <> r.completion AS differs
+FROM g c JOIN g r ON c.chosen_id = r.chosen_id AND c.rejected_id = r.rejected_id AND c.side = 'c' AND r.side = 'r'
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_preferences": OP3, "op5_mix_sources": OP5, "op7_top_k": OP7, "op9_quality_rules": OP9, "op10_minhash": OP10}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, lines, minhash, mixing, ngrams, pivots, quality, secrets, tokenfile
+from folio.llm import bpe, chat, lines, minhash, mixing, ngrams, pivots, quality, secrets, tokenfile
 from folio.llm.common import documents, new_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +27,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = chat.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    stale = chat.with_stale_reply(convs)
+    pairs = chat.pairs_by_opening(convs).unionByName(stale.select((F.lit(-1) - F.col("conv_id")).alias("chosen_id"), F.col("conv_id").alias("rejected_id")))
+    made = chat.format_preferences(convs.unionByName(stale), pairs)
+    spans = lambda m: F.array_join(F.transform(m, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(m)
+    return made.select("chosen_id", "rejected_id", "n_shared", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"), "differs")
+
+
 def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(documents(spark, sf_dir))
 
@@ -62,5 +71,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op4_katz_backoff, op5_mix_sources, op6_token_files, op7_top_k, op8_line_templates, op9_quality_rules, op10_minhash)
+    f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op3_preferences, op4_katz_backoff, op5_mix_sources, op6_token_files, op7_top_k, op8_line_templates, op9_quality_rules, op10_minhash)
 }
