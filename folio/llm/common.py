@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +56,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def per_worker(name: str, make: Callable[[], object]):
+    """An object that a Python worker makes once and keeps for its later tasks."""
+    kept = sys.modules.setdefault("_folio_worker", types.ModuleType("_folio_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
