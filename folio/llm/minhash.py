@@ -9,9 +9,8 @@
 3. In each bucket the class that shares the most buckets with others is the hub, and
    candidates are (hub, member): linear in the bucket's size. Members that turn out
    linked need no further comparison with each other, as they share a component.
-   Buckets that still hold several components get a second hub, and what then is
-   left is compared in blocks of bounded size. No pair that could join two components
-   is left out.
+   What is left in buckets that still hold several components is compared in blocks of
+   bounded size. No pair that could join two components is left out.
 4. A candidate pair's signatures are compared batch by batch. With m of n equal and a
    uniform prior, P(similarity >= t) = P(Binomial(n + 1, t) <= m); below the chosen
    miss probability the pair is dropped. Survivors are verified on full sets.
@@ -28,6 +27,7 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -39,8 +39,8 @@ from folio.llm.components import connect
 
 WIDTH, HASHES, BANDS, ROWS, BATCH = 5, 128, 25, 5, 32
 MISS = 1e-6
-BLOCK = 1024
-HUB_ROUNDS = 2
+BLOCK = 512
+HUB_ROUNDS = 1
 
 
 class Shingler:
@@ -181,32 +181,44 @@ def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
     return survivors.join(left, "a").join(right, "b").where(enough).select("a", "b").distinct()
 
 
-def _block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different labels in a bucket, compared in blocks of about ``BLOCK`` members."""
-    import pandas as pd
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
 
+
+def _block_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components in a bucket, compared in blocks of about ``BLOCK`` members.
+
+    A pair belongs to the first bucket that it shares. Only links that join two
+    components as far as the block knows are verified and returned.
+    """
     least = least_matches(percent)
     blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     block = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("n_blocks")).cast("int")
-    placed = members.join(blocks, "bucket").withColumn("block", block).join(nodes.select("cls", "sig"), "cls")
+    placed = members.select("bucket", "cls", "label").join(blocks, "bucket").withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    dealt = placed.select("bucket", "cls", "label", "sig", "block", other).select("bucket", "cls", "label", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = placed.select("bucket", "cls", "label", "block", other).select("bucket", "cls", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    whole = dealt.join(nodes.select("cls", "sig", "bands"), "cls").join(sets.dropDuplicates(["cls"]), "cls")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("cls").sort_values("cls")
+        rows = rows.sort_values("cls")
         sig = np.frombuffer(b"".join(rows["sig"]), "<u2").reshape(-1, HASHES)
+        bands, cls, own, sets = np.stack(rows["bands"]), rows["cls"].to_numpy(), rows["block"].to_numpy(), rows["shingles"].to_numpy()
         label = pd.factorize(rows["label"])[0]
-        cls, own = rows["cls"].to_numpy(), rows["block"].to_numpy()
         out: list[tuple[bytes, bytes]] = []
-        for k in range(len(rows)):
+        for k in range(len(rows) - 1):
             # a pair within one block belongs to (i, i), one across to (i, j)
-            rest = np.flatnonzero((label != label[k]) & (np.arange(len(rows)) > k) & ((own != own[k]) | (key[1] == key[2])))
+            rest = k + 1 + np.flatnonzero((label[k + 1 :] != label[k]) & ((own[k + 1 :] != own[k]) | (key[1] == key[2])))
+            if len(rest):
+                rest = rest[bands[k][(bands[rest] == bands[k]).argmax(axis=1)] == key[0]]
             if len(rest):
-                passed = rest[bayes_survivors(np.broadcast_to(sig[k], (len(rest), HASHES)), sig[rest], least)]
-                out += [(cls[k], c) for c in cls[passed]]
+                for j in rest[bayes_survivors(np.broadcast_to(sig[k], (len(rest), HASHES)), sig[rest], least)]:
+                    if label[j] != label[k] and _similar(sets[k], sets[j], percent):
+                        out.append((cls[k], cls[j]))
+                        label[label == label[j]] = label[k]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    return whole.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -222,7 +234,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = stored(placed.join(sizes, "bucket"), "buckets")
     degree = stored(shared.groupBy("cls").agg(F.sum(F.col("size") - 1).alias("degree")), "degrees")
-    nodes = classes.join(degree, "cls", "left_semi").select("cls", "sig", "first_doc")
+    nodes = classes.join(degree, "cls", "left_semi")
     firsts = nodes.select(F.col("first_doc"))
     sets = stored(shingle_sets(rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_doc")), "left_semi")), "sets")
 
@@ -238,8 +250,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
         if members.isEmpty():
             break
     else:
-        new = linked(_block_pairs(members, nodes, percent), nodes, sets, percent)
-        labels = connect(links.unionByName(new).distinct())
+        labels = connect(links.unionByName(_block_links(members, nodes, sets, percent)).distinct())
     of_class = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first_doc", F.coalesce("label", "cls").alias("cluster"))
     smallest = of_class.groupBy("cluster").agg(F.min("first_doc").alias("least_doc"))
     result = seen.drop("sig", "bands").join(of_class.select("cls", "cluster").join(smallest, "cluster"), "cls", "left")
