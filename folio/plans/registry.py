@@ -1,10 +1,460 @@
-"""The library's registered queries and their DuckDB equivalents."""
+"""The library's registered queries and their DuckDB equivalents.
+
+Each runs over its whole tables. Where the tables hold no interesting case, literal rows
+from ``values`` are added, in both engines alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folio.functions import classify as K
+from folio.functions import text as X
+from folio.operators.delimited import csv_cells, sniffed_delimiter
+from folio.operators.markdown import md_blocks
+from folio.operators.notebook import ipynb_cells, ipynb_outputs
+from folio.operators.office import docx_pieces, list_tags, odf_pieces, pptx_slides
+from folio.operators.richtext import rtf_runs
+from folio.operators.rows import joined
+from folio.operators.spreadsheet import fill_gaps, xlsx_cells
+from folio.plans import values
+from folio.plans.render import STYLE, render
+from folio.sources.build import packed
+from folio.sources.corpus import from_texts
+from folio.streaming.watch import latest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def literal(spark: SparkSession, rows: str, columns: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM (VALUES {rows}) AS v({columns})")
+
+
+def sql_escape(x: str) -> str:
+    return f"""replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')"""
+
+
+def sql_decode(x: str) -> str:
+    return f"""replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&')"""
+
+
+SQL_SCHEME = r"regexp_extract(lower(regexp_replace({0}, '[\x00-\x20\x7F]', '', 'g')), '^([^/?#:]{{0,30}}:)', 1)"
+SQL_SAFE = SQL_SCHEME + " IN ('', 'http:', 'https:', 'mailto:')"
+SQL_BASE = "regexp_extract({0}, '[^/]*$')"
+SQL_EXT = r"lower(regexp_extract(regexp_extract({0}, '[^/]*$'), '^.+\.([A-Za-z0-9_+-]{{1,15}})$', 1))"
+
+
+# --- pages and links
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """``page_id, href``: the link targets of each page, decoded."""
+    href = F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)))
+    return pages.select("page_id", href.alias("href")).withColumn("href", X.xml_decode("href"))
+
+
+@query(f"""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages),
+a AS (SELECT page_id, count(*) AS n_links, count(*) FILTER (NOT {SQL_SAFE.format(sql_decode('h'))}) AS n_blocked FROM l GROUP BY 1)
+SELECT page_id, {sql_escape(sql_decode("regexp_extract(html, '<title>([^<]*)</title>', 1)"))} AS title_html,
+       coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_blocked, 0)::BIGINT AS n_blocked
+FROM pages LEFT JOIN a USING (page_id)""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page its title, escaped, and how many links it has and how many of them are blocked."""
+    pages = table(spark, sf_dir, "pages")
+    counts = links(pages).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if(~X.safe_link(F.col("href"))).alias("n_blocked"))
+    titles = pages.select("page_id", X.xml_decode(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("t"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return titles.join(counts, "page_id", "left").select("page_id", X.escape_html(F.col("t")).alias("title_html"), zero("n_links"), zero("n_blocked"))
+
+
+@query(f"SELECT url, {SQL_SCHEME.format('url')} AS scheme, {SQL_SAFE.format('url')} AS safe, count(*) AS n FROM (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES {values.URLS}) v(url)) GROUP BY 1, 2, 3")
+def link_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scheme and safety of URLs."""
+    urls = table(spark, sf_dir, "pages").select("url").unionByName(literal(spark, values.URLS, "url"))
+    return urls.groupBy("url").agg(F.count("*").alias("n")).select("url", X.link_scheme(F.col("url")).alias("scheme"), X.safe_link(F.col("url")).alias("safe"), "n")
+
+
+@query("""
+WITH a AS (SELECT page_id, len(regexp_extract_all(html, '<table')) AS n FROM pages)
+SELECT page_id, n::BIGINT AS n_tables, CASE WHEN n = 0 THEN 'Nothing to show' END AS error_message,
+       CASE WHEN n = 0 THEN 'no tables in ' || url END AS error_detail FROM pages JOIN a USING (page_id)""")
+def error_as_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without what they need carry an error instead of failing."""
+    pages = table(spark, sf_dir, "pages")
+    found = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<table"), F.lit(0)))).groupBy("page_id").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return pages.join(found, "page_id", "left").select("page_id", n.alias("n_tables"), F.when(n == 0, "Nothing to show").alias("error_message"), F.when(n == 0, F.concat(F.lit("no tables in "), "url")).alias("error_detail"))
+
+
+# --- text and bytes
+
+
+@query(f"SELECT doc_id, md5({sql_escape('text')}) AS html_md5, length({sql_escape('text')})::BIGINT AS n FROM documents")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, escaped."""
+    html = X.escape_html(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(html).alias("html_md5"), F.length(html).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, md5('data:text/plain;base64,' || base64(encode(text))) AS uri_md5 FROM documents")
+def base64_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as data URIs."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.data_uri(F.lit("text/plain"), F.encode("text", "UTF-8"))).alias("uri_md5"))
+
+
+def sql_odd(x: str) -> str:
+    return rf"length(regexp_replace({x}, '[^\x01-\x08\x0B\x0E-\x1A\x1C-\x1F]', '', 'g'))"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES (-1, repeat('a', 100) || repeat(chr(1), 5)), (-2, repeat('a', 100) || repeat(chr(1), 6)), (-3, ''), (-4, chr(27) || '[0m')) v(a, b)),
+h AS (SELECT doc_id, hex(encode(text)[1:8192]) AS x FROM t),
+b AS (SELECT doc_id, length(x) // 2 AS n, list_transform(range(0, length(x) // 2), lambda i: substr(x, 2 * i + 1, 2)) AS x FROM h),
+c AS (SELECT doc_id, n, len(list_filter(x, lambda c: c < '20' AND c NOT IN ('09', '0A', '0D', '0C', '1B', '00'))) AS odd, list_contains(x, '00') AS zero FROM b)
+SELECT doc_id, n = 0 OR (NOT coalesce(zero, false) AND odd * 20 < n) AS is_text FROM c""")
+def text_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether bytes look like text."""
+    more = spark.sql("SELECT * FROM (VALUES (-1L, repeat('a', 100) || repeat(chr(1), 5)), (-2L, repeat('a', 100) || repeat(chr(1), 6)), (-3L, ''), (-4L, chr(27) || '[0m')) AS v(doc_id, text)")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(more)
+    return rows.select("doc_id", K.looks_like_text(F.encode("text", "UTF-8")).alias("is_text"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(chr(27) || '[1m' || replace(text, '.', chr(27) || '[0;3m.'), '\x1B\[[^@-~]*[@-~]', '', 'g')) AS text_md5 FROM documents")
+def ansi_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, with terminal codes put in and taken out."""
+    coded = F.concat(F.lit("\x1b[1m"), F.replace("text", F.lit("."), F.lit("\x1b[0;3m.")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.strip_ansi(coded)).alias("text_md5"))
+
+
+@query()
+def hex_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary previews of texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.hex_dump(F.encode("text", "UTF-8")).alias("dump"))
+
+
+@query("SELECT event_id, replace(json_pretty(props), '    ', '  ') AS pretty FROM events")
+def json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON re-indented."""
+    return table(spark, sf_dir, "events").select("event_id", X.json_reindent("props").alias("pretty"))
+
+
+# --- classification
+
+
+@query(f"SELECT path, {SQL_BASE.format('path')} AS base, {SQL_EXT.format('path')} AS ext, regexp_extract(path, '^(.*/)', 1) AS dir, count(*) AS n FROM (SELECT url AS path FROM pages UNION ALL SELECT * FROM (VALUES {values.NAMES}) v(path)) GROUP BY ALL")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base name, extension and folder of paths."""
+    paths = table(spark, sf_dir, "pages").select(F.col("url").alias("path")).unionByName(literal(spark, values.NAMES, "path"))
+    p = F.col("path")
+    return paths.groupBy("path").agg(F.count("*").alias("n")).select("path", X.basename(p).alias("base"), X.extension(p).alias("ext"), X.directory(p).alias("dir"), "n")
+
+
+SQL_TYPES = ", ".join(f"('{name}', '{kind}')" for kind, names in K.EXTENSIONS.items() for name in names.split())
+
+
+@query(f"""
+WITH n AS (SELECT path, {SQL_EXT.format('path')} AS ext, {SQL_BASE.format('path')} AS base FROM (SELECT url AS path FROM pages UNION ALL SELECT * FROM (VALUES {values.NAMES}) v(path)))
+SELECT path, coalesce(kind, 'text') AS kind,
+       CASE WHEN base IN ('Makefile', 'makefile', 'GNUmakefile') THEN 'makefile' WHEN base = 'Dockerfile' THEN 'dockerfile' WHEN base = 'CMakeLists.txt' THEN 'cmake' ELSE nullif(n.ext, '') END AS lang
+FROM n LEFT JOIN (VALUES {SQL_TYPES}) t(ext, kind) ON t.ext = n.ext""")
+def ext_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of text-like files by extension, and their language."""
+    paths = table(spark, sf_dir, "pages").select(F.col("url").alias("path")).unionByName(literal(spark, values.NAMES, "path"))
+    return paths.select("path", K.detect(F.col("path"), F.lit(b"plain")).alias("kind"), K.language(F.col("path")).alias("lang"))
+
+
+@query(f"""
+WITH b AS (SELECT h, unhex(h) AS c FROM (VALUES {values.BLOBS}) v(h))
+SELECT h, CASE WHEN h LIKE '255044462D%' THEN 'pdf' WHEN h LIKE '7B5C727466%' THEN 'rtf'
+  WHEN h LIKE '89504E470D0A1A0A%' OR h LIKE 'FFD8FF%' OR h LIKE '474946383761%' OR h LIKE '474946383961%' OR (h LIKE '52494646%' AND substr(h, 17, 8) = '57454250') OR (h LIKE '424D%' AND length(h) > 52) THEN 'image'
+  WHEN h LIKE '504B0304%' THEN CASE WHEN h LIKE '%776F72642F646F63756D656E742E786D6C%' THEN 'docx' WHEN h LIKE '%7070742F70726573656E746174696F6E2E786D6C%' THEN 'pptx' WHEN h LIKE '%786C2F776F726B626F6F6B2E786D6C%' THEN 'xlsx' WHEN h LIKE '%766E642E6F617369732E6F70656E646F63756D656E74%' THEN 'opendocument' END END AS kind FROM b""")
+def magic_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of files by their bytes."""
+    blobs = literal(spark, values.BLOBS, "h").withColumn("c", F.unhex("h"))
+    return blobs.select("h", K.kind_of_bytes(F.col("c")).alias("kind"))
+
+
+# --- delimited text
+
+
+SQL_LINE = r"""regexp_replace(string_split(text, chr(10))[1], '"[^"]*("|$)', '', 'g')"""
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -row_number() OVER (), a FROM (VALUES {values.LINES}) v(a)),
+c AS (SELECT doc_id, {SQL_LINE} AS l FROM t),
+n AS (SELECT doc_id, length(l) - length(replace(l, ',', '')) AS c, length(l) - length(replace(l, ';', '')) AS s, length(l) - length(replace(l, chr(9), '')) AS t FROM c)
+SELECT doc_id, CASE WHEN t > c AND t > s THEN chr(9) WHEN s > c THEN ';' ELSE ',' END AS delimiter FROM n""")
+def delimiter_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delimiter of the first line."""
+    more = literal(spark, values.LINES, "text").select((-F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).cast("long").alias("doc_id"), "text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(more)
+    return rows.select("doc_id", sniffed_delimiter(F.lit("csv"), F.col("text")).alias("delimiter"))
+
+
+def _quoted(c: str) -> Column:
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+@query("""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS row_idx FROM documents WHERE source IS NOT NULL),
+r AS (SELECT source, row_idx, doc_id::VARCHAR AS a, lang AS b, text AS c FROM d UNION ALL SELECT DISTINCT source, 0, 'doc_id', 'lang', 'text' FROM d)
+SELECT '/csv/' || source || '.csv' AS path, row_idx::INTEGER AS row_idx, k::INTEGER AS col_idx, CASE k WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS value,
+       row_idx = 0 AS is_header, max(row_idx) OVER (PARTITION BY source) >= 10000 AS truncated
+FROM r, (VALUES (0), (1), (2)) x(k) QUALIFY row_idx < 10000""")
+def csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file per source, with whole quoted texts, read back as cells."""
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), _quoted("lang"), _quoted("text"))
+    files = docs.groupBy("source").agg(joined(line, "doc_id", "\r\n").alias("body"))
+    text = F.concat(F.lit("doc_id,lang,text\r\n"), "body", F.lit("\r\n"))
+    return csv_cells(from_texts(files, F.concat(F.lit("/csv/"), "source", F.lit(".csv")), text))
+
+
+# --- spreadsheets
+
+
+@query("""
+WITH s AS (SELECT o_orderkey, date_diff('day', DATE '1899-12-30', o_orderdate::DATE) + (o_orderkey % 4) * 0.25::DOUBLE AS serial FROM orders)
+SELECT o_orderkey, serial, strftime(DATE '1899-12-30' + floor(serial)::INTEGER, '%Y-%m-%d') AS as_date,
+       strftime(TIMESTAMP '1899-12-30 00:00:00' + INTERVAL 1 DAY * floor(serial)::INTEGER + INTERVAL 6 HOUR * (o_orderkey % 4)::INTEGER, '%Y-%m-%d %H:%M') AS as_datetime,
+       strftime(TIMESTAMP '1899-12-30 00:00:00' + INTERVAL 6 HOUR * (o_orderkey % 4)::INTEGER, '%H:%M:%S') AS as_time FROM s""")
+def excel_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as day numbers and as text again."""
+    serial = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")) + F.pmod("o_orderkey", F.lit(4)) * F.lit(0.25)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", serial.cast("double").alias("serial"))
+    as_text = lambda kind: X.serial_text(F.col("serial"), F.lit(kind)).alias(f"as_{kind}")
+    return rows.select("o_orderkey", "serial", as_text("date"), as_text("datetime"), as_text("time"))
+
+
+SQL_BARE = r"""regexp_replace(code, '"[^"]*("|$)|\[[^\]]*(\]|$)|\\.?', '', 'g')"""
+
+
+@query(f"""
+WITH f AS (SELECT fmt, code, {SQL_BARE} AS b FROM (VALUES {values.FORMATS}) v(fmt, code))
+SELECT fmt, CASE WHEN fmt < 164 THEN CASE WHEN fmt BETWEEN 14 AND 17 THEN 'date' WHEN fmt = 22 THEN 'datetime' WHEN fmt BETWEEN 18 AND 21 OR fmt BETWEEN 45 AND 47 THEN 'time' WHEN fmt IN (9, 10) THEN 'percent' ELSE 'general' END
+  WHEN b LIKE '%\\%%' ESCAPE '\\' THEN 'percent' WHEN regexp_matches(b, '[yYdD]') AND regexp_matches(b, '[hHsS]') THEN 'datetime' WHEN regexp_matches(b, '[yYdD]') THEN 'date' WHEN regexp_matches(b, '[hHsS]') THEN 'time' ELSE 'general' END AS kind FROM f""")
+def cell_format_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What number formats show."""
+    rows = literal(spark, values.FORMATS.replace('\\"', '"'), "fmt, code")
+    kind = F.when(F.col("fmt") < 164, X.builtin_format(F.col("fmt"))).otherwise(F.coalesce(X.custom_format(F.col("code").cast("string")), F.lit("general")))
+    return rows.select("fmt", kind.alias("kind"))
+
+
+@query(f"""
+WITH r AS (SELECT ref, regexp_extract(ref, '^[A-Z]{{1,4}}') AS l FROM (VALUES {values.REFS}) v(ref))
+SELECT ref, (CASE WHEN l = '' THEN -1 ELSE list_reduce(list_transform(string_split(l, ''), lambda c: (ascii(c) - 64)::BIGINT), lambda a, b: a * 26 + b) - 1 END)::INTEGER AS col FROM r""")
+def col_of_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of cell references."""
+    return literal(spark, values.REFS, "ref").select("ref", X.column_of_ref(F.col("ref")).alias("col"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey - 5 AS idx, coalesce(p_name, '') AS display FROM lineitem LEFT JOIN part ON p_partkey = l_partkey - 5")
+def shared_string_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions in a table of strings; beyond its ends an empty cell."""
+    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") - 5).alias("idx"))
+    strings = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), "p_name")
+    return cells.join(strings, "idx", "left").select("l_orderkey", "l_linenumber", "idx", F.coalesce("p_name", F.lit("")).alias("display"))
+
+
+@query(f"""
+WITH k AS (SELECT path, rid, min_by(target, ord) AS target FROM (VALUES {values.LOOKUPS}) v(path, rid, target, ord) GROUP BY 1, 2)
+SELECT a.path, a.rid, coalesce(target, '#blocked') AS href FROM (VALUES {values.ASKED}) a(path, rid) LEFT JOIN k ON k.path = a.path AND k.rid = a.rid""")
+def first_match_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups where the first of equal keys counts."""
+    keyed = literal(spark, values.LOOKUPS, "path, rid, target, ord").groupBy("path", "rid").agg(F.min_by("target", "ord").alias("target"))
+    return literal(spark, values.ASKED, "path, rid").join(keyed, ["path", "rid"], "left").select("path", "rid", F.coalesce("target", F.lit("#blocked")).alias("href"))
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, l_linenumber AS col_idx, l_shipdate::DATE::VARCHAR AS display FROM lineitem WHERE (l_orderkey + l_linenumber) % 2 = 0),
+m AS (SELECT l_orderkey, max(col_idx) AS hi FROM c GROUP BY 1),
+g AS (SELECT l_orderkey, unnest(range(0, hi + 1)) AS col_idx FROM m)
+SELECT g.l_orderkey, g.col_idx::INTEGER AS col_idx, coalesce(display, '') AS display FROM g LEFT JOIN c USING (l_orderkey, col_idx)""")
+def sparse_row_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that leave out columns, filled with empty cells."""
+    cells = table(spark, sf_dir, "lineitem").where((F.col("l_orderkey") + F.col("l_linenumber")) % 2 == 0)
+    named = cells.select("l_orderkey", F.col("l_linenumber").alias("col_idx"), F.lit("").alias("cell_type"), F.lit("").alias("raw"), F.lit("general").alias("kind"), F.col("l_shipdate").cast("date").cast("string").alias("display"))
+    return fill_gaps(named, ["l_orderkey"]).select("l_orderkey", "col_idx", "display")
+
+
+@query("""
+WITH p AS (SELECT '/x/' || c_nationkey || '.xlsx' AS path, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row_idx, c_name, (c_custkey % 20000 + 25569)::INTEGER AS d FROM customer)
+SELECT path, 'Sheet' AS sheet_name, row_idx::INTEGER AS row_idx, k::INTEGER AS col_idx, CASE k WHEN 0 THEN 'general' ELSE 'date' END AS kind,
+       CASE k WHEN 0 THEN c_name ELSE strftime(DATE '1899-12-30' + d, '%Y-%m-%d') END AS display
+FROM p, (VALUES (0), (1)) x(k) WHERE row_idx < 5000""")
+def xlsx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook per nation, its customers with a date each, read back as cells."""
+    row = F.concat_ws("\t", "c_name", (F.col("c_custkey") % 20000 + 25569).cast("string"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("line")))), lambda x: x["line"])
+    books = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(lines.alias("lines")).select(F.concat(F.lit("/x/"), F.col("c_nationkey").cast("string"), F.lit(".xlsx")).alias("path"), "lines")
+    return xlsx_cells(packed(books, "xlsx")).select("path", "sheet_name", F.col("row_idx").cast("int").alias("row_idx"), "col_idx", "kind", "display")
+
+
+# --- limits, order and folds
+
+
+@query("""
+WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY source) AS total FROM documents)
+SELECT source, doc_id, n::INTEGER AS n, total > 30 AS truncated FROM r WHERE n <= 30""")
+def row_cap_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of each group and whether there are more."""
+    own = Window.partitionBy("source")
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(own.orderBy("doc_id")).alias("n"), (F.count("*").over(own) > 30).alias("truncated"))
+    return rows.where("n <= 30")
+
+
+@query(f"""
+WITH e AS (SELECT 'doc' || doc_id AS name, n_chars AS size, doc_id % 7 = 0 AS is_dir FROM documents UNION ALL SELECT 'size' || s, s, false FROM (VALUES {values.SIZES}) v(s))
+SELECT name, is_dir, row_number() OVER (ORDER BY is_dir DESC, name)::INTEGER AS place,
+       CASE WHEN is_dir THEN 'folder' WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0::DOUBLE) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0::DOUBLE)
+            WHEN size < 1099511627776 THEN printf('%.1f GB', size / 1073741824.0::DOUBLE) ELSE printf('%.1f TB', size / 1099511627776.0::DOUBLE) END AS note FROM e""")
+def listing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a folder in their order, with sizes for people."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("n_chars").alias("size"), (F.col("doc_id") % 7 == 0).alias("is_dir"))
+    more = literal(spark, values.SIZES, "s").select(F.concat(F.lit("size"), F.col("s").cast("string")).alias("name"), F.col("s").cast("long").alias("size"), F.lit(False).alias("is_dir"))
+    note = F.when(F.col("is_dir"), "folder").otherwise(X.human_size(F.col("size")))
+    return docs.unionByName(more).select("name", "is_dir", F.row_number().over(Window.orderBy(F.desc("is_dir"), "name")).alias("place"), note.alias("note"))
+
+
+@query("SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS body_md5, count(*) AS n FROM conversations GROUP BY 1")
+def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered concatenation."""
+    said = F.concat_ws(": ", "role", "text")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.md5(joined(said, "turn", "\n")).alias("body_md5"), F.count("*").alias("n"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role = 'user' AS is_ul, lag(role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations)
+SELECT conv_id::VARCHAR AS path, turn::INTEGER AS seq, CASE WHEN was IS NULL THEN '' WHEN was = is_ul THEN '' WHEN was THEN '</ul>' ELSE '</ol>' END
+  || CASE WHEN was IS NULL OR was <> is_ul THEN CASE WHEN is_ul THEN '<ul>' ELSE '<ol>' END ELSE '' END AS tags FROM t""")
+def list_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List tags between items whose type changes."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("int").alias("seq"), F.lit(1).alias("want"), (F.col("role") == "user").alias("is_ul"))
+    return list_tags(turns).select("path", "seq", "tags")
+
+
+@query("""
+SELECT user_id, ts AS latest_ts, event_id, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def watch_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest version of each key."""
+    events = table(spark, sf_dir, "events").withColumn("o", F.struct("ts", "event_id"))
+    return latest(events, key="user_id", order="o", value="event_id").select("user_id", F.col("ts").alias("latest_ts"), "event_id", "value")
+
+
+# --- documents of all kinds
+
+
+def document_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.lit("/d/"), F.col("doc_id").cast("string"), F.lit(f".{kind}")).alias("path"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+
+
+def sql_paragraphs(kind: str) -> str:
+    return f"""
+WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
+SELECT '/d/' || doc_id || '.{kind}' AS path, count(*) AS n_blocks, md5(string_agg('<p>' || {sql_escape('ls[i]')} || '</p>', '' ORDER BY i)) AS html_md5
+FROM l, unnest(range(1, len(ls) + 1)) u(i) GROUP BY 1"""
+
+
+@query(sql_paragraphs("docx"))
+def docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as word documents, read back as paragraphs."""
+    pieces = docx_pieces(packed(document_lines(spark, sf_dir, "docx"), "docx")).where("kind = 'p'")
+    return pieces.groupBy("path").agg(F.count("*").alias("n_blocks"), F.md5(joined("html", "seq")).alias("html_md5"))
+
+
+@query(sql_paragraphs("odt"))
+def odf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as open documents, read back as paragraphs."""
+    pieces = odf_pieces(packed(document_lines(spark, sf_dir, "odt"), "odt"))
+    return pieces.groupBy("path").agg(F.count_if((F.col("kind") == "text:p") & F.col("html").startswith("<p")).alias("n_blocks"), F.md5(joined("html", "seq")).alias("html_md5"))
+
+
+@query(f"""
+SELECT '/d/' || conv_id || '.pptx' AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS slide, {sql_escape('text')} AS title FROM conversations""")
+def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A presentation per conversation with a slide per turn, read back."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    decks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(lines.alias("lines")).select(F.concat(F.lit("/d/"), F.col("conv_id").cast("string"), F.lit(".pptx")).alias("path"), "lines")
+    return pptx_slides(packed(decks, "pptx")).select("path", "slide", "title")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
+SELECT '/d/' || doc_id || '.rtf' AS path, count(*) AS n_runs, count(*) AS n_paras, sum(CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_bold, md5(string_agg(ls[i], chr(10) ORDER BY i)) AS text_md5
+FROM l, unnest(range(1, len(ls) + 1)) u(i) GROUP BY 1""")
+def rtf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as rich text, every second line bold, read back as runs."""
+    rows = document_lines(spark, sf_dir, "rtf")
+    bare = F.transform("lines", lambda x: F.regexp_replace(x, r"([\\{}])", r"\\$1"))
+    coded = F.transform(bare, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("{\\b "), x, F.lit("}"))).otherwise(x))
+    files = from_texts(rows.where(F.size("lines") > 0), F.col("path"), F.concat(F.lit("{\\rtf1 {\\fonttbl none;}"), F.array_join(coded, "\\par\n"), F.lit("}")))
+    found = rtf_runs(files).groupBy("path", "para").agg(joined("text", "seq").alias("text"), F.max("bold").alias("bold"), F.lit(1).alias("one"))
+    return found.groupBy("path").agg(F.count("*").alias("n_runs"), F.count_distinct("para").alias("n_paras"), F.count_if("bold").alias("n_bold"), F.md5(joined("text", "para", "\n")).alias("text_md5"))
+
+
+@query(f"""
+SELECT '/n/' || conv_id || '.ipynb' AS path, count(*) AS n_cells, count(*) FILTER (role = 'assistant') AS n_outputs, md5(string_agg(text, chr(10) ORDER BY turn)) AS source_md5
+FROM conversations GROUP BY 1""")
+def ipynb_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A notebook per conversation, its sources in two spellings, read back."""
+    text, is_code = F.to_json(F.array("text")), F.col("role") == "assistant"
+    one = F.substring(text, 2, 10_000_000)
+    source = F.when(F.col("turn") % 2 == 0, text).otherwise(F.regexp_replace(one, r"\]$", ""))
+    cell = F.concat(F.when(is_code, '{"cell_type":"code","execution_count":7,"outputs":[{"output_type":"stream","text":["x"]},{"output_type":"display_data"}],"source":').otherwise('{"cell_type":"raw","source":'), source, F.lit("}"))
+    files = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(joined(cell, "turn", ",").alias("cells"))
+    nb = files.select(F.concat(F.lit("/n/"), F.col("conv_id").cast("string"), F.lit(".ipynb")).alias("path"), F.concat(F.lit('{"cells":['), "cells", F.lit("]}")).alias("text"))
+    cells = ipynb_cells(nb)
+    outputs = ipynb_outputs(cells).groupBy("path").agg(F.count("*").alias("n_outputs"))
+    sums = cells.groupBy("path").agg(F.count("*").alias("n_cells"), F.md5(joined("source", "cell", "\n")).alias("source_md5"))
+    return sums.join(outputs, "path", "left").select("path", "n_cells", F.coalesce("n_outputs", F.lit(0)).cast("long").alias("n_outputs"), "source_md5")
+
+
+@query()
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as Markdown, by kind of block."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return md_blocks(texts).groupBy("path", "kind").agg(F.count("*").alias("n"), F.md5(joined("html", "seq")).alias("html_md5"))
+
+
+def _page_sql(title: str, body: str) -> str:
+    marks = {"\x01": title, "\x02": body}
+    from_start = "<!DOCTYPE html><html><head><meta charset=\"utf-8\"><meta http-equiv=\"Content-Security-Policy\" content=\"default-src ''none'';img-src data: https: http:;style-src ''unsafe-inline'';script-src ''unsafe-inline'';connect-src ''none'';form-action ''none'';base-uri ''none'';object-src ''none''\"><meta name=\"viewport\" content=\"width=device-width,initial-scale=1\"><title>"
+    return f"'{from_start}' || {marks[chr(1)]} || '</title><style>{STYLE}</style></head><body>' || {marks[chr(2)]} || '</body></html>'"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, {_page_sql("'doc' || doc_id || '.txt'", "'<pre><code' || CASE WHEN octet_length(encode(text)) <= 409600 THEN ' class=\"language-txt\"' ELSE '' END || '>' || " + sql_escape('text') + " || '</code></pre>'")} AS html FROM documents)
+SELECT '/t/doc' || doc_id || '.txt' AS path, 'text' AS file_type, md5(html) AS html_md5 FROM p
+UNION ALL SELECT '/h/page' || page_id || '.html', 'html', md5(html) FROM pages""")
+def rendered_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and pages as files, classified and rendered, one row each."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/t/doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("/h/page"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
+    return render(from_texts(docs.unionByName(pages), F.col("path"), F.col("text"))).select("path", "file_type", F.md5("html").alias("html_md5"))
+
+
