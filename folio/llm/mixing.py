@@ -39,12 +39,12 @@ def n_words(text: Column) -> Column:
     return F.length(F.regexp_replace(one_each, rf"[{WS}]++", "")).cast("long")
 
 
-def with_random(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """The rows with ``__id, __source, __size, __u``: u is uniform between 0 and 1."""
+def with_random(df: DataFrame, id_col: str, text_col: str, source_col: str, importance: Column, seed: int) -> DataFrame:
+    """The rows with ``__id, __source, __size, __u, __h``: u is uniform between 0 and 1, h the importance."""
     sized = df.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_LONG)), "__source": F.col(source_col).cast("string"), "__size": n_words(F.col(text_col).cast("string"))})
     name = F.concat_ws(":", F.col("__id").cast("string"), F.col("__size").cast("string"), F.lit(str(seed)))
     drawn = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long")
-    return sized.withColumn("__u", (drawn + F.lit(0.5)) / F.lit(float(2**52)))
+    return sized.withColumns({"__u": (drawn + F.lit(0.5)) / F.lit(float(2**52)), "__h": importance.cast("double")})
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = 3) -> DataFrame:
@@ -73,10 +73,10 @@ def _with_source(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
     return rows.join(side, F.col("__source").eqNullSafe(F.col("__of"))).drop("__of")
 
 
-def _ranked(rows: DataFrame, importance: Column) -> DataFrame:
+def _ranked(rows: DataFrame) -> DataFrame:
     """Adds ``__rank`` from 0 to 1, which grows with the ratio of the odds."""
     part = F.col("target") / F.col("source_size") - F.col("whole")
-    odds = part / (1 - part) * importance
+    odds = part / (1 - part) * F.col("__h")
     ratio = F.when((F.col("source_size") > 0) & (odds > 0), (F.col("__u") / (1 - F.col("__u"))) / odds)
     return rows.withColumn("__rank", F.coalesce(ratio / (1 + ratio), F.lit(1.0)))
 
@@ -89,14 +89,14 @@ def _edge(rank: Column) -> Column:
     return F.struct(rank.alias("r"), F.lit(LEAST_LONG).alias("i"), F.lit(-1).cast("long").alias("s"))
 
 
-def sampling_plan(rows: DataFrame, importance: Column, weights: tuple[int, ...] = WEIGHTS, max_copies: int = 3) -> tuple[DataFrame, int]:
+def sampling_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = 3) -> tuple[DataFrame, int]:
     """Per source: size, target, whole copies and the last rank that is drawn; and how many sources there are."""
-    small = stored(rows.select("__id", "__source", "__size", "__u"), "sizes")
+    small = stored(rows.select("__id", "__source", "__size", "__u", "__h"), "sizes")
     goals = targets(small.groupBy("__source").agg(F.sum("__size").alias("source_size")), weights, max_copies)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = stored(goals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "sources")
     n_sources = goals.count()
-    ranked = _ranked(_with_source(small, goals, n_sources), importance).withColumn("interval", F.floor(F.col("__rank") * INTERVALS))
+    ranked = _ranked(_with_source(small, goals, n_sources)).withColumn("interval", F.floor(F.col("__rank") * INTERVALS))
     sums = ranked.groupBy("__source", "interval").agg(F.sum("__size").alias("words"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("__source").orderBy("interval")
     crossing = sums.withColumn("upto", F.sum("words").over(upto)).where("upto > rest")
@@ -120,11 +120,11 @@ def with_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     importance = F.sqrt(F.greatest(F.col("__size"), F.lit(1))) if importance is None else importance
     made = ("size", "source_size", "target", "copies", "whole", "last")
-    rows = with_random(df.drop(*(c for c in made if c in df.columns)), id_col, text_col, source_col, seed)
-    plan, n_sources = sampling_plan(rows, importance, weights, max_copies)
-    ranked = _ranked(_with_source(rows, plan, n_sources), importance)
+    rows = with_random(df.drop(*(c for c in made if c in df.columns)), id_col, text_col, source_col, importance, seed)
+    plan, n_sources = sampling_plan(rows, weights, max_copies)
+    ranked = _ranked(_with_source(rows, plan, n_sources))
     copies = (F.col("whole") + F.when(_key() <= F.col("last"), 1).otherwise(0)).cast("long")
-    return ranked.withColumns({"size": F.col("__size"), "copies": copies}).drop("__id", "__source", "__size", "__u", "__rank", "whole", "last")
+    return ranked.withColumns({"size": F.col("__size"), "copies": copies}).drop("__id", "__source", "__size", "__u", "__h", "__rank", "whole", "last")
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
