@@ -16,6 +16,7 @@ from folio.functions.classify import part_mime
 from folio.functions.text import data_uri, escape_html, leading_number, safe_link
 from folio.operators.containers import part_nodes, parts
 from folio.operators.rows import joined, latest, upto, within
+from folio.sources.work import stored
 
 TAB = '<span style="display:inline-block;width:2em"></span>'
 PIECES = ["path", "seq", "kind", "html"]
@@ -148,8 +149,8 @@ def _styled(text: Column) -> Column:
 
 def docx_pieces(files: DataFrame) -> DataFrame:
     """Paragraphs, list tags and tables of word documents, in order."""
-    nodes = part_nodes(files, r"word/(document|numbering)\.xml|word/_rels/document\.xml\.rels")
-    states = docx_states(nodes)
+    nodes = stored(part_nodes(files, r"word/(document|numbering)\.xml|word/_rels/document\.xml\.rels"), "nodes")
+    states = stored(docx_states(nodes), "states")
     rels = relationships(nodes).select("path", "rid", "target")
     shown = images(files, r"word/.*\.[A-Za-z0-9]+|media/.*", "docx")
     place = F.when(F.col("target").startswith("/"), F.substring("target", 2, 10_000)).otherwise(F.concat(F.lit("word/"), F.col("target")))
@@ -179,7 +180,9 @@ def docx_pieces(files: DataFrame) -> DataFrame:
     placed = outer.withColumn("lvl", level).join(lists.withColumnRenamed("ilvl", "lvl"), ["path", "num_id", "lvl"], "left").withColumn("is_ul", F.coalesce("is_ul", F.lit(True)))
     is_item = _is("end", "w:p") & (F.col("num_id") >= 0)
     want = F.when(is_item, F.least(F.col("ilvl") + 1, F.lit(MAX_DEPTH))).when(_is("end", "w:p", "w:tc", "w:body") | _is("start", "w:tbl"), 0)
-    tags = list_tags(placed.withColumn("want", want).where("want is not null").select("path", F.col("ev_id").alias("seq"), "want", "is_ul"))
+    deepest = F.max("want").over(Window.partitionBy("path"))  # most documents have no list
+    steps = placed.withColumn("want", want).where("want is not null").withColumn("deepest", deepest).where("deepest > 0")
+    tags = list_tags(steps.select("path", F.col("ev_id").alias("seq"), "want", "is_ul"))
     align = F.when(F.col("jc").isin("center", "right"), F.col("jc")).when(F.col("jc") == "both", "justify")
     block = F.when(F.col("heading") > 0, F.concat(F.lit("h"), F.least("heading", F.lit(6)).cast("string"))).otherwise("p")
     start = F.concat(F.lit("<"), block, F.when(align.isNotNull(), F.concat(F.lit(' style="text-align:'), align, F.lit('"'))).otherwise(""), F.lit(">"))
@@ -205,7 +208,7 @@ def docx_pieces(files: DataFrame) -> DataFrame:
 
 def pptx_slides(files: DataFrame) -> DataFrame:
     """``path, slide, title, body``: slides 1, 2, ... up to the first number that is missing, 200 at most."""
-    nodes = part_nodes(files, r"ppt/slides/slide[0-9]+\.xml|ppt/slides/_rels/slide[0-9]+\.xml\.rels").withColumn("slide", F.regexp_extract("part", "slide([0-9]+)", 1).cast("int"))
+    nodes = stored(part_nodes(files, r"ppt/slides/slide[0-9]+\.xml|ppt/slides/_rels/slide[0-9]+\.xml\.rels"), "nodes").withColumn("slide", F.regexp_extract("part", "slide([0-9]+)", 1).cast("int"))
     here = nodes.where(~F.col("part").endswith(".rels"))
     numbers = here.select("path", "slide").distinct().withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("slide")))
     kept = numbers.where((F.col("slide") == F.col("place")) & (F.col("slide") <= MAX_SLIDES)).select("path", "slide")
@@ -264,7 +267,7 @@ def odf_styles(nodes: DataFrame) -> DataFrame:
 
 def odf_pieces(files: DataFrame) -> DataFrame:
     """The content of open documents, without note bodies and annotations, in order."""
-    nodes = part_nodes(files, r"content\.xml|styles\.xml")
+    nodes = stored(part_nodes(files, r"content\.xml|styles\.xml"), "nodes")
     own = nodes.where("part = 'content.xml'")
     w = upto("path")
     notes = ("text:note-body", "office:annotation")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions.text import builtin_format, column_of_ref, custom_format, leading_number, percent_text, serial_text
 from folio.operators.containers import part_nodes
 from folio.operators.rows import joined, upto, within
+from folio.sources.work import stored
 
 MAX_SHEETS, MAX_ROWS, MAX_COLS = 16, 5_000, 256
 WANTED = r"xl/(workbook\.xml|_rels/workbook\.xml\.rels|sharedStrings\.xml|styles\.xml|worksheets/.*\.xml)"
@@ -99,7 +100,7 @@ def raw_cells(nodes: DataFrame) -> DataFrame:
 
 def xlsx_cells(files: DataFrame) -> DataFrame:
     """``path, sheet_idx, sheet_name, row_idx, col_idx, cell_type, raw, kind, display``: a row per cell, gaps filled."""
-    nodes = part_nodes(files, WANTED)
+    nodes = stored(part_nodes(files, WANTED), "nodes")
     cells = sheets(nodes).join(raw_cells(nodes), ["path", "part"])
     named = cells.join(number_formats(nodes), ["path", "style"], "left")
     index = F.when(F.col("cell_type") == "s", leading_number(F.col("raw"), whole=True).cast("int"))

@@ -6,6 +6,8 @@ is its body. Files that can't be read are rows with an error, never failures.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from folio.operators.rows import joined
 from folio.operators.spreadsheet import MAX_ROWS as MAX_SHEET_ROWS
 from folio.operators.spreadsheet import xlsx_cells
 from folio.sources.corpus import texts
+from folio.sources.work import stored
 
 #: Above, code is shown without the class that asks for highlighting.
 MAX_HIGHLIGHT = 400 * 1024
@@ -105,39 +108,73 @@ def render(files: DataFrame, offline: bool = False) -> DataFrame:
 
     HTML files are not converted: they have a ``url`` and their own text as ``html``.
     """
-    kinds = classify(files.select("path", "content"))
-    of = lambda *types: kinds.where(F.col("file_type").isin(*types))
-    text = lambda *types: texts(of(*types)).join(of(*types).select("path", "language", F.length("content").alias("size")), "path")
+    # each kind's files lie in a folder of their own, so a branch reads no others
+    kinds = stored(classify(files.select("path", "content")), "kinds", by="file_type")
+    present = {r.file_type for r in kinds.select("file_type").distinct().collect()}
+    of = lambda kind: kinds.where(F.col("file_type") == kind)
     none = F.lit(None).cast("string")
     ok = lambda df: df.select("path", "body", none.alias("message"), none.alias("detail"))
-    wrapped = lambda df, css: df.withColumn("body", F.concat(F.lit(f'<div class="{css}">'), "body", F.lit("</div>")))
-
-    branches = [
-        ok(text("text").select("path", _code(F.col("text"), F.col("language"), F.col("size")).alias("body"))),
-        ok(texts(of("json")).withColumn("t", json_reindent("text")).select("path", _code(F.col("t"), F.lit("json"), F.octet_length("t")).alias("body"))),
-        ok(csv_body(of("csv"))),
-        ok(of("image").select("path", F.concat(F.lit('<img src="'), data_uri(image_mime(F.col("content"), F.col("ext")), F.col("content")), F.lit('" alt="">')).alias("body"))),
-        ok(of("pdf").select("path", F.concat(F.lit('<div class="pdf" data-src="'), data_uri(F.lit("application/pdf"), F.col("content")), F.lit('"></div>')).alias("body"))),
-        ok(of("binary").select("path", F.concat(F.lit("<p>No preview available: "), escape_html(F.col("path")), F.lit(", "), F.length("content").cast("string"), F.lit(" bytes</p><pre>"), escape_html(hex_dump(F.col("content"))), F.lit("</pre>")).alias("body"))),
-        of("raster").select("path", none.alias("body"), F.lit("Unsupported image format").alias("message"), F.col("ext").alias("detail")),
-        ok(wrapped(_whole(rtf_pieces(of("rtf"))), "content")),
-        ok(wrapped(_whole(embedded_images(md_blocks(texts(of("markdown"))), files)), "content")),
-    ]
-    nb = texts(of("notebook"))
-    shown = _whole(ipynb_pieces(nb))
-    branches.append(notebooks(nb).join(shown, "path", "left").select("path", F.concat(F.lit('<div class="nb">'), F.coalesce("body", F.lit("")), F.lit("</div>")).alias("body"), F.col("error_message").alias("message"), F.col("error_detail").alias("detail")))
-    makers = {"docx": lambda f: wrapped(_whole(docx_pieces(f)), "content"), "xlsx": xlsx_body, "pptx": lambda f: _whole(pptx_pieces(f)), "opendocument": lambda f: wrapped(_whole(odf_pieces(f)), "content")}
-    for kind, make in makers.items():
+    wrapped = lambda df: df.withColumn("body", F.concat(F.lit('<div class="content">'), "body", F.lit("</div>")))
+
+    def code() -> DataFrame:
+        text = F.make_valid_utf8(F.col("content").cast("string"))
+        return ok(of("text").select("path", _code(text, F.col("language"), F.length("content")).alias("body")))
+
+    def json() -> DataFrame:
+        pretty = texts(of("json")).withColumn("t", json_reindent("text"))
+        return ok(pretty.select("path", _code(F.col("t"), F.lit("json"), F.octet_length("t")).alias("body")))
+
+    def image() -> DataFrame:
+        uri = data_uri(image_mime(F.col("content"), F.col("ext")), F.col("content"))
+        return ok(of("image").select("path", F.concat(F.lit('<img src="'), uri, F.lit('" alt="">')).alias("body")))
+
+    def pdf() -> DataFrame:
+        uri = data_uri(F.lit("application/pdf"), F.col("content"))
+        return ok(of("pdf").select("path", F.concat(F.lit('<div class="pdf" data-src="'), uri, F.lit('"></div>')).alias("body")))
+
+    def binary() -> DataFrame:
+        head = F.concat(F.lit("<p>No preview available: "), escape_html(F.col("path")), F.lit(", "), F.length("content").cast("string"), F.lit(" bytes</p><pre>"))
+        return ok(of("binary").select("path", F.concat(head, escape_html(hex_dump(F.col("content"))), F.lit("</pre>")).alias("body")))
+
+    def raster() -> DataFrame:
+        return of("raster").select("path", none.alias("body"), F.lit("Unsupported image format").alias("message"), F.col("ext").alias("detail"))
+
+    def markdown() -> DataFrame:
+        return ok(wrapped(_whole(embedded_images(md_blocks(texts(of("markdown"))), kinds))))
+
+    def notebook() -> DataFrame:
+        nb = texts(of("notebook"))
+        body = F.concat(F.lit('<div class="nb">'), F.coalesce("body", F.lit("")), F.lit("</div>"))
+        return notebooks(nb).join(_whole(ipynb_pieces(nb)), "path", "left").select("path", body.alias("body"), F.col("error_message").alias("message"), F.col("error_detail").alias("detail"))
+
+    def container(kind: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
         part, message, detail = REQUIRED[kind]
-        state = openable(of(kind), part)
         bad = F.when(~F.col("is_zip"), "could not open ZIP container").when(~F.col("has_part"), detail)
         if kind == "xlsx":
             bad = F.coalesce(bad, F.when(F.col("body").isNull(), "no readable worksheets"))
-        made = state.join(make(of(kind)), "path", "left")
-        branches.append(made.select("path", F.coalesce("body", F.lit("")).alias("body"), F.when(bad.isNotNull(), message).alias("message"), bad.alias("detail")))
-    every = branches[0]
-    for b in branches[1:]:
-        every = every.unionByName(b)
+        made = openable(of(kind), part).join(make(of(kind)), "path", "left")
+        return made.select("path", F.coalesce("body", F.lit("")).alias("body"), F.when(bad.isNotNull(), message).alias("message"), bad.alias("detail"))
+
+    branches = {
+        "text": code,
+        "json": json,
+        "csv": lambda: ok(csv_body(of("csv"))),
+        "image": image,
+        "pdf": pdf,
+        "binary": binary,
+        "raster": raster,
+        "rtf": lambda: ok(wrapped(_whole(rtf_pieces(of("rtf"))))),
+        "markdown": markdown,
+        "notebook": notebook,
+        "docx": lambda: container("docx", lambda f: wrapped(_whole(docx_pieces(f)))),
+        "xlsx": lambda: container("xlsx", xlsx_body),
+        "pptx": lambda: container("pptx", lambda f: _whole(pptx_pieces(f))),
+        "opendocument": lambda: container("opendocument", lambda f: wrapped(_whole(odf_pieces(f)))),
+    }
+    every = files.sparkSession.createDataFrame([], "path string, body string, message string, detail string")
+    for kind, branch in branches.items():
+        if kind in present:
+            every = every.unionByName(branch())
     both = kinds.select("path", "file_type", F.when(F.col("file_type") == "html", F.col("content").cast("string")).alias("own")).join(every, "path", "left")
     message = F.when(F.col("file_type") != "html", F.coalesce("message", F.when(F.col("body").isNull() & ~F.col("file_type").isin("rtf", "markdown"), "Unsupported file type")))
     body = F.when(message.isNotNull(), error_box(message, F.col("detail"))).otherwise(F.coalesce("body", F.lit("")))
