@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.sources.work import new_path, shared_dir, stored
+
+__all__ = ["WORD", "WS", "documents", "new_path", "per_worker", "shared_dir", "stored", "text_or_empty"]
+
 #: The white space of the contracts: space and U+0009 to U+000D.
 WS = r"\x20\x09-\x0D"
 #: A word: a maximal run without white space.
@@ -21,39 +23,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    That is ``spark.checkpoint.dir``. Only where it is unset, as in tests on one
-    machine, a new local folder is made and becomes the session's setting.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="folio-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs only the tasks that were running,
-    and a table that several branches read is computed once.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
