@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.llm.common import per_worker
+
 # Fixed values of the public seekable layout.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -38,7 +40,7 @@ FOOTER_SIZE = struct.calcsize(FOOTER)
 
 MANIFEST = "shard int, n_docs long, n_ids long, width int"
 #: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 
 
 def open_folder(uri: str):
@@ -49,32 +51,66 @@ def open_folder(uri: str):
     return system, path.rstrip("/")
 
 
+#: Words of visible ASCII (no special token's brackets) and Latin-1 letters: they are in
+#: normal form C, and lower case goes letter by letter.
+PLAIN = r"[!-;=?-~À-ÖØ-öø-ÿ]+"
+#: How the tokenizer's pattern splits such a word in lower case.
+PLAIN_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+"
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space, looked up word by word.
 
     Such a tokenizer encodes the parts between ASCII spaces independently, so each
-    distinct part goes through the tokenizers library once per worker.
+    distinct part goes through the tokenizers library once. Plain words are lowered and
+    split here and their pieces go to the library's model; all others take its whole
+    path. The memory has two generations, so that frequent words outlive rare ones.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int):
+        import re
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
         self.width = 2 if max(self._tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        self._end = np.array([end_id], f"<u{self.width}").tobytes()
-        self._memo: dict[str, bytes] = {}
+        self._pack = {2: struct.Struct("<H").pack, 4: struct.Struct("<I").pack}[self.width]
+        self._end = self._pack(end_id)
+        self._plain, self._parts = re.compile(PLAIN).fullmatch, re.compile(PLAIN_PARTS).findall
+        self._bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self._memo: dict[str, bytes] = {"": b""}
+        self._old: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        own = piece if piece.isascii() else self._bytes(piece)[0][0]
+        ids = b"".join([self._pack(t.id) for t in self._tokenizer.model.tokenize(own)])
+        self._pieces[piece] = ids
+        return ids
+
+    def _learn(self, words: list[str]) -> None:
+        memo, old, pieces = self._memo, self._old, self._pieces
+        rest = []
+        for w in words:
+            if (known := old.get(w)) is not None:
+                memo[w] = known
+            elif self._plain(w):
+                memo[w] = b"".join([pieces.get(x) or self._piece(x) for x in self._parts(w.lower())])
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            memo[w] = b"".join(map(self._pack, e.ids))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self._memo) > MEMO_WORDS:
-            self._memo = {"": b""}
-        memo = self._memo
-        memo.setdefault("", b"")
-        new = list({w for p in parts for w in p if w not in memo})
-        for w, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, f"<u{self.width}").tobytes()
-        return [b"".join(map(memo.__getitem__, p)) + self._end for p in parts]
+            self._old, self._memo = self._memo, {"": b""}
+        if len(self._pieces) > MEMO_WORDS:
+            self._pieces.clear()
+        self._learn(list(set().union(*parts).difference(self._memo)))
+        ids = self._memo.__getitem__
+        return [b"".join(map(ids, p)) + self._end for p in parts]
 
 
 class ShardWriter:
@@ -157,7 +193,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        encoder = WordIds(tokenizer_path, end_id)
+        encoder = per_worker(f"{tokenizer_path} {end_id}", lambda: WordIds(tokenizer_path, end_id))
         out, own = open_folder(folder)
         draft = f"{own}/shards/_draft-{task.partitionId()}-{task.taskAttemptId()}"
         writer = sink = None
