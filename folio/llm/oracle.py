@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from folio.llm.lines import LEADING, MIN_DOCS
+from folio.llm.secrets import PARTS, REACH
+
 OP9 = r"""
 WITH w AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
@@ -138,4 +141,82 @@ SELECT c.chosen_id, c.rejected_id, c.n_shared, c.prompt, c.completion AS chosen,
 FROM g c JOIN g r ON c.chosen_id = r.chosen_id AND c.rejected_id = r.rejected_id AND c.side = 'c' AND r.side = 'r'
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_preferences": OP3, "op5_mix_sources": OP5, "op7_top_k": OP7, "op9_quality_rules": OP9, "op10_minhash": OP10}
+
+
+def _parts_sql() -> str:
+    """Rows of gap and match lengths per kind of part."""
+    quoted = {p.kind: p.pattern.replace("'", "''") for p in PARTS}
+    found = []
+    for place, p in enumerate(PARTS):
+        pattern = quoted[p.kind]
+        more = f" AND (regexp_matches(t, '{quoted['access']}') OR regexp_matches(t, '{quoted['id']}'))" if p.kind in ("key", "endpoint") else ""
+        found.append(
+            f"""SELECT rid, {place} AS place, u.i AS nth, length(g[u.i]) AS gap, length(m[u.i]) AS len, length(v[u.i]) >= {p.least} AS counts
+  FROM (SELECT rid, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {p.group}) AS v
+        FROM d WHERE regexp_matches(t, '{pattern}'){more}), unnest(range(1, len(m) + 1)) AS u(i)"""
+        )
+    return " UNION ALL ".join(found)
+
+
+def _places(role: str) -> str:
+    return ", ".join(str(k) for k, p in enumerate(PARTS) if p.role == role)
+
+
+OP1 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_parts_sql()}),
+e AS (SELECT *, sum(gap + len) OVER (PARTITION BY rid, place ORDER BY nth)::BIGINT AS fin FROM m),
+p AS (SELECT rid, place, fin - len AS start, fin, ['{"', '".join(p.kind for p in PARTS)}'][place + 1] || ':' || (fin - len) || ':' || fin AS span, place > 2 AS weak FROM e WHERE counts),
+q AS (
+  SELECT * FROM p WHERE NOT (place = 4 AND EXISTS (
+    SELECT 1 FROM p s WHERE s.rid = p.rid AND s.place IN (0, 2) AND p.start < s.fin AND s.start < p.fin))),
+i AS (SELECT * FROM q WHERE place IN ({_places("identifier")})),
+s AS (SELECT * FROM q WHERE place IN ({_places("secret")})),
+n AS (SELECT * FROM q WHERE place IN ({_places("endpoint")})),
+pair AS (
+  SELECT i.rid, i.start AS i_start, i.place AS i_place, i.span AS i_span, i.weak AS i_weak, s.start AS s_start, s.place AS s_place, s.span AS s_span, s.weak AS s_weak
+  FROM i JOIN s ON i.rid = s.rid AND abs(i.start - s.start) <= {REACH}),
+link AS (
+  SELECT pair.*, n.start AS n_start, n.place AS n_place, n.span AS n_span
+  FROM pair LEFT JOIN n ON n.rid = pair.rid AND abs(n.start - i_start) <= {REACH}
+  WHERE NOT (i_weak AND s_weak) OR n.span IS NOT NULL),
+every AS (
+  SELECT rid, start, place, span FROM p WHERE NOT weak
+  UNION SELECT rid, i_start, i_place, i_span FROM link WHERE i_weak
+  UNION SELECT rid, s_start, s_place, s_span FROM link WHERE s_weak
+  UNION SELECT rid, n_start, n_place, n_span FROM link WHERE n_span IS NOT NULL),
+a AS (
+  SELECT rid, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY start, place) FILTER (place < 3) AS base, string_agg(span, ',' ORDER BY start, place) AS spans
+  FROM every GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)
+"""
+
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id AS id, coalesce(text, '') AS t FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+l AS (SELECT rid, u.i AS pos, string_split(t, chr(10))[u.i] AS line FROM d, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS u(i)),
+k AS (SELECT *, length(line) AS size, regexp_replace(line, '[0-9]+', '#', 'g') AS masked FROM l),
+x AS (SELECT *, string_split(masked, ' ') AS tokens, len(string_split(masked, ' ')) AS n FROM k),
+y AS (SELECT *, n || ':' || array_to_string(tokens[1:{LEADING}], ' ') AS leaf FROM x),
+f AS (SELECT leaf, masked, any_value(n) AS n, count(DISTINCT rid) AS docs FROM y WHERE n > {LEADING} GROUP BY 1, 2),
+v AS (SELECT *, count(*) OVER (PARTITION BY leaf) AS forms, sum(docs) OVER (PARTITION BY leaf) AS total FROM f WHERE docs < {MIN_DOCS}),
+tok AS (SELECT leaf, masked, docs, total, n, u.i AS place, string_split(masked, ' ')[u.i] AS token FROM v, unnest(range(1, n + 1)) AS u(i) WHERE forms > 1 AND total >= {MIN_DOCS}),
+con AS (SELECT leaf, place, token, any_value(n) AS n FROM tok GROUP BY 1, 2, 3 HAVING 2 * sum(docs) > any_value(total)),
+tem AS (SELECT leaf, count(*) AS constants FROM con GROUP BY leaf HAVING 5 * count(*) >= 3 * any_value(n)),
+eq AS (SELECT tok.leaf, tok.masked, count(*) AS equal, any_value(docs) AS docs FROM tok JOIN con USING (leaf, place, token) GROUP BY 1, 2),
+fit AS (SELECT leaf, masked, docs, sum(docs) OVER (PARTITION BY leaf) AS n_docs FROM eq JOIN tem USING (leaf) WHERE equal = constants),
+hit AS (SELECT leaf, masked FROM f WHERE docs >= {MIN_DOCS} UNION SELECT leaf, masked FROM fit WHERE n_docs >= {MIN_DOCS}),
+r AS (SELECT y.*, hit.leaf IS NOT NULL AS again FROM y LEFT JOIN hit ON hit.leaf = y.leaf AND hit.masked = y.masked AND y.n > {LEADING}),
+g AS (SELECT *, 2 * sum(CASE WHEN again THEN size ELSE 0 END) OVER (PARTITION BY rid) <= sum(size) OVER (PARTITION BY rid) AS few FROM r),
+o AS (
+  SELECT rid, count(*) AS n_lines, count(*) FILTER (again AND few) AS n_dropped,
+         coalesce(string_agg((pos - 1)::VARCHAR, ',' ORDER BY pos) FILTER (again AND few), '') AS dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (again AND few)), '') AS rest
+  FROM g GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, dropped, sha256(rest) AS text_sha256
+FROM documents JOIN d ON d.id IS NOT DISTINCT FROM doc_id AND d.t = coalesce(text, '') JOIN o USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": OP1, "op8_line_templates": OP8, "op3_preferences": OP3, "op5_mix_sources": OP5, "op7_top_k": OP7, "op9_quality_rules": OP9, "op10_minhash": OP10}

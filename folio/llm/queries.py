@@ -58,7 +58,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return docs.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return docs.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
