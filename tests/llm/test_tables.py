@@ -54,7 +54,7 @@ class PlainKatz:
     def __init__(self, training, frequent):
         self.c = Counter(w for t in training for w in [*t, ""])
         self.n, self.v = sum(self.c.values()), len(self.c)
-        top = sorted((w for w in self.c if w), key=lambda w: (-self.c[w], w.encode()))[:frequent]
+        top = [w for w in self.c if w and sum(self.c[x] >= self.c[w] for x in self.c if x) <= frequent]
         self.top = set(top)
         rare = [w for w in self.c if w and w not in self.top]
         self.rare_c, self.rare_v = sum(self.c[w] for w in rare), len(rare)
