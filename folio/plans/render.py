@@ -12,17 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.classify import classify, image_mime
-from folio.functions.text import basename, data_uri, directory, escape_html, hex_dump, json_reindent
+from folio.functions.text import basename, data_uri, directory, escape_html, hex_dump, json_reindent, parent
 from folio.operators.containers import openable
 from folio.operators.delimited import MAX_ROWS, csv_cells
 from folio.operators.markdown import md_blocks
 from folio.operators.notebook import ipynb_pieces, notebooks
 from folio.operators.office import docx_pieces, odf_pieces, pptx_pieces
+from folio.operators.pdf import pdf_info
+from folio.operators.raster import raster_png
 from folio.operators.richtext import rtf_pieces
 from folio.operators.rows import joined
 from folio.operators.spreadsheet import MAX_ROWS as MAX_SHEET_ROWS
 from folio.operators.spreadsheet import xlsx_cells
 from folio.sources.corpus import texts
+from folio.sources.listing import listing_row
 from folio.sources.work import stored
 
 #: Above, code is shown without the class that asks for highlighting.
@@ -130,14 +133,19 @@ def render(files: DataFrame, offline: bool = False) -> DataFrame:
 
     def pdf() -> DataFrame:
         uri = data_uri(F.lit("application/pdf"), F.col("content"))
-        return ok(of("pdf").select("path", F.concat(F.lit('<div class="pdf" data-src="'), uri, F.lit('"></div>')).alias("body")))
+        note = F.coalesce(F.concat(F.lit('<p class="filehead">'), "note", F.lit("</p>")), F.lit(""))
+        told = of("pdf").join(pdf_info(of("pdf")).select("path", "note"), "path")
+        return ok(told.select("path", F.concat(F.lit('<div class="pdf" data-src="'), uri, F.lit('"></div>'), note).alias("body")))
 
     def binary() -> DataFrame:
         head = F.concat(F.lit("<p>No preview available: "), escape_html(F.col("path")), F.lit(", "), F.length("content").cast("string"), F.lit(" bytes</p><pre>"))
         return ok(of("binary").select("path", F.concat(head, escape_html(hex_dump(F.col("content"))), F.lit("</pre>")).alias("body")))
 
     def raster() -> DataFrame:
-        return of("raster").select("path", none.alias("body"), F.lit("Unsupported image format").alias("message"), F.col("ext").alias("detail"))
+        shown = of("raster").select("path", "ext", raster_png("content").alias("png"))
+        body = F.concat(F.lit('<img src="'), data_uri(F.lit("image/png"), F.col("png")), F.lit('" alt="">'))
+        bad = F.col("png").isNull()
+        return shown.select("path", body.alias("body"), F.when(bad, "Could not decode image").alias("message"), F.when(bad, F.col("ext")).alias("detail"))
 
     def markdown() -> DataFrame:
         return ok(wrapped(_whole(embedded_images(md_blocks(texts(of("markdown"))), kinds))))
@@ -181,3 +189,11 @@ def render(files: DataFrame, offline: bool = False) -> DataFrame:
     html = F.when(F.col("file_type") == "html", F.col("own")).otherwise(page(basename(F.col("path")), body, offline, F.col("file_type") == "pdf"))
     url = F.when(F.col("file_type") == "html", F.concat(F.lit("file://"), "path"))
     return both.select("path", "file_type", html.alias("html"), url.alias("url"), message.alias("error_message"), F.col("detail").alias("error_detail"))
+
+
+def render_listing(entries: DataFrame, offline: bool = False) -> DataFrame:
+    """``path, html``: a page per folder of a listing, with a link to the folder above."""
+    order = F.struct((~F.col("is_dir")).alias("a"), F.col("name").alias("b"))
+    pages = entries.groupBy(F.col("dir").alias("path")).agg(joined(listing_row(), order).alias("rows"))
+    up = F.when(parent(F.col("path")).isNotNull(), F.concat(F.lit('<li class="dir" data-path="'), escape_html(parent(F.col("path"))), F.lit('"><span class="name">../</span></li>'))).otherwise("")
+    return pages.select("path", page(F.col("path"), F.concat(F.lit('<ul class="listing">'), up, "rows", F.lit("</ul>")), offline).alias("html"))

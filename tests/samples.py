@@ -163,7 +163,8 @@ def files():
         "/c/notebook.ipynb": ipynb(),
         "/c/doc.rtf": RTF,
         "/c/bad.docx": b"PK\x03\x04 not actually a zip archive",
-        "/c/three.pdf": b"%PDF-1.4 three pages",
+        "/c/three.pdf": b"%PDF-1.4 << /Type /Pages >> " + b"<< /Type /Page >> " * 3,
+        "/c/dot.ppm": b"P6 2 1 255\n\xff\0\0\0\xff\0",
         "/c/page.html": b"<h1>as it is</h1>",
         "/c/empty.csv": b"",
         "/c/photo.psd": b"8BPS....",

@@ -34,9 +34,10 @@ HOLDS = {
     "notebook.ipynb": ["<h1>Note</h1>", "<strong>bold</strong>", "In [1]:", "In [ ]:", "language-python", "print(&#39;hello&#39;)", "hello", "ZeroDivisionError\nline 2", "nb-err", "raw &lt;text&gt;", ">42</pre>"],
     "doc.rtf": ["<b>bold</b>", "<i>italic</i>", "<u>under</u>", "<p>second é paragraph é unicode and €€ euro</p>"],
     "bad.docx": ["Not a valid DOCX file", "could not open ZIP container"],
-    "three.pdf": ["data:application/pdf;base64,", "blob:"],
+    "three.pdf": ["data:application/pdf;base64,", "blob:", "3 pages"],
     "empty.csv": ["<table>"],
-    "photo.psd": ["Unsupported image format"],
+    "photo.psd": ["Could not decode image", "psd"],
+    "dot.ppm": ["data:image/png;base64,"],
     "bad.ipynb": ["Could not parse notebook"],
     "old.ipynb": ["no cells array"],
     "page.html": ["<h1>as it is</h1>"],
