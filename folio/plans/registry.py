@@ -24,6 +24,7 @@ from folio.plans import values
 from folio.plans.render import STYLE, render
 from folio.sources.build import packed
 from folio.sources.corpus import from_texts
+from folio.sources.work import spread
 from folio.streaming.watch import latest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,7 +370,7 @@ def watch_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(F.concat(F.lit("/d/"), F.col("doc_id").cast("string"), F.lit(f".{kind}")).alias("path"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
 
 
@@ -437,7 +438,7 @@ def ipynb_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as Markdown, by kind of block."""
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    texts = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("path"), "text")
     return md_blocks(texts).groupBy("path", "kind").agg(F.count("*").alias("n"), F.md5(joined("html", "seq")).alias("html_md5"))
 
 

@@ -39,3 +39,10 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = new_path(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that takes more time than moving its rows: a table in under half as many partitions as there are
+    cores (a small file in one row group, say) is dealt out to all of them; larger tables stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
