@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.sources.work import new_path, shared_dir, stored
+from folio.sources.work import new_path, shared_dir, spread, stored
 
 __all__ = ["WORD", "WS", "documents", "new_path", "per_worker", "shared_dir", "stored", "text_or_empty"]
 
@@ -20,7 +20,7 @@ WORD = rf"[^{WS}]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def text_or_empty(col: str = "text") -> Column:
