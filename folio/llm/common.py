@@ -27,9 +27,9 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def per_worker(name: str, make: Callable[[], object]):
-    """An object that a Python worker makes once and keeps for its later tasks."""
+def per_worker(slot: str, key: str, make: Callable[[], object]):
+    """An object that a Python worker makes once and keeps for its later tasks, until the slot gets another key."""
     kept = sys.modules.setdefault("_folio_worker", types.ModuleType("_folio_worker")).__dict__
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    if slot not in kept or kept[slot][0] != key:
+        kept[slot] = (key, make())
+    return kept[slot][1]

@@ -193,7 +193,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        encoder = per_worker(f"{tokenizer_path} {end_id}", lambda: WordIds(tokenizer_path, end_id))
+        encoder = per_worker("word ids", f"{tokenizer_path} {end_id}", lambda: WordIds(tokenizer_path, end_id))
         out, own = open_folder(folder)
         draft = f"{own}/shards/_draft-{task.partitionId()}-{task.taskAttemptId()}"
         writer = sink = None
