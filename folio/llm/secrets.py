@@ -82,20 +82,23 @@ def _of_role(found: DataFrame, role: str, name: str) -> DataFrame:
     return found.where(F.col("place").isin(places)).select("row", F.struct("start", "place", "end").alias(name), weak.alias(f"{name}_weak"))
 
 
-def _near(left: DataFrame, right: DataFrame, at: str, name: str, how: str = "inner") -> DataFrame:
+def _near(left: DataFrame, right: DataFrame, at: str, name: str) -> DataFrame:
     """Interval join: parts of one text whose starts are at most ``REACH`` apart."""
     cell = lambda c: F.floor(F.col(f"{c}.start") / REACH)
     around = left.withColumn("cell", F.explode(F.array(cell(at) - 1, cell(at), cell(at) + 1)))
     close = F.abs(F.col(f"{at}.start") - F.col(f"{name}.start")) <= REACH
-    return around.join(right.withColumn("cell", cell(name)), ["row", "cell"], how).where(close if how == "inner" else close | F.col(name).isNull())
+    return around.join(right.withColumn("cell", cell(name)), ["row", "cell"]).where(close).drop("cell")
 
 
 def _apart(found: DataFrame) -> DataFrame:
-    """Without weak secrets that overlap a strong one: those are reported already."""
-    key = PARTS.index(KEY)
-    strong = found.where(F.col("place").isin(PARTS.index(ASSIGN), PARTS.index(HEX))).select("row", F.col("start").alias("s"), F.col("end").alias("e"))
-    weak = found.where(F.col("place") == key)
-    covered = weak.join(strong, "row").where((F.col("start") < F.col("e")) & (F.col("s") < F.col("end"))).select("row", "start", "place").distinct()
+    """Without weak secrets that overlap a strong one: those are reported already.
+
+    Each span is dealt to the cells that it covers, so a text's spans meet only near by.
+    """
+    covers = F.explode(F.sequence(F.floor(F.col("start") / REACH), F.floor((F.col("end") - 1) / REACH)))
+    strong = found.where(F.col("place").isin(PARTS.index(ASSIGN), PARTS.index(HEX))).select("row", covers.alias("cell"), F.col("start").alias("s"), F.col("end").alias("e"))
+    weak = found.where(F.col("place") == PARTS.index(KEY)).withColumn("cell", covers)
+    covered = weak.join(strong, ["row", "cell"]).where((F.col("start") < F.col("e")) & (F.col("s") < F.col("end"))).select("row", "start", "place").distinct()
     return found.join(covered, ["row", "start", "place"], "left_anti")
 
 
@@ -103,11 +106,13 @@ def linked_parts(found: DataFrame) -> DataFrame:
     """``row, start, place, end`` of the weak parts that are reported."""
     roles = found.groupBy("row").agg(F.max(F.col("place").isin(PARTS.index(ACCESS), PARTS.index(ID))).alias("i"), F.max(F.col("place").isin(PARTS.index(ASSIGN), PARTS.index(HEX), PARTS.index(KEY))).alias("s"))
     both = _apart(found.where("place is not null").join(roles.where("i and s").select("row"), "row"))
-    pairs = _near(_of_role(both, "identifier", "identifier"), _of_role(both, "secret", "secret"), "identifier", "secret").drop("cell")
-    beside = _near(pairs.select("row", "identifier").distinct(), _of_role(both, "endpoint", "endpoint"), "identifier", "endpoint").select("row", "identifier", "endpoint").distinct()
-    links = pairs.join(beside, ["row", "identifier"], "left").where("not (identifier_weak and secret_weak) or endpoint is not null")
-    weak = F.filter(F.array(F.when(F.col("identifier_weak"), F.col("identifier")), F.when(F.col("secret_weak"), F.col("secret")), F.col("endpoint")), lambda p: p.isNotNull())
-    return links.select("row", F.explode(weak).alias("part")).select("row", "part.*").distinct()
+    pairs = _near(_of_role(both, "identifier", "identifier"), _of_role(both, "secret", "secret"), "identifier", "secret")
+    beside = _near(pairs.select("row", "identifier").distinct(), _of_role(both, "endpoint", "endpoint"), "identifier", "endpoint").select("row", "identifier", "endpoint")
+    complete = beside.select("row", "identifier").distinct().withColumn("complete", F.lit(True))
+    links = pairs.join(complete, ["row", "identifier"], "left").where("not (identifier_weak and secret_weak) or complete")
+    ends = beside.join(links.select("row", "identifier").distinct(), ["row", "identifier"]).select("row", F.col("endpoint").alias("part"))
+    weak = F.filter(F.array(F.when(F.col("identifier_weak"), F.col("identifier")), F.when(F.col("secret_weak"), F.col("secret"))), lambda p: p.isNotNull())
+    return links.select("row", F.explode(weak).alias("part")).unionByName(ends).select("row", "part.*").distinct()
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
