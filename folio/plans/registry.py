@@ -220,18 +220,18 @@ def _quoted(c: str) -> Column:
 
 
 @query("""
-WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS row_idx FROM documents WHERE source IS NOT NULL),
-r AS (SELECT source, row_idx, doc_id::VARCHAR AS a, lang AS b, text AS c FROM d UNION ALL SELECT DISTINCT source, 0, 'doc_id', 'lang', 'text' FROM d)
-SELECT '/csv/' || source || '.csv' AS path, row_idx::INTEGER AS row_idx, k::INTEGER AS col_idx, CASE k WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS value,
-       row_idx = 0 AS is_header, max(row_idx) OVER (PARTITION BY source) >= 10000 AS truncated
-FROM r, (VALUES (0), (1), (2)) x(k) QUALIFY row_idx < 10000""")
+WITH d AS (SELECT *, doc_id // 500 AS file, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS row_idx FROM documents),
+r AS (SELECT file, row_idx, doc_id::VARCHAR AS a, lang AS b, text AS c FROM d UNION ALL SELECT DISTINCT file, 0, 'doc_id', 'lang', 'text' FROM d)
+SELECT '/csv/' || file || '.csv' AS path, row_idx::INTEGER AS row_idx, k::INTEGER AS col_idx, CASE k WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS value,
+       row_idx = 0 AS is_header, false AS truncated
+FROM r, (VALUES (0), (1), (2)) x(k)""")
 def csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A CSV file per source, with whole quoted texts, read back as cells."""
-    docs = table(spark, sf_dir, "documents").where("source is not null")
+    """CSV files of up to 500 documents, with whole quoted texts, read back as cells."""
+    docs = table(spark, sf_dir, "documents").withColumn("file", F.floor(F.col("doc_id") / 500))
     line = F.concat_ws(",", F.col("doc_id").cast("string"), _quoted("lang"), _quoted("text"))
-    files = docs.groupBy("source").agg(joined(line, "doc_id", "\r\n").alias("body"))
+    files = docs.groupBy("file").agg(joined(line, "doc_id", "\r\n").alias("body"))
     text = F.concat(F.lit("doc_id,lang,text\r\n"), "body", F.lit("\r\n"))
-    return csv_cells(from_texts(files, F.concat(F.lit("/csv/"), "source", F.lit(".csv")), text))
+    return csv_cells(from_texts(files, F.concat(F.lit("/csv/"), F.col("file").cast("string"), F.lit(".csv")), text))
 
 
 # --- spreadsheets
@@ -302,15 +302,15 @@ def sparse_row_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT '/x/' || c_nationkey || '.xlsx' AS path, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row_idx, c_name, (c_custkey % 20000 + 25569)::INTEGER AS d FROM customer)
+WITH p AS (SELECT '/x/' || (c_custkey // 200) || '.xlsx' AS path, row_number() OVER (PARTITION BY c_custkey // 200 ORDER BY c_custkey) - 1 AS row_idx, c_name, (c_custkey % 20000 + 25569)::INTEGER AS d FROM customer)
 SELECT path, 'Sheet' AS sheet_name, row_idx::INTEGER AS row_idx, k::INTEGER AS col_idx, CASE k WHEN 0 THEN 'general' ELSE 'date' END AS kind,
        CASE k WHEN 0 THEN c_name ELSE strftime(DATE '1899-12-30' + d, '%Y-%m-%d') END AS display
-FROM p, (VALUES (0), (1)) x(k) WHERE row_idx < 5000""")
+FROM p, (VALUES (0), (1)) x(k)""")
 def xlsx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A workbook per nation, its customers with a date each, read back as cells."""
+    """Workbooks of up to 200 customers with a date each, read back as cells."""
     row = F.concat_ws("\t", "c_name", (F.col("c_custkey") % 20000 + 25569).cast("string"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("line")))), lambda x: x["line"])
-    books = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(lines.alias("lines")).select(F.concat(F.lit("/x/"), F.col("c_nationkey").cast("string"), F.lit(".xlsx")).alias("path"), "lines")
+    books = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 200).alias("book")).agg(lines.alias("lines")).select(F.concat(F.lit("/x/"), F.col("book").cast("string"), F.lit(".xlsx")).alias("path"), "lines")
     return xlsx_cells(packed(books, "xlsx")).select("path", "sheet_name", F.col("row_idx").cast("int").alias("row_idx"), "col_idx", "kind", "display")
 
 
@@ -321,23 +321,27 @@ def xlsx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY source) AS total FROM documents)
 SELECT source, doc_id, n::INTEGER AS n, total > 30 AS truncated FROM r WHERE n <= 30""")
 def row_cap_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rows of each group and whether there are more."""
-    own = Window.partitionBy("source")
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(own.orderBy("doc_id")).alias("n"), (F.count("*").over(own) > 30).alias("truncated"))
-    return rows.where("n <= 30")
+    """The first rows of each group and whether there are more.
+
+    The limit on row numbers works before the shuffle; totals are partial counts.
+    """
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id")
+    first = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 30")
+    totals = docs.groupBy(F.col("source").alias("s")).agg((F.count("*") > 30).alias("truncated"))
+    return first.join(totals, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
 @query(f"""
-WITH e AS (SELECT 'doc' || doc_id AS name, n_chars AS size, doc_id % 7 = 0 AS is_dir FROM documents UNION ALL SELECT 'size' || s, s, false FROM (VALUES {values.SIZES}) v(s))
-SELECT name, is_dir, row_number() OVER (ORDER BY is_dir DESC, name)::INTEGER AS place,
+WITH e AS (SELECT '/d' || (doc_id // 100) AS dir, 'doc' || doc_id AS name, n_chars AS size, doc_id % 7 = 0 AS is_dir FROM documents UNION ALL SELECT '/s', 'size' || s, s, false FROM (VALUES {values.SIZES}) v(s))
+SELECT dir, name, is_dir, row_number() OVER (PARTITION BY dir ORDER BY is_dir DESC, name)::INTEGER AS place,
        CASE WHEN is_dir THEN 'folder' WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0::DOUBLE) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0::DOUBLE)
             WHEN size < 1099511627776 THEN printf('%.1f GB', size / 1073741824.0::DOUBLE) ELSE printf('%.1f TB', size / 1099511627776.0::DOUBLE) END AS note FROM e""")
 def listing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of a folder in their order, with sizes for people."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("n_chars").alias("size"), (F.col("doc_id") % 7 == 0).alias("is_dir"))
-    more = literal(spark, values.SIZES, "s").select(F.concat(F.lit("size"), F.col("s").cast("string")).alias("name"), F.col("s").cast("long").alias("size"), F.lit(False).alias("is_dir"))
+    """Entries of folders in their order, with sizes for people."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/d"), F.floor(F.col("doc_id") / 100).cast("string")).alias("dir"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("n_chars").alias("size"), (F.col("doc_id") % 7 == 0).alias("is_dir"))
+    more = literal(spark, values.SIZES, "s").select(F.lit("/s").alias("dir"), F.concat(F.lit("size"), F.col("s").cast("string")).alias("name"), F.col("s").cast("long").alias("size"), F.lit(False).alias("is_dir"))
     note = F.when(F.col("is_dir"), "folder").otherwise(X.human_size(F.col("size")))
-    return docs.unionByName(more).select("name", "is_dir", F.row_number().over(Window.orderBy(F.desc("is_dir"), "name")).alias("place"), note.alias("note"))
+    return docs.unionByName(more).select("dir", "name", "is_dir", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("is_dir"), "name")).alias("place"), note.alias("note"))
 
 
 @query("SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS body_md5, count(*) AS n FROM conversations GROUP BY 1")
