@@ -151,7 +151,7 @@ def ansi_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hex_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binary previews of texts."""
+    """Hex dumps of the heads of texts."""
     return table(spark, sf_dir, "documents").select("doc_id", X.hex_dump(F.encode("text", "UTF-8")).alias("dump"))
 
 
