@@ -362,12 +362,12 @@ def list_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id, ts AS latest_ts, event_id, value FROM events
+SELECT user_id, event_id, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def watch_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest version of each key."""
     events = table(spark, sf_dir, "events").withColumn("o", F.struct("ts", "event_id"))
-    return latest(events, key="user_id", order="o", value="event_id").select("user_id", F.col("ts").alias("latest_ts"), "event_id", "value")
+    return latest(events, key="user_id", order="o", value="event_id").select("user_id", "event_id", "value")
 
 
 # --- documents of all kinds
