@@ -3,6 +3,11 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns what is left of the documents, with
 their columns (the last returns token ids). Stages are written as Parquet and read
 again, so each is planned and recovered on its own.
+
+Defined results, on top of the operators' own: a null text fails the quality rules; nulls
+in other columns pass through (a null source is a source of its own in the mix); rows that
+are the same in id and text become one in near-duplicate detection; other columns than
+those of ``documents`` are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
