@@ -17,6 +17,7 @@ gives no shard; repeated rows give repeated documents; other columns are not wri
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 from collections.abc import Iterable, Iterator
@@ -108,7 +109,9 @@ class WordIds:
             self._old, self._memo = self._memo, {"": b""}
         if len(self._pieces) > MEMO_WORDS:
             self._pieces.clear()
+        gc.disable()  # learning makes many small objects and no cycles
         self._learn(list(set().union(*parts).difference(self._memo)))
+        gc.enable()
         ids = self._memo.__getitem__
         return [b"".join(map(ids, p)) + self._end for p in parts]
 
