@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of recurring templates; ``n_chars`` follows."""
     changed = F.size("dropped") > 0
-    rest = lines.dedup_lines(docs.select(COLUMNS))
+    rest = lines.dedup_lines_once(docs.select(COLUMNS))
     return rest.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 

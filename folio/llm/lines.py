@@ -7,7 +7,8 @@ document), else it is a variable field. The leaf's template needs constants at t
 fifths of its positions or more. A template without variable fields is a line that
 recurs as it is. Templates found in ``MIN_DOCS`` documents or more are dropped from all
 of them, with one exception: where over half of a document recurs, it is a copy as a
-whole, which is a matter for near-duplicate detection, and its lines stay.
+whole, which is a matter for near-duplicate detection, and its lines stay. That is op8's contract;
+the pipeline uses ``dedup_lines_once``, which makes no such exception for a mere half.
 
 Defined results: a null text counts as empty: one line without tokens; lines of under
 four tokens are never dropped; lines repeated within one document count once; rows that
@@ -24,6 +25,8 @@ from folio.llm.common import stored, text_or_empty
 
 LEADING = 3
 MIN_DOCS = 3
+#: Percent of two texts, by length, that must be shared for one to count as the other's copy.
+COPIED = 85
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -41,10 +44,10 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def recurring(df: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``leaf, key`` of the lines whose template recurs. ``lines`` is the stored table without texts."""
+    """``leaf, key, template`` of the lines whose template recurs. ``lines`` is the stored table without texts."""
     told = lines.where("leaf is not null")
     keys = stored(told.groupBy("leaf", "key").agg(F.count_distinct(F.struct("id", "h")).alias("docs"), F.first("n").alias("n")), "keys")
-    as_they_are = keys.where(F.col("docs") >= min_docs).select("leaf", "key")
+    as_they_are = keys.where(F.col("docs") >= min_docs).select("leaf", "key", F.col("key").alias("template"))
     varied = keys.where(F.col("docs") < min_docs)
     leaves = varied.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs))
     # each varied form once, with its text
@@ -56,7 +59,7 @@ def recurring(df: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Data
     equal = tokens.join(constant.select("leaf", "place", "token"), ["leaf", "place", "token"]).groupBy("leaf", "key").agg(F.count("*").alias("equal"), F.first("docs").alias("docs"))
     fitting = equal.join(templates, "leaf").where("equal = constants")
     enough = fitting.groupBy("leaf").agg(F.sum("docs").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("leaf")
-    return as_they_are.unionByName(fitting.join(enough, "leaf").select("leaf", "key"))
+    return as_they_are.unionByName(fitting.join(enough, "leaf").select("leaf", "key", F.col("leaf").alias("template")))
 
 
 def drops(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -70,6 +73,36 @@ def drops(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_doc
     return sums.select("id", "h", "n_lines", F.when(F.col("again") * 2 <= F.col("all"), F.col("at")).otherwise(F.array().cast("array<int>")).alias("dropped"))
 
 
+def drops_once(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """``h, n_lines, dropped`` for every distinct text: recurring lines go, whatever their share.
+
+    Each distinct text has one vote, however many rows hold it. Where over half of a text
+    recurs, a template stays in one such text only (the one with the smallest id), and
+    not even there if it recurs without these texts. Only what near-duplicate detection
+    finds is left to it: texts that share ``COPIED`` percent of both with such an owner.
+    """
+    rows = _keyed(df, id_col, text_col)
+    firsts = rows.groupBy("h").agg(F.min("id").alias("first"))
+    texts = rows.withColumn("id", F.lit(None).cast("long"))
+    lines = stored(_lines(texts).drop("masked", "id").distinct(), "lines")
+    found = stored(recurring(texts, lines.withColumn("id", F.lit(None).cast("long")), min_docs), "recurring")
+    marked = lines.join(found, ["leaf", "key"], "left")
+    hit = F.col("template").isNotNull()
+    again = F.sum(F.when(hit, F.col("size")).otherwise(0))
+    sums = stored(marked.groupBy("h").agg(F.count("*").alias("n_lines"), F.sum("size").alias("all"), again.alias("again"), F.array_sort(F.collect_list(F.when(hit, F.col("at")))).alias("at")), "sums")
+    heavy = sums.where("2 * again > all").select("h", "all").join(firsts, "h")
+    hits = stored(lines.join(found, ["leaf", "key"]).select("h", "at", "size", "template").join(heavy, "h", "left"), "hits")
+    light = F.count_distinct(F.when(F.col("all").isNull(), F.col("h")))
+    owner = F.min(F.when(F.col("all").isNotNull(), F.struct("first", "h", "all")))
+    owners = hits.groupBy("template").agg((light + 1 >= min_docs).alias("everywhere"), owner.alias("owner"))
+    owned = stored(hits.where("all is not null").join(owners, "template").select("h", "at", "size", "all", "everywhere", F.col("owner.h").alias("by"), F.col("owner.all").alias("all_by")), "owned")
+    shared = owned.where("h != by").groupBy("h", "by").agg(F.sum("size").alias("both"), F.first("all").alias("all"), F.first("all_by").alias("all_by"))
+    copies = shared.where(f"100 * both >= {COPIED} * (all + all_by - both)").select("h").distinct().withColumn("copy", F.lit(True))
+    goes = F.col("everywhere") | ((F.col("h") != F.col("by")) & F.col("copy").isNull())
+    rest = owned.join(copies, "h", "left").groupBy("h").agg(F.array_sort(F.collect_list(F.when(goes, F.col("at")))).alias("some"))
+    return sums.join(rest, "h", "left").select("h", "n_lines", F.coalesce("some", "at").alias("dropped"))
+
+
 def without(text: Column, dropped: Column) -> Column:
     """The text without these lines."""
     rest = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(dropped, i))
@@ -82,3 +115,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     found = stored(drops(df, id_col, text_col, min_docs), "drops").select(F.col("id").alias("__id"), F.col("h").alias("__h2"), "n_lines", "dropped")
     both = made.join(found, made[id_col].eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__h2")), "left")
     return both.withColumn(text_col, without(F.col(text_col), F.col("dropped"))).drop("__h", "__h2", "__id")
+
+
+def dedup_lines_once(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """As ``dedup_lines``, by ``drops_once``."""
+    made = df.drop("n_lines", "dropped").withColumn("__h", F.xxhash64(text_or_empty(text_col)))
+    found = stored(drops_once(df, id_col, text_col, min_docs), "drops").withColumnRenamed("h", "__h")
+    return made.join(found, "__h", "left").withColumn(text_col, without(F.col(text_col), F.col("dropped"))).drop("__h")

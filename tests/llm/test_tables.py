@@ -228,6 +228,20 @@ def test_templates_generalise_variable_fields(spark):
     assert all(r.dropped == [1] for r in rows)
 
 
+def test_lines_recur_whatever_their_share(spark):
+    own = lambda k: " ".join(f"{chr(97 + k)}{x}" for x in "qwertyuiopasdfghjklzxcvbnmqwertyuiopasdfghjkl")
+    footer, passage = "all rights of this site are reserved", "a shared passage " + "with many words in every line " * 9
+    docs = [(k, own(k) + f"\n{footer}") for k in range(3)]
+    docs += [(10 + k, own(4) + f"\n{footer}") for k in range(3)]  # copies have one vote
+    docs += [(20 + k, f"{passage}\n{own(6 + k)}\n{footer}") for k in range(3)]  # mostly a shared passage
+    near = "\n".join(f"{w} line of a text that has near copies and nothing else {w}" for w in "one two three four five six seven eight nine ten".split())
+    docs += [(30 + k, f"{near}\nedit {chr(97 + k)}\n{footer}") for k in range(3)]
+    rows = {r.doc_id: r.text for r in lines.dedup_lines_once(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(rows[k] == own(k) for k in range(3)) and all(rows[10 + k] == own(4) for k in range(3))
+    assert [rows[20 + k] for k in range(3)] == [f"{passage}\n{own(6)}", own(7), own(8)]
+    assert [rows[30 + k] for k in range(3)] == [f"{near}\nedit {c}" for c in "abc"]  # left to near-duplicate detection
+
+
 # --- op10
 
 
