@@ -27,6 +27,8 @@ LEADING = 3
 MIN_DOCS = 3
 #: Percent of two texts, by length, that must be shared for one to count as the other's copy.
 COPIED = 85
+#: Tokens of the longest lines of which two are masked at a time.
+TWO_MASKS = 64
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -62,6 +64,38 @@ def recurring(df: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Data
     return as_they_are.unionByName(fitting.join(enough, "leaf").select("leaf", "key", F.col("leaf").alias("template")))
 
 
+def by_masks(df: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``leaf, key, template`` of the lines that are alike but for one or two tokens after the leading ones.
+
+    A template's support is the number of distinct texts that hold it, whatever else its leaf
+    holds. Its constants outnumber its variable fields after the leading tokens. Two
+    masked tokens leave one of three blocks whole: only lines that share a block are masked.
+    Two tokens are masked in lines of up to ``TWO_MASKS`` tokens, one in all.
+    """
+    keys = stored(lines.where(f"leaf is not null and n >= {LEADING + 3}").groupBy("leaf", "key").agg(F.count_distinct("h").alias("docs")), "mask-keys")
+    leaves = keys.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)).select("leaf")
+    forms = _lines(df).where("leaf is not null").join(leaves, "leaf").groupBy("leaf", "key").agg(F.first("masked").alias("masked")).join(keys, ["leaf", "key"])
+    codes = F.slice(F.transform(F.split("masked", " ", -1), lambda x, i: F.xxhash64(x, i)), F.lit(LEADING + 1), F.lit(2**31 - 1))
+    coded = stored(forms.select("leaf", "key", "docs", codes.alias("codes")), "mask-codes")
+    m = F.size("codes")
+    edge = lambda b: F.floor(m * b / 3).cast("int")
+    blocks = F.array(*(F.xxhash64("leaf", F.lit(b), F.slice("codes", edge(b) + 1, edge(b + 1) - edge(b))) for b in range(3)))
+    parts = stored(coded.select("leaf", "key", "docs", F.explode(blocks).alias("block")), "mask-blocks")
+    shared = parts.groupBy("block").agg(F.sum("docs").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)).select("block")
+    alike = parts.join(shared, "block").select("leaf", "key").distinct()
+    whole = F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    at = F.sequence(F.lit(0), m - 1)
+    one = F.transform("codes", lambda x, i: F.xxhash64("leaf", F.col("whole").bitwiseXOR(x), i))
+    pair = lambda i, j: F.xxhash64("leaf", F.col("whole").bitwiseXOR(F.get("codes", i)).bitwiseXOR(F.get("codes", j)), i, j)
+    two = F.flatten(F.transform(F.slice(at, 1, m - 1), lambda i: F.transform(F.sequence(i + 1, m - 1), lambda j: pair(i, j))))
+    masks = F.when((m >= 5) & (m <= TWO_MASKS - LEADING), F.concat(one, two)).otherwise(one)
+    masked = coded.join(alike, ["leaf", "key"]).withColumn("whole", whole).select("leaf", "key", "docs", F.explode(masks).alias("template"))
+    enough = masked.groupBy("template").agg(F.sum("docs").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)).select("template")
+    likely = stored(masked.join(enough, "template").select("leaf", "key", "template"), "masks")
+    texts = likely.join(lines.select("leaf", "key", "h").distinct(), ["leaf", "key"]).groupBy("template").agg(F.count_distinct("h").alias("texts")).where(F.col("texts") >= min_docs)
+    return likely.join(texts, "template").groupBy("leaf", "key").agg(F.max(F.struct("texts", "template")).alias("most")).select("leaf", "key", "most.template")
+
+
 def drops(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``id, h, n_lines, dropped``: the numbers (from 0) of the lines to drop, for every distinct row."""
     rows = _keyed(df, id_col, text_col)
@@ -85,7 +119,8 @@ def drops_once(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     firsts = rows.groupBy("h").agg(F.min("id").alias("first"))
     texts = rows.withColumn("id", F.lit(None).cast("long"))
     lines = stored(_lines(texts).drop("masked", "id").distinct(), "lines")
-    found = stored(recurring(texts, lines.withColumn("id", F.lit(None).cast("long")), min_docs), "recurring")
+    alike = recurring(texts, lines.withColumn("id", F.lit(None).cast("long")), min_docs).withColumn("by", F.lit(0)).unionByName(by_masks(texts, lines, min_docs).withColumn("by", F.lit(1)))
+    found = stored(alike.groupBy("leaf", "key").agg(F.min(F.struct("by", "template")).alias("first")).select("leaf", "key", "first.template"), "recurring")
     marked = lines.join(found, ["leaf", "key"], "left")
     hit = F.col("template").isNotNull()
     again = F.sum(F.when(hit, F.col("size")).otherwise(0))

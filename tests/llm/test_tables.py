@@ -242,6 +242,17 @@ def test_lines_recur_whatever_their_share(spark):
     assert [rows[30 + k] for k in range(3)] == [f"{near}\nedit {c}" for c in "abc"]  # left to near-duplicate detection
 
 
+def test_templates_do_not_depend_on_other_lines(spark):
+    own = lambda k: " ".join(f"{chr(97 + k)}{x}" for x in "qwertyuiopasdfghjklzxcvbnmqwertyuiopasdfghjkl")
+    names = "ann bob cid dan eve fay".split()
+    made = [f"Session opened for user {n} by the main server process" for n in names]
+    made += [f"Session opened for the {n} job with its {n} new files" for n in "red blue pink".split()]  # another template
+    made += [f"Session opened for {' '.join(own(9 + k).split()[:7])}" for k in range(8)]  # unrelated
+    docs = [(k, f"{own(k)}\n{line}") for k, line in enumerate(made)]
+    rows = {r.doc_id: r.dropped for r in lines.dedup_lines_once(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [rows[k] for k in range(len(made))] == [[1]] * 9 + [[]] * 8
+
+
 # --- op10
 
 
