@@ -18,10 +18,12 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import stored, text_or_empty
+from folio.llm.common import WS, stored, text_or_empty
 
 LEADING = 3
 MIN_DOCS = 3
@@ -41,11 +43,20 @@ def _lines(df: DataFrame) -> DataFrame:
     return masked.select("id", "h", "at", F.length("line").alias("size"), n.alias("n"), leaf.alias("leaf"), F.when(told, F.xxhash64("masked")).alias("key"), "masked")
 
 
+def _all_lines(df: DataFrame) -> DataFrame:
+    """As ``_lines``, with tokens split at all white space; short lines have a leaf of their own, blank ones none."""
+    rows = df.select("id", "h", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    masked = rows.withColumn("masked", F.trim(F.regexp_replace(F.regexp_replace("line", "[0-9]+", "#"), f"[{WS}]+", " ")))
+    n = F.when(F.col("masked") == "", 0).otherwise(F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1)
+    leaf = F.when(n > LEADING, F.xxhash64(n, F.substring_index("masked", " ", LEADING))).when(n > 0, F.xxhash64(n, "masked"))
+    return masked.select("id", "h", "at", F.length("line").alias("size"), n.alias("n"), leaf.alias("leaf"), F.when(n > 0, F.xxhash64("masked")).alias("key"), "masked")
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
 
 
-def recurring(df: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring(df: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, split: Callable[[DataFrame], DataFrame] = _lines) -> DataFrame:
     """``leaf, key, template`` of the lines whose template recurs. ``lines`` is the stored table without texts."""
     told = lines.where("leaf is not null")
     keys = stored(told.groupBy("leaf", "key").agg(F.count_distinct(F.struct("id", "h")).alias("docs"), F.first("n").alias("n")), "keys")
@@ -53,7 +64,7 @@ def recurring(df: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Data
     varied = keys.where(F.col("docs") < min_docs)
     leaves = varied.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs))
     # each varied form once, with its text
-    texts = _lines(df).where("leaf is not null").select("leaf", "key", "masked").join(leaves, "leaf").groupBy("leaf", "key").agg(F.first("masked").alias("masked"), F.first("total").alias("total"))
+    texts = split(df).where("leaf is not null").select("leaf", "key", "masked").join(leaves, "leaf").groupBy("leaf", "key").agg(F.first("masked").alias("masked"), F.first("total").alias("total"))
     forms = texts.join(varied, ["leaf", "key"])
     tokens = stored(forms.select("leaf", "key", "docs", "total", "n", F.posexplode(F.split("masked", " ", -1)).alias("place", "token")).withColumn("token", F.xxhash64("token")), "tokens")
     constant = stored(tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("with_token"), F.first("total").alias("total"), F.first("n").alias("n")).where("2 * with_token > total"), "constants")
@@ -74,7 +85,7 @@ def by_masks(df: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataF
     """
     keys = stored(lines.where(f"leaf is not null and n >= {LEADING + 3}").groupBy("leaf", "key").agg(F.count_distinct("h").alias("docs")), "mask-keys")
     leaves = keys.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)).select("leaf")
-    forms = _lines(df).where("leaf is not null").join(leaves, "leaf").groupBy("leaf", "key").agg(F.first("masked").alias("masked")).join(keys, ["leaf", "key"])
+    forms = _all_lines(df).where("leaf is not null").join(leaves, "leaf").groupBy("leaf", "key").agg(F.first("masked").alias("masked")).join(keys, ["leaf", "key"])
     codes = F.slice(F.transform(F.split("masked", " ", -1), lambda x, i: F.xxhash64(x, i)), F.lit(LEADING + 1), F.lit(2**31 - 1))
     coded = stored(forms.select("leaf", "key", "docs", codes.alias("codes")), "mask-codes")
     m = F.size("codes")
@@ -110,7 +121,8 @@ def drops(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_doc
 def drops_once(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``h, n_lines, dropped`` for every distinct text: recurring lines go, whatever their share.
 
-    Each distinct text has one vote, however many rows hold it. Where over half of a text
+    Lines of any number of tokens count, blank ones do not; tokens are split at all white
+    space. Each distinct text has one vote, however many rows hold it. Where over half of a text
     recurs, a template stays in one such text only (the one with the smallest id), and
     not even there if it recurs without these texts. Only what near-duplicate detection
     finds is left to it: texts that share ``COPIED`` percent of both with such an owner.
@@ -118,8 +130,8 @@ def drops_once(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     rows = _keyed(df, id_col, text_col)
     firsts = rows.groupBy("h").agg(F.min("id").alias("first"))
     texts = rows.withColumn("id", F.lit(None).cast("long"))
-    lines = stored(_lines(texts).drop("masked", "id").distinct(), "lines")
-    alike = recurring(texts, lines.withColumn("id", F.lit(None).cast("long")), min_docs).withColumn("by", F.lit(0)).unionByName(by_masks(texts, lines, min_docs).withColumn("by", F.lit(1)))
+    lines = stored(_all_lines(texts).drop("masked", "id").distinct(), "lines")
+    alike = recurring(texts, lines.withColumn("id", F.lit(None).cast("long")), min_docs, _all_lines).withColumn("by", F.lit(0)).unionByName(by_masks(texts, lines, min_docs).withColumn("by", F.lit(1)))
     found = stored(alike.groupBy("leaf", "key").agg(F.min(F.struct("by", "template")).alias("first")).select("leaf", "key", "first.template"), "recurring")
     marked = lines.join(found, ["leaf", "key"], "left")
     hit = F.col("template").isNotNull()

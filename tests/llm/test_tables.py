@@ -253,6 +253,15 @@ def test_templates_do_not_depend_on_other_lines(spark):
     assert [rows[k] for k in range(len(made))] == [[1]] * 9 + [[]] * 8
 
 
+def test_lines_recur_whatever_their_tokens(spark):
+    own = lambda k: " ".join(f"{chr(97 + k)}{x}" for x in "qwertyuiopasdfghjklzxcvbnmqwertyuiopasdfghjkl")
+    docs = [(k, f"{own(k)}\nAll rights reserved.\n\nname\tsize\tdate\tkind\n保留所有权利。\nitem {chr(97 + k)}\nSeen  by\t{chr(97 + k)}x at the gate today") for k in range(3)]
+    docs.append((9, "a\tb\n \n\nonly once"))
+    rows = {r.doc_id: r for r in lines.dedup_lines_once(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(rows[k].text.startswith(f"{own(k)}\n\nitem {chr(97 + k)}") for k in range(3))
+    assert rows[9].text == docs[-1][1] and rows[9].n_lines == 4
+
+
 # --- op10
 
 
