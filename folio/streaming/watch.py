@@ -9,17 +9,30 @@ from __future__ import annotations
 import fnmatch
 import os
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, mtime_ns long, content binary"
+#: Files of one task.
+FILES = 64
 
 
-class WatchReader(SimpleDataSourceStreamReader):
+@dataclass
+class Changed(InputPartition):
+    """Paths, with their modification times, that one task reads."""
+
+    files: list[tuple[str, int]]
+
+
+class WatchReader(DataSourceStreamReader):
+    """The driver looks at names and times only; contents are read by tasks."""
+
     def __init__(self, options: dict):
         self._folder, self._pattern = options["path"], options.get("pattern", "*")
+        self._latest: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
         return {}
@@ -35,21 +48,23 @@ class WatchReader(SimpleDataSourceStreamReader):
                     continue
         return found
 
-    def _rows(self, paths: list[str], times: dict[str, int]) -> Iterator[tuple]:
-        for path in paths:
+    def latestOffset(self) -> dict:
+        # files that are gone keep their last time
+        self._latest = {**self._latest, **self._times()}
+        return self._latest
+
+    def partitions(self, start: dict, end: dict) -> list[Changed]:
+        self._latest = {**start, **end, **self._latest}
+        changed = sorted((p, t) for p, t in end.items() if start.get(p) != t)
+        return [Changed(changed[at : at + FILES]) for at in range(0, len(changed), FILES)]
+
+    def read(self, partition: Changed) -> Iterator[tuple]:
+        for path, time in partition.files:
             try:
                 with open(path, "rb") as f:
-                    yield path, times[path], f.read()
+                    yield path, time, f.read()
             except OSError:
-                yield path, times[path], None
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = self._times()
-        changed = sorted(p for p, t in now.items() if start.get(p) != t)
-        return iter(list(self._rows(changed, now))), {**start, **now}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(list(self._rows(sorted(p for p, t in end.items() if start.get(p) != t), end)))
+                yield path, time, None
 
 
 class WatchSource(DataSource):
@@ -60,7 +75,7 @@ class WatchSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return WatchReader(self.options)
 
 
