@@ -144,14 +144,22 @@ FROM g c JOIN g r ON c.chosen_id = r.chosen_id AND c.rejected_id = r.rejected_id
 
 
 def _parts_sql() -> str:
-    """Rows of gap and match lengths per kind of part."""
-    quoted = {p.kind: p.pattern.replace("'", "''") for p in PARTS}
+    """Rows of gap and match lengths per kind of part.
+
+    Hosts are found in another way than in the library: whole runs first, then the host at a run's beginning.
+    """
+    quoted = {p.kind: p.pattern.replace("'", "''").replace("++", "+") for p in PARTS}
     found = []
     for place, p in enumerate(PARTS):
-        pattern = quoted[p.kind]
-        more = f" AND (regexp_matches(t, '{quoted['access']}') OR regexp_matches(t, '{quoted['id']}'))" if p.kind in ("key", "endpoint") else ""
+        pattern = r"[a-z0-9.@/-]+(?::[0-9]+)?" if p.kind == "host" else quoted[p.kind]
+        more = f" AND (regexp_matches(t, '{quoted['access']}') OR regexp_matches(t, '{quoted['id']}'))" if p.kind in ("key", "url", "host") else ""
+        keep, counts = "length(m[u.i])", f"length(v[u.i]) >= {p.least}"
+        if p.kind == "host":
+            name = r"regexp_extract(m[u.i], '^(?:[a-z0-9-]|\.[a-z0-9-])+')"
+            keep = rf"CASE WHEN regexp_matches(substr(m[u.i], length({name}) + 1), '^:[0-9]+$') THEN length(m[u.i]) ELSE length({name}) END"
+            counts = rf"regexp_matches({name}, '\.(amazonaws|internal|local|com|net|org|io)$')"
         found.append(
-            f"""SELECT rid, {place} AS place, u.i AS nth, length(g[u.i]) AS gap, length(m[u.i]) AS len, length(v[u.i]) >= {p.least} AS counts
+            f"""SELECT rid, {place} AS place, u.i AS nth, length(g[u.i]) AS gap, length(m[u.i]) AS len, {keep} AS keep, {counts} AS counts
   FROM (SELECT rid, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {p.group}) AS v
         FROM d WHERE regexp_matches(t, '{pattern}'){more}), unnest(range(1, len(m) + 1)) AS u(i)"""
         )
@@ -166,7 +174,7 @@ OP1 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({_parts_sql()}),
 e AS (SELECT *, sum(gap + len) OVER (PARTITION BY rid, place ORDER BY nth)::BIGINT AS fin FROM m),
-p AS (SELECT rid, place, fin - len AS start, fin, ['{"', '".join(p.kind for p in PARTS)}'][place + 1] || ':' || (fin - len) || ':' || fin AS span, place > 2 AS weak FROM e WHERE counts),
+p AS (SELECT rid, place, fin - len AS start, fin - len + keep AS fin, ['{"', '".join(p.kind for p in PARTS)}'][place + 1] || ':' || (fin - len) || ':' || (fin - len + keep) AS span, place > 2 AS weak FROM e WHERE counts),
 q AS (
   SELECT * FROM p WHERE NOT (place = 4 AND EXISTS (
     SELECT 1 FROM p s WHERE s.rid = p.rid AND s.place IN (0, 2) AND p.start < s.fin AND s.start < p.fin))),

@@ -3,14 +3,19 @@
 Each kind of part has a pattern. Positions come from splitting a text at its matches: a
 running sum over the lengths of gaps and matches gives code points. The kinds
 ``assign``, ``access`` and ``hex`` are reported wherever they stand. The kinds ``id``,
-``key`` and ``endpoint`` are weak: on their own they are mostly harmless. Within a scope
+``key``, ``url`` and ``host`` are weak: on their own they are mostly harmless. Within a scope
 (a stretch of ``REACH`` code points of one text) identifiers are interval-joined with
 secrets and endpoints, and a weak part is reported only where complementary parts
 co-occur: an identifier and a secret of which one is not weak, or, if both are weak,
 with an endpoint beside them.
 
+Every pattern is linear in a text's length and needs no recursion: repetitions are of
+single characters or possessive, and a run that can't match is looked at from its first
+character only. Very long texts are scanned whole like any others.
+
 Defined results: a null text counts as empty and has no parts; rows are told apart even
-if they repeat an id or are the same throughout; an empty table gives an empty result.
+if they repeat an id or are the same throughout; an empty table gives an empty result;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,8 +48,10 @@ ACCESS = Part("access", "identifier", False, r"AKIA[A-Z0-9]{14,}")
 HEX = Part("hex", "secret", False, r"[0-9a-f]{16,}")
 ID = Part("id", "identifier", True, r"""(?i)(client_?id|access_?key_?id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""")
 KEY = Part("key", "secret", True, r"[A-Za-z0-9+/_-]{32,}={0,2}")
-ENDPOINT = Part("endpoint", "endpoint", True, r"""https?://[^\x20\x09-\x0D"'<>]+|[a-z0-9-]+(\.[a-z0-9-]+)*\.(amazonaws|internal|local|com|net|org|io)(:[0-9]+)?""")
-PARTS = (ASSIGN, ACCESS, HEX, ID, KEY, ENDPOINT)
+URL = Part("url", "endpoint", True, r"""https?://[^\x20\x09-\x0D"'<>]++""")
+#: A host name that begins where a run of its characters (and of @ and /) begins.
+HOST = Part("host", "endpoint", True, r"(?<![a-z0-9.@/-])(?:[a-z0-9-]|\.(?=[a-z0-9-]))++(?<=\.(?:amazonaws|internal|local|com|net|org|io))(?::[0-9]++)?+")
+PARTS = (ASSIGN, ACCESS, HEX, ID, KEY, URL, HOST)
 
 
 def _matches(text: Column, place: int, part: Part, wanted: Column | None = None) -> Column:
@@ -64,7 +71,7 @@ def parts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     rows = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     text = F.col("text")
     has_id = text.rlike(ACCESS.pattern) | text.rlike(ID.pattern)
-    wanted: dict[Part, Column] = {KEY: has_id, ENDPOINT: has_id}
+    wanted: dict[Part, Column] = {KEY: has_id, URL: has_id, HOST: has_id}
     every = F.concat(*(_matches(text, k, p, wanted.get(p)) for k, p in enumerate(PARTS)))
     flat = rows.select("row", "doc_id", F.explode_outer(every).alias("m")).select("row", "doc_id", "m.*")
     upto = Window.partitionBy("row", "place").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
