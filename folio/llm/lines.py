@@ -1,25 +1,30 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
-Lines go down a tree of fixed depth: the number of tokens, then the first three tokens,
-with runs of digits masked. A leaf's lines are generalised: a position is constant
-if one token stands there in over half of the leaf's lines (each counted once per
-document), else it is a variable field. The leaf's template needs constants at three
-fifths of its positions or more. A template without variable fields is a line that
-recurs as it is. Templates found in ``MIN_DOCS`` documents or more are dropped from all
-of them, with one exception: where over half of a document recurs, it is a copy as a
-whole, which is a matter for near-duplicate detection, and its lines stay. That is op8's contract;
-the pipeline uses ``dedup_lines_once``, which makes no such exception for a mere half.
-
-Defined results: a null text counts as empty: one line without tokens; lines of under
-four tokens are never dropped; lines repeated within one document count once; rows that
-are the same in id and text count as one document and get the same result; an empty
-table gives an empty result.
+Lines go down a tree of fixed depth: the number of tokens (split at white space, runs of
+digits masked), then the first three tokens. In a leaf, lines are generalised to templates:
+
+* a line as it stands is a template without variable fields (the only one of lines of
+  under four tokens);
+* a token after the leading ones is constant if it stands at its place in ``MIN_DOCS``
+  texts of the leaf or more, else it is a variable field; the template needs constants at three
+  fifths of its places or more;
+* each token after the leading ones in turn is a variable field whatever stands there,
+  and all others are constant.
+
+A line may so belong to several templates, and a leaf holds as many as there are; what
+else stands in a leaf hides none of them. A template's support is the number of distinct
+texts that hold it (copies of a text have one vote). Lines of templates with a support of
+``MIN_DOCS`` or more are dropped from all texts, whatever their share of a text. With
+``one_vote_per_family``, near copies of an earlier text share its vote: see ``families``.
+
+Defined results: a null text counts as empty: one blank line; lines without a letter
+(blank ones, rules, brackets, numbers) are never dropped; lines repeated within one text count
+once; rows of equal text get the same result; a text of which all lines go is empty; an empty table
+gives an empty result; other columns pass through, those of the added names are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,127 +32,84 @@ from folio.llm.common import WS, stored, text_or_empty
 
 LEADING = 3
 MIN_DOCS = 3
-#: Percent of two texts, by length, that must be shared for one to count as the other's copy.
-COPIED = 85
-#: Tokens of the longest lines of which two are masked at a time.
-TWO_MASKS = 64
+#: Percent of two texts' lines, by length, that must be alike for one to share the other's vote.
+ALIKE = 85
 
 
-def _lines(df: DataFrame) -> DataFrame:
-    """``id, h, at, size, leaf, key, masked``: a row per line; leaf and key are null for short lines."""
-    rows = df.select("id", "h", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    masked = rows.withColumn("masked", F.regexp_replace("line", "[0-9]+", "#"))
+def _split(df: DataFrame) -> DataFrame:
+    """``h, id, at, size, n, lead, tail, key, masked``: a row per line of ``h, id, text`` rows; key is null for lines that can't recur."""
+    rows = df.select("h", "id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    masked = rows.withColumn("masked", F.trim(F.regexp_replace(F.regexp_replace("line", "[0-9]+", "#"), f"[{WS}]+", " ")))
+    told = F.col("masked").rlike(r"\p{L}")
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
-    told = n > LEADING
-    leaf = F.when(told, F.xxhash64(n, F.substring_index("masked", " ", LEADING)))
-    return masked.select("id", "h", "at", F.length("line").alias("size"), n.alias("n"), leaf.alias("leaf"), F.when(told, F.xxhash64("masked")).alias("key"), "masked")
+    ends = [F.when(told, F.xxhash64(F.substring_index("masked", " ", k))).alias(name) for name, k in (("lead", LEADING), ("tail", -LEADING))]
+    return masked.select("h", "id", "at", F.length("line").alias("size"), n.alias("n"), *ends, F.when(told, F.xxhash64("masked")).alias("key"), "masked")
 
 
-def _all_lines(df: DataFrame) -> DataFrame:
-    """As ``_lines``, with tokens split at all white space; short lines have a leaf of their own, blank ones none."""
-    rows = df.select("id", "h", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    masked = rows.withColumn("masked", F.trim(F.regexp_replace(F.regexp_replace("line", "[0-9]+", "#"), f"[{WS}]+", " ")))
-    n = F.when(F.col("masked") == "", 0).otherwise(F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1)
-    leaf = F.when(n > LEADING, F.xxhash64(n, F.substring_index("masked", " ", LEADING))).when(n > 0, F.xxhash64(n, "masked"))
-    return masked.select("id", "h", "at", F.length("line").alias("size"), n.alias("n"), leaf.alias("leaf"), F.when(n > 0, F.xxhash64("masked")).alias("key"), "masked")
+def _leaf() -> Column:
+    return F.xxhash64("n", "lead")
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-
-
-def recurring(df: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, split: Callable[[DataFrame], DataFrame] = _lines) -> DataFrame:
-    """``leaf, key, template`` of the lines whose template recurs. ``lines`` is the stored table without texts."""
-    told = lines.where("leaf is not null")
-    keys = stored(told.groupBy("leaf", "key").agg(F.count_distinct(F.struct("id", "h")).alias("docs"), F.first("n").alias("n")), "keys")
-    as_they_are = keys.where(F.col("docs") >= min_docs).select("leaf", "key", F.col("key").alias("template"))
-    varied = keys.where(F.col("docs") < min_docs)
-    leaves = varied.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs))
-    # each varied form once, with its text
-    texts = split(df).where("leaf is not null").select("leaf", "key", "masked").join(leaves, "leaf").groupBy("leaf", "key").agg(F.first("masked").alias("masked"), F.first("total").alias("total"))
-    forms = texts.join(varied, ["leaf", "key"])
-    tokens = stored(forms.select("leaf", "key", "docs", "total", "n", F.posexplode(F.split("masked", " ", -1)).alias("place", "token")).withColumn("token", F.xxhash64("token")), "tokens")
-    constant = stored(tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("with_token"), F.first("total").alias("total"), F.first("n").alias("n")).where("2 * with_token > total"), "constants")
-    templates = constant.groupBy("leaf", "n").agg(F.count("*").alias("constants")).where("5 * constants >= 3 * n")
-    equal = tokens.join(constant.select("leaf", "place", "token"), ["leaf", "place", "token"]).groupBy("leaf", "key").agg(F.count("*").alias("equal"), F.first("docs").alias("docs"))
-    fitting = equal.join(templates, "leaf").where("equal = constants")
-    enough = fitting.groupBy("leaf").agg(F.sum("docs").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("leaf")
-    return as_they_are.unionByName(fitting.join(enough, "leaf").select("leaf", "key", F.col("leaf").alias("template")))
-
-
-def by_masks(df: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``leaf, key, template`` of the lines that are alike but for one or two tokens after the leading ones.
-
-    A template's support is the number of distinct texts that hold it, whatever else its leaf
-    holds. Its constants outnumber its variable fields after the leading tokens. Two
-    masked tokens leave one of three blocks whole: only lines that share a block are masked.
-    Two tokens are masked in lines of up to ``TWO_MASKS`` tokens, one in all.
-    """
-    keys = stored(lines.where(f"leaf is not null and n >= {LEADING + 3}").groupBy("leaf", "key").agg(F.count_distinct("h").alias("docs")), "mask-keys")
-    leaves = keys.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)).select("leaf")
-    forms = _all_lines(df).where("leaf is not null").join(leaves, "leaf").groupBy("leaf", "key").agg(F.first("masked").alias("masked")).join(keys, ["leaf", "key"])
+    return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+
+
+def lines_of(rows: DataFrame, ends: bool = False) -> DataFrame:
+    """The lines that can recur, once for each distinct text ``h``, without their words; ``first`` is the text's smallest id."""
+    same = ["size", "n", "lead", "key", *(["tail"] if ends else [])]
+    once = _split(rows).where("key is not null").groupBy("h", "at").agg(F.min("id").alias("first"), *(F.first(c).alias(c) for c in same))
+    return once.withColumn("first", F.coalesce("first", "h"))
+
+
+def templates(rows: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``leaf, key, template``: for each form of a line the templates that may have enough support."""
+    forms = stored(lines.groupBy(_leaf().alias("leaf"), "key").agg(F.count_distinct("h").alias("texts"), F.min("h").alias("h"), F.first("n").alias("n")), "line-forms")
+    as_they_are = forms.where(F.col("texts") >= min_docs).select("leaf", "key", F.col("key").alias("template"))
+    crowded = forms.where(f"n > {LEADING}").groupBy("leaf").agg(F.sum("texts").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)).select("leaf")
+    # the words of each such form, from one text that holds it
+    wanted = forms.join(crowded, "leaf").select("h", "leaf", "key", "texts")
+    words = _split(rows).where(f"key is not null and n > {LEADING}").select("h", _leaf().alias("leaf"), "key", "masked")
     codes = F.slice(F.transform(F.split("masked", " ", -1), lambda x, i: F.xxhash64(x, i)), F.lit(LEADING + 1), F.lit(2**31 - 1))
-    coded = stored(forms.select("leaf", "key", "docs", codes.alias("codes")), "mask-codes")
-    m = F.size("codes")
-    edge = lambda b: F.floor(m * b / 3).cast("int")
-    blocks = F.array(*(F.xxhash64("leaf", F.lit(b), F.slice("codes", edge(b) + 1, edge(b + 1) - edge(b))) for b in range(3)))
-    parts = stored(coded.select("leaf", "key", "docs", F.explode(blocks).alias("block")), "mask-blocks")
-    shared = parts.groupBy("block").agg(F.sum("docs").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)).select("block")
-    alike = parts.join(shared, "block").select("leaf", "key").distinct()
+    coded = stored(words.join(wanted, ["h", "leaf", "key"]).groupBy("leaf", "key").agg(F.first("texts").alias("texts"), F.first("masked").alias("masked")).select("leaf", "key", "texts", codes.alias("codes")), "line-codes")
+
+    tokens = coded.select("leaf", "key", "texts", F.size("codes").alias("m"), F.explode("codes").alias("code"))
+    frequent = tokens.groupBy("leaf", "code").agg(F.sum("texts").alias("total")).where(F.col("total") >= min_docs).select("leaf", "code", F.col("code").alias("constant"))
+    by_tokens = tokens.join(frequent, ["leaf", "code"], "left").groupBy("leaf", "key").agg(F.first("texts").alias("texts"), F.first("m").alias("m"), F.count("constant").alias("constants"), F.coalesce(F.bit_xor("constant"), F.lit(0)).alias("pattern"))
+    by_tokens = by_tokens.where(f"5 * (constants + {LEADING}) >= 3 * (m + {LEADING})").select("leaf", "key", "texts", F.xxhash64("leaf", F.lit(-1), "constants", "pattern").alias("template"))
     whole = F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    at = F.sequence(F.lit(0), m - 1)
-    one = F.transform("codes", lambda x, i: F.xxhash64("leaf", F.col("whole").bitwiseXOR(x), i))
-    pair = lambda i, j: F.xxhash64("leaf", F.col("whole").bitwiseXOR(F.get("codes", i)).bitwiseXOR(F.get("codes", j)), i, j)
-    two = F.flatten(F.transform(F.slice(at, 1, m - 1), lambda i: F.transform(F.sequence(i + 1, m - 1), lambda j: pair(i, j))))
-    masks = F.when((m >= 5) & (m <= TWO_MASKS - LEADING), F.concat(one, two)).otherwise(one)
-    masked = coded.join(alike, ["leaf", "key"]).withColumn("whole", whole).select("leaf", "key", "docs", F.explode(masks).alias("template"))
-    enough = masked.groupBy("template").agg(F.sum("docs").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)).select("template")
-    likely = stored(masked.join(enough, "template").select("leaf", "key", "template"), "masks")
-    texts = likely.join(lines.select("leaf", "key", "h").distinct(), ["leaf", "key"]).groupBy("template").agg(F.count_distinct("h").alias("texts")).where(F.col("texts") >= min_docs)
-    return likely.join(texts, "template").groupBy("leaf", "key").agg(F.max(F.struct("texts", "template")).alias("most")).select("leaf", "key", "most.template")
-
-
-def drops(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """``id, h, n_lines, dropped``: the numbers (from 0) of the lines to drop, for every distinct row."""
-    rows = _keyed(df, id_col, text_col)
-    lines = stored(_lines(rows).drop("masked").distinct(), "lines")
-    found = stored(recurring(rows, lines, min_docs), "recurring").withColumn("hit", F.lit(True))
-    marked = lines.join(found, ["leaf", "key"], "left")
-    hit = F.col("hit").isNotNull()
-    sums = marked.groupBy("id", "h").agg(F.count("*").alias("n_lines"), F.sum("size").alias("all"), F.sum(F.when(hit, F.col("size")).otherwise(0)).alias("again"), F.array_sort(F.collect_list(F.when(hit, F.col("at")))).alias("at"))
-    return sums.select("id", "h", "n_lines", F.when(F.col("again") * 2 <= F.col("all"), F.col("at")).otherwise(F.array().cast("array<int>")).alias("dropped"))
-
-
-def drops_once(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """``h, n_lines, dropped`` for every distinct text: recurring lines go, whatever their share.
-
-    Lines of any number of tokens count, blank ones do not; tokens are split at all white
-    space. Each distinct text has one vote, however many rows hold it. Where over half of a text
-    recurs, a template stays in one such text only (the one with the smallest id), and
-    not even there if it recurs without these texts. Only what near-duplicate detection
-    finds is left to it: texts that share ``COPIED`` percent of both with such an owner.
+    one_field = F.transform("codes", lambda x, i: F.xxhash64("leaf", i, F.col("whole").bitwiseXOR(x)))
+    by_field = coded.withColumn("whole", whole).select("leaf", "key", "texts", F.explode(one_field).alias("template"))
+    every = by_tokens.unionByName(by_field)
+    enough = every.groupBy("template").agg(F.sum("texts").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)).select("template")
+    return as_they_are.unionByName(every.join(enough, "template").select("leaf", "key", "template"))
+
+
+def families(lines: DataFrame) -> DataFrame:
+    """``h, family`` of the texts that are near copies of an earlier one, whose id is the family's name.
+
+    A line belongs to the text with the smallest id that has a line with the same leading or the
+    same last three tokens, so a few edited words leave it there. A text joins the family of
+    an earlier one if ``ALIKE`` percent of both, by length, are such lines. Boilerplate does not make
+    a family: it has to be nearly all of both texts.
     """
+    marks = lines.select("h", "first", "at", "size", F.explode(F.array(F.xxhash64(F.lit(0), "lead"), F.xxhash64(F.lit(1), "tail"))).alias("mark"))
+    owners = marks.groupBy("mark").agg(F.min("first").alias("family"), F.max("first").alias("last")).where("family != last").select("mark", "family")
+    owned = marks.join(owners, "mark").where("family != first").groupBy("h", "family", "at").agg(F.first("size").alias("size")).groupBy("h", "family").agg(F.sum("size").alias("both"))
+    sizes = stored(lines.groupBy("h").agg(F.min("first").alias("first"), F.sum("size").alias("all")), "line-sums")
+    of_family = sizes.groupBy("first").agg(F.max("all").alias("all_of_family")).withColumnRenamed("first", "family")
+    near = owned.join(sizes.select("h", "all"), "h").where("2 * both >= all").join(of_family, "family").where(f"100 * both >= {ALIKE} * (all + all_of_family - both)")
+    return near.groupBy("h").agg(F.min("family").alias("family"))
+
+
+def drops(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, one_vote_per_family: bool = False) -> DataFrame:
+    """``h, dropped``: for each distinct text that loses lines their numbers, from 0."""
     rows = _keyed(df, id_col, text_col)
-    firsts = rows.groupBy("h").agg(F.min("id").alias("first"))
-    texts = rows.withColumn("id", F.lit(None).cast("long"))
-    lines = stored(_all_lines(texts).drop("masked", "id").distinct(), "lines")
-    alike = recurring(texts, lines.withColumn("id", F.lit(None).cast("long")), min_docs, _all_lines).withColumn("by", F.lit(0)).unionByName(by_masks(texts, lines, min_docs).withColumn("by", F.lit(1)))
-    found = stored(alike.groupBy("leaf", "key").agg(F.min(F.struct("by", "template")).alias("first")).select("leaf", "key", "first.template"), "recurring")
-    marked = lines.join(found, ["leaf", "key"], "left")
-    hit = F.col("template").isNotNull()
-    again = F.sum(F.when(hit, F.col("size")).otherwise(0))
-    sums = stored(marked.groupBy("h").agg(F.count("*").alias("n_lines"), F.sum("size").alias("all"), again.alias("again"), F.array_sort(F.collect_list(F.when(hit, F.col("at")))).alias("at")), "sums")
-    heavy = sums.where("2 * again > all").select("h", "all").join(firsts, "h")
-    hits = stored(lines.join(found, ["leaf", "key"]).select("h", "at", "size", "template").join(heavy, "h", "left"), "hits")
-    light = F.count_distinct(F.when(F.col("all").isNull(), F.col("h")))
-    owner = F.min(F.when(F.col("all").isNotNull(), F.struct("first", "h", "all")))
-    owners = hits.groupBy("template").agg((light + 1 >= min_docs).alias("everywhere"), owner.alias("owner"))
-    owned = stored(hits.where("all is not null").join(owners, "template").select("h", "at", "size", "all", "everywhere", F.col("owner.h").alias("by"), F.col("owner.all").alias("all_by")), "owned")
-    shared = owned.where("h != by").groupBy("h", "by").agg(F.sum("size").alias("both"), F.first("all").alias("all"), F.first("all_by").alias("all_by"))
-    copies = shared.where(f"100 * both >= {COPIED} * (all + all_by - both)").select("h").distinct().withColumn("copy", F.lit(True))
-    goes = F.col("everywhere") | ((F.col("h") != F.col("by")) & F.col("copy").isNull())
-    rest = owned.join(copies, "h", "left").groupBy("h").agg(F.array_sort(F.collect_list(F.when(goes, F.col("at")))).alias("some"))
-    return sums.join(rest, "h", "left").select("h", "n_lines", F.coalesce("some", "at").alias("dropped"))
+    lines = stored(lines_of(rows, one_vote_per_family), "lines")
+    found = stored(templates(rows, lines, min_docs), "templates")
+    mine = stored(lines.select("h", "first", "at", _leaf().alias("leaf"), "key").join(found, ["leaf", "key"]).select("h", "first", "at", "template"), "templated")
+    voters = mine.join(families(lines), "h", "left").withColumn("voter", F.coalesce("family", "first")) if one_vote_per_family else mine.withColumn("voter", F.col("h"))
+    recurring = voters.groupBy("template").agg(F.count_distinct("voter").alias("votes")).where(F.col("votes") >= min_docs).select("template")
+    return mine.join(recurring, "template").groupBy("h").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
 
 
 def without(text: Column, dropped: Column) -> Column:
@@ -156,16 +118,10 @@ def without(text: Column, dropped: Column) -> Column:
     return F.when(F.size(dropped) == 0, text).otherwise(F.array_join(rest, "\n"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, one_vote_per_family: bool = False) -> DataFrame:
     """The rows with their text, where lines were dropped, replaced; adds ``n_lines`` and ``dropped``."""
     made = df.drop("n_lines", "dropped").withColumn("__h", F.xxhash64(text_or_empty(text_col)))
-    found = stored(drops(df, id_col, text_col, min_docs), "drops").select(F.col("id").alias("__id"), F.col("h").alias("__h2"), "n_lines", "dropped")
-    both = made.join(found, made[id_col].eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__h2")), "left")
-    return both.withColumn(text_col, without(F.col(text_col), F.col("dropped"))).drop("__h", "__h2", "__id")
-
-
-def dedup_lines_once(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """As ``dedup_lines``, by ``drops_once``."""
-    made = df.drop("n_lines", "dropped").withColumn("__h", F.xxhash64(text_or_empty(text_col)))
-    found = stored(drops_once(df, id_col, text_col, min_docs), "drops").withColumnRenamed("h", "__h")
-    return made.join(found, "__h", "left").withColumn(text_col, without(F.col(text_col), F.col("dropped"))).drop("__h")
+    found = stored(drops(df, id_col, text_col, min_docs, one_vote_per_family), "drops").withColumnRenamed("h", "__h")
+    both = made.join(found, "__h", "left").drop("__h").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    n_lines = F.size(F.split(text_or_empty(text_col), "\n", -1)).cast("long")
+    return both.withColumn("n_lines", n_lines).withColumn(text_col, without(F.col(text_col), F.col("dropped"))).select(*(c for c in df.columns if c not in ("n_lines", "dropped")), "n_lines", "dropped")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from folio.llm.lines import LEADING, MIN_DOCS
 from folio.llm.secrets import PARTS, REACH
 
 OP9 = r"""
@@ -202,29 +201,34 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN a USING (rid)
 """
 
-OP8 = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id AS id, coalesce(text, '') AS t FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
-l AS (SELECT rid, u.i AS pos, string_split(t, chr(10))[u.i] AS line FROM d, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS u(i)),
-k AS (SELECT *, length(line) AS size, regexp_replace(line, '[0-9]+', '#', 'g') AS masked FROM l),
-x AS (SELECT *, string_split(masked, ' ') AS tokens, len(string_split(masked, ' ')) AS n FROM k),
-y AS (SELECT *, n || ':' || array_to_string(tokens[1:{LEADING}], ' ') AS leaf FROM x),
-f AS (SELECT leaf, masked, any_value(n) AS n, count(DISTINCT rid) AS docs FROM y WHERE n > {LEADING} GROUP BY 1, 2),
-v AS (SELECT *, count(*) OVER (PARTITION BY leaf) AS forms, sum(docs) OVER (PARTITION BY leaf) AS total FROM f WHERE docs < {MIN_DOCS}),
-tok AS (SELECT leaf, masked, docs, total, n, u.i AS place, string_split(masked, ' ')[u.i] AS token FROM v, unnest(range(1, n + 1)) AS u(i) WHERE forms > 1 AND total >= {MIN_DOCS}),
-con AS (SELECT leaf, place, token, any_value(n) AS n FROM tok GROUP BY 1, 2, 3 HAVING 2 * sum(docs) > any_value(total)),
-tem AS (SELECT leaf, count(*) AS constants FROM con GROUP BY leaf HAVING 5 * count(*) >= 3 * any_value(n)),
-eq AS (SELECT tok.leaf, tok.masked, count(*) AS equal, any_value(docs) AS docs FROM tok JOIN con USING (leaf, place, token) GROUP BY 1, 2),
-fit AS (SELECT leaf, masked, docs, sum(docs) OVER (PARTITION BY leaf) AS n_docs FROM eq JOIN tem USING (leaf) WHERE equal = constants),
-hit AS (SELECT leaf, masked FROM f WHERE docs >= {MIN_DOCS} UNION SELECT leaf, masked FROM fit WHERE n_docs >= {MIN_DOCS}),
-r AS (SELECT y.*, hit.leaf IS NOT NULL AS again FROM y LEFT JOIN hit ON hit.leaf = y.leaf AND hit.masked = y.masked AND y.n > {LEADING}),
-g AS (SELECT *, 2 * sum(CASE WHEN again THEN size ELSE 0 END) OVER (PARTITION BY rid) <= sum(size) OVER (PARTITION BY rid) AS few FROM r),
+OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS tid, t FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents)),
+l AS (SELECT tid, u.i AS pos, string_split(t, chr(10))[u.i] AS line FROM d, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS u(i)),
+k AS (SELECT *, trim(regexp_replace(regexp_replace(line, '[0-9]+', '#', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS form FROM l),
+y AS (
+  SELECT tid, pos, form, string_split(form, ' ') AS tokens, len(string_split(form, ' ')) AS n,
+         len(string_split(form, ' ')) || ':' || array_to_string(string_split(form, ' ')[1:3], ' ') AS leaf
+  FROM k WHERE regexp_matches(form, '\p{L}')),
+f AS (SELECT leaf, form, any_value(tokens) AS tokens, any_value(n) AS n, count(DISTINCT tid) AS texts FROM y GROUP BY 1, 2),
+tok AS (SELECT leaf, form, texts, n, u.i AS place, tokens[u.i] AS token FROM f, unnest(range(4, n + 1)) AS u(i)),
+often AS (SELECT leaf, place, token FROM tok GROUP BY 1, 2, 3 HAVING sum(texts) >= 3),
+pattern AS (
+  SELECT leaf, form, any_value(n) AS n, count(often.token) AS constants, string_agg(coalesce(often.token, '\n'), ' ' ORDER BY place) AS words
+  FROM tok LEFT JOIN often USING (leaf, place, token) GROUP BY 1, 2),
+template AS (
+  SELECT leaf, form, 'line' AS kind, form AS words FROM f
+  UNION ALL SELECT leaf, form, 'tokens', words FROM pattern WHERE 5 * (constants + 3) >= 3 * n
+  UNION ALL SELECT leaf, form, 'field ' || u.i, array_to_string(tokens[4:u.i - 1] || tokens[u.i + 1:], ' ') FROM f, unnest(range(4, n + 1)) AS u(i)),
+recurring AS (SELECT leaf, kind, words FROM template JOIN y USING (leaf, form) GROUP BY 1, 2, 3 HAVING count(DISTINCT tid) >= 3),
+gone AS (SELECT DISTINCT leaf, form FROM template JOIN recurring USING (leaf, kind, words)),
+r AS (SELECT k.tid, k.pos, k.line, gone.form IS NOT NULL AS gone FROM k LEFT JOIN y USING (tid, pos) LEFT JOIN gone ON gone.leaf = y.leaf AND gone.form = y.form),
 o AS (
-  SELECT rid, count(*) AS n_lines, count(*) FILTER (again AND few) AS n_dropped,
-         coalesce(string_agg((pos - 1)::VARCHAR, ',' ORDER BY pos) FILTER (again AND few), '') AS dropped,
-         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (again AND few)), '') AS rest
-  FROM g GROUP BY rid)
+  SELECT tid, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+         coalesce(string_agg((pos - 1)::VARCHAR, ',' ORDER BY pos) FILTER (gone), '') AS dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS rest
+  FROM r GROUP BY tid)
 SELECT doc_id, n_lines, n_dropped, dropped, sha256(rest) AS text_sha256
-FROM documents JOIN d ON d.id IS NOT DISTINCT FROM doc_id AND d.t = coalesce(text, '') JOIN o USING (rid)
+FROM documents JOIN d ON d.t = coalesce(text, '') JOIN o USING (tid)
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_secret_scan": OP1, "op8_line_templates": OP8, "op3_preferences": OP3, "op5_mix_sources": OP5, "op7_top_k": OP7, "op9_quality_rules": OP9, "op10_minhash": OP10}
