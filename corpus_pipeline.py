@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import bpe, lines, minhash, mixing, quality
-from folio.llm.common import documents, stored, text_or_empty
+from folio.llm.common import WS, documents, stored, text_or_empty
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -29,10 +29,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of recurring templates; ``n_chars`` follows."""
+    """The documents without the lines of recurring templates; ``n_chars`` follows.
+
+    Near copies share a vote, since the next stage is to find them whole. A document of
+    which no word is left goes.
+    """
     changed = F.size("dropped") > 0
-    rest = lines.dedup_lines_once(docs.select(COLUMNS))
-    return rest.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+    rest = lines.dedup_lines(docs.select(COLUMNS), one_vote_per_family=True)
+    left = rest.where(~changed | F.col("text").rlike(f"[^{WS}]"))
+    return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that are the same in id and text count as one document, also without words.
     """
     keyed = docs.select(COLUMNS).withColumn("__h", F.xxhash64(text_or_empty()))
-    found = minhash.near_duplicates(keyed, carry=("__h",)).where("kept")
+    found = minhash.near_duplicates(keyed, percent=80, carry=("__h",)).where("kept")
     firsts = found.where("cluster is not null").groupBy("cluster").agg(F.min(F.struct("doc_id", "__h")).alias("k")).select("k.*")
     keep = firsts.unionByName(found.where("cluster is null").select("doc_id", "__h"))
     name = F.coalesce("doc_id", F.lit(-(2**63))).alias("__id")
