@@ -1,358 +1,401 @@
 """Language-model scoring by Katz backoff.
 
-Tokens are the words of a text in lower case, then one end. Training tokens give exact
-counts of all words. The (up to) ``CLASSES`` - 2 most frequent words, the end and *all other words
-together* are the classes of a bigram model:
-
-* ``P(w | h) = d_r c(h, w) / c(h)`` for pairs seen r times in training, with Good-Turing
-  discounts d_r for r <= 5;
-* ``P(w | h) = a(h) P(w)`` for others, where a(h) is what the seen pairs leave over,
-  divided by the P of all words not seen after h: sums over w are exactly 1;
-* ``P(w)`` is the share in training tokens, with the Good-Turing mass of unseen words
-  (words seen once / all) added to the class of other words;
-* a word of that class has its smoothed share of it, with a slot for unseen words.
-
-What stays whole on one machine is bounded: the class table (65,536 rows) and the
-table of ``FREQUENT`` words. Counts of all words and pairs live in tables that are
-partitioned by word and by a hash of the pair. Texts meet the pair table bucket by
-bucket: each chunk of texts sends its distinct (pair, text) combinations as packed
-arrays, so a frequent pair is sent once per text.
+Tokens are the words of a text in lower case, then one end. The model of order k is
+
+* ``P_k(w | h) = d_r c(h, w) / c(h)`` for n-grams seen r times in training, and
+* ``P_k(w | h) = a(h) P_{k-1}(w | h')`` for others, with h' the history without its first word,
+
+where d_r are Good-Turing discounts of that order and a(h) is what the seen n-grams leave over,
+divided by the ``P_{k-1}`` of all words not seen after h: sums over w are exactly 1. P_0
+is even over the training words and one unknown word. Before a text's first word stand ends.
+All words and n-grams count as they are; none is merged, cut off or left out.
+
+Words are 64-bit hashes, histories too. Orders follow each other. In each, tasks send
+the distinct n-grams of a chunk of texts, with their counts and the P of the order below,
+to buckets by history; a bucket adds up counts and keeps the n-grams and who asked for them as
+one row of a stored table. From all rows come the counts of counts and so the discounts; then
+each row is turned into probabilities, which go back to the chunks. The bytes sent grow with
+the n-grams, not with the number of buckets. Histories with over ``N / SPLIT`` of the tokens (and at most
+``2 * SPLIT`` in all) are dealt to all buckets by the whole n-gram; only their sums are
+gathered. Memory is that of a chunk or a bucket of some million n-grams.
 
 Defined results: a null text counts as empty (one end token); a null ``doc_id`` counts
 as an empty id where it is hashed; repeated rows are scored one by one and each is
 learnt from; without training texts base probabilities are 1 and the model knows the
-end and unseen words only; an empty table gives an empty result.
+unknown word only (score 0); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import per_worker, stored
+from folio.llm.common import stored
 
-#: Classes of the bigram model; a pair then fits 32 bits.
-CLASSES = 1 << 16
-OTHER, END = CLASSES - 2, CLASSES - 1
-#: Words whose counts each worker holds, at most; the rest is looked up by a join.
-FREQUENT = 1 << 18
-#: Counts up to which Good-Turing discounts apply.
-TOP = 5
-#: Tokens of a chunk of texts.
-CHUNK = 2_000_000
+#: Words of the longest n-grams, unless the caller says otherwise.
+ORDER = 2
+#: Counts up to which Good-Turing discounts apply, and up to which counts of counts are gathered for their fit.
+TOP, FITTED = 5, 64
+#: Tokens of a chunk of texts, and n-grams of a bucket, about.
+CHUNK, BUCKET = 1_000_000, 1_000_000
+#: Histories with more than this part of all tokens are dealt to all buckets.
+SPLIT = 500
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
+SENT = "bucket int, chunk long, h binary, w binary, n binary, p binary"
+KEPT = "bucket int, h binary, w binary, c binary, p binary, asked array<struct<chunk:long,at:binary>>, seen array<long>, types long, hot array<struct<h:long,sums:array<double>>>"
+ANSWERS = "level int, bucket int, chunk long, values binary"
 
-def tokens_of(raw: bytes) -> list[bytes]:
-    """Words without the end; of bytes, lower() and split() know A-Z and the ASCII spaces only."""
-    return raw.lower().split()
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * MIX
+    return x ^ (x >> np.uint64(29))
 
-def raws(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    return pc.fill_null(batch.column(name), "").cast(pa.binary()).to_pylist()
-
-
-def word_counts(training: DataFrame) -> DataFrame:
-    """``word, c`` of all training tokens; the empty word is the end."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            words = pa.array(list(counts), pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-
-        counts: Counter[bytes] = Counter()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                for raw in raws(whole.slice(at, 256)):
-                    counts.update(tokens_of(raw))
-                    counts[b""] += 1
-                if len(counts) > 300_000:
-                    yield flush()
-                    counts.clear()
-        if counts:
-            yield flush()
 
-    return training.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def packed(x: np.ndarray, kind: str, rising: bool = False) -> bytes:
+    """Byte planes (of the differences, where a sequence rises), compressed; doubles as they are, since few differ."""
+    import zstandard
 
+    x = x.astype(kind)
+    x = np.diff(x, prepend=np.zeros(1, kind)) if rising else x
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes() if kind == "<f8" else x.view(np.uint8).reshape(len(x), -1).T.tobytes())
 
-@dataclass
-class Unigrams:
-    """Bounded facts about training words."""
-
-    words: list[str]
-    counts: np.ndarray
-    n: int
-    v: int
-    once: int
-    end: int
-
-    def __post_init__(self) -> None:
-        known = self.counts[:OTHER]
-        self.other_c = self.n - self.end - int(known.sum())
-        self.other_v = max(0, self.v - (self.end > 0) - len(known))
-        mass = np.zeros(CLASSES)
-        mass[: len(known)] = known
-        mass[OTHER], mass[END] = self.other_c + max(1, self.once), max(1, self.end)
-        self.p = mass / mass.sum()
-
-    def log_base(self, c):
-        return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
-
-    def log_other(self, c):
-        """Of a word with count c within the class of other words."""
-        return np.log10((c + 0.1) / (self.other_c + 0.1 * (self.other_v + 1)))
-
-
-def unigrams(counts: DataFrame) -> Unigrams:
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.sum(F.when(F.col("word") == "", F.col("c"))).alias("end")).first()
-    # the smallest count whose words, with all more frequent ones, are few enough: no sort of all words
-    words = counts.where("word != ''")
-    upto = F.sum("n").over(Window.orderBy(F.desc("c")))
-    least = words.groupBy("c").agg(F.count("*").alias("n")).withColumn("upto", upto).where(F.col("upto") <= FREQUENT).agg(F.min("c")).first()[0]
-    top = words.where(F.lit(False) if least is None else F.col("c") >= least).toArrow()
-    in_order = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1].encode()))
-    return Unigrams([w for _, w in in_order], np.array([c for c, _ in in_order], np.int64), total.n or 0, total.v, total.once, total.end or 0)
-
-
-def encoded(docs: DataFrame, uni: Unigrams) -> DataFrame:
-    """Per text: ``codes`` (classes as 16-bit numbers, with the end), sums over frequent words, and its rarer words."""
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, other double, codes binary, rare array<struct<word:string,n:int>>"
-    types = [pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))]
-    shared, run_id = docs.sparkSession.sparkContext.broadcast(uni), uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        facts = shared.value
-        place = per_worker("frequent words", run_id, lambda: {w.encode(): k for k, w in enumerate(facts.words)})
-        rare_code = len(facts.words)
-        base = np.append(facts.log_base(facts.counts), 0.0)
-        other = np.append(facts.log_other(facts.counts), 0.0)
-        other[: min(OTHER, rare_code)] = 0.0
-        end_base, end_known = float(facts.log_base(facts.end)), int(facts.end > 0)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                rows = []
-                for raw in raws(batch):
-                    words = tokens_of(raw)
-                    codes = np.fromiter((place.get(w, rare_code) for w in words), np.int64, len(words))
-                    rare = Counter(words[k] for k in np.flatnonzero(codes == rare_code))
-                    classes = np.append(np.minimum(codes, OTHER), END)
-                    classes[:-1][codes == rare_code] = OTHER
-                    n_rare = sum(rare.values())
-                    rows.append((len(words) - n_rare + end_known, float(base[codes].sum()) + end_base, float(other[codes].sum()), classes.astype("<u2").tobytes(), [{"word": w.decode(), "n": n} for w, n in rare.items()]))
-                made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
-                lengths = pa.array([len(r[3]) // 2 for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), lengths, *made], names=["doc_id", "held_out", "n_tokens", "known", "base", "other", "codes", "rare"])
+def unpacked(b: bytes, kind: str, rising: bool = False) -> np.ndarray:
+    import zstandard
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    if kind == "<f8":
+        return np.frombuffer(raw, kind)
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if rising else x
 
 
-def pairs_of(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """32-bit pairs of successive classes; an end comes before each text's first."""
-    before = np.roll(codes, 1)
-    before[np.concatenate([[0], ends[:-1]])] = END
-    return before.astype(np.uint32) << np.uint32(16) | codes.astype(np.uint32)
+def tokens_of(raw: bytes) -> list[bytes]:
+    """Words without the end; of bytes, lower() and split() know A-Z and the ASCII spaces only."""
+    return raw.lower().split()
 
 
-def bucket_of(pairs: np.ndarray, n: int) -> np.ndarray:
-    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(n)
+def word_hash(word: bytes) -> int:
+    import xxhash
 
+    return xxhash.xxh3_64_intdigest(word)
 
-def squeezed(x: np.ndarray, kind: str) -> bytes:
-    """Differences of a rising sequence, byte planes apart: what shuffle compression likes."""
-    return np.diff(x.astype(kind), prepend=np.zeros(1, kind)).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
+def encoded(docs: DataFrame) -> DataFrame:
+    """A row per chunk: ids and lengths of its texts, its distinct words as ``words``, and its tokens as places in them."""
+    schema = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, words binary, codes binary"
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
-def unsqueezed(b: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel(), dtype=kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth = TaskContext.get().partitionId(), 0
 
+        def flush() -> pa.RecordBatch:
+            words = np.array([word_hash(w) for w in place], np.uint64)
+            order = np.argsort(words)
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            row = [(part << 32) + nth, ids, held, lengths, packed(words[order], "<u8", True), packed(rank[np.concatenate(codes)], "<u4")]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["chunk", "doc_ids", "held", "lengths", "words", "codes"])
+
+        place: dict[bytes, int] = {}
+        ids, held, lengths, codes, n = [], [], [], [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                for raw in pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist():
+                    tokens = [*tokens_of(raw), b""]
+                    codes.append(np.array([place.setdefault(w, len(place)) for w in tokens], np.uint32))
+                    lengths.append(len(tokens))
+                    n += len(tokens)
+                ids += batch.column("doc_id").to_pylist()
+                held += batch.column("held_out").to_pylist()
+                if n >= CHUNK:
+                    yield flush()
+                    nth, n = nth + 1, 0
+                    place = {}
+                    ids, held, lengths, codes = [], [], [], []
+        if ids:
+            yield flush()
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``uids, codes, ends`` of about ``CHUNK`` tokens each."""
-    parts: list[bytes] = []
-    uids: list[int] = []
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            parts += batch.column("codes").to_pylist()
-            uids += batch.column("uid").to_pylist()
-            if sum(map(len, parts)) >= 2 * CHUNK:
-                yield np.array(uids), np.frombuffer(b"".join(parts), "<u2"), np.cumsum([len(p) // 2 for p in parts])
-                parts, uids = [], []
-    if parts:
-        yield np.array(uids), np.frombuffer(b"".join(parts), "<u2"), np.cumsum([len(p) // 2 for p in parts])
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def pair_table(texts: DataFrame, uni: Unigrams, n_buckets: int) -> DataFrame:
-    """The stored bigram table, a row per bucket: sorted ``pairs``, their ``counts``, and per history its sums.
+@dataclass
+class Level:
+    """What all tasks know of one order: bounded facts."""
+
+    k: int
+    n_buckets: int
+    #: Histories that are dealt to all buckets, sorted; and, once all is counted, their sums.
+    hot: np.ndarray
+    sums: np.ndarray = field(default_factory=lambda: np.zeros((0, TOP + 2)))
+    discounts: np.ndarray = field(default_factory=lambda: np.ones(TOP + 2))
+    #: Training tokens and words (the latter of order 1 only).
+    n: int = 0
+    v: int = 0
+
+
+def positions(row, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token of a chunk its hash and that of its history of k - 1 words; and where texts end."""
+    words = unpacked(row.words, "<u8", True)
+    tokens = words[unpacked(row.codes, "<u4")]
+    lengths = np.array(row.lengths, np.int64)
+    ends = np.cumsum(lengths)
+    start, here, end = np.repeat(ends - lengths, lengths), np.arange(len(tokens)), np.uint64(word_hash(b""))
+    h = np.full(len(tokens), k, np.uint64)
+    for back in range(k - 1, 0, -1):
+        h = mixed(h ^ np.where(here - back >= start, tokens[np.maximum(here - back, 0)], end))
+    return tokens, h, ends
+
+
+def learnt(row) -> np.ndarray:
+    """For each token of a chunk, whether it is one to learn from."""
+    return np.repeat(~np.array(row.held, bool), np.array(row.lengths, np.int64))
+
+
+class Grams:
+    """The distinct n-grams of a chunk, in the order of buckets, histories and words."""
+
+    def __init__(self, row, level: Level):
+        self.tokens, h, self.ends = positions(row, level.k)
+        gram = mixed(h ^ mixed(self.tokens))
+        _, first, self._of = np.unique(gram, return_index=True, return_inverse=True)
+        hot = level.hot[np.minimum(np.searchsorted(level.hot, h[first]), max(0, len(level.hot) - 1))] == h[first] if len(level.hot) else np.zeros(len(first), bool)
+        bucket = (np.where(hot, gram[first], mixed(h[first])) >> np.uint64(20)) % np.uint64(level.n_buckets)
+        w = (self.tokens[first] >> np.uint64(32)).astype(np.uint32)
+        order = np.lexsort((w, h[first], bucket))
+        self._order = order
+        self.first, self.h, self.w, self.bucket = first[order], h[first][order], w[order], bucket[order]
+        self.n = np.bincount(self._of, learnt(row), len(first)).astype(np.int64)[order]
+
+    def edges(self, n_buckets: int) -> np.ndarray:
+        return np.searchsorted(self.bucket, np.arange(n_buckets + 1, dtype=np.uint64))
+
+    def by_token(self, values: np.ndarray) -> np.ndarray:
+        """Values of the distinct n-grams, in their order here, for every token."""
+        back = np.empty(len(values), values.dtype)
+        back[self._order] = values
+        return back[self._of]
+
+    def messages(self, chunk: int, p: np.ndarray, n_buckets: int) -> list[tuple]:
+        edges, out = self.edges(n_buckets), []
+        for b in np.flatnonzero(np.diff(edges)):
+            own = slice(edges[b], edges[b + 1])
+            out.append((int(b), chunk, packed(self.h[own], "<u8", True), packed(self.w[own], "<u4"), packed(self.n[own], "<u4"), packed(p[own], "<f8")))
+        return out
+
+
+def first_messages(chunks: DataFrame, level: Level) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pandas().itertuples():
+                grams = Grams(row, level)
+                made = pd.DataFrame(grams.messages(row.chunk, np.zeros(len(grams.h)), level.n_buckets), columns=["bucket", "chunk", "h", "w", "n", "p"])
+                yield pa.RecordBatch.from_pandas(made.astype({"bucket": "int32"}), preserve_index=False)
 
-    ``n1`` to ``n6`` count the pairs seen so often; ``per_h`` holds for each history in the
-    bucket: its code, its count, the pairs seen 1 to 5 times and the P(w) of its pairs.
-    """
+    return chunks.mapInArrow(run, SENT)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, codes, ends in chunks(batches):
-            pairs, n = np.unique(pairs_of(codes, ends), return_counts=True)
-            bucket = bucket_of(pairs, n_buckets)
-            rows = []
-            for b in np.unique(bucket):
-                own = bucket == b
-                rows.append((int(b), squeezed(pairs[own], "<u4"), n[own].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "pairs", "n"])
 
-    p = texts.sparkSession.sparkContext.broadcast(uni.p)
-    seen = ", ".join(f"n{r} long" for r in range(1, TOP + 2))
-    columns = ["h", "c", *(f"t{r}" for r in range(1, TOP + 1)), "p"]
+def counted(messages: DataFrame, level: Level) -> DataFrame:
+    """The stored n-gram table of one order, a row per bucket."""
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        all_pairs = np.concatenate([unsqueezed(b, "<u4") for b in rows["pairs"]])
-        all_n = np.concatenate([np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel() for b in rows["n"]])
-        pairs, where = np.unique(all_pairs, return_inverse=True)
-        c = np.bincount(where, all_n).astype(np.int64)
-        h, back = np.unique(pairs >> np.uint32(16), return_inverse=True)
-        per = [h, np.bincount(back, c), *(np.bincount(back, c == r) for r in range(1, TOP + 1)), np.bincount(back, p.value[pairs & np.uint32(0xFFFF)])]
-        per_h = [dict(zip(columns, map(float, x), strict=True)) for x in zip(*per, strict=True)]
-        return pd.DataFrame([[key[0], squeezed(pairs, "<u4"), c.astype("<u4").tobytes(), *(int((c == r).sum()) for r in range(1, TOP + 2)), per_h]], columns=["bucket", "pairs", "counts", *(f"n{r}" for r in range(1, TOP + 2)), "per_h"])
-
-    sent = texts.where("not held_out").select("uid", "codes").mapInArrow(count, "bucket int, pairs binary, n binary")
-    per_h = ",".join(f"{c}:double" for c in columns)
-    return stored(sent.groupBy("bucket").applyInPandas(merge, f"bucket int, pairs binary, counts binary, {seen}, per_h array<struct<{per_h}>>"), "pairs")
-
+        sizes, parts = [], ([], [], [], [])
+        for r in rows.itertuples():
+            for to, x in zip(parts, (unpacked(r.h, "<u8", True), unpacked(r.w, "<u4"), unpacked(r.n, "<u4"), unpacked(r.p, "<f8")), strict=True):
+                to.append(x)
+            sizes.append(len(parts[0][-1]))
+        h, w, n, p = (np.concatenate(x) for x in parts)
+        order = np.lexsort((w, h))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        first = order[new]
+        c = np.bincount(of, n, len(first)).astype(np.int64)
+        h, w, p = h[first], w[first], p[first]
+        asked = [{"chunk": int(chunk), "at": packed(x, "<u4", True)} for chunk, x in zip(rows["chunk"], np.split(of, np.cumsum(sizes)[:-1]), strict=True)]
+        hot = []
+        for x in level.hot:
+            own = slice(*np.searchsorted(h, [x, x + np.uint64(1)]))
+            if own.stop > own.start:
+                hot.append({"h": int(x.astype(np.int64)), "sums": history_sums(np.zeros(own.stop - own.start, np.int64), c[own], p[own], 1)[0].tolist()})
+        seen = np.bincount(np.minimum(c, FITTED + 1), minlength=FITTED + 2)
+        return pd.DataFrame([(key[0], packed(h, "<u8", True), packed(w, "<u4"), packed(c, "<u8"), packed(p, "<f8"), asked, seen[: FITTED + 1].tolist(), int((c > 0).sum()), hot)], columns=["bucket", "h", "w", "c", "p", "asked", "seen", "types", "hot"])
+
+    return stored(messages.groupBy("bucket").applyInPandas(merge, KEPT), f"grams-{level.k}")
+
+
+def history_sums(of: np.ndarray, c: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
+    """Per history: its count, the n-grams seen 1 to ``TOP`` times, and the lower order's P of its seen words."""
+    return np.stack([np.bincount(of, c, n), *(np.bincount(of, c == r, n) for r in range(1, TOP + 1)), np.bincount(of, np.where(c > 0, p, 0.0), n)], axis=1)
+
+
+def discounts(seen: list[int]) -> np.ndarray:
+    """Katz's discounts of the counts 0 to TOP + 1, from the number of n-grams seen r times.
+
+    Good-Turing estimates need smooth counts of counts: each is spread over the gap to its
+    neighbours and a line is fitted to their logarithms. The slope is at most -1.1 (beyond -1
+    discounts would not be proper) and -2 where there are too few points for a line.
+    """
+    r = np.array([k for k in range(1, len(seen)) if seen[k] > 0], float)
+    slope = -2.0
+    if len(r) > 1:
+        before, after = np.append(0, r[:-1]), np.append(r[1:], 2 * r[-1] - r[-2])
+        z = np.array([seen[int(k)] for k in r]) / ((after - before) / 2)
+        slope = min(float(np.polyfit(np.log(r), np.log(z), 1, w=np.sqrt(z))[0]), -1.1)
+    of = lambda x: ((x + 1) / x) ** (slope + 1)  # noqa: E731  of r*/r
+    common = (TOP + 1) ** (slope + 1)
+    k = np.arange(1, TOP + 1)
+    return np.concatenate([[1.0], (of(k) - common) / (1 - common), [1.0]])
+
+
+def probabilities(of: np.ndarray, c: np.ndarray, p: np.ndarray, sums: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """P of n-grams with these histories (rows of ``sums``), counts, and P of the order below."""
+    total, lower = sums[:, 0], sums[:, -1]
+    kept = total - sum((1 - d[r]) * r * sums[:, r] for r in range(1, TOP + 1))
+    # where nothing is left over, one more count for what is unseen; that includes the unknown word always
+    by = np.where(kept > total * (1 - 1e-9), total + 1, total)
+    weight = np.where(total == 0, 1.0, (1 - kept / by) / np.maximum(1 - lower, 1e-12))
+    return np.where(c > 0, d[np.minimum(c, TOP + 1)] * c / by[of], weight[of] * p)
+
+
+def completed(table: DataFrame, level: Level, n: int) -> Level:
+    """The level with its discounts and the sums of its hot histories."""
+    seen = table.select(F.posexplode("seen").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
+    types = table.agg(F.sum("types")).first()[0] or 0
+    by_count = [0] * (FITTED + 2)
+    for row in seen:
+        by_count[row.r] = row.n
+    sums = table.select(F.explode("hot").alias("x")).select("x.h", F.posexplode("x.sums").alias("at", "v")).groupBy("h", "at").agg(F.sum("v").alias("v")).collect()
+    gathered = np.zeros((len(level.hot), TOP + 2))
+    for row in sums:
+        gathered[np.searchsorted(level.hot, np.array([row.h], np.int64).view(np.uint64)[0]), row.at] = row.v
+    if level.k == 1:
+        gathered[:, -1] = types / (types + 1)
+    return Level(level.k, level.n_buckets, level.hot, gathered, discounts(by_count[: FITTED + 1]), n, types)
+
+
+def answers(table: DataFrame, known: Level, kind: str) -> DataFrame:
+    """For every chunk and bucket the values that the chunk asked for: counts (of ``kind`` <u8), or P of this order."""
 
-@dataclass
-class Backoff:
-    """Discounts by count, and by history what its counts are divided by and its backoff weight."""
-
-    discounts: np.ndarray
-    divisor: np.ndarray
-    weight: np.ndarray
-
-
-def discounts(n: list[int]) -> np.ndarray:
-    """Good-Turing discounts of the counts 0 to TOP + 1, from n[r] pairs seen r times; (r - 0.5) / r where these are out of range."""
-    d = np.ones(TOP + 2)
-    plain = np.array([1.0, *((r - 0.5) / r for r in range(1, TOP + 1)), 1.0])
-    if min(n[1 : TOP + 2], default=0) <= 0:
-        return plain
-    common = (TOP + 1) * n[TOP + 1] / n[1]
-    for r in range(1, TOP + 1):
-        d[r] = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if common != 1 else 0
-    return d if ((d[1:-1] > 0) & (d[1:-1] < 1)).all() else plain
-
-
-def backoff(table: DataFrame) -> Backoff:
-    n = [0, *(x or 0 for x in table.agg(*(F.sum(f"n{r}") for r in range(1, TOP + 2))).first())]
-    d = discounts(n)
-    per_h = table.select(F.explode("per_h").alias("x")).select("x.*").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("c", *(f"t{r}" for r in range(1, TOP + 1)), "p"))).toArrow()
-    h = np.array(per_h.column("h").to_pylist(), np.int64)
-    c, p = (np.array(per_h.column(x).to_pylist()) for x in ("c", "p"))
-    kept = c - sum((1 - d[r]) * r * np.array(per_h.column(f"t{r}").to_pylist()) for r in range(1, TOP + 1))
-    divisor, weight = np.ones(CLASSES), np.ones(CLASSES)
-    nothing_left, all_seen = kept > c * (1 - 1e-9), 1 - p < 1e-12
-    by = np.where(all_seen, kept, np.where(nothing_left, c + 1, c))
-    divisor[h] = by
-    weight[h] = np.where(all_seen, 0.0, (1 - kept / by) / np.where(all_seen, 1.0, 1 - p))
-    return Backoff(d, divisor, weight)
-
-
-def log_probabilities(pairs: np.ndarray, c: np.ndarray, p: np.ndarray, model: Backoff) -> np.ndarray:
-    """log10 P(w | h) of pairs that training has seen c times: seen pairs by their own count, others by the lower order."""
-    h, w = pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
-    seen = model.discounts[np.minimum(c, TOP + 1)] * c / model.divisor[h]
-    return np.log10(np.where(c > 0, seen, model.weight[h] * p[w]))
-
-
-def pair_scores(texts: DataFrame, table: DataFrame, uni: Unigrams, model: Backoff, n_buckets: int) -> DataFrame:
-    """``uid, pair_score``: each text's sum of log10 P over its classes."""
-    shared = texts.sparkSession.sparkContext.broadcast((uni.p, model))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for nth, (uids, codes, ends) in enumerate(chunks(batches)):
-            pairs = pairs_of(codes, ends)
-            doc = np.repeat(np.arange(len(ends), dtype=np.uint64), np.diff(ends, prepend=0))
-            both, n = np.unique(pairs.astype(np.uint64) << np.uint64(32) | doc, return_counts=True)
-            pairs, doc = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            order = np.argsort(bucket := bucket_of(pairs, n_buckets), kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            for b in range(n_buckets):
-                own = order[edges[b] : edges[b + 1]]
-                if len(own):
-                    planes = [x[own].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (doc, n)]
-                    row = [[b], [(part << 24) + nth], [squeezed(uids, "<i8")], [squeezed(pairs[own], "<u4")], [planes[0]], [planes[1]]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "chunk", "uids", "pairs", "doc", "n"])
-
-    def plain(b: bytes) -> np.ndarray:
-        return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-    def look_up(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        p, weights = shared.value
-        have = unsqueezed(known["pairs"].iloc[0], "<u4") if len(known) else np.empty(0, np.uint32)
-        counts = np.append(np.frombuffer(known["counts"].iloc[0], "<u4") if len(known) else [], 0).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            c = unpacked(row["c"], "<u8").astype(np.int64)
+            if kind == "<u8":
+                values = c
+            else:
+                h = unpacked(row["h"], "<u8", True)
+                each, of = np.unique(h, return_inverse=True)
+                p = unpacked(row["p"], "<f8")
+                sums = history_sums(of, c, p, len(each))
+                hot = np.isin(each, known.hot)
+                sums[hot] = known.sums[np.searchsorted(known.hot, each[hot])]
+                values = probabilities(of, c, p, sums, known.discounts)
+            out = [(known.k, row["bucket"], a["chunk"], packed(values[unpacked(a["at"], "<u4", True)], kind)) for a in row["asked"]]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["level", "bucket", "chunk", "values"]).astype({"level": "int32", "bucket": "int32"}), preserve_index=False)
+
+    return table.mapInArrow(run, ANSWERS)
+
+
+def received(rows: pd.DataFrame, level: int, kind: str) -> np.ndarray:
+    own = rows[rows["level"] == level].sort_values("bucket")
+    return np.concatenate([unpacked(b, kind) for b in own["values"]])
+
+
+def word_probabilities(c: np.ndarray, level: Level) -> np.ndarray:
+    """P_1 of words with these counts, over an even P_0."""
+    even = np.full(len(c), 1 / (level.v + 1))
+    return probabilities(np.zeros(len(c), np.int64), c, even, level.sums, level.discounts)
+
+
+def next_messages(chunks: DataFrame, answered: DataFrame, before: Level, now: Level) -> DataFrame:
+    """What chunks send for the next order, from what they were told of the order below."""
+
+    def run(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for row in own.itertuples():
+            if before.k == 1:
+                p = word_probabilities(received(told, 1, "<u8").astype(np.int64), before)
+            else:
+                p = received(told, before.k, "<f8")
+            p = Grams(row, before).by_token(p)
+            grams = Grams(row, now)
+            out += grams.messages(row.chunk, p[grams.first], now.n_buckets)
+        return pd.DataFrame(out, columns=["bucket", "chunk", "h", "w", "n", "p"])
+
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(run, SENT)
+
+
+def scored(chunks: DataFrame, answered: DataFrame, first: Level, last: Level) -> DataFrame:
+    """The figures of each text, from the counts of its words and the P of its longest n-grams."""
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+    def run(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for row in asked.itertuples():
-            pairs = unsqueezed(row.pairs, "<u4")
-            at = np.searchsorted(have, pairs)
-            c = np.where(np.append(have, 0)[at] == pairs, counts[at], 0)
-            n_docs = len(row.uids) // 8
-            out.append((row.chunk, row.uids, np.bincount(plain(row.doc), plain(row.n) * log_probabilities(pairs, c, p, weights), n_docs).tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "uids", "sums"])
-
-    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(b) for b in rows.sort_values("sums")["sums"]], axis=0)
-        return pd.DataFrame({"uid": unsqueezed(rows["uids"].iloc[0], "<i8"), "pair_score": total})
-
-    asked = texts.select("uid", "codes").mapInArrow(send, "bucket int, chunk long, uids binary, pairs binary, doc binary, n binary")
-    known = table.select("bucket", "pairs", "counts")
-    sums = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(look_up, "chunk long, uids binary, sums binary")
-    return sums.groupBy("chunk").applyInPandas(add_up, "uid long, pair_score double")
-
-
-def rare_sums(texts: DataFrame, counts: DataFrame, uni: Unigrams) -> DataFrame:
-    """Sums over the words that are not among the frequent ones, joined with the whole count table."""
-    rare = texts.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.n").join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    base = F.log10((c + 0.1) / F.lit(uni.n + 0.1 * (uni.v + 1)))
-    other = F.log10((c + 0.1) / F.lit(uni.other_c + 0.1 * (uni.other_v + 1)))
-    return rare.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * base).alias("rare_base"), F.sum(F.col("n") * other).alias("rare_other"))
+        for row in own.itertuples():
+            grams = Grams(row, first)
+            counts = received(told, 1, "<u8").astype(np.int64)
+            c = grams.by_token(counts)
+            base = np.log10((c + 0.1) / (first.n + 0.1 * (first.v + 1)))
+            if last.k == 1:
+                p = grams.by_token(word_probabilities(counts, first))
+            else:
+                p = Grams(row, last).by_token(received(told, last.k, "<f4")).astype(float)
+            starts = np.append(0, grams.ends[:-1])
+            add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has an end, so none is empty
+            out.append(pd.DataFrame({"doc_id": pd.array(row.doc_ids, "Int64"), "held_out": row.held, "n_tokens": row.lengths, "n_known": add((c > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}))
+        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(run, schema)
+
+
+def hot_histories(chunks: DataFrame, n: int, k: int) -> np.ndarray:
+    """Histories with over ``n / SPLIT`` training tokens, and at most ``2 * SPLIT`` in all.
+
+    A chunk tells those with over a part of 4 * SPLIT of its own tokens. What it leaves out is at
+    most a quarter of the threshold in all, so hot ones have half of it among what is told.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pandas().itertuples():
+                own = learnt(row)
+                h, c = np.unique(positions(row, k)[1][own], return_counts=True)
+                many = 4 * SPLIT * c > own.sum()
+                yield pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64), pa.int64()), pa.array(c[many], pa.int64())], names=["h", "c"])
 
-def buckets_for(spark: SparkSession) -> int:
-    """Several buckets for each shuffle partition, so that tasks get even shares."""
-    return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    told = chunks.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") * 2 * SPLIT > n)
+    return np.sort(np.array([r.h for r in told.collect()], np.int64).view(np.uint64))
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Rows are held out from training if crc32 of their id, as text, is 0 modulo 10.
     """
     number = F.col(id_col).cast("long")
     docs = df.select(number.alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.crc32(F.coalesce(number.cast("string"), F.lit(""))) % 10 == 0).alias("held_out"))
-    counts = stored(word_counts(docs.where("not held_out")), "words")
-    uni = unigrams(counts)
-    texts = stored(encoded(docs, uni).withColumn("uid", F.monotonically_increasing_id()), "encoded")
-    n_buckets = buckets_for(df.sparkSession)
-    table = pair_table(texts, uni, n_buckets)
-    scores = pair_scores(texts, table, uni, backoff(table), n_buckets)
-    all_sums = texts.drop("codes", "rare").join(rare_sums(texts, counts, uni), "uid", "left").join(scores, "uid", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return all_sums.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        plus("known", "rare_known").cast("long").alias("n_known"),
-        F.lit(uni.n).cast("long").alias("train_tokens"),
-        plus("base", "rare_base").alias("base_score"),
-        (F.col("pair_score") + plus("other", "rare_other")).alias("score"),
-    )
+    chunks = stored(encoded(docs), "chunks")
+    each = chunks.select(F.explode(F.arrays_zip("held", "lengths")).alias("x")).agg(F.sum("x.lengths").alias("tokens"), F.sum(F.when(~F.col("x.held"), F.col("x.lengths"))).alias("n")).first()
+    n, n_buckets = each.n or 0, max(16, -(-(each.tokens or 0) // BUCKET))
+    words = level = Level(1, n_buckets, np.array([1], np.uint64))  # the one empty history is dealt to all buckets
+    table = counted(first_messages(chunks, level), level)
+    words = level = completed(table, level, n)
+    counts = answered = answers(table, level, "<u8")
+    for k in range(2, order + 1):
+        above = Level(k, n_buckets, hot_histories(chunks, n, k))
+        table = counted(next_messages(chunks, answered, level, above), above)
+        level = completed(table, above, n)
+        answered = answers(table, level, "<f8" if k < order else "<f4")
+    told = counts if order == 1 else counts.unionByName(answered)
+    return scored(chunks, told, words, level).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
