@@ -2,29 +2,32 @@
 
 1. Each text becomes its set of distinct five-word shingles (64-bit hashes). Texts
    with equal sets form a *class*; all that follows works on classes, so thousands
-   of copies cost no more than one text.
-2. A class has a signature of 128 minimum hashes; 25 bands of five of them put it
-   into buckets. A pair at the threshold of 0.85 shares no bucket with probability
-   (1 - 0.85^5)^25 < 5e-7.
+   of copies or repeated rows cost no more than one text.
+2. A class has a signature of 128 minimum hashes, and bands of some of them put it into
+   buckets. Number and width of the bands follow from the threshold: a pair at it shares
+   no bucket with probability ``MISS`` at most.
 3. In each bucket the class that shares the most buckets with others is the hub, and
    candidates are (hub, member): linear in the bucket's size. Members that turn out
-   linked need no further comparison with each other, as they share a component.
-   What is left in buckets that still hold several components is compared in blocks of
-   bounded size. No pair that could join two components is left out.
+   linked need no further comparison with each other, as they share a component. Buckets
+   that still hold several components get another hub, ``HUB_ROUNDS`` times.
+   What is left of them is compared in blocks of bounded size. Of a bucket of over ``BLOCK``
+   members only those are compared that share a second bucket; a pair that shares a bucket
+   lacks a second one with probability ``MISS`` at most again. No other pair that
+   could join two components is left out.
 4. A candidate pair's signatures are compared batch by batch. With m of n equal and a
    uniform prior, P(similarity >= t) = P(Binomial(n + 1, t) <= m); below the chosen
-   miss probability the pair is dropped. Survivors are verified on full sets.
+   miss probability the pair is dropped. Survivors alone meet their full sets, in a join.
 
 Defined results: texts without words (or null) have no shingles and are linked with
 nothing; fewer than five words are one shingle; copies, ties and repeated rows are
 linked like any others; a null ``doc_id`` is passed over when the smallest id of a
-component is sought; an empty table gives an empty result.
+component is sought; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -37,10 +40,10 @@ from pyspark.sql import types as T
 from folio.llm.common import stored
 from folio.llm.components import connect
 
-WIDTH, HASHES, BANDS, ROWS, BATCH = 5, 128, 25, 5, 32
+WIDTH, HASHES, BATCH = 5, 128, 32
 MISS = 1e-6
 BLOCK = 512
-HUB_ROUNDS = 1
+HUB_ROUNDS = 3
 
 
 class Shingler:
@@ -82,7 +85,16 @@ def odd_factors(n: int = HASHES, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketches(df: DataFrame, text_col: str = "text") -> DataFrame:
+def banding(percent: int, miss: float = MISS, hashes: int = HASHES) -> tuple[int, int]:
+    """How many bands of how many hashes: the widest with which a pair at the threshold is missed with this probability at most."""
+    fitting = [(ceil(log(miss) / log1p(-((percent / 100) ** rows))), rows) for rows in range(1, hashes + 1) if 1e-9 < (percent / 100) ** rows < 1]
+    fitting = [(bands, rows) for bands, rows in fitting if bands * rows <= hashes]
+    if not fitting:
+        raise ValueError(f"{hashes} hashes are too few for a threshold of {percent} percent")
+    return fitting[-1]
+
+
+def sketches(df: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
     """All columns but the text, with ``n_shingles, cls, sig, bands``.
 
     ``cls`` names the set, null for an empty one; ``sig`` holds 16 bits of each
@@ -92,6 +104,7 @@ def sketches(df: DataFrame, text_col: str = "text") -> DataFrame:
     names = [f.name for f in kept]
     types = {"n_shingles": T.LongType(), "cls": T.BinaryType(), "sig": T.BinaryType(), "bands": T.ArrayType(T.LongType())}
     arrow = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    n_bands, width = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -107,7 +120,7 @@ def sketches(df: DataFrame, text_col: str = "text") -> DataFrame:
                         rows.append((0, None, None, None))
                         continue
                     least = signature(s, factors)
-                    bands = [xxhash.xxh3_64_intdigest(least[k * ROWS : k * ROWS + ROWS].tobytes(), seed=k) - 2**63 for k in range(BANDS)]
+                    bands = [xxhash.xxh3_64_intdigest(least[k * width : k * width + width].tobytes(), seed=k) - 2**63 for k in range(n_bands)]
                     rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), (least >> np.uint64(16)).astype("<u2").tobytes(), bands))
                 made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=[*names, *types])
@@ -156,6 +169,11 @@ def bayes_survivors(x: np.ndarray, y: np.ndarray, least: list[int], batch: int =
     return alive
 
 
+def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be so similar at all."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The ``a, b`` pairs that sequential verification of their signatures lets pass."""
     least = least_matches(percent)
@@ -166,91 +184,93 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
                 yield batch.select(["a", "b"]).take(pa.array(bayes_survivors(x, y, least)))
 
-    left = nodes.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a"))
-    right = nodes.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
+    left = nodes.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
+    right = nodes.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
+    both = pairs.join(left, "a").join(right, "b").where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent))
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(survivors: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    survivors = plausible(pairs, nodes, percent)
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
     enough = 100 * both >= percent * (F.size("s") + F.size("t") - both)
-    return survivors.join(left, "a").join(right, "b").where(enough).select("a", "b").distinct()
+    return survivors.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
-def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(s, t, assume_unique=True))
-    return 100 * both >= percent * (len(s) + len(t) - both)
+def block_survivors(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in a bucket that sequential verification lets pass, from blocks of about ``BLOCK`` members.
 
-
-def _block_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components in a bucket, compared in blocks of about ``BLOCK`` members.
-
-    A pair belongs to the first bucket that it shares. Only links that join two
-    components as far as the block knows are verified and returned.
+    Only signatures travel. In a bucket within ``BLOCK`` a pair belongs to the first bucket that
+    it shares; larger ones are dealt again by each other band of a member.
     """
     least = least_matches(percent)
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("size")), "open-buckets")
+    sized = members.select("bucket", "cls", "label").join(sizes, "bucket")
+    small = sized.where(F.col("size") <= BLOCK).select("bucket", F.col("bucket").alias("part"), "cls", "label")
+    bands = nodes.select("cls", F.explode("bands").alias("other"))
+    large = sized.where(F.col("size") > BLOCK).join(bands, "cls").where("other != bucket").select("bucket", F.xxhash64("bucket", "other").alias("part"), "cls", "label")
+    parts = stored(small.unionByName(large), "open-parts")
+    blocks = parts.groupBy("bucket", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket", "part", "n_blocks")
     block = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("n_blocks")).cast("int")
-    placed = members.select("bucket", "cls", "label").join(blocks, "bucket").withColumn("block", block)
+    placed = parts.join(stored(blocks, "blocks"), ["bucket", "part"]).withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    dealt = placed.select("bucket", "cls", "label", "block", other).select("bucket", "cls", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    whole = dealt.join(nodes.select("cls", "sig", "bands"), "cls").join(sets.dropDuplicates(["cls"]), "cls")
+    dealt = placed.select("bucket", "part", "cls", "label", "block", other).select("bucket", "part", "cls", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    whole = dealt.join(nodes.select("cls", "sig", "bands", "n_shingles"), "cls")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bucket, part, i, j = key
         rows = rows.sort_values("cls")
         sig = np.frombuffer(b"".join(rows["sig"]), "<u2").reshape(-1, HASHES)
-        bands, cls, own, sets = np.stack(rows["bands"]), rows["cls"].to_numpy(), rows["block"].to_numpy(), rows["shingles"].to_numpy()
+        bands, cls, own, n = np.stack(rows["bands"]), rows["cls"].to_numpy(), rows["block"].to_numpy(), rows["n_shingles"].to_numpy()
         label = pd.factorize(rows["label"])[0]
         out: list[tuple[bytes, bytes]] = []
         for k in range(len(rows) - 1):
             # a pair within one block belongs to (i, i), one across to (i, j)
-            rest = k + 1 + np.flatnonzero((label[k + 1 :] != label[k]) & ((own[k + 1 :] != own[k]) | (key[1] == key[2])))
-            if len(rest):
-                rest = rest[bands[k][(bands[rest] == bands[k]).argmax(axis=1)] == key[0]]
+            fits = 100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k])
+            rest = k + 1 + np.flatnonzero(fits & (label[k + 1 :] != label[k]) & ((own[k + 1 :] != own[k]) | (i == j)))
+            if len(rest) and bucket == part:
+                rest = rest[bands[k][(bands[rest] == bands[k]).argmax(axis=1)] == bucket]
             if len(rest):
-                for j in rest[bayes_survivors(np.broadcast_to(sig[k], (len(rest), HASHES)), sig[rest], least)]:
-                    if label[j] != label[k] and _similar(sets[k], sets[j], percent):
-                        out.append((cls[k], cls[j]))
-                        label[label == label[j]] = label[k]
+                out += [(cls[k], cls[x]) for x in rest[bayes_survivors(np.broadcast_to(sig[k], (len(rest), HASHES)), sig[rest], least)]]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return whole.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    return whole.groupBy("bucket", "part", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
-def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, then ``cluster`` and the carried columns, for every row.
 
     ``cluster`` names the component (null for a text without words).
     """
     carried = [F.col(c) for c in carry]
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
-    seen = stored(sketches(rows), "sketches")
-    classes = stored(seen.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"), *carried)
+    seen = stored(sketches(rows, percent), "sketches")
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")]
+    classes = stored(seen.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.min("text_hash").alias("text_hash"), *firsts), "classes")
     placed = classes.select("cls", F.explode("bands").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = stored(placed.join(sizes, "bucket"), "buckets")
     degree = stored(shared.groupBy("cls").agg(F.sum(F.col("size") - 1).alias("degree")), "degrees")
-    nodes = classes.join(degree, "cls", "left_semi")
-    firsts = nodes.select(F.col("first_doc"))
-    sets = stored(shingle_sets(rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_doc")), "left_semi")), "sets")
+    nodes = stored(classes.join(degree, "cls").select("cls", "text_hash", "n_shingles", "sig", "bands"), "nodes")
+    # one text of each class that shares a bucket
+    sets = stored(shingle_sets(rows.select("text", "text_hash").join(nodes.select("text_hash"), "text_hash", "left_semi")).dropDuplicates(["cls"]), "sets")
 
     members = shared.select("bucket", "cls").join(degree, "cls").withColumn("label", F.col("cls"))
     links, labels = None, None
     for _ in range(HUB_ROUNDS):
-        hubs = members.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "label")).alias("hub"))
-        with_hub = stored(members.join(hubs, "bucket").select("bucket", "cls", "degree", "label", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label")), "hubs")
-        new = linked(with_hub.where("label != hub_label").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), nodes, sets, percent)
-        links = stored(new if links is None else links.unionByName(new).distinct(), "verified")
+        hubs = stored(members.groupBy("bucket").agg(F.max(F.struct("degree", "cls", "label")).alias("hub")), "hubs")
+        with_hub = stored(members.join(hubs, "bucket").select("bucket", "cls", "degree", "label", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label")), "with-hubs")
+        pairs = with_hub.where("label != hub_label").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+        new = verified(plausible(pairs, nodes, percent), sets, percent).distinct()
+        links = stored(new if links is None else links.unionByName(new).distinct(), "links")
         labels = connect(links)
         members = stored(_open_buckets(with_hub.where("cls != hub").select("bucket", "cls", "degree"), labels), "members")
         if members.isEmpty():
             break
     else:
-        labels = connect(links.unionByName(_block_links(members, nodes, sets, percent)).distinct())
+        labels = connect(links.unionByName(verified(stored(block_survivors(members, nodes, percent), "survivors"), sets, percent)).distinct())
     of_class = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first_doc", F.coalesce("label", "cls").alias("cluster"))
     smallest = of_class.groupBy("cluster").agg(F.min("first_doc").alias("least_doc"))
     result = seen.drop("sig", "bands").join(of_class.select("cls", "cluster").join(smallest, "cluster"), "cls", "left")
@@ -260,6 +280,6 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component."""
-    now = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    several = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    now = stored(members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+    several = stored(now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket"), "several")
     return now.join(several, "bucket")

@@ -67,7 +67,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir)).drop("cluster")
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85).drop("cluster")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

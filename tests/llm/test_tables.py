@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -370,6 +371,41 @@ def test_near_duplicates(spark, tmp_path, monkeypatch):
     assert queries.op10_minhash(spark, saved(tmp_path, df.limit(0))).count() == 0
 
 
+def test_hot_bucket_of_texts_that_are_hardly_linked(spark, monkeypatch):
+    """Texts around the threshold, far more than a block holds: every link that joins components is found."""
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", 2)
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(120)]
+    docs = []
+    for k in range(250):
+        copy = list(base)
+        for at in rng.sample(range(6, 120, 12), rng.choice([2, 4])):  # texts are linked that differ in one place
+            copy[at] = f"e{rng.randrange(3)}"
+        docs.append((k, " ".join(copy)))
+    rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect()
+    want = plain_components(docs)
+    assert 20 < len({c for *_, c in want}) < 220
+    assert sorted((r.doc_id, r.component_id) for r in rows) == sorted((i, c) for i, _, c in want)
+
+
+def test_repeated_rows_cost_as_one(spark):
+    text = " ".join(f"word{k}" for k in range(200))
+    many = spark.range(40_000).selectExpr("case when id % 3 = 0 then null else 7 end as doc_id", f"case when id % 2 = 0 then '{text}' else '{text} more' end as text")
+    began = time.perf_counter()
+    rows = minhash.near_duplicates(many).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert time.perf_counter() - began < 60
+    assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {(None, 7, False), (7, 7, True)} and sum(r["count"] for r in rows) == 40_000
+
+
+def test_bands_follow_the_threshold():
+    for percent in (50, 80, 85, 95):
+        bands, rows = minhash.banding(percent)
+        assert bands * rows <= minhash.HASHES and (1 - (percent / 100) ** rows) ** bands <= minhash.MISS
+    with pytest.raises(ValueError):
+        minhash.banding(5)
+
+
 def test_sequential_verification():
     least = minhash.least_matches(85)
     assert least == sorted(least) and least[-1] < 0.85 * minhash.HASHES
