@@ -36,20 +36,32 @@ MIN_DOCS = 3
 ALIKE = 85
 
 
-def _split(df: DataFrame) -> DataFrame:
-    """``h, id, at, size, n, lead, tail, key, masked``: a row per line of ``h, id, text`` rows; key is null for lines that can't recur."""
-    rows = df.select("h", "id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    masked = rows.withColumn("masked", F.trim(F.regexp_replace(F.regexp_replace("line", "[0-9]+", "#"), f"[{WS}]+", " ")))
-    told = F.col("masked").rlike(r"\p{L}")
+#: White space other than single spaces.
+ODD_SPACE = rf"\x20[{WS}]+|[\x09-\x0D][{WS}]*"
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """Rows with a ``line`` get ``n, lead, tail, key, masked``; those whose line can't recur go."""
+    masked = rows.withColumn("masked", F.trim(F.regexp_replace(F.regexp_replace("line", "[0-9]+", "#"), ODD_SPACE, " "))).where(F.col("masked").rlike(r"\p{L}"))
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
-    ends = [F.when(told, F.xxhash64(F.substring_index("masked", " ", k))).alias(name) for name, k in (("lead", LEADING), ("tail", -LEADING))]
-    return masked.select("h", "id", "at", F.length("line").alias("size"), n.alias("n"), *ends, F.when(told, F.xxhash64("masked")).alias("key"), "masked")
+    ends = [F.xxhash64(F.substring_index("masked", " ", k)).alias(name) for name, k in (("lead", LEADING), ("tail", -LEADING))]
+    return masked.select("*", n.alias("n"), *ends, F.xxhash64("masked").alias("key"))
 
 
 def _leaf() -> Column:
     return F.xxhash64("n", "lead")
 
 
+def _flags(at: Column) -> Column:
+    """An array that is true at these rising places, up to the last."""
+    places = F.sequence(F.lit(0), F.size(at) - 1)
+    return F.flatten(F.transform(places, lambda i: F.concat(F.array_repeat(F.lit(False), F.get(at, i) - F.coalesce(F.get(at, i - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
+
+
+def _flagged(i: Column) -> Column:
+    return F.coalesce(F.get("flags", i), F.lit(False))
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
 
@@ -57,20 +69,25 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def lines_of(rows: DataFrame, ends: bool = False) -> DataFrame:
     """The lines that can recur, once for each distinct text ``h``, without their words; ``first`` is the text's smallest id."""
     same = ["size", "n", "lead", "key", *(["tail"] if ends else [])]
-    once = _split(rows).where("key is not null").groupBy("h", "at").agg(F.min("id").alias("first"), *(F.first(c).alias(c) for c in same))
+    each = _told(rows.select("h", "id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))).withColumn("size", F.length("line"))
+    once = each.groupBy("h", "at").agg(F.min("id").alias("first"), *(F.first(c).alias(c) for c in same))
     return once.withColumn("first", F.coalesce("first", "h"))
 
 
 def templates(rows: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``leaf, key, template``: for each form of a line the templates that may have enough support."""
-    forms = stored(lines.groupBy(_leaf().alias("leaf"), "key").agg(F.count_distinct("h").alias("texts"), F.min("h").alias("h"), F.first("n").alias("n")), "line-forms")
+    held = lines.groupBy(_leaf().alias("leaf"), "key", "h").agg(F.min("at").alias("at"), F.first("n").alias("n"))
+    forms = stored(held.groupBy("leaf", "key").agg(F.count("*").alias("texts"), F.min("h").alias("h"), F.min_by("at", "h").alias("at"), F.first("n").alias("n")), "line-forms")
     as_they_are = forms.where(F.col("texts") >= min_docs).select("leaf", "key", F.col("key").alias("template"))
     crowded = forms.where(f"n > {LEADING}").groupBy("leaf").agg(F.sum("texts").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)).select("leaf")
     # the words of each such form, from one text that holds it
-    wanted = forms.join(crowded, "leaf").select("h", "leaf", "key", "texts")
-    words = _split(rows).where(f"key is not null and n > {LEADING}").select("h", _leaf().alias("leaf"), "key", "masked")
+    wanted = stored(forms.join(crowded, "leaf").select("h", "at", "leaf", "key", "texts"), "wanted-forms")
+    places = stored(wanted.groupBy("h").agg(F.array_sort(F.collect_set("at")).alias("at")).select("h", _flags(F.col("at")).alias("flags")), "wanted-lines")
+    picked = F.array_compact(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(_flagged(i), x)))
+    # both sides grow with the corpus, so neither is for broadcast
+    words = _told(rows.select("h", "text").join(places.hint("merge"), "h").select(F.explode(picked).alias("line"))).groupBy(_leaf().alias("leaf"), "key").agg(F.first("masked").alias("masked"))
     codes = F.slice(F.transform(F.split("masked", " ", -1), lambda x, i: F.xxhash64(x, i)), F.lit(LEADING + 1), F.lit(2**31 - 1))
-    coded = stored(words.join(wanted, ["h", "leaf", "key"]).groupBy("leaf", "key").agg(F.first("texts").alias("texts"), F.first("masked").alias("masked")).select("leaf", "key", "texts", codes.alias("codes")), "line-codes")
+    coded = stored(words.join(wanted.select("leaf", "key", "texts"), ["leaf", "key"]).select("leaf", "key", "texts", codes.alias("codes")), "line-codes")
 
     tokens = coded.select("leaf", "key", "texts", F.size("codes").alias("m"), F.explode("codes").alias("code"))
     frequent = tokens.groupBy("leaf", "code").agg(F.sum("texts").alias("total")).where(F.col("total") >= min_docs).select("leaf", "code", F.col("code").alias("constant"))
@@ -102,26 +119,26 @@ def families(lines: DataFrame) -> DataFrame:
 
 
 def drops(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, one_vote_per_family: bool = False) -> DataFrame:
-    """``h, dropped``: for each distinct text that loses lines their numbers, from 0."""
+    """``h, dropped, flags``: for each distinct text that loses lines their numbers, from 0, and the same as true values."""
     rows = _keyed(df, id_col, text_col)
     lines = stored(lines_of(rows, one_vote_per_family), "lines")
     found = stored(templates(rows, lines, min_docs), "templates")
     mine = stored(lines.select("h", "first", "at", _leaf().alias("leaf"), "key").join(found, ["leaf", "key"]).select("h", "first", "at", "template"), "templated")
     voters = mine.join(families(lines), "h", "left").withColumn("voter", F.coalesce("family", "first")) if one_vote_per_family else mine.withColumn("voter", F.col("h"))
-    recurring = voters.groupBy("template").agg(F.count_distinct("voter").alias("votes")).where(F.col("votes") >= min_docs).select("template")
-    return mine.join(recurring, "template").groupBy("h").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
+    recurring = stored(voters.groupBy("template").agg(F.count_distinct("voter").alias("votes")).where(F.col("votes") >= min_docs).select("template"), "recurring")
+    return mine.join(recurring, "template").groupBy("h").agg(F.array_sort(F.collect_set("at")).alias("dropped")).withColumn("flags", _flags(F.col("dropped")))
 
 
-def without(text: Column, dropped: Column) -> Column:
-    """The text without these lines."""
-    rest = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(dropped, i))
-    return F.when(F.size(dropped) == 0, text).otherwise(F.array_join(rest, "\n"))
+def without(text: Column) -> Column:
+    """The text without the lines that ``flags`` marks."""
+    return F.when(F.col("flags").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~_flagged(i)), "\n"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, one_vote_per_family: bool = False) -> DataFrame:
     """The rows with their text, where lines were dropped, replaced; adds ``n_lines`` and ``dropped``."""
     made = df.drop("n_lines", "dropped").withColumn("__h", F.xxhash64(text_or_empty(text_col)))
     found = stored(drops(df, id_col, text_col, min_docs, one_vote_per_family), "drops").withColumnRenamed("h", "__h")
-    both = made.join(found, "__h", "left").drop("__h").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    both = made.withColumnRenamed("flags", "__flags").join(found.hint("merge"), "__h", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     n_lines = F.size(F.split(text_or_empty(text_col), "\n", -1)).cast("long")
-    return both.withColumn("n_lines", n_lines).withColumn(text_col, without(F.col(text_col), F.col("dropped"))).select(*(c for c in df.columns if c not in ("n_lines", "dropped")), "n_lines", "dropped")
+    kept = [F.col("__flags").alias(c) if c == "flags" else F.col(c) for c in df.columns if c not in ("n_lines", "dropped")]
+    return both.withColumn("n_lines", n_lines).withColumn(text_col, without(F.col(text_col))).select(*kept, "n_lines", "dropped")

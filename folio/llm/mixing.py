@@ -3,11 +3,12 @@
 Sources get shares of all words by weight, but none more than ``max_copies`` times its
 own size; what a full source can't take is shared again by weight. With r = target /
 size, every document of a source is taken floor(r) times for certain. The rest of the
-target is drawn without replacement: documents are ranked by random odds divided by
-inclusion odds, ``(u / (1 - u)) / (l / (1 - l) * h)``, with l the fractional part of r and h a
-document's importance, and the ranking is cut where the drawn words come nearest to
-what is left. The random number is a hash of the document's id and size, so reruns
-agree.
+target is drawn without replacement. A document's inclusion odds are m h, with h its
+importance and m, one number per source, such that inclusion probabilities l = m h / (1 + m h)
+times sizes sum up to that rest. Documents are ranked by random odds divided by
+inclusion odds, ``(u / (1 - u)) / (l / (1 - l))``, and the ranking is cut where the drawn words come
+nearest to the rest. The random number is a hash of the document's id and size, so reruns
+agree. ``inclusion`` tells the probability that a document is drawn once more.
 
 The cut is found without sorting a source: ranks fall into 4,096 intervals, whose words
 are summed (partial aggregation, also of a source with a third of all rows), and only the
@@ -30,6 +31,8 @@ WEIGHTS = (5, 2, 1)
 INTERVALS = 4096
 #: The table of sources is broadcast up to so many rows; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: Binary logarithms between which the multiplier of the odds is sought, trials a round, and rounds.
+SOUGHT, TRIALS, ROUNDS = (-64.0, 64.0), 32, 5
 LEAST_LONG = -(2**63)
 
 
@@ -75,12 +78,30 @@ def _with_source(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
 
 def _ranked(rows: DataFrame) -> DataFrame:
     """Adds ``__rank`` from 0 to 1, which grows with the ratio of the odds."""
-    part = F.col("target") / F.col("source_size") - F.col("whole")
-    odds = part / (1 - part) * F.col("__h")
-    ratio = F.when((F.col("source_size") > 0) & (odds > 0), (F.col("__u") / (1 - F.col("__u"))) / odds)
+    odds = F.col("multiplier") * F.col("__h")
+    ratio = F.when((F.col("rest") > 0) & (odds > 0), (F.col("__u") / (1 - F.col("__u"))) / odds)
     return rows.withColumn("__rank", F.coalesce(ratio / (1 + ratio), F.lit(1.0)))
 
 
+def calibrated(small: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
+    """The goals with ``multiplier``: the factor of the importance with which the expected words are the rest.
+
+    Expected words rise with the factor. Each round sums them up for ``TRIALS`` factors between two
+    bounds, for all sources at once, and keeps the gap in which the rest lies.
+    """
+    alike = stored(small.groupBy("__source", "__size", "__h").agg(F.count("*").alias("n")), "sizes-alike")
+    low, high = SOUGHT
+    now, gap = goals.withColumn("low", F.lit(low)), (high - low) / TRIALS
+    for _ in range(ROUNDS):
+        odds = [F.pow(F.lit(2.0), F.col("low") + gap * k) * F.col("__h") for k in range(1, TRIALS)]
+        sums = F.array(*(F.sum(F.col("n") * F.col("__size") * (1 - 1 / (1 + o))) for o in odds))
+        told = _with_source(alike, now.select("__source", "low"), n_sources).groupBy("__source").agg(sums.alias("sums")).withColumnRenamed("__source", "__of")
+        reached = F.size(F.filter("sums", lambda x: x <= F.col("rest")))
+        now = stored(now.join(told, F.col("__source").eqNullSafe(F.col("__of")), "left").withColumn("low", F.col("low") + gap * F.coalesce(reached, F.lit(0))).drop("__of", "sums"), "multipliers")
+        gap /= TRIALS
+    return now.withColumn("multiplier", F.pow(F.lit(2.0), F.col("low") + gap / 2)).drop("low")
+
+
 def _key() -> Column:
     return F.struct(F.col("__rank").alias("r"), F.col("__id").alias("i"), F.col("__size").alias("s"))
 
@@ -96,6 +117,7 @@ def sampling_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copie
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = stored(goals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "sources")
     n_sources = goals.count()
+    goals = calibrated(small, goals, n_sources)
     ranked = _ranked(_with_source(small, goals, n_sources)).withColumn("interval", F.floor(F.col("__rank") * INTERVALS))
     sums = ranked.groupBy("__source", "interval").agg(F.sum("__size").alias("words"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("__source").orderBy("interval")
@@ -109,22 +131,24 @@ def sampling_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copie
     last = there.withColumn("taken", taken).where(nearer).groupBy("__source").agg(F.max(_key()).alias("last")).withColumnRenamed("__source", "__with")
     plan = goals.join(cut.select("__of", "at"), F.col("__source").eqNullSafe(F.col("__of")), "left").join(last, F.col("__source").eqNullSafe(F.col("__with")), "left")
     drawn = F.when(F.col("rest") <= 0, _edge(F.lit(-1.0))).when(F.col("at").isNull(), _edge(F.lit(2.0))).otherwise(F.coalesce("last", _edge(F.col("at") / F.lit(float(INTERVALS)))))
-    return stored(plan.select("__source", "source_size", "target", "whole", drawn.alias("last")), "plan"), n_sources
+    return stored(plan.select("__source", "source_size", "target", "whole", "rest", "multiplier", drawn.alias("last")), "plan"), n_sources
 
 
 def with_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", importance: Column | None = None, weights: tuple[int, ...] = WEIGHTS, max_copies: int = 3, seed: int = 1) -> DataFrame:
-    """Add ``size, source_size, target, copies`` to the rows.
+    """Add ``size, source_size, target, copies, inclusion`` to the rows.
 
     ``importance`` multiplies a document's inclusion odds and may use ``__size``; by
     default it is the root of the size.
     """
     importance = F.sqrt(F.greatest(F.col("__size"), F.lit(1))) if importance is None else importance
-    made = ("size", "source_size", "target", "copies", "whole", "last")
+    made = ("size", "source_size", "target", "copies", "inclusion", "whole", "rest", "multiplier", "last")
     rows = with_random(df.drop(*(c for c in made if c in df.columns)), id_col, text_col, source_col, importance, seed)
     plan, n_sources = sampling_plan(rows, weights, max_copies)
     ranked = _ranked(_with_source(rows, plan, n_sources))
     copies = (F.col("whole") + F.when(_key() <= F.col("last"), 1).otherwise(0)).cast("long")
-    return ranked.withColumns({"size": F.col("__size"), "copies": copies}).drop("__id", "__source", "__size", "__u", "__h", "__rank", "whole", "last")
+    odds = F.col("multiplier") * F.col("__h")
+    inclusion = F.when(F.col("rest") > 0, odds / (1 + odds)).otherwise(F.lit(0.0))
+    return ranked.withColumns({"size": F.col("__size"), "copies": copies, "inclusion": inclusion}).drop("__id", "__source", "__size", "__u", "__h", "__rank", "whole", "rest", "multiplier", "last")
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:

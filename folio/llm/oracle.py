@@ -14,9 +14,15 @@ win AS (
 twice AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, five) > 1),
 hit AS (
   SELECT rid, count(DISTINCT i + k) AS n FROM twice, unnest([0, 1, 2, 3, 4]) AS s(k) GROUP BY rid),
+ten AS (SELECT rid, i, list_slice(ws, i, i + 9) AS ten FROM w, unnest(range(1, len(ws) - 8)) AS u(i)),
+ten_twice AS (SELECT rid, i FROM ten QUALIFY count(*) OVER (PARTITION BY rid, ten) > 1),
+long AS (SELECT rid, count(DISTINCT i + k) AS n_long FROM ten_twice, unnest(range(10)) AS s(k) GROUP BY rid),
+pair AS (SELECT rid, list_slice(ws, i, i + 1) AS two, count(*) AS n FROM w, unnest(range(1, len(ws))) AS u(i) GROUP BY 1, 2),
+top_pair AS (SELECT rid, max(n) AS n_pair FROM pair GROUP BY rid),
 lines AS (
   SELECT rid, count(*) AS n_lines, count(DISTINCT line) AS n_distinct,
-         count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*(- |\* |•)')) AS n_bullets
+         count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*(- |\* |•)')) AS n_bullets,
+         count(*) FILTER (regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS n_broken
   FROM w, unnest(string_split(text, chr(10))) AS u(line)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 f AS (
@@ -25,14 +31,22 @@ f AS (
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (coalesce(n_lines, 0) - coalesce(n_distinct, 0))::BIGINT AS n_dup_lines,
          coalesce(hit.n, 0)::BIGINT AS n_repeat_words,
-         coalesce(n_lines, 0) AS n_lines, coalesce(n_bullets, 0) AS n_bullets,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_broken, 0) AS n_broken,
+         coalesce(n_long, 0) AS n_long, coalesce(n_pair, 0) AS n_pair,
+         length(text) - length(replace(text, '!', '')) AS n_calls, length(regexp_replace(text, '[^{}]', '', 'g')) AS n_braces,
+         len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper,
+         strlen(text) AS n_bytes, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS n_ascii,
+         len(list_filter(ws, lambda x: regexp_full_match(x, '(?i)the|be|to|of|and|that|have|with|is|in|der|die|und|den|von|zu|das|mit|ist|le|la|de|et|les|des|en|un|une|est|el|que|y|los|del|las|una'))) AS n_stop,
          len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words
-  FROM w LEFT JOIN hit USING (rid) LEFT JOIN lines USING (rid)),
+  FROM w LEFT JOIN hit USING (rid) LEFT JOIN lines USING (rid) LEFT JOIN long USING (rid) LEFT JOIN top_pair USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (10 * n_symbols > n_words OR 5 * n_dup_lines > 2 * n_lines
          OR word_chars < 2 * n_words OR word_chars > 30 * n_words OR 2 * n_letter_words < n_words
-         OR 10 * n_bullets > 9 * greatest(1, n_lines)) AS kept
+         OR 10 * n_bullets > 9 * greatest(1, n_lines) OR 10 * n_broken > 3 * n_lines
+         OR 5 * n_calls > n_words OR 2 * n_upper > n_words OR 10 * n_braces > n_words
+         OR (n_words >= 50 AND 5 * (n_bytes - n_ascii) <= n_bytes AND n_stop < 2)
+         OR (n_pair > 2 AND 10 * n_pair > n_words) OR 20 * n_long > 3 * n_words) AS kept
 FROM b
 """
 

@@ -6,9 +6,13 @@ query q and a candidate x the triangle inequality gives, over all pivots p,
 ``q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 <= (|q|^2 + |x|^2 - bound^2) / 2``.
 Candidates are evaluated in the order of that bound until the k-th best score exceeds
 all bounds that are left; no candidate that could enter the result is skipped, ties
-included. Queries meet the candidates block by block: both are packed into blocks of
-bounded size, each pair of blocks is one small task, and the results of a query's
-blocks, k rows each, are merged.
+included.
+
+Vectors lie in blocks of bounded size by their nearest two pivots, and a block has for each
+pivot the range of its distances. A query is first answered in its own block, which gives it a k-th
+score to beat. The ranges bound what any other block could hold, so a query goes only to
+blocks that may beat that score, and carries it along. A block is copied once per
+``QUERY_BLOCK`` queries that need it. The k best of all blocks are merged.
 
 Defined results: vectors that are null or hold a null or non-finite component take no
 part; so do rows without an id. Vectors of unequal length count as padded with zeros.
@@ -30,8 +34,8 @@ from folio.llm.common import stored
 
 #: Pivots, and vectors that they are chosen from: a bounded, evenly hashed draw.
 PIVOTS, PIVOT_DRAW = 32, 1024
-#: Vectors of a block of candidates and of a block of queries.
-BLOCK, QUERY_BLOCK = 8192, 512
+#: Vectors of a block of candidates, of a block of queries; and blocks whose ranges are looked at together.
+BLOCK, QUERY_BLOCK, PACK = 8192, 2048, 4096
 #: Up to here sums of products are exact in double precision.
 EXACT = float(2**53)
 LONG = 2**63 - 1
@@ -76,17 +80,61 @@ def choose_pivots(rows: DataFrame, scale: int, n: int = PIVOTS, draw: int = PIVO
 
 
 def pivot_table(rows: DataFrame, pivots: np.ndarray, scale: int) -> DataFrame:
-    """``id, x, far``: the whole numbers and the distances to the pivots, as double arrays in bytes."""
+    """``id, x, far, cell``: the whole numbers and the distances to the pivots, as double arrays in bytes, and the two nearest pivots as one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, vectors = batch.column(0), [whole_numbers(np.array(v, np.float64), scale) for v in batch.column(1).to_pylist()]
             if vectors:
                 x = padded(vectors, max(map(len, vectors)))
-                blobs = [[row.tobytes() for row in m] for m in (vectors, distances(x, pivots))]
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(b, pa.binary()) for b in blobs)], names=["id", "x", "far"])
+                far = distances(x, pivots)
+                nearest = np.argsort(far, axis=1, kind="stable")
+                cell = nearest[:, 0] * PIVOTS + nearest[:, min(1, far.shape[1] - 1)] if far.shape[1] else np.zeros(len(x), np.int64)
+                blobs = [[row.tobytes() for row in m] for m in (vectors, far)]
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(b, pa.binary()) for b in blobs), pa.array(cell, pa.int32())], names=["id", "x", "far", "cell"])
+
+    return rows.mapInArrow(run, "id long, x binary, far binary, cell int")
+
+
+def in_blocks(table: DataFrame) -> DataFrame:
+    """Adds ``block``. There are ``PIVOTS`` squared cells at most: neighbours share a block up to its size, large ones are split."""
+    sizes = {r.cell: r["count"] for r in table.groupBy("cell").count().collect()}
+    first, parts = [0] * PIVOTS**2, [1] * PIVOTS**2
+    block, room, pivot = -1, 0, None
+    for cell in sorted(sizes):
+        parts[cell] = max(1, -(-sizes[cell] // BLOCK))
+        if sizes[cell] > room or pivot != cell // PIVOTS:
+            block, room, pivot = block + 1, BLOCK, cell // PIVOTS
+        first[cell] = block
+        room -= sizes[cell]
+        block += parts[cell] - 1
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cell") + 1)
+    return table.withColumn("block", (of(first) + F.pmod(F.xxhash64("at"), of(parts))).cast("int")).drop("cell")
+
+
+def ranges(table: DataFrame) -> DataFrame:
+    """``block, lo, hi, longest``: per block the ranges of the distances to each pivot, and the largest squared length."""
+    schema = "block int, lo binary, hi binary, longest double"
+
+    def summed(rows: pd.DataFrame, lo: list, hi: list, longest: list) -> pd.DataFrame:
+        data = pd.DataFrame({"block": rows["block"], "k": range(len(rows))})
+        out = []
+        for block, own in data.groupby("block")["k"]:
+            out.append((block, np.min([lo[k] for k in own], axis=0).tobytes(), np.max([hi[k] for k in own], axis=0).tobytes(), max(longest[k] for k in own)))
+        return pd.DataFrame(out, columns=["block", "lo", "hi", "longest"]).astype({"block": "int32"})
+
+    def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pandas()
+            far = [np.frombuffer(b) for b in rows["far"]]
+            with np.errstate(over="ignore"):
+                longest = [float((np.frombuffer(b) ** 2).sum()) for b in rows["x"]]
+            yield pa.RecordBatch.from_pandas(summed(rows, far, far, longest), preserve_index=False)
 
-    return rows.mapInArrow(run, "id long, x binary, far binary")
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        return summed(rows, [np.frombuffer(b) for b in rows["lo"]], [np.frombuffer(b) for b in rows["hi"]], rows["longest"].tolist())
+
+    return table.select("block", "x", "far").mapInArrow(partly, schema).groupBy("block").applyInPandas(whole, schema)
 
 
 def products(x: np.ndarray, q: np.ndarray, exact: bool) -> list[int]:
@@ -96,8 +144,14 @@ def products(x: np.ndarray, q: np.ndarray, exact: bool) -> list[int]:
     return [max(-LONG - 1, min(LONG, sum(int(a) * b for a, b in zip(row, whole, strict=True)))) for row in x]
 
 
+def upper_bound(qq, xx, apart):
+    """Of inner products, from squared lengths and a lower bound of the distance; the slack covers the rounding of the distances."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num((qq + xx - apart**2) / 2 + 1e-9 * (qq + xx) + 1, nan=np.inf)
+
+
 def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, step: int = 256) -> pd.DataFrame:
-    """The k best of one block of candidates for each query of one block."""
+    """The k best of one block of candidates for each query of one block, as far as they reach the query's ``least`` score."""
     qs, xs = ([np.frombuffer(b) for b in d["x"]] for d in (queries, candidates))
     dim = max(max(map(len, qs)), max(map(len, xs)))
     q, x = padded(qs, dim), padded(xs, dim)
@@ -107,21 +161,52 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, step:
         exact = float(np.sqrt(qq.max() * xx.max())) < EXACT
     ids = candidates["id"].to_numpy()
     out: list[tuple[int, int, int, int]] = []
-    for i, (query, row) in enumerate(zip(queries["id"], queries["row"], strict=True)):
-        with np.errstate(over="ignore", invalid="ignore"):
-            apart = np.abs(far_x - far_q[i]).max(axis=1) if far_x.shape[1] else np.zeros(len(x))
-            # the slack covers the rounding of the distances
-            bound = np.nan_to_num((qq[i] + xx - apart**2) / 2 + 1e-9 * (qq[i] + xx) + 1, nan=np.inf)
+    for i, (query, row, least) in enumerate(zip(queries["id"], queries["row"], queries["least"], strict=True)):
+        left = np.flatnonzero(ids != query)
+        apart = np.zeros(len(left))
+        for some in np.array_split(np.argsort(far_q[i]), 4):  # near pivots first; what they rule out meets no others
+            with np.errstate(over="ignore", invalid="ignore"):
+                apart = np.maximum(apart, np.abs(far_x[np.ix_(left, some)] - far_q[i, some]).max(axis=1, initial=0))
+            bound = upper_bound(qq[i], xx[left], apart)
+            may = bound >= least
+            left, apart, bound = left[may], apart[may], bound[may]
         order = np.argsort(-bound, kind="stable")
-        order = order[ids[order] != query]
         best: list[tuple[int, int]] = []
         for at in range(0, len(order), step):
             if len(best) == k and bound[order[at]] < -best[-1][0]:
                 break  # no bound that is left reaches the k-th score
-            part = order[at : at + step]
+            part = left[order[at : at + step]]
             best = sorted(best + [(-s, int(ids[j])) for s, j in zip(products(x[part], q[i], exact), part, strict=True)])[:k]
         out += [(query, row, j, -s) for s, j in best]
-    return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"]).astype("int64")
+    return pd.DataFrame(out, columns=FOUND).astype("int64")
+
+
+FOUND = ["query_id", "row", "vec_id", "score"]
+NOTHING = pd.DataFrame({c: pd.Series(dtype="int64") for c in FOUND})
+
+
+def needed_blocks(queries: DataFrame, blocks: DataFrame, n_packs: int, n_query_blocks: int) -> DataFrame:
+    """``query_id, row, block`` where a block other than the query's own may beat its ``least`` score."""
+
+    def run(asking: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(asking) or not len(known):
+            return pd.DataFrame({"query_id": [], "row": [], "block": []}).astype("int64")
+        lo, hi = (np.stack([np.frombuffer(b) for b in known[c]]) for c in ("lo", "hi"))
+        longest, name = known["longest"].to_numpy(), known["block"].to_numpy()
+        out = []
+        for r in asking.itertuples():
+            far = np.frombuffer(r.far)
+            with np.errstate(over="ignore", invalid="ignore"):
+                qq = float((np.frombuffer(r.x) ** 2).sum())
+                apart = np.maximum(np.maximum(lo - far, far - hi), 0).max(axis=1, initial=0)
+            may = name[(upper_bound(qq, longest, apart) >= r.least) & (name != r.block)]
+            out.append(pd.DataFrame({"query_id": r.id, "row": r.row, "block": may}))
+        return pd.concat(out)
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("id", "row", "x", "far", "least", "block", "q_block", every(n_packs).alias("pack"))
+    right = blocks.withColumn("pack", F.pmod("block", F.lit(n_packs))).withColumn("q_block", every(n_query_blocks))
+    return left.groupBy("q_block", "pack").cogroup(right.groupBy("q_block", "pack")).applyInPandas(run, "query_id long, row long, block int")
 
 
 def top_k(candidates: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -131,18 +216,25 @@ def top_k(candidates: DataFrame, is_query: Column, k: int = 10, id_col: str = "v
     are the same in id and vector are answered once.
     """
     rows = taking_part(candidates, id_col, vector_col)
-    table = stored(pivot_table(rows, choose_pivots(rows, scale), scale), "pivot-table")
-    queries = table.where(is_query).dropDuplicates(["id", "x"]).withColumn("row", F.xxhash64("x"))
-    n_blocks = max(1, -(-table.count() // BLOCK))
-    n_query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    spread = lambda n, salt: F.pmod(F.xxhash64("id", "x", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("q_block", spread(n_query_blocks, 1)).withColumn("block", every(n_blocks))
-    right = table.withColumn("block", spread(n_blocks, 2)).withColumn("q_block", every(n_query_blocks))
+    cells = stored(pivot_table(rows, choose_pivots(rows, scale), scale).withColumn("at", F.monotonically_increasing_id()), "cells")
+    table = stored(in_blocks(cells), "pivot-table")
+    blocks = stored(ranges(table), "ranges")
+    schema = "query_id long, row long, vec_id long, score long"
+    queries = stored(table.where(is_query).dropDuplicates(["id", "x"]).withColumn("row", F.xxhash64("x")), "queries")
+    lowest = F.lit(float("-inf"))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return search_block(a, b, k) if len(a) and len(b) else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "row", "vec_id", "score")})
+        return search_block(a, b, k) if len(a) and len(b) else NOTHING
 
-    found = left.groupBy("block", "q_block").cogroup(right.groupBy("block", "q_block")).applyInPandas(search, "query_id long, row long, vec_id long, score long")
+    own = stored(queries.withColumn("least", lowest).groupBy("block").cogroup(table.groupBy("block")).applyInPandas(search, schema), "own-block")
+    n_query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    n_packs = max(1, -(-blocks.count() // PACK))
+    worst = own.groupBy("query_id", "row").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(lowest).alias("least"))
+    told = queries.join(worst, (queries["id"] == worst["query_id"]) & (queries["row"] == worst["row"]), "left").select(queries["id"], queries["row"], "x", "far", "block", F.coalesce("least", lowest).alias("least"))
+    asking = stored(told.withColumn("q_block", F.pmod(F.xxhash64("id", "row"), F.lit(n_query_blocks)).cast("int")), "asking")
+    needed = stored(needed_blocks(asking, blocks, n_packs, n_query_blocks), "needed")
+    sent = needed.join(asking.withColumnRenamed("id", "query_id").drop("block"), ["query_id", "row"]).withColumnRenamed("query_id", "id")
+    there = stored(sent.select("block", "q_block").distinct(), "pairs-of-blocks")
+    found = sent.groupBy("block", "q_block").cogroup(table.join(there, "block").groupBy("block", "q_block")).applyInPandas(search, schema)
     rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return own.unionByName(found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,9 +7,11 @@ shard, as little-endian unsigned integers of 2 bytes (4, where the vocabulary ne
 them). One more frame, the last, holds the shard's document ids. A reader seeks to the
 footer, then decompresses only the frames that it was asked for, and checks each.
 
-Shards follow each other in ascending ``doc_id`` order, nulls first, and documents do
-so within them; equal ids are ordered by text. Each task writes its shard under a name
-of its own and renames it when whole, so a task that runs twice leaves one shard.
+Texts are encoded where they lie, and only ids are put in order. Shards follow each other in
+ascending ``doc_id`` order, nulls first, and documents do so within them; equal ids are
+ordered by a hash of the text, so even one id of many rows is dealt to several shards. Each
+task writes its shard under a name of its own and renames it when whole, so a task that runs
+twice leaves one shard.
 
 Defined results: a null text counts as empty and has the end id only; an empty table
 gives no shard; repeated rows give repeated documents; other columns are not written.
@@ -18,6 +20,7 @@ gives no shard; repeated rows give repeated documents; other columns are not wri
 from __future__ import annotations
 
 import gc
+import json
 import os
 import struct
 from collections.abc import Iterable, Iterator
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import per_worker
+from folio.llm.common import per_worker, stored
 
 # Fixed values of the public seekable layout.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -59,13 +62,36 @@ PLAIN = r"[!-;=?-~À-ÖØ-öø-ÿ]+"
 PLAIN_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+"
 
 
+#: The settings of a tokenizer file for which words can be looked up one by one. Fixed values of that file.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+    "post_processor": None,
+}
+
+
+def encodes_by_word(settings: dict) -> bool:
+    """Whether a tokenizer file has exactly these settings, and no added token that a word without brackets could hold."""
+    plain = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in settings.get("added_tokens") or [])
+    return plain and settings["model"]["type"] == "BPE" and all(settings.get(k) == v for k, v in BY_WORD.items())
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space, looked up word by word.
+    """Ids of texts by a tokenizer file.
 
-    Such a tokenizer encodes the parts between ASCII spaces independently, so each
+    Where its settings are those of ``BY_WORD``, the parts between ASCII spaces are independent, so each
     distinct part goes through the tokenizers library once. Plain words are lowered and
     split here and their pieces go to the library's model; all others take its whole
-    path. The memory has two generations, so that frequent words outlive rare ones.
+    path. The memory has two generations, so that frequent words outlive rare ones. With any
+    other settings the library encodes whole texts.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int):
@@ -75,6 +101,8 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self._by_word = encodes_by_word(json.load(f))
         self.width = 2 if max(self._tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self._pack = {2: struct.Struct("<H").pack, 4: struct.Struct("<I").pack}[self.width]
         self._end = self._pack(end_id)
@@ -104,14 +132,20 @@ class WordIds:
             memo[w] = b"".join(map(self._pack, e.ids))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
+        if not self._by_word:
+            return [b"".join(map(self._pack, e.ids)) + self._end for e in self._tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self._memo) > MEMO_WORDS:
             self._old, self._memo = self._memo, {"": b""}
         if len(self._pieces) > MEMO_WORDS:
             self._pieces.clear()
+        collecting = gc.isenabled()
         gc.disable()  # learning makes many small objects and no cycles
-        self._learn(list(set().union(*parts).difference(self._memo)))
-        gc.enable()
+        try:
+            self._learn(list(set().union(*parts).difference(self._memo)))
+        finally:
+            if collecting:
+                gc.enable()
         ids = self._memo.__getitem__
         return [b"".join(map(ids, p)) + self._end for p in parts]
 
@@ -121,7 +155,7 @@ class ShardWriter:
         import xxhash
         import zstandard
 
-        self._sink, self._width = sink, width
+        self._sink, self.width = sink, width
         self._pack = zstandard.ZstdCompressor(level=3, write_checksum=True).compress
         self._check = xxhash.xxh64_intdigest
         self._entries: list[tuple[int, int, int]] = []
@@ -136,7 +170,7 @@ class ShardWriter:
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self._frame(ids)
         self._ids.append(doc_id)
-        self.n_ids += len(ids) // self._width
+        self.n_ids += len(ids) // self.width
 
     def finish(self) -> int:
         known = np.array([x is not None for x in self._ids], np.uint8)
@@ -185,10 +219,25 @@ class Shard:
         return np.frombuffer(self._read(k), f"<u{self.width}").astype("<u4").tobytes()
 
 
+def with_ids(df: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
+    """``doc_id, tie, width, ids``: the ids of each text as they are kept in files; ``tie`` is a hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = per_worker("word ids", f"{tokenizer_path} {end_id}", lambda: WordIds(tokenizer_path, end_id))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                part = whole.slice(at, 512)
+                ids = encoder.encode(t or "" for t in part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([encoder.width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "tie", "width", "ids"])
+
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, tie long, width int, ids binary")
+
+
 def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2) -> None:
     """Encode ``doc_id, text`` rows and write them as shards into a new shared folder.
 
-    Rows are dealt to tasks by ranges of ``doc_id``; each task writes one shard. The
+    Ids are dealt to tasks by ranges of ``doc_id``; each task writes one shard. The
     small manifest (a row per shard) is a Parquet table beside them.
     """
     system, path = open_folder(folder)
@@ -196,27 +245,25 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        encoder = per_worker("word ids", f"{tokenizer_path} {end_id}", lambda: WordIds(tokenizer_path, end_id))
         out, own = open_folder(folder)
         draft = f"{own}/shards/_draft-{task.partitionId()}-{task.taskAttemptId()}"
         writer = sink = None
         for batch in batches:
             if writer is None and batch.num_rows:
                 sink = out.open_output_stream(draft)
-                writer = ShardWriter(sink, encoder.width)
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(t or "" for t in part.column(1).to_pylist()), strict=True):
-                    writer.add(doc_id, ids)
+                writer = ShardWriter(sink, batch.column(1)[0].as_py())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                writer.add(doc_id, ids)
         if writer is not None:
             n = writer.finish()
             sink.close()
             out.move(draft, f"{own}/shards/{task.partitionId():06d}.zst")
-            row = [[task.partitionId()], [n], [writer.n_ids], [encoder.width]]
+            row = [[task.partitionId()], [n], [writer.n_ids], [writer.width]]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["shard", "n_docs", "n_ids", "width"])
 
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    rows = stored(with_ids(df, tokenizer_path, end_id), "ids")
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "width", "ids")
+    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:

@@ -147,6 +147,26 @@ def test_word_ids_are_the_librarys():
         assert np.frombuffer(ids, "<u2").tolist() == [*library.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_other_tokenizers_are_encoded_by_the_library(tmp_path):
+    """A file with other settings (here without lower case) does not take the way by words."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(queries.WORD_TOKENIZER, encoding="utf-8") as f:
+        settings = json.load(f)
+    assert tokenfile.encodes_by_word(settings)
+    settings["normalizer"] = {"type": "NFC"}
+    settings["added_tokens"].append({**settings["added_tokens"][0], "id": 49408, "content": "new york"})
+    assert not tokenfile.encodes_by_word(settings)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(settings))
+    library, other = Tokenizer.from_file(str(path)), tokenfile.WordIds(str(path), 2)
+    texts = ["Some WORDS in new york", "", "İ é\n\nx"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in other.encode(texts)] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert library.encode("new york").ids == [49408]
+
+
 def test_token_files_seek_and_check(spark, tmp_path):
     folder = new_path(spark, "test")
     docs = spark.createDataFrame([(k, f"text number {k} " * k) for k in range(40)], "doc_id long, text string")

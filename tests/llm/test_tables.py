@@ -174,6 +174,25 @@ def test_importance_shifts_the_draw(spark):
     assert counts[False] > 1.3 * counts[True]
 
 
+def test_documents_are_drawn_as_often_as_stated(spark):
+    """Shares over many seeds against the inclusion probabilities, which add up to the words that are drawn."""
+    df = spark.createDataFrame([(k, "w " * (1 + 7 * (k % 5)), "s" if k % 3 else "t") for k in range(300)], "doc_id long, text string, source string").coalesce(2).cache()
+    seeds, drawn, stated = 25, Counter(), {}
+    for seed in range(seeds):
+        for r in mixing.with_copies(df, weights=(3, 1), seed=seed).collect():
+            whole = math.floor(r.target / r.source_size)
+            drawn[r.doc_id] += r.copies - whole
+            stated[r.doc_id] = (r.inclusion, r.size, r.source, r.target - whole * r.source_size)
+    for source in "st":
+        own = {i: x for i, x in stated.items() if x[2] == source}
+        rest = next(iter(own.values()))[3]
+        assert abs(sum(p * size for p, size, *_ in own.values()) - rest) < 1e-3 * rest + 1e-6
+        for size in {x[1] for x in own.values()}:  # documents of a size have one probability
+            alike = [i for i, x in own.items() if x[1] == size]
+            n, p = seeds * len(alike), own[alike[0]][0]
+            assert abs(sum(drawn[i] for i in alike) / n - p) < 4 * math.sqrt(max(p * (1 - p), 1e-4) / n) + 0.02
+
+
 # --- op7
 
 
@@ -199,7 +218,7 @@ def test_search_stops_early():
     import pandas as pd
 
     far = pivots.distances(x, x[:8])
-    made = pd.DataFrame({"id": range(3000), "row": range(3000), "x": [v.tobytes() for v in x], "far": [v.tobytes() for v in far]})
+    made = pd.DataFrame({"id": range(3000), "row": range(3000), "least": float("-inf"), "x": [v.tobytes() for v in x], "far": [v.tobytes() for v in far]})
     evaluated = []
     plain = pivots.products
     pivots.products = lambda part, q, exact: evaluated.append(len(part)) or plain(part, q, exact)
@@ -210,6 +229,30 @@ def test_search_stops_early():
     assert sum(evaluated) < 5 * 3000 / 2
 
 
+def test_queries_go_only_where_they_may_win(spark, monkeypatch):
+    """Clustered vectors: most blocks are ruled out by their ranges, and the result is exact."""
+    monkeypatch.setattr(pivots, "BLOCK", 100)
+    monkeypatch.setattr(pivots, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(pivots, "PACK", 5)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 6))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 6)) * 0.02
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in enumerate(x)] + [(5000 + k, x[0].tolist()) for k in range(300)], "vec_id long, embedding array<double>").repartition(4)
+    sent = []
+    plain = pivots.needed_blocks
+    monkeypatch.setattr(pivots, "needed_blocks", lambda q, b, *n: sent.append((q.count() * b.count(), (out := plain(q, b, *n)).count())) or out)
+    rows = pivots.top_k(df, F.col("id") % 50 == 0).collect()
+    whole = {r.vec_id: np.floor(1024 * np.array(r.embedding)) for r in df.collect()}
+    ids, m = np.array(list(whole)), np.stack(list(whole.values()))
+    want = set()
+    for i in ids[ids % 50 == 0]:
+        scores = sorted((-s, j) for s, j in zip(m @ whole[i], ids, strict=True) if j != i)[:10]
+        want |= {(i, n, j, int(-s)) for n, (s, j) in enumerate(scores, 1)}
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    assert sent[0][1] < sent[0][0] / 2
+
+
 # --- op8
 
 
