@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions.text import basename, extension
 
@@ -78,6 +80,37 @@ def image_mime(content: Column, ext: Column) -> Column:
     )
 
 
+def _whole(content: Column, at: int, n: int, little: bool = False) -> Column:
+    """The unsigned integer of n bytes at a place, from 1."""
+    places = range(at, at + n) if not little else range(at + n - 1, at - 1, -1)
+    return F.conv(F.hex(F.concat(*(F.substring(content, k, 1) for k in places))), 16, 10).cast("long")
+
+
+@F.pandas_udf(T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())]))
+def jpeg_size(content: pd.Series) -> pd.DataFrame:
+    """Of the frame header of a JPEG; the segments before it are stepped over."""
+
+    def one(data: bytes | None) -> tuple[int | None, int | None]:
+        at = 2
+        while data is not None and at + 9 <= len(data) and data[at] == 0xFF:
+            if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(data[at + 7 : at + 9]), int.from_bytes(data[at + 5 : at + 7])
+            at += 1 if data[at + 1] == 0xFF else 2 + int.from_bytes(data[at + 2 : at + 4])
+        return None, None
+
+    return pd.DataFrame([one(x) for x in content], columns=["width", "height"]).astype("Int64")
+
+
+def image_size(content: Column) -> Column:
+    """``width, height`` of PNG, GIF, BMP and JPEG images, null for others; only JPEGs go to Python."""
+    jpeg = jpeg_size(F.when(starts(content, b"\xff\xd8\xff"), content))
+    size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    tall = _whole(content, 23, 4, True)
+    up = F.when(tall >= 2**31, 2**32 - tall).otherwise(tall)  # rows from the top have a negative height
+    known = F.when(starts(content, b"\x89PNG\r\n\x1a\n"), size(_whole(content, 17, 4), _whole(content, 21, 4))).when(starts(content, b"GIF8"), size(_whole(content, 7, 2, True), _whole(content, 9, 2, True))).when(starts(content, b"BM"), size(_whole(content, 19, 4, True), up))
+    return F.coalesce(known, F.when(jpeg["width"].isNotNull(), jpeg))
+
+
 def part_mime(content: Column, name: Column, dialect: str) -> Column:
     """Of an image inside a document; null where that document's readers show none."""
     mime = F.when(starts(content, b"\x89PNG\r\n\x1a\n"), "image/png").when(starts(content, b"\xff\xd8\xff"), "image/jpeg").when(starts(content, b"GIF8"), "image/gif")

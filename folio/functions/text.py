@@ -87,6 +87,11 @@ def xml_decode(text: pd.Series) -> pd.Series:
     return text.map(decode_entities, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def xml_decode_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: [decode_entities(t) for t in x], na_action="ignore")
+
+
 # --- sizes, bytes and dumps
 
 
@@ -194,15 +199,16 @@ def custom_format(code: Column) -> Column:
 
 def serial_text(serial: Column, kind: Column) -> Column:
     """A spreadsheet's day number as text; ``kind`` is date, datetime or time."""
-    day = F.when(serial >= 0, F.floor(serial)).otherwise(F.ceil(serial))
-    seconds = F.when((serial - day) * 86400 + 0.5 >= 0, F.floor((serial - day) * 86400 + 0.5)).otherwise(F.ceil((serial - day) * 86400 + 0.5))
-    carried = F.when(seconds >= 86400, 1).otherwise(0)
-    seconds = seconds - carried * 86400
-    date = F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), (day + carried).cast("int")), "yyyy-MM-dd")
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    hour, minute = F.floor(seconds / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60)
-    clock = F.concat(two(hour), F.lit(":"), two(minute))
-    return F.when(kind == "time", F.concat(clock, F.lit(":"), two(F.pmod(seconds, F.lit(60))))).when(kind == "datetime", F.concat(date, F.lit(" "), clock)).otherwise(date)
+    whole = F.floor(serial)
+    total = whole * 86400 + F.floor((serial - whole) * 86400 + 0.5)
+
+    def shown(seconds: Column) -> Column:
+        date = F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), F.floor(seconds / 86400).cast("int")), "yyyy-MM-dd")
+        hour, minute, second = (F.pmod(F.floor(seconds / n), F.lit(m)) for n, m in ((3600, 24), (60, 60), (1, 60)))
+        return F.when(kind == "time", F.format_string("%02d:%02d:%02d", hour, minute, second)).when(kind == "datetime", F.concat(date, F.format_string(" %02d:%02d", hour, minute))).otherwise(date)
+
+    # the lambda's variable stands for the seconds, which would be written out at every use otherwise
+    return F.get(F.transform(F.array(total), shown), 0)
 
 
 @F.pandas_udf(T.StringType())

@@ -1,8 +1,8 @@
-"""ZIP members and XML events as tables.
+"""ZIP members and XML events.
 
-``part_nodes`` reads the wanted members only, within a budget on their declared
-sizes, and gives a row per XML event. The reader tolerates malformed XML: it never
-fails, and keeps names as written, prefix included.
+``Container`` reads the wanted members only, within a budget on their declared sizes. The
+XML reader tolerates malformed text: it never fails, and keeps names as written, prefix
+included.
 """
 
 from __future__ import annotations
@@ -24,36 +24,67 @@ NAME_CHARS = 79
 PARTS = "path string, part string, declared long, content binary, refused boolean"
 NODES = "path string, part string, ev_id int, ev string, name string, attrs map<string,string>, text string"
 
-_MARKUP = re.compile(r"<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<!--.*?(?:-->|$)|<\?.*?(?:\?>|$)|<![^>]*(?:>|$)|<(?P<end>/?)(?P<name>[^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_MARKUP = re.compile(r"<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<!--.*?(?:-->|$)|<\?.*?(?:\?>|$)|<![^>]*(?:>|$)|<(?P<end>/?)(?P<name>[^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+NO_ATTRS: dict[str, str] = {}
+
+
+class Container:
+    """A ZIP archive opened once; every read draws on one budget. ``ok`` tells whether it opens at all."""
+
+    def __init__(self, content: bytes | None, budget: int = BUDGET):
+        self._left = budget
+        self._infos: dict[str, zipfile.ZipInfo] = {}
+        try:
+            self._archive = zipfile.ZipFile(io.BytesIO(content or b""))
+            for info in self._archive.infolist():
+                self._infos.setdefault(info.filename, info)
+            self.ok = True
+        except Exception:
+            self.ok = False
+
+    def names(self, wanted: str) -> list[str]:
+        return [n for n in self._infos if re.fullmatch(wanted, n)]
+
+    def declared(self, name: str) -> int:
+        return self._infos[name].file_size
+
+    def holds(self, name: str) -> bool:
+        """Whether a member is there, within what is left of the budget."""
+        return name in self._infos and self._infos[name].file_size <= self._left
+
+    def read(self, name: str) -> bytes | None:
+        """The bytes of a member; none if it is missing, damaged, encrypted or beyond the budget."""
+        info = self._infos.get(name)
+        if info is None or info.file_size > self._left:
+            return None
+        try:
+            with self._archive.open(info) as member:
+                data = member.read(info.file_size + 1)
+        except Exception:  # a damaged or encrypted member counts as missing
+            return None
+        if len(data) > info.file_size:
+            return None
+        self._left -= len(data)
+        return data
+
+    def xml(self, name: str) -> Iterator[tuple[str, str, dict[str, str], str]]:
+        return events((self.read(name) or b"").decode("utf-8", "replace"))
 
 
 def members(content: bytes | None, wanted: str, budget: int = BUDGET) -> Iterator[tuple[str, int, bytes | None]]:
     """Name, declared size and bytes of the members whose whole name matches; no bytes beyond the budget."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content or b""))
-        infos = [i for i in archive.infolist() if re.fullmatch(wanted, i.filename)]
-    except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError):
-        return
-    for info in infos:
-        data = None
-        if info.file_size <= budget:
-            try:
-                with archive.open(info) as member:
-                    data = member.read(info.file_size + 1)
-                data = data if len(data) <= info.file_size else None
-            except Exception:  # a damaged or encrypted member counts as missing
-                data = None
-        budget -= len(data or b"")
-        yield info.filename, info.file_size, data
-
-
-def parts(files: DataFrame, wanted: str) -> DataFrame:
+    archive = Container(content, budget)
+    for name in archive.names(wanted):
+        yield name, archive.declared(name), archive.read(name)
+
+
+def parts(files: DataFrame, wanted: str, budget: int = BUDGET) -> DataFrame:
     """The members of each ``path, content`` whose name matches the pattern."""
 
-    def read(row: dict) -> Iterator[dict]:
-        for name, declared, data in members(row["content"], wanted):
-            yield {"path": row["path"], "part": name, "declared": declared, "content": data, "refused": data is None}
+    def read(row: dict) -> Iterator[tuple]:
+        for name, declared, data in members(row["content"], wanted, budget):
+            yield row["path"], name, declared, data, data is None
 
     return expand(files.select("path", "content"), read, PARTS)
 
@@ -65,18 +96,18 @@ def events(xml: str) -> Iterator[tuple[str, str, dict[str, str], str]]:
         here = xml.find("<", at)
         here = len(xml) if here < 0 else here
         if here > at:
-            yield "text", "", {}, decode_entities(xml[at:here])
+            yield "text", "", NO_ATTRS, decode_entities(xml[at:here])
         if here == len(xml):
             return
         m = _MARKUP.match(xml, here)
         at = m.end() if m else len(xml)
         if m and m["cdata"] is not None:
             if m["cdata"]:
-                yield "text", "", {}, decode_entities(m["cdata"])
+                yield "text", "", NO_ATTRS, decode_entities(m["cdata"])
         elif m and m["name"]:
             name = m["name"][:NAME_CHARS]
             if m["end"]:
-                yield "end", name, {}, ""
+                yield "end", name, NO_ATTRS, ""
             else:
                 attrs: dict[str, str] = {}
                 for a in _ATTRIBUTE.finditer(m["rest"]):
@@ -87,10 +118,11 @@ def events(xml: str) -> Iterator[tuple[str, str, dict[str, str], str]]:
 def part_nodes(files: DataFrame, wanted: str) -> DataFrame:
     """XML events of the members whose name matches the pattern."""
 
-    def read(row: dict) -> Iterator[dict]:
-        for name, _, data in members(row["content"], wanted):
-            for k, (ev, tag, attrs, text) in enumerate(events((data or b"").decode("utf-8", "replace"))):
-                yield {"path": row["path"], "part": name, "ev_id": k, "ev": ev, "name": tag, "attrs": list(attrs.items()), "text": text}
+    def read(row: dict) -> Iterator[tuple]:
+        archive = Container(row["content"])
+        for name in archive.names(wanted):
+            for k, (ev, tag, attrs, text) in enumerate(archive.xml(name)):
+                yield row["path"], name, k, ev, tag, list(attrs.items()), text
 
     return expand(files.select("path", "content"), read, NODES)
 
@@ -98,22 +130,17 @@ def part_nodes(files: DataFrame, wanted: str) -> DataFrame:
 def xml_nodes(texts: DataFrame) -> DataFrame:
     """XML events of ``path, text`` rows."""
 
-    def read(row: dict) -> Iterator[dict]:
+    def read(row: dict) -> Iterator[tuple]:
         for k, (ev, tag, attrs, text) in enumerate(events(row["text"] or "")):
-            yield {"path": row["path"], "part": "", "ev_id": k, "ev": ev, "name": tag, "attrs": list(attrs.items()), "text": text}
+            yield row["path"], "", k, ev, tag, list(attrs.items()), text
 
     return expand(texts.select("path", "text"), read, NODES)
 
 
-def openable(files: DataFrame, required: str) -> DataFrame:
-    """``path, is_zip, has_part``: whether a file opens as a ZIP, and holds a required member within the budget."""
-
-    def read(row: dict) -> Iterator[dict]:
-        try:
-            zipfile.ZipFile(io.BytesIO(row["content"] or b""))
-            ok = True
-        except Exception:
-            ok = False
-        yield {"path": row["path"], "is_zip": ok, "has_part": ok and any(data is not None for _, _, data in members(row["content"], required))}
-
-    return expand(files.select("path", "content"), read, "path string, is_zip boolean, has_part boolean")
+def relations(archive: Container, name: str) -> dict[str, str]:
+    """Targets by id, the first of equal ids."""
+    found: dict[str, str] = {}
+    for ev, tag, attrs, _ in archive.xml(name):
+        if ev in ("start", "empty") and "Relationship" in tag and tag != "Relationships" and "Id" in attrs and "Target" in attrs:
+            found.setdefault(attrs["Id"], attrs["Target"])
+    return found

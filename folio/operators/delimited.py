@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import extension
@@ -23,7 +23,7 @@ def sniffed_delimiter(ext: Column, text: Column) -> Column:
     return F.when((ext == "tsv") | ((tabs > commas) & (tabs > semicolons)), "\t").when(semicolons > commas, ";").otherwise(",")
 
 
-def split_rows(text: str, delimiter: str, max_rows: int = MAX_ROWS) -> Iterator[tuple[int, int, str]]:
+def split_rows(text: str, delimiter: str, max_rows: int | None = MAX_ROWS) -> Iterator[tuple[int, int, str | None]]:
     """Row, column and value of each cell; the row ``max_rows`` stands alone, without value, if there is more.
 
     A field is quoted only if a quote is its first character; what stands between its
@@ -34,7 +34,7 @@ def split_rows(text: str, delimiter: str, max_rows: int = MAX_ROWS) -> Iterator[
     field = re.compile(rf'"((?:[^"]|"")*)(?:"[^{d}\r\n]*|$)|([^{d}\r\n]*)')
     at = row = col = 0
     while at < len(text):
-        if row >= max_rows:
+        if max_rows is not None and row >= max_rows:
             yield row, 0, None
             return
         m = field.match(text, at)
@@ -47,23 +47,23 @@ def split_rows(text: str, delimiter: str, max_rows: int = MAX_ROWS) -> Iterator[
             row, col = row + 1, 0
 
 
-def csv_cells(files: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def csv_cells(files: DataFrame, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """``path, row_idx, col_idx, value, is_header, truncated`` of ``path, content`` rows, a row per cell.
 
-    The row limit goes down into the reader, which stops there. ``truncated`` marks
-    a file with more rows.
+    The row limit (none for no limit) goes down into the reader, which stops there. ``truncated`` marks the
+    cells of a file with more rows. The reader learns that at the end only, so it goes over the
+    rows of such a long file twice; nothing is shuffled.
     """
-    decoded = expand(files.select("path", "content"), _decode, "path string, text string")
+    decoded = files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     told = decoded.withColumn("delimiter", sniffed_delimiter(extension(F.col("path")), F.col("text")))
 
-    def read(row: dict) -> Iterator[dict]:
-        for r, c, value in split_rows(row["text"], row["delimiter"], max_rows):
-            yield {"path": row["path"], "row_idx": r, "col_idx": c, "value": value}
+    def read(row: dict) -> Iterator[tuple]:
+        text = row["text"] or ""
+        # a file with fewer line ends than rows allowed can't have more rows
+        may = max_rows is not None and text.count("\n") + text.count("\r") >= max_rows
+        more = may and any(value is None for _, _, value in split_rows(text, row["delimiter"], max_rows))
+        for r, c, value in split_rows(text, row["delimiter"], max_rows):
+            if value is not None:
+                yield row["path"], r, c, value, r == 0, more
 
-    cells = expand(told, read, "path string, row_idx int, col_idx int, value string")
-    more = F.max(F.col("value").isNull()).over(Window.partitionBy("path"))
-    return cells.withColumn("truncated", more).where("value is not null").withColumn("is_header", F.col("row_idx") == 0)
-
-
-def _decode(row: dict) -> Iterator[dict]:
-    yield {"path": row["path"], "text": (row["content"] or b"").decode("utf-8", "replace")}
+    return expand(told, read, "path string, row_idx int, col_idx int, value string, is_header boolean, truncated boolean")

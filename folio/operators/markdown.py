@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,18 +21,20 @@ from pyspark.sql import types as T
 from folio.functions.text import decode_entities
 from folio.operators.rows import expand
 
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})\s*([^\s`]*)[^`]*$")
-_HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-_RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
-_ITEM = re.compile(r"( {0,3})([-*+]|[0-9]{1,9}[.)])(?:[ \t]+(.*)|)$")
+_FENCE = re.compile(r" {0,3}(`{3,}+|~{3,}+)\s*+([^\s`]*+)[^`]*+$")
+_HEADING = re.compile(r" {0,3}(#{1,6})(?=[ \t]|$)")
+_RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*+){3,}+|(?:-[ \t]*+){3,}+|(?:_[ \t]*+){3,}+)$")
+_ITEM = re.compile(r"( {0,3})([-*+]|[0-9]{1,9}[.)])(?:[ \t]++(.*)|)$")
 _TASK = re.compile(r"\[([ xX])\][ \t]+")
-_DIVIDER = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-_INLINE = re.compile(
-    r"\\([!-/:-@\[-`{-~])|(`+)(.+?)(?<!`)\2(?!`)|(!?)\[((?:[^\[\]\\]|\\.|\[[^\[\]]*\])*)\]\(\s*<?((?:[^\s()<>]|\([^\s()]*\))*)>?(?:\s+(?:\"([^\"]*)\"|'([^']*)'))?\s*\)"
-    r"|<((?:https?|mailto|ftp):[^\s<>]*)>|\*\*(?=\S)(.+?)(?<=\S)\*\*|(?<!\w)__(?=\S)(.+?)(?<=\S)__(?!\w)|\*(?=\S)([^*]+?)(?<=\S)\*|(?<!\w)_(?=\S)([^_]+?)(?<=\S)_(?!\w)"
-    r"|~~(?=\S)(.+?)(?<=\S)~~|(?<![\w/])((?:https?://|www\.)[^\s<>\"]*[^\s<>\".,;:!?)'])|(  +|\\)\n|(&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)",
-    re.S,
+_DIVIDER = re.compile(r" {0,3}\|?+[ \t]*+:?+-++:?+[ \t]*+(?:\|[ \t]*+:?+-++:?+[ \t]*+)*+\|?+[ \t]*+$")
+#: What means something inside of a line; text between two such things is plain.
+_TOKEN = re.compile(
+    r"\\(?P<escape>[!-/:-@\[-`{-~])|(?P<ticks>`++)|(?P<open>!?\[)|(?P<close>\])|<(?P<auto>(?:https?|mailto|ftp):[^\s<>]*+)>|(?P<run>\*++|_++|~++)"
+    r"|(?<![\w/])(?P<bare>(?:https?://|www\.)[^\s<>\"]*[^\s<>\".,;:!?)'])|(?P<break>(?:(?<! )  ++|\\)\n)|(?P<entity>&(?:[A-Za-z][A-Za-z0-9]{0,31}|\#[0-9]{1,7}|\#[xX][0-9A-Fa-f]{1,6});)"
 )
+_TARGET = re.compile(r"\(\s*+<?+((?:[^\s()<>]|\([^\s()]*+\))*+)>?+(?:\s++(?:\"([^\"]*+)\"|'([^']*+)'))?+\s*+\)")
+#: How deep quotes and lists may lie in each other; what is deeper is a paragraph.
+MAX_NESTING = 32
 
 
 def escaped(text: str) -> str:
@@ -48,37 +52,112 @@ def link(url: str, inner: str, title: str | None = None) -> str:
     return f'<a href="{target}"' + (f' title="{escaped(title)}"' if title else "") + f">{inner}</a>"
 
 
+class Run:
+    """A run of ``*``, ``_`` or ``~`` that may open or close emphasis; what is not used up stays as it is."""
+
+    def __init__(self, chars: str, before: str, after: str):
+        self.char, self.left, self.length = chars[0], len(chars), len(chars)
+        space = lambda c: not c or c.isspace()
+        mark = lambda c: bool(c) and not c.isalnum() and not c.isspace()
+        opening = not space(after) and (not mark(after) or space(before) or mark(before))
+        closing = not space(before) and (not mark(before) or space(after) or mark(after))
+        self.opens = opening and (self.char != "_" or not closing or mark(before))
+        self.closes = closing and (self.char != "_" or not opening or mark(after))
+        self.opened: list[str] = []
+        self.closed: list[str] = []
+
+    def fits(self, closer: Run) -> bool:
+        if self.char != closer.char or (self.char == "~" and not self.left == closer.left <= 2):
+            return False
+        either = self.closes or closer.opens
+        return self.char == "~" or not either or (self.length + closer.length) % 3 > 0 or self.length % 3 == closer.length % 3 == 0
+
+    def __str__(self) -> str:
+        return "".join(self.closed) + self.char * self.left + "".join(reversed(self.opened))
+
+
+def emphasize(runs: list[Run]) -> None:
+    """Pair runs off, each closer with the nearest opener that fits. What a search has passed over in vain is not searched again."""
+    openers: list[Run] = []
+    searched: dict[tuple, int] = {}
+    for run in runs:
+        kind = (run.char, run.opens, run.length % 3, run.left if run.char == "~" else 0)
+        while run.closes and run.left:
+            at = len(openers) - 1
+            while at >= searched.get(kind, 0) and not openers[at].fits(run):
+                at -= 1
+            if at < searched.get(kind, 0):
+                searched[kind] = len(openers)
+                break
+            opener = openers[at]
+            used = run.left if run.char == "~" else 2 if min(opener.left, run.left) > 1 else 1
+            tag = "del" if run.char == "~" else "strong" if used == 2 else "em"
+            opener.opened.append(f"<{tag}>")
+            run.closed.append(f"</{tag}>")
+            opener.left, run.left = opener.left - used, run.left - used
+            del openers[at + (opener.left > 0) :]
+            searched = {k: min(v, len(openers)) for k, v in searched.items()}
+        if run.opens and run.left:
+            openers.append(run)
+
+
 def inline(text: str) -> str:
-    out, at = [], 0
-    for m in _INLINE.finditer(text):
+    """The spans of a paragraph, in one pass: code, links and pictures by a stack of brackets, then emphasis."""
+    ticks: dict[int, list[int]] = {}
+    for m in re.finditer("`+", text):
+        ticks.setdefault(len(m[0]), []).append(m.start())
+    out: list[str | Run] = []
+    runs: list[Run] = []
+    brackets: list[tuple[int, int, bool]] = []  # places in ``out`` and ``runs``, and whether it is a picture
+    at = 0
+    while m := _TOKEN.search(text, at):
         out.append(escaped(text[at : m.start()]))
         at = m.end()
-        title = m[7] if m[7] is not None else m[8]
-        if m[1]:
-            out.append(escaped(m[1]))
-        elif m[2]:
-            code = m[3].replace("\n", " ")
-            out.append(f"<code>{escaped(code[1:-1] if len(code) > 2 and code[0] == code[-1] == ' ' and code.strip() else code)}</code>")
-        elif m[5] is not None and m[4]:
-            out.append(f'<img src="{escaped(decode_entities(m[6]))}" alt="{escaped(m[5])}"' + (f' title="{escaped(title)}"' if title else "") + ">")
-        elif m[5] is not None:
-            out.append(link(m[6], inline(m[5]), title))
-        elif m[9]:
-            out.append(link(m[9], escaped(m[9])))
-        elif m[10] or m[11]:
-            out.append(f"<strong>{inline(m[10] or m[11])}</strong>")
-        elif m[12] or m[13]:
-            out.append(f"<em>{inline(m[12] or m[13])}</em>")
-        elif m[14]:
-            out.append(f"<del>{inline(m[14])}</del>")
-        elif m[15]:
-            out.append(link(m[15] if "://" in m[15] else f"http://{m[15]}", escaped(m[15])))
-        elif m[16]:
+        if m["escape"]:
+            out.append(escaped(m["escape"]))
+        elif m["ticks"]:
+            ends = ticks.get(len(m[0]), [])
+            k = bisect_left(ends, at)
+            if k == len(ends):
+                out.append(m[0])
+            else:
+                code = text[at : ends[k]].replace("\n", " ")
+                out.append(f"<code>{escaped(code[1:-1] if len(code) > 2 and code[0] == code[-1] == ' ' and code.strip() else code)}</code>")
+                at = ends[k] + len(m[0])
+        elif m["open"]:
+            brackets.append((len(out), len(runs), m[0] == "!["))
+            out.append(m[0])
+        elif m["close"]:
+            target = _TARGET.match(text, at) if brackets else None
+            opened, first, is_picture = brackets.pop() if brackets else (0, 0, False)
+            if target is None:
+                out.append("]")
+                continue
+            at = target.end()
+            title = target[2] if target[2] is not None else target[3]
+            emphasize(runs[first:])
+            inner = "".join(map(str, out[opened + 1 :]))
+            del out[opened:], runs[first:]
+            if is_picture:
+                out.append(f'<img src="{escaped(decode_entities(target[1]))}" alt="{re.sub("<[^>]*>", "", inner)}"' + (f' title="{escaped(title)}"' if title else "") + ">")
+            else:
+                out.append(link(target[1], inner, title))
+                brackets = [b for b in brackets if b[2]]  # links do not hold links
+        elif m["auto"]:
+            out.append(link(m["auto"], escaped(m["auto"])))
+        elif m["run"]:
+            runs.append(Run(m[0], text[m.start() - 1] if m.start() else "", text[at : at + 1]))
+            out.append(runs[-1])
+        elif m["bare"]:
+            out.append(link(m["bare"] if "://" in m["bare"] else f"http://{m['bare']}", escaped(m["bare"])))
+        elif m["break"]:
             out.append("<br>\n")
         else:
-            out.append(escaped(html.unescape(m[17])))
+            name = m["entity"]
+            out.append(escaped(html.unescape(name) if name[1] == "#" else html5.get(name[1:], name)))
     out.append(escaped(text[at:]))
-    return "".join(out)
+    emphasize(runs)
+    return "".join(map(str, out))
 
 
 def cells(line: str) -> list[str]:
@@ -92,8 +171,9 @@ def table(head: str, divider: str, rows: list[str]) -> str:
     return "<table>\n<thead>\n" + row(head, "th") + "</thead>\n" + ("<tbody>\n" + "".join(row(r, "td") for r in rows) + "</tbody>\n" if rows else "") + "</table>\n"
 
 
-def blocks(text: str, tight: bool = False) -> Iterator[tuple[str, str]]:
-    """Kind and HTML of each block, in order."""
+def blocks(text: str, tight: bool = False, depth: int = 0) -> Iterator[tuple[str, str]]:
+    """Kind and HTML of each block, in order. Below ``MAX_NESTING`` there are no more quotes and lists."""
+    nests = depth < MAX_NESTING
     lines, at = text.expandtabs(4).replace("\r\n", "\n").replace("\r", "\n").split("\n"), 0
     while at < len(lines):
         line = lines[at]
@@ -107,7 +187,10 @@ def blocks(text: str, tight: bool = False) -> Iterator[tuple[str, str]]:
             yield "code", f"<pre><code{css}>{body}</code></pre>\n"
             at = end + 1
         elif m := _HEADING.match(line):
-            yield f"h{len(m[1])}", f"<h{len(m[1])}>{inline((m[2] or '').strip())}</h{len(m[1])}>\n"
+            title = line[m.end() :].strip()
+            bare = title.rstrip("#")
+            title = bare.rstrip() if not bare or bare[-1].isspace() else title
+            yield f"h{len(m[1])}", f"<h{len(m[1])}>{inline(title)}</h{len(m[1])}>\n"
             at += 1
         elif _RULE.match(line):
             yield "hr", "<hr>\n"
@@ -117,13 +200,13 @@ def blocks(text: str, tight: bool = False) -> Iterator[tuple[str, str]]:
             body = "\n".join(x[4:] for x in lines[at:end]).rstrip("\n ")
             yield "code", f"<pre><code>{escaped(body)}\n</code></pre>\n"
             at = end
-        elif re.match(" {0,3}>", line):
+        elif nests and re.match(" {0,3}>", line):
             end = next((k for k in range(at, len(lines)) if not lines[k].strip()), len(lines))
             inner = "\n".join(re.sub("^ {0,3}> ?", "", x) for x in lines[at:end])
-            yield "quote", "<blockquote>\n" + "".join(h for _, h in blocks(inner)) + "</blockquote>\n"
+            yield "quote", "<blockquote>\n" + "".join(h for _, h in blocks(inner, depth=depth + 1)) + "</blockquote>\n"
             at = end
-        elif m := _ITEM.match(line):
-            kind, at = yield from _list(lines, at, m)
+        elif nests and (m := _ITEM.match(line)):
+            at = yield from _list(lines, at, m, depth)
         elif at + 1 < len(lines) and "|" in line and _DIVIDER.match(lines[at + 1]) and len(cells(line)) == len(cells(lines[at + 1])):
             end = next((k for k in range(at + 2, len(lines)) if not lines[k].strip()), len(lines))
             yield "table", table(line, lines[at + 1], lines[at + 2 : end])
@@ -139,7 +222,7 @@ def blocks(text: str, tight: bool = False) -> Iterator[tuple[str, str]]:
             at = end + bool(under)
 
 
-def _list(lines: list[str], at: int, first: re.Match):
+def _list(lines: list[str], at: int, first: re.Match, depth: int):
     """The list that begins here; its items hold blocks of their own."""
     ordered = first[2][-1] in ".)"
     same = lambda m: m and (m[2][-1] == first[2][-1] if ordered else m[2] == first[2])
@@ -163,10 +246,10 @@ def _list(lines: list[str], at: int, first: re.Match):
     for body in items:
         task = _TASK.match(body)
         box = f'<input type="checkbox" class="task-list-item-checkbox" disabled{" checked" if task[1] != " " else ""}>' if task else ""
-        inner = "".join(h for _, h in blocks(body[task.end() :] if task else body, tight=not loose))
+        inner = "".join(h for _, h in blocks(body[task.end() :] if task else body, tight=not loose, depth=depth + 1))
         out += f"<li{' class=\"task-list-item\"' if task else ''}>{box}{inner}</li>\n"
     yield tag, out + f"</{tag}>\n"
-    return tag, at
+    return at
 
 
 def to_html(text: str) -> str:
@@ -181,8 +264,8 @@ def markdown_html(text: pd.Series) -> pd.Series:
 def md_blocks(texts: DataFrame) -> DataFrame:
     """``path, seq, kind, html`` of ``path, text`` rows."""
 
-    def read(row: dict) -> Iterator[dict]:
+    def read(row: dict) -> Iterator[tuple]:
         for seq, (kind, body) in enumerate(blocks(row["text"] or "")):
-            yield {"path": row["path"], "seq": seq, "kind": kind, "html": body}
+            yield row["path"], seq, kind, body
 
     return expand(texts.select("path", "text"), read, "path string, seq int, kind string, html string")

@@ -31,8 +31,8 @@ def notebooks(texts: DataFrame) -> DataFrame:
     """``path, nb, error_message, error_detail, language`` of ``path, text`` rows."""
     parsed = texts.select("path", F.try_parse_json(F.coalesce("text", F.lit(""))).alias("nb"))
     cells = _get(F.col("nb"), "$.cells", "array<variant>")
-    message = F.when(F.col("nb").isNull(), "Could not parse notebook").when(cells.isNull(), "Not a valid notebook")
-    detail = F.when(F.col("nb").isNull(), "invalid JSON").when(cells.isNull(), "no cells array")
+    message = F.when(F.col("nb").isNull(), "This notebook can't be read").when(cells.isNull(), "This notebook can't be read")
+    detail = F.when(F.col("nb").isNull(), "it is no JSON").when(cells.isNull(), "it has no list of cells")
     language = F.coalesce(F.nullif(_string(F.col("nb"), "$.metadata.language_info.name"), F.lit("")), F.nullif(_string(F.col("nb"), "$.metadata.kernelspec.language"), F.lit("")), F.lit("python"))
     return parsed.select("path", "nb", message.alias("error_message"), detail.alias("error_detail"), language.alias("language"))
 

@@ -1,306 +1,423 @@
 """Word documents, slides and open documents as ordered pieces of HTML.
 
-Each format starts from its table of XML events. The variables that a reader carries
-along (run formatting, paragraph properties, "inside a deletion") are windows over the
-events of a document; lookups (relationships, numbering, styles, images) are joins.
-The result is ``path, seq, kind, html``: pieces in order, whose concatenation is the body.
+A reader goes once over a document's XML and tells what it finds, with the variables that it
+carries along (run formatting, paragraph properties, "inside a deletion"): a row per run,
+paragraph, cell or picture. Everything else is DataFrame work: escaping and tags are
+expressions, list tags are windows over the list items of a document, and pictures come by a
+join that only rows with a picture take part in. The rows are ``path, seq, kind, html``
+pieces in order, whose concatenation is the body.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.classify import part_mime
-from folio.functions.text import data_uri, escape_html, leading_number, safe_link
-from folio.operators.containers import part_nodes, parts
-from folio.operators.rows import joined, latest, upto, within
+from folio.functions.text import data_uri, escape_html, safe_link
+from folio.operators.containers import Container, events, relations
+from folio.operators.rows import expand, joined
 from folio.sources.work import stored
 
 TAB = '<span style="display:inline-block;width:2em"></span>'
-PIECES = ["path", "seq", "kind", "html"]
 MAX_SLIDES = 200
 MAX_DEPTH = 16
+#: What every reader says of a file first: nothing, or why it can't be read.
+NO_ZIP, NO_PART = "zip", "part"
 
 
-def _opens(*names: str) -> Column:
-    return F.col("ev").isin("start", "empty") & F.col("name").isin(*names)
-
-
-def _is(ev: str, *names: str) -> Column:
-    return (F.col("ev") == ev) & F.col("name").isin(*names)
-
+def number(text: str | None, default: int = 0) -> int:
+    """The whole number that a text begins with, as a 32-bit integer."""
+    m = re.match(r"\s*([+-]?[0-9]{1,18})", text or "")
+    return max(-(2**31), min(2**31 - 1, int(m[1]))) if m else default
 
-def _attr(name: str) -> Column:
-    return F.col("attrs")[name]
 
-
-def _on() -> Column:
+def is_on(attrs: dict[str, str]) -> bool:
     """A toggle's value: on, unless it says otherwise."""
-    return ~F.coalesce(_attr("val"), F.lit("")).isin("false", "0", "none")
-
-
-def _number(name: str) -> Column:
-    return F.when(_attr(name).isNotNull(), leading_number(_attr(name), whole=True).cast("int"))
-
+    return attrs.get("val") not in ("false", "0", "none")
 
-def relationships(nodes: DataFrame) -> DataFrame:
-    """``path, part, rid, target``; the first of equal ids counts."""
-    own = nodes.where(F.col("part").endswith(".rels") & F.col("ev").isin("start", "empty") & F.col("name").contains("Relationship") & (F.col("name") != "Relationships"))
-    return own.groupBy("path", "part", _attr("Id").alias("rid")).agg(F.min_by(_attr("Target"), "ev_id").alias("target")).where("rid is not null")
 
+def faults(rows: DataFrame) -> DataFrame:
+    """``path, fault`` for every file: why it can't be read, or null."""
+    return rows.where("kind = 'file'").select("path", F.nullif("text", F.lit("")).alias("fault"))
 
-def images(files: DataFrame, wanted: str, dialect: str) -> DataFrame:
-    """``path, image, uri``: the image members; a null uri for kinds that are not shown."""
-    found = parts(files, wanted).where(~F.col("refused"))
-    mime = part_mime(F.col("content"), F.col("part"), dialect)
-    return found.select("path", F.col("part").alias("image"), F.when(mime.isNotNull(), data_uri(mime, F.col("content"))).alias("uri"))
 
-
-# --- word documents
-
-
-def bullets(nodes: DataFrame) -> DataFrame:
-    """``path, num_id, ilvl, is_ul`` for each level that a list definition states."""
-    own = nodes.where("part = 'word/numbering.xml'")
-    w = upto("path")
-    cur = own.withColumns({"abs_id": latest(F.when(_opens("w:abstractNum"), _number("abstractNumId")), w), "ilvl": latest(F.when(_opens("w:lvl"), F.coalesce(_number("ilvl"), F.lit(-1))), w), "num_id": latest(F.when(_opens("w:num"), _number("numId")), w)})
-    levels = cur.where(_opens("w:numFmt") & F.col("ilvl").between(0, 8) & _attr("val").isNotNull()).groupBy("path", "abs_id", "ilvl").agg((F.max_by(_attr("val"), "ev_id") == "bullet").alias("is_ul"))
-    nums = cur.where(_opens("w:abstractNumId") & F.col("num_id").isNotNull()).groupBy("path", "num_id").agg(F.min_by(_number("val"), "ev_id").alias("abs_id"))
-    known = cur.where(_opens("w:abstractNum") & _attr("abstractNumId").isNotNull()).select("path", "abs_id").distinct()
-    every = nums.join(known, ["path", "abs_id"]).withColumn("ilvl", F.explode(F.sequence(F.lit(0), F.lit(8))))
-    return every.join(levels, ["path", "abs_id", "ilvl"], "left").select("path", "num_id", "ilvl", F.coalesce("is_ul", F.lit(False)).alias("is_ul"))
+def with_images(rows: DataFrame, dialect: str) -> DataFrame:
+    """Rows with ``uri`` and ``known`` where they name an ``image`` part; the other rows meet no join."""
+    mime = part_mime(F.col("content"), F.col("image"), dialect)
+    found = rows.where("kind = 'image'").select("path", "image", F.when(mime.isNotNull(), data_uri(mime, F.col("content"))).alias("uri"), F.lit(True).alias("known"))
+    pieces = rows.where("kind not in ('image', 'file')").drop("content")
+    shown = pieces.where("image is not null").join(found, ["path", "image"], "left")
+    plain = pieces.where("image is null").withColumns({"uri": F.lit(None).cast("string"), "known": F.lit(None).cast("boolean")})
+    return plain.unionByName(shown)
 
 
 def list_tags(events: DataFrame) -> DataFrame:
     """``path, seq, tags``: the list tags before each event.
 
     ``want`` is the depth that an event needs; going deeper opens lists of its type, and
-    another type at the same depth closes one list and opens the next.
+    another type at the same depth closes one list and opens the next. At each depth
+    d, events with a smaller ``want`` end a list. Since the last of them, its type is that of the
+    last event that wanted just d, else that of the first event.
     """
+    deepest = F.max("want").over(Window.partitionBy("path"))
+    levels = events.withColumn("deepest", deepest).withColumn("d", F.explode(F.when(F.col("deepest") > 0, F.sequence(F.lit(1), F.col("deepest")))))
+    w = Window.partitionBy("path", "d").orderBy("seq")
+    inside = F.col("want") >= F.col("d")
+    islands = levels.withColumn("island", F.sum(F.when(inside, 0).otherwise(1)).over(w))
+    here = Window.partitionBy("path", "d", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    exact = F.last(F.when(F.col("want") == F.col("d"), F.col("is_ul")), ignorenulls=True).over(here)
+    first = F.first(F.when(inside, F.col("is_ul")), ignorenulls=True).over(here)
+    typed = islands.withColumn("now", F.when(inside, F.coalesce(exact, first))).withColumn("was", F.lag("now").over(w))
+    tag = lambda c, slash: F.concat(F.lit(f"<{slash}"), F.when(F.col(c), "ul").otherwise("ol"), F.lit(">"))
+    changed = ~F.col("was").eqNullSafe(F.col("now"))
+    told = typed.withColumns({"closes": F.when(changed & F.col("was").isNotNull(), tag("was", "/")), "opens": F.when(changed & F.col("now").isNotNull(), tag("now", ""))})
+    in_order = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(by.alias("o"), F.col(c).alias("v"))))), lambda p: p["v"]), "")
+    tags = told.groupBy("path", "seq").agg(F.concat(in_order("closes", -F.col("d")), in_order("opens", F.col("d"))).alias("tags"))
+    return tags.unionByName(events.withColumn("deepest", deepest).where("deepest = 0").select("path", "seq", F.lit("").alias("tags")))
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        stack: list[bool] = []
-        out = []
-        for seq, want, is_ul in rows.sort_values("seq")[["seq", "want", "is_ul"]].itertuples(index=False):
-            tags = ""
-            while len(stack) > want or (want and len(stack) == want and stack[-1] != is_ul):
-                tags += "</ul>" if stack.pop() else "</ol>"
-            while len(stack) < want:
-                stack.append(is_ul)
-                tags += "<ul>" if is_ul else "<ol>"
-            out.append((seq, tags))
-        return pd.DataFrame(out, columns=["seq", "tags"]).assign(path=rows["path"].iloc[0])
-
-    return events.groupBy("path").applyInPandas(walk, "seq int, tags string, path string")
-
-
-def docx_states(nodes: DataFrame) -> DataFrame:
-    """The events of the main part with the reader's variables as columns."""
-    own = nodes.where("part = 'word/document.xml'")
-    w = upto("path")
-    flags = {
-        "in_ppr": within(_is("start", "w:pPr"), _is("end", "w:pPr"), w),
-        "in_rpr": within(_is("start", "w:rPr"), _is("end", "w:rPr"), w),
-        "in_del": within(_is("start", "w:del"), _is("end", "w:del"), w),
-        "in_t": within(_is("start", "w:t"), _is("end", "w:t") | _is("empty", "w:t"), w),
-        "in_instr": within(_is("start", "w:instrText"), _is("end", "w:instrText"), w),
-        "in_tcpr": within(_is("start", "w:tcPr"), _is("end", "w:tcPr"), w),
-        "in_drawing": within(_is("start", "w:drawing"), _is("end", "w:drawing"), w),
-        "para": F.count(F.when(_opens("w:p"), 1)).over(w),
-        "cell": F.count(F.when(_is("start", "w:tc"), 1)).over(w),
-    }
-    flagged = own.withColumns(flags)
-    new_para, new_run = _opens("w:p"), _is("start", "w:r")
-    style = F.lower(_attr("val"))
-    heading = F.when(style.startswith("heading") & (F.length(style) > 7), leading_number(F.substring(style, 8, 9), whole=True).cast("int")).when(style == "title", 1)
-    prop = lambda name: F.col("in_ppr") & _opens(name)
-    run = lambda name: F.col("in_rpr") & _opens(name)
-    toggle = lambda name: latest(F.when(new_run, False).when(run(name), _on()), w, False)
-    color = F.when(_attr("val").rlike("^[0-9A-Fa-f]{6}$"), _attr("val")).otherwise("")
-    mark = F.when(_attr("val").rlike("^[a-z]+$") & (_attr("val") != "none"), F.substring(_attr("val"), 1, 23)).otherwise("")
-    return flagged.withColumns(
-        {
-            "heading": latest(F.when(new_para, 0).when(prop("w:pStyle"), heading), w, 0),
-            "jc": latest(F.when(new_para, "").when(prop("w:jc"), _attr("val")), w, ""),
-            "num_id": latest(F.when(new_para, -1).when(prop("w:numId"), _number("val")), w, -1),
-            "ilvl": latest(F.when(new_para, 0).when(prop("w:ilvl"), _number("val")), w, 0),
-            "bold": toggle("w:b"),
-            "italic": toggle("w:i"),
-            "underline": toggle("w:u"),
-            "strike": toggle("w:strike"),
-            "vert": latest(F.when(new_run, "").when(run("w:vertAlign"), F.coalesce(_attr("val"), F.lit(""))), w, ""),
-            "color": latest(F.when(new_run, "").when(run("w:color"), color), w, ""),
-            "mark": latest(F.when(new_run, "").when(run("w:highlight"), mark), w, ""),
-            "embed": latest(F.when(_is("start", "w:drawing"), "").when(F.col("in_drawing") & _opens("a:blip"), _attr("embed")), w, ""),
-            "emu": latest(F.when(_is("start", "w:drawing"), 0).when(F.col("in_drawing") & _opens("wp:extent"), leading_number(_attr("cx"), whole=True)), w, 0),
-        }
-    )
+
+# --- word documents
+
+DOCX = (
+    "path string, seq int, kind string, text string, image string, content binary, bold boolean, italic boolean, underline boolean, strike boolean,"
+    "vert string, color string, mark string, align string, want int, is_ul boolean, size long"
+)
+RUN = {"bold": False, "italic": False, "underline": False, "strike": False, "vert": "", "color": "", "mark": ""}
+TOGGLES = {"w:b": "bold", "w:i": "italic", "w:u": "underline", "w:strike": "strike"}
+
+
+def bullets(archive: Container) -> dict[int, dict[int, bool]]:
+    """For each list of the numbering part whether its levels are bullets; levels that it leaves out are numbered."""
+    kinds: dict[int, dict[int, bool]] = {}
+    lists: dict[int, int] = {}
+    abstract = level = own = None
+    for ev, name, attrs, _ in archive.xml("word/numbering.xml"):
+        if ev not in ("start", "empty"):
+            continue
+        if name == "w:abstractNum" and "abstractNumId" in attrs:
+            abstract = number(attrs["abstractNumId"])
+            kinds.setdefault(abstract, {})
+        elif name == "w:lvl":
+            level = number(attrs.get("ilvl"), -1)
+        elif name == "w:numFmt" and abstract is not None and "val" in attrs:
+            kinds[abstract][level] = attrs["val"] == "bullet"
+        elif name == "w:num" and "numId" in attrs:
+            own = number(attrs["numId"])
+        elif name == "w:abstractNumId" and own is not None:
+            lists.setdefault(own, number(attrs.get("val")))
+    return {n: kinds[a] for n, a in lists.items() if a in kinds}
+
+
+def docx_rows(path: str, content: bytes | None) -> Iterator[tuple]:
+    archive = Container(content)
+    body = archive.read("word/document.xml")
+    yield _docx(path, 0, "file", "" if body is not None else NO_PART if archive.ok else NO_ZIP)
+    if body is None:
+        return
+    targets, lists, wanted = relations(archive, "word/_rels/document.xml.rels"), bullets(archive), {}
+    on: set[str] = set()  # the elements of interest that are open
+    run, style, has_list = dict(RUN), {}, False
+    done: list[list] = []
+    held: list[list] = []  # runs of a paragraph whose kind is not known yet
+    cell: list | None = None
+    embed, width = "", 0
+    for ev, name, attrs, text in _events(body):
+        opens = ev in ("start", "empty")
+        if name in ("w:pPr", "w:rPr", "w:del", "w:t", "w:instrText", "w:tcPr", "w:drawing") and (ev != "empty" or name == "w:t"):
+            (on.add if ev == "start" else on.discard)(name)
+        if opens and name == "w:p":
+            style, held = {"heading": 0, "align": "", "list": -1, "level": 0}, []
+        elif ev == "start" and name == "w:r":
+            run = dict(RUN)
+        elif opens and "w:pPr" in on and name in ("w:pStyle", "w:jc", "w:numId", "w:ilvl"):
+            value = attrs.get("val")
+            if name == "w:pStyle" and value is not None:
+                low = value.lower()
+                style["heading"] = 1 if low == "title" else number(low[7:]) if low.startswith("heading") and len(low) > 7 else style.get("heading", 0)
+            elif value is not None:
+                style[{"w:jc": "align", "w:numId": "list", "w:ilvl": "level"}[name]] = value if name == "w:jc" else number(value)
+        elif opens and "w:rPr" in on and name in TOGGLES:
+            run[TOGGLES[name]] = is_on(attrs)
+        elif opens and "w:rPr" in on and name in ("w:vertAlign", "w:color", "w:highlight"):
+            value = attrs.get("val", "")
+            if name == "w:vertAlign":
+                run["vert"] = value
+            elif name == "w:color":
+                run["color"] = value if re.fullmatch("[0-9A-Fa-f]{6}", value) else ""
+            else:
+                run["mark"] = value[:23] if re.fullmatch("[a-z]+", value) and value != "none" else ""
+        if ev == "start" and name == "w:drawing":
+            embed, width = "", 0
+        elif opens and "w:drawing" in on and name == "a:blip":
+            embed = attrs.get("embed", embed)
+        elif opens and "w:drawing" in on and name == "wp:extent":
+            width = number(attrs.get("cx"))
+        elif opens and "w:tcPr" in on and name == "w:gridSpan" and cell is not None:
+            cell[-1] = max(cell[-1] or 0, number(attrs.get("val")))
+
+        deleted = "w:del" in on
+        if ev == "text":
+            if "w:t" in on and not deleted and "w:instrText" not in on:
+                held.append(_row("run", text, run=run))
+        elif opens and name in ("w:br", "w:cr") and not deleted and "w:rPr" not in on:
+            held.append(_row("br"))
+        elif opens and name == "w:tab" and not deleted and not on & {"w:pPr", "w:rPr"}:
+            held.append(_row("tab"))
+        elif ev == "start" and name == "w:hyperlink":
+            target = targets.get(attrs.get("id"))
+            held.append(_row("link", target if target is not None else "#" + attrs["anchor"] if "anchor" in attrs else None))
+        elif ev == "end" and name == "w:hyperlink":
+            held.append(_row("unlink"))
+        elif ev == "end" and name == "w:drawing" and not deleted and embed in targets:
+            place = targets[embed][1:] if targets[embed].startswith("/") else "word/" + targets[embed]
+            wanted.setdefault(place)
+            held.append(_row("picture", image=place, size=width))
+        elif ev == "end" and name == "w:p" and style:
+            is_item = style["list"] >= 0
+            has_list |= is_item
+            kind = "item" if is_item else f"h{min(style['heading'], 6)}" if style["heading"] > 0 else "p"
+            level = style["level"] if 0 <= style["level"] <= 8 else 0
+            is_ul = lists[style["list"]].get(level, False) if style["list"] in lists else True
+            done += [_row(kind, align=style["align"], want=max(0, min(style["level"] + 1, MAX_DEPTH)) if is_item else 0, is_ul=is_ul), *held, _row("end", kind)]
+            held = []
+        elif name in ("w:tbl", "w:tr", "w:tc") and ev in ("start", "end"):
+            ends_lists = (name == "w:tbl" and ev == "start") or (name == "w:tc" and ev == "end")
+            done.append(_row(name[2:] if ev == "start" else "/" + name[2:], want=0 if ends_lists else None))
+            cell = done[-1] if name == "w:tc" and ev == "start" else cell
+        elif ev == "end" and name == "w:body":
+            done.append(_row("/body", want=0))
+    for seq, row in enumerate(done):
+        kind, text, image, run, align, want, is_ul, size = row
+        yield path, seq, kind, text, image, None, *run.values(), align, want if has_list else None, is_ul, size
+    for place in wanted:
+        if (data := archive.read(place)) is not None:
+            yield _docx(path, 0, "image", None, place, data)
+
+
+def _events(part: bytes) -> Iterator[tuple[str, str, dict[str, str], str]]:
+    return events(part.decode("utf-8", "replace"))
+
+
+def _row(kind: str, text: str | None = None, image: str | None = None, run: dict = RUN, align: str = "", want: int | None = None, is_ul: bool = True, size: int | None = None) -> list:
+    return [kind, text, image, run, align, want, is_ul, size]
+
+
+def _docx(path: str, seq: int, kind: str, text: str | None, image: str | None = None, content: bytes | None = None) -> tuple:
+    return path, seq, kind, text, image, content, *RUN.values(), "", None, True, None
+
+
+def read_docx(files: DataFrame) -> DataFrame:
+    """What the reader finds in ``path, content`` rows."""
+    return expand(files.select("path", "content"), lambda row: docx_rows(row["path"], row["content"]), DOCX)
 
 
 def _styled(text: Column) -> Column:
     """A run's text in its tags."""
     css = F.concat(F.when(F.col("color") != "", F.concat(F.lit("color:#"), "color", F.lit(";"))).otherwise(""), F.when(F.col("mark") != "", F.concat(F.lit("background:"), "mark", F.lit(";"))).otherwise(""))
-    for tag, on in (("sub", F.col("vert") == "subscript"), ("sup", F.col("vert") == "superscript"), ("s", F.col("strike")), ("u", F.col("underline")), ("i", F.col("italic")), ("b", F.col("bold"))):
-        text = F.when(on, F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>"))).otherwise(text)
-    return F.when(css != "", F.concat(F.lit('<span style="'), css, F.lit('">'), text, F.lit("</span>"))).otherwise(text)
-
-
-def docx_pieces(files: DataFrame) -> DataFrame:
-    """Paragraphs, list tags and tables of word documents, in order."""
-    nodes = stored(part_nodes(files, r"word/(document|numbering)\.xml|word/_rels/document\.xml\.rels"), "nodes")
-    states = stored(docx_states(nodes), "states")
-    rels = relationships(nodes).select("path", "rid", "target")
-    shown = images(files, r"word/.*\.[A-Za-z0-9]+|media/.*", "docx")
-    place = F.when(F.col("target").startswith("/"), F.substring("target", 2, 10_000)).otherwise(F.concat(F.lit("word/"), F.col("target")))
-    rid = F.when(_is("start", "w:hyperlink"), _attr("id")).when(_is("end", "w:drawing"), F.col("embed"))
-    inner = states.where((F.col("ev") == "text") | _opens("w:br", "w:cr", "w:tab") | _is("start", "w:hyperlink") | _is("end", "w:hyperlink", "w:drawing"))
-    looked = inner.withColumn("rid", rid).join(rels, ["path", "rid"], "left").withColumn("image", F.when(_is("end", "w:drawing"), place)).join(shown, ["path", "image"], "left")
-    pixels = F.floor(F.col("emu") / 9525)
+    tags = (("b", F.col("bold")), ("i", F.col("italic")), ("u", F.col("underline")), ("s", F.col("strike")), ("sup", F.col("vert") == "superscript"), ("sub", F.col("vert") == "subscript"))
+    opening = [F.when(on, f"<{tag}>").otherwise("") for tag, on in tags]
+    closing = [F.when(on, f"</{tag}>").otherwise("") for tag, on in reversed(tags)]
+    span = F.when(css != "", F.concat(F.lit('<span style="'), css, F.lit('">'))).otherwise("")
+    return F.concat(span, *opening, text, *closing, F.when(css != "", "</span>").otherwise(""))
+
+
+def docx_html(rows: DataFrame) -> DataFrame:
+    """Paragraphs, runs, list tags and tables of word documents, in order."""
+    events = rows.where("want is not null").select("path", "seq", "want", "is_ul")
+    looked = with_images(rows.where("want is null"), "docx").withColumn("tags", F.lit(""))
+    listed = rows.where("want is not null").drop("content").withColumns({"uri": F.lit(None).cast("string"), "known": F.lit(None).cast("boolean")})
+    every = looked.unionByName(listed.join(list_tags(events), ["path", "seq"]))
+    kind, text = F.col("kind"), F.col("text")
+    pixels = F.floor(F.col("size") / 9525)
     width = F.when((pixels > 0) & (pixels < 4000), F.concat(F.lit(' style="width:'), pixels.cast("string"), F.lit('px"'))).otherwise("")
-    found = F.col("uri").isNotNull()
-    picture = F.when(found, F.concat(F.lit('<img src="'), "uri", F.lit('" alt=""'), width, F.lit(">"))).when(F.col("known"), '<span class="missing-img">[unsupported image format]</span>').otherwise('<span class="missing-img">[image]</span>')
-    href = F.when(F.col("target").isNotNull() & safe_link(F.col("target")), escape_html(F.col("target"))).when(F.col("target").isNull() & _attr("anchor").isNotNull(), F.concat(F.lit("#"), escape_html(_attr("anchor")))).otherwise("#blocked")
-    outside = ~F.col("in_del")
+    picture = F.when(F.col("uri").isNotNull(), F.concat(F.lit('<img src="'), "uri", F.lit('" alt=""'), width, F.lit(">"))).when(F.col("known"), '<span class="missing-img">(picture of another kind)</span>').otherwise('<span class="missing-img">(picture missing)</span>')
+    href = F.when(text.isNotNull() & safe_link(text), escape_html(text)).otherwise("#blocked")
+    align = F.when(F.col("align").isin("center", "right"), F.col("align")).when(F.col("align") == "both", "justify")
+    style = F.when(align.isNotNull(), F.concat(F.lit(' style="text-align:'), align, F.lit('"'))).otherwise("")
+    span = F.when(F.col("size") > 1, F.concat(F.lit(' colspan="'), F.col("size").cast("string"), F.lit('"'))).otherwise("")
     html = (
-        F.when((F.col("ev") == "text") & F.col("in_t") & outside & ~F.col("in_instr"), _styled(escape_html(F.col("text"))))
-        .when(_opens("w:br", "w:cr") & outside & ~F.col("in_rpr"), "<br>")
-        .when(_opens("w:tab") & outside & ~F.col("in_ppr") & ~F.col("in_rpr"), TAB)
-        .when(_is("start", "w:hyperlink"), F.concat(F.lit('<a href="'), href, F.lit('">')))
-        .when(_is("end", "w:hyperlink"), "</a>")
-        .when(_is("end", "w:drawing") & outside & (F.col("rid") != "") & F.col("target").isNotNull(), picture)
-    )
-    members = shown.select("path", "image").distinct().withColumn("known", F.lit(True))
-    bodies = looked.join(members, ["path", "image"], "left").withColumn("known", F.coalesce("known", F.lit(False))).groupBy("path", "para").agg(joined(F.coalesce(html, F.lit("")), "ev_id").alias("body"))
-    spans = states.where(F.col("in_tcpr") & _opens("w:gridSpan")).groupBy("path", "cell").agg(F.max(_number("val")).alias("span"))
-    outer = states.where(_is("end", "w:p") | _is("start", "w:tbl", "w:tr", "w:tc") | _is("end", "w:tbl", "w:tr", "w:tc", "w:body"))
-    level = F.when(F.col("ilvl").between(0, 8), F.col("ilvl")).otherwise(0)
-    lists = bullets(nodes)
-    placed = outer.withColumn("lvl", level).join(lists.withColumnRenamed("ilvl", "lvl"), ["path", "num_id", "lvl"], "left").withColumn("is_ul", F.coalesce("is_ul", F.lit(True)))
-    is_item = _is("end", "w:p") & (F.col("num_id") >= 0)
-    want = F.when(is_item, F.least(F.col("ilvl") + 1, F.lit(MAX_DEPTH))).when(_is("end", "w:p", "w:tc", "w:body") | _is("start", "w:tbl"), 0)
-    deepest = F.max("want").over(Window.partitionBy("path"))  # most documents have no list
-    steps = placed.withColumn("want", want).where("want is not null").withColumn("deepest", deepest).where("deepest > 0")
-    tags = list_tags(steps.select("path", F.col("ev_id").alias("seq"), "want", "is_ul"))
-    align = F.when(F.col("jc").isin("center", "right"), F.col("jc")).when(F.col("jc") == "both", "justify")
-    block = F.when(F.col("heading") > 0, F.concat(F.lit("h"), F.least("heading", F.lit(6)).cast("string"))).otherwise("p")
-    start = F.concat(F.lit("<"), block, F.when(align.isNotNull(), F.concat(F.lit(' style="text-align:'), align, F.lit('"'))).otherwise(""), F.lit(">"))
-    body = F.coalesce("body", F.lit(""))
-    own = (
-        F.when(is_item, F.concat(F.lit("<li>"), body, F.lit("</li>")))
-        .when(_is("end", "w:p"), F.concat(start, body, F.lit("</"), block, F.lit(">")))
-        .when(_is("start", "w:tbl"), '<table class="docxtbl">')
-        .when(_is("start", "w:tr"), "<tr>")
-        .when(_is("start", "w:tc"), F.concat(F.lit("<td"), F.when(F.col("span") > 1, F.concat(F.lit(' colspan="'), F.col("span").cast("string"), F.lit('"'))).otherwise(""), F.lit(">")))
-        .when(_is("end", "w:tc"), "</td>")
-        .when(_is("end", "w:tr"), "</tr>")
-        .when(_is("end", "w:tbl"), "</table>")
+        F.when(kind == "run", _styled(escape_html(text)))
+        .when(kind.rlike("^(p|h[1-6])$"), F.concat(F.lit("<"), kind, style, F.lit(">")))
+        .when(kind == "item", "<li>")
+        .when(kind == "end", F.when(text == "item", "</li>").otherwise(F.concat(F.lit("</"), text, F.lit(">"))))
+        .when(kind == "br", "<br>")
+        .when(kind == "tab", TAB)
+        .when(kind == "link", F.concat(F.lit('<a href="'), href, F.lit('">')))
+        .when(kind == "unlink", "</a>")
+        .when(kind == "picture", picture)
+        .when(kind == "tbl", '<table class="docxtbl">')
+        .when(kind == "tr", "<tr>")
+        .when(kind == "tc", F.concat(F.lit("<td"), span, F.lit(">")))
+        .when(kind == "/tc", "</td>")
+        .when(kind == "/tr", "</tr>")
+        .when(kind == "/tbl", "</table>")
         .otherwise("")
     )
-    kind = F.when(is_item, "item").when(_is("end", "w:p"), block).otherwise("table")
-    whole = placed.withColumn("seq", F.col("ev_id")).join(bodies, ["path", "para"], "left").join(spans, ["path", "cell"], "left").join(tags, ["path", "seq"], "left")
-    return whole.select("path", "seq", kind.alias("kind"), F.concat(F.coalesce("tags", F.lit("")), own).alias("html"))
+    return every.select("path", "seq", "kind", F.concat("tags", html).alias("html"))
 
 
-# --- slides
+def docx_pieces(files: DataFrame) -> DataFrame:
+    return docx_html(stored(read_docx(files), "docx"))
 
 
-def pptx_slides(files: DataFrame) -> DataFrame:
-    """``path, slide, title, body``: slides 1, 2, ... up to the first number that is missing, 200 at most."""
-    nodes = stored(part_nodes(files, r"ppt/slides/slide[0-9]+\.xml|ppt/slides/_rels/slide[0-9]+\.xml\.rels"), "nodes").withColumn("slide", F.regexp_extract("part", "slide([0-9]+)", 1).cast("int"))
-    here = nodes.where(~F.col("part").endswith(".rels"))
-    numbers = here.select("path", "slide").distinct().withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("slide")))
-    kept = numbers.where((F.col("slide") == F.col("place")) & (F.col("slide") <= MAX_SLIDES)).select("path", "slide")
-    w = upto("path", "slide")
-    flags = here.join(kept, ["path", "slide"], "left_semi").withColumns(
-        {
-            "in_sp": within(_opens("p:sp"), _is("end", "p:sp"), w),
-            "in_p": within(_is("start", "a:p"), _is("end", "a:p"), w),
-            "in_t": within(_is("start", "a:t"), _is("end", "a:t"), w),
-            "para": F.count(F.when(_is("start", "a:p"), 1)).over(w),
-        }
-    )
-    is_title = latest(F.when(_opens("p:sp") | _is("end", "p:sp"), False).when(F.col("in_sp") & _opens("p:ph") & _attr("type").isin("title", "ctrTitle"), True), w, False)
-    states = flags.withColumn("is_title", is_title)
-    said = F.when((F.col("ev") == "text") & F.col("in_t") & F.col("in_p"), escape_html(F.col("text"))).when(_opens("a:br") & F.col("in_p"), " ").otherwise("")
-    paras = states.where("para > 0").groupBy("path", "slide", "para").agg(joined(said, "ev_id").alias("html"), F.max(F.when(_is("end", "a:p"), F.col("ev_id"))).alias("seq"), F.max_by("is_title", F.when(_is("end", "a:p"), F.col("ev_id"))).alias("is_title")).where("html != '' and seq is not null")
-    first = paras.where("is_title").groupBy("path", "slide").agg(F.min("seq").alias("title_seq"))
-    rels = relationships(nodes.drop("slide")).withColumn("slide", F.regexp_extract("part", "slide([0-9]+)", 1).cast("int")).select("path", "slide", "rid", "target")
-    place = F.when(F.col("target").startswith("/"), F.substring("target", 2, 10_000)).when(F.col("target").startswith("../"), F.concat(F.lit("ppt/"), F.substring("target", 4, 10_000))).otherwise(F.concat(F.lit("ppt/slides/"), F.col("target")))
-    blips = states.where(_opens("a:blip")).select("path", "slide", F.col("ev_id").alias("seq"), _attr("embed").alias("rid")).join(rels, ["path", "slide", "rid"]).withColumn("image", place)
-    pictures = blips.join(images(files, r"ppt/.*", "pptx").where("uri is not null"), ["path", "image"]).select("path", "slide", "seq", F.concat(F.lit('<img src="'), "uri", F.lit('" alt="">')).alias("html"))
-    texts = paras.join(first, ["path", "slide"], "left")
-    bodies = texts.where("title_seq is null or seq != title_seq").select("path", "slide", "seq", F.concat(F.lit("<p>"), "html", F.lit("</p>")).alias("html")).unionByName(pictures)
-    titles = texts.where("seq = title_seq").select("path", "slide", F.col("html").alias("title"))
-    body = bodies.groupBy("path", "slide").agg(joined("html", "seq").alias("body"))
-    return kept.join(titles, ["path", "slide"], "left").join(body, ["path", "slide"], "left").select("path", "slide", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("body"))
-
-
-def pptx_pieces(files: DataFrame) -> DataFrame:
+# --- slides
+
+PPTX = "path string, slide int, seq int, kind string, text string, image string, content binary"
+
+
+def pptx_rows(path: str, content: bytes | None, max_slides: int | None) -> Iterator[tuple]:
+    """Slides 1, 2, ... up to the first number that is missing: a row for each, its paragraphs and its pictures."""
+    archive = Container(content)
+    images: dict[str, None] = {}
+    n, seq = 0, 0
+    while max_slides is None or n < max_slides:
+        slide = archive.read(f"ppt/slides/slide{n + 1}.xml")
+        if slide is None:
+            break
+        n, has_title, is_title, said = n + 1, False, False, None
+        on: set[str] = set()
+        yield path, n, seq, "slide", None, None, None
+        targets = relations(archive, f"ppt/slides/_rels/slide{n}.xml.rels")
+        for ev, name, attrs, text in _events(slide):
+            opens = ev in ("start", "empty")
+            seq += 1
+            if name == "p:sp":
+                is_title = False
+                (on.add if opens else on.discard)(name)
+            elif name == "a:t":
+                (on.add if ev == "start" else on.discard)(name)
+            elif opens and name == "p:ph" and "p:sp" in on and attrs.get("type") in ("title", "ctrTitle"):
+                is_title = True
+            elif name == "a:p":
+                if ev == "end" and said:
+                    first = is_title and not has_title
+                    has_title |= first
+                    yield path, n, seq, "title" if first else "p", "".join(said), None, None
+                said = [] if ev == "start" else None
+            elif opens and name == "a:blip" and (target := targets.get(attrs.get("embed"))) is not None:
+                place = target[1:] if target.startswith("/") else "ppt/" + target[3:] if target.startswith("../") else "ppt/slides/" + target
+                images.setdefault(place)
+                yield path, n, seq, "picture", None, place, None
+            elif said is not None:
+                if ev == "text" and "a:t" in on:
+                    said.append(text)
+                elif opens and name == "a:br":
+                    said.append(" ")
+    yield path, 0, 0, "file", "" if n else NO_PART if archive.ok else NO_ZIP, None, None
+    for place in images:
+        if (data := archive.read(place)) is not None:
+            yield path, 0, 0, "image", None, place, data
+
+
+def read_pptx(files: DataFrame, max_slides: int | None = MAX_SLIDES) -> DataFrame:
+    """What the reader finds in ``path, content`` rows; at most ``max_slides`` of a file, all if that is none."""
+    return expand(files.select("path", "content"), lambda row: pptx_rows(row["path"], row["content"], max_slides), PPTX)
+
+
+def slides_of(rows: DataFrame) -> DataFrame:
+    """``path, slide, title, body``, as HTML."""
+    html = F.when(F.col("kind") == "p", F.concat(F.lit("<p>"), escape_html(F.col("text")), F.lit("</p>"))).when((F.col("kind") == "picture") & F.col("uri").isNotNull(), F.concat(F.lit('<img src="'), "uri", F.lit('" alt="">'))).otherwise("")
+    title = F.max(F.when(F.col("kind") == "title", escape_html(F.col("text"))))
+    return with_images(rows, "pptx").withColumn("html", html).groupBy("path", "slide").agg(F.coalesce(title, F.lit("")).alias("title"), joined("html", "seq").alias("body"))
+
+
+def pptx_slides(files: DataFrame, max_slides: int | None = MAX_SLIDES) -> DataFrame:
+    return slides_of(stored(read_pptx(files, max_slides), "pptx"))
+
+
+def pptx_html(rows: DataFrame) -> DataFrame:
     title = F.when(F.col("title") != "", F.concat(F.lit("<h2>"), "title", F.lit("</h2>"))).otherwise("")
     html = F.concat(F.lit('<div class="slideno">'), F.col("slide").cast("string"), F.lit('</div><div class="slide">'), title, "body", F.lit("</div>"))
-    return pptx_slides(files).select("path", F.col("slide").alias("seq"), F.lit("slide").alias("kind"), html.alias("html"))
+    return slides_of(rows).select("path", F.col("slide").alias("seq"), F.lit("slide").alias("kind"), html.alias("html"))
 
 
 # --- open documents
 
-
-def odf_styles(nodes: DataFrame) -> DataFrame:
-    """``path, style, css``: run styles by name; the content's own go before the shared ones."""
-    w = upto("path", "part")
-    named = nodes.withColumn("nth", F.count(F.when(_opens("style:style"), 1)).over(w)).withColumn("style", latest(F.when(_opens("style:style"), F.coalesce(_attr("name"), F.lit(""))), w))
-    text = _opens("style:text-properties")
-    given = lambda name: F.max(F.when(text & (_attr(name) != "none"), True))
-    props = named.where("style is not null and style != ''").groupBy("path", "part", "nth", "style").agg(
-        F.max(F.when(text & (_attr("font-weight") == "bold"), True)).alias("bold"),
-        F.max(F.when(text & (_attr("font-style") == "italic"), True)).alias("italic"),
-        given("text-underline-style").alias("underline"),
-        given("text-line-through-style").alias("strike"),
-        F.max_by(F.when(text & _attr("color").rlike("^#[0-9A-Fa-f]{6}$"), _attr("color")), F.when(text & _attr("color").rlike("^#[0-9A-Fa-f]{6}$"), F.col("ev_id"))).alias("color"),
-    )
-    lines = F.array_join(F.filter(F.array(F.when(F.col("underline"), "underline"), F.when(F.col("strike"), "line-through")), lambda x: x.isNotNull()), " ")
-    css = F.concat(F.when(F.col("bold"), "font-weight:bold;").otherwise(""), F.when(F.col("italic"), "font-style:italic;").otherwise(""), F.when(lines != "", F.concat(F.lit("text-decoration:"), lines, F.lit(";"))).otherwise(""), F.when(F.col("color").isNotNull(), F.concat(F.lit("color:"), "color", F.lit(";"))).otherwise(""))
-    order = F.struct((F.col("part") != "content.xml").alias("a"), F.col("nth").alias("b"))
-    return props.groupBy("path", "style").agg(F.min_by(css, order).alias("css"))
+ODF = "path string, seq int, kind string, text string, image string, content binary, size long"
+#: Elements and the tags that they become.
+ODF_TAGS = {"text:p": "p", "text:list": "ul", "text:list-item": "li", "table:table": "table", "table:table-row": "tr"}
+UNSEEN = ("text:note-body", "office:annotation")
+
+
+def odf_styles(archive: Container, own: bytes) -> dict[str, str]:
+    """CSS of run styles by name: those of the content itself go before the shared ones."""
+    css: dict[str, str] = {}
+    for part in (own, archive.read("styles.xml") or b""):
+        name, given = None, {}
+
+        def close() -> None:
+            if name:
+                lines = " ".join(line for line in ("underline", "line-through") if given.get(line))
+                css.setdefault(name, "".join([given.get("bold", ""), given.get("italic", ""), f"text-decoration:{lines};" if lines else "", given.get("color", "")]))
+
+        for ev, tag, attrs, _ in _events(part):
+            if ev in ("start", "empty") and tag == "style:style":
+                close()
+                name, given = attrs.get("name", ""), {}
+            elif ev in ("start", "empty") and tag == "style:text-properties":
+                given |= {"bold": "font-weight:bold;"} if attrs.get("font-weight") == "bold" else {}
+                given |= {"italic": "font-style:italic;"} if attrs.get("font-style") == "italic" else {}
+                given |= {"underline": "u"} if attrs.get("text-underline-style", "none") != "none" else {}
+                given |= {"line-through": "s"} if attrs.get("text-line-through-style", "none") != "none" else {}
+                given |= {"color": f"color:{attrs['color']};"} if re.fullmatch("#[0-9A-Fa-f]{6}", attrs.get("color", "")) else {}
+        close()
+    return css
+
+
+def odf_rows(path: str, content: bytes | None) -> Iterator[tuple]:
+    archive = Container(content)
+    body = archive.read("content.xml")
+    yield path, 0, "file", "" if body is not None else NO_PART if archive.ok else NO_ZIP, None, None, None
+    if body is None:
+        return
+    styles, images = odf_styles(archive, body), {}
+    level, unseen = "1", 0
+    for seq, (ev, name, attrs, text) in enumerate(_events(body)):
+        opens, ends = ev in ("start", "empty"), ev == "end"
+        if name in UNSEEN:
+            unseen += {"start": 1, "end": -1}.get(ev, 0)
+        elif unseen > 0:
+            continue
+        elif ev == "text":
+            yield path, seq, "text", text, None, None, None
+        elif name == "text:h":
+            level = str(max(1, min(6, number(attrs.get("outline-level"), 1)))) if opens else level
+            yield path, seq, name, f"<{'' if opens else '/'}h{level}>", None, None, None
+        elif name in ODF_TAGS:
+            yield path, seq, name, f"<{'' if opens else '/'}{ODF_TAGS[name]}>", None, None, None
+        elif name == "text:span" and ev != "empty":
+            css = styles.get(attrs.get("style-name", ""), "")
+            yield path, seq, name, "</span>" if ends else f'<span style="{css}">' if css else "<span>", None, None, None
+        elif name == "table:table-cell":
+            yield path, seq, name, None if opens else "</td>", None, None, number(attrs.get("number-columns-spanned"))
+        elif opens and name == "text:line-break":
+            yield path, seq, name, "<br>", None, None, None
+        elif opens and name == "text:tab":
+            yield path, seq, name, TAB, None, None, None
+        elif opens and name == "draw:image" and "href" in attrs:
+            place = attrs["href"].removeprefix("./")
+            images.setdefault(place)
+            yield path, seq, name, None, place, None, None
+    for place in images:
+        if (data := archive.read(place)) is not None:
+            yield path, 0, "image", None, place, data, None
+
+
+def read_odf(files: DataFrame) -> DataFrame:
+    """What the reader finds in ``path, content`` rows."""
+    return expand(files.select("path", "content"), lambda row: odf_rows(row["path"], row["content"]), ODF)
+
+
+def odf_html(rows: DataFrame) -> DataFrame:
+    """The content of open documents, without note bodies and annotations, in order."""
+    span = F.when(F.col("size") > 1, F.concat(F.lit(' colspan="'), F.col("size").cast("string"), F.lit('"'))).otherwise("")
+    html = F.when(F.col("kind") == "text", escape_html(F.col("text"))).when(F.col("text").isNotNull(), F.col("text")).when(F.col("kind") == "table:table-cell", F.concat(F.lit("<td"), span, F.lit(">"))).when(F.col("uri").isNotNull(), F.concat(F.lit('<img src="'), "uri", F.lit('" alt="">')))
+    return with_images(rows, "odf").select("path", "seq", "kind", html.alias("html")).where("html is not null")
 
 
 def odf_pieces(files: DataFrame) -> DataFrame:
-    """The content of open documents, without note bodies and annotations, in order."""
-    nodes = stored(part_nodes(files, r"content\.xml|styles\.xml"), "nodes")
-    own = nodes.where("part = 'content.xml'")
-    w = upto("path")
-    notes = ("text:note-body", "office:annotation")
-    open_notes = F.sum(F.when(_is("start", *notes), 1).when(_is("end", *notes), -1).otherwise(0)).over(w)
-    visible = own.withColumn("open_notes", open_notes).where((F.col("open_notes") == 0) & ~_is("end", *notes))
-    level = F.least(F.greatest(F.coalesce(leading_number(_attr("outline-level"), whole=True), F.lit(1)), F.lit(1)), F.lit(6)).cast("string")
-    opened = latest(F.when(_opens("text:h"), level), w, "1")
-    styled = visible.withColumn("level", opened).withColumn("style", F.when(_is("start", "text:span"), _attr("style-name"))).join(odf_styles(nodes), ["path", "style"], "left")
-    shown = images(files, r"(?!META-INF/).*\.[A-Za-z0-9]+|Pictures/.*", "odf")
-    image = F.when(_opens("draw:image"), F.regexp_replace(_attr("href"), r"^\./", ""))
-    looked = styled.withColumn("image", image).join(shown, ["path", "image"], "left")
-    span = leading_number(_attr("number-columns-spanned"), whole=True)
-    css = F.coalesce("css", F.lit(""))
-    html = (
-        F.when(F.col("ev") == "text", escape_html(F.col("text")))
-        .when(_opens("text:h"), F.concat(F.lit("<h"), "level", F.lit(">")))
-        .when(_is("end", "text:h"), F.concat(F.lit("</h"), "level", F.lit(">")))
-        .when(_opens("text:p"), "<p>")
-        .when(_is("end", "text:p"), "</p>")
-        .when(_is("start", "text:span"), F.when(css != "", F.concat(F.lit('<span style="'), css, F.lit('">'))).otherwise("<span>"))
-        .when(_is("end", "text:span"), "</span>")
-        .when(_opens("text:line-break"), "<br>")
-        .when(_opens("text:tab"), TAB)
-        .when(_opens("text:list"), "<ul>")
-        .when(_is("end", "text:list"), "</ul>")
-        .when(_opens("text:list-item"), "<li>")
-        .when(_is("end", "text:list-item"), "</li>")
-        .when(_opens("table:table"), "<table>")
-        .when(_is("end", "table:table"), "</table>")
-        .when(_opens("table:table-row"), "<tr>")
-        .when(_is("end", "table:table-row"), "</tr>")
-        .when(_opens("table:table-cell"), F.concat(F.lit("<td"), F.when(span > 1, F.concat(F.lit(' colspan="'), span.cast("string"), F.lit('"'))).otherwise(""), F.lit(">")))
-        .when(_is("end", "table:table-cell"), "</td>")
-        .when(F.col("uri").isNotNull(), F.concat(F.lit('<img src="'), "uri", F.lit('" alt="">')))
-    )
-    return looked.withColumn("html", html).where("html is not null").select("path", F.col("ev_id").alias("seq"), F.coalesce(F.nullif("name", F.lit("")), F.lit("text")).alias("kind"), "html")
+    return odf_html(stored(read_odf(files), "odf"))

@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_PAGES = 200
+#: Bytes that the object streams of one file may inflate to.
+MAX_OBJECTS = 64 << 20
+_OBJECTS = re.compile(rb"/ObjStm\b[^>]*>>\s*stream\r?\n")
+
+
+def packed_objects(data: bytes, limit: int = MAX_OBJECTS) -> str:
+    """The text of a file's object streams, as far as they can be inflated within the limit."""
+    out = []
+    for m in _OBJECTS.finditer(data):
+        inflate = zlib.decompressobj()
+        try:
+            out.append(inflate.decompress(data[m.end() :], limit))
+        except zlib.error:  # another filter, or damaged
+            continue
+        limit -= len(out[-1])
+        if limit <= 0:
+            break
+    return b"\n".join(out).decode("latin-1")
+
+
+@F.pandas_udf(T.StringType())
+def object_streams(content: pd.Series) -> pd.Series:
+    return content.map(packed_objects, na_action="ignore")
 
 
 def page_count(content: Column) -> Column:
-    """Page objects that are not inside compressed streams."""
-    return F.regexp_count(F.decode(content, "ISO-8859-1"), F.lit(r"/Type\s*/Page(?![A-Za-z])"))
+    """Page objects, in the open or in object streams; only files with such streams go to Python."""
+    page = F.lit(r"/Type\s*/Page(?![A-Za-z])")
+    packed = object_streams(F.when(F.contains(content, F.lit(b"/ObjStm")), content))
+    return F.regexp_count(F.decode(content, "ISO-8859-1"), page) + F.coalesce(F.regexp_count(packed, page), F.lit(0))
 
 
 def pdf_info(files: DataFrame) -> DataFrame:
@@ -18,5 +48,5 @@ def pdf_info(files: DataFrame) -> DataFrame:
     raw = F.decode("content", "ISO-8859-1")
     n = F.col("n_pages")
     read = files.select("path", F.regexp_extract(raw, r"^%PDF-([0-9]+\.[0-9]+)", 1).alias("version"), page_count(F.col("content")).alias("n_pages"), raw.contains("/Encrypt").alias("encrypted"))
-    note = F.when(n > MAX_PAGES, F.concat(F.lit(f"Showing first {MAX_PAGES} of "), n.cast("string"), F.lit(" pages."))).when(n == 1, "1 page").when(n > 0, F.concat(n.cast("string"), F.lit(" pages")))
+    note = F.when(n > MAX_PAGES, F.concat(n.cast("string"), F.lit(f" pages, the first {MAX_PAGES} of them shown"))).when(n == 1, "1 page").when(n > 0, F.concat(n.cast("string"), F.lit(" pages")))
     return read.withColumn("note", note)

@@ -86,9 +86,9 @@ def runs(data: bytes) -> Iterator[tuple[int, str, str, tuple[bool, bool, bool]]]
 def rtf_runs(files: DataFrame) -> DataFrame:
     """A row per run of ``path, content`` rows."""
 
-    def read(row: dict) -> Iterator[dict]:
-        for seq, (para, kind, text, (bold, italic, underline)) in enumerate(runs(row["content"] or b"")):
-            yield {"path": row["path"], "seq": seq, "para": para, "kind": kind, "text": text, "bold": bold, "italic": italic, "underline": underline}
+    def read(row: dict) -> Iterator[tuple]:
+        for seq, (para, kind, text, style) in enumerate(runs(row["content"] or b"")):
+            yield row["path"], seq, para, kind, text, *style
 
     return expand(files.select("path", "content"), read, RUNS)
 

@@ -5,47 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Rows and bytes of a batch that a reader hands on, about.
+BATCH_ROWS, BATCH_BYTES = 10_000, 16 << 20
 
-def expand(df: DataFrame, make: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
-    """Rows made from each row by a Python reader, batch by batch through Arrow."""
+
+def expand(df: DataFrame, make: Callable[[dict], Iterable[tuple]], schema: str) -> DataFrame:
+    """Rows made from each row by a Python reader, batch by batch through Arrow.
+
+    A batch is handed on when it has many rows or many bytes, so a worker holds little more
+    than what the reader makes of one row.
+    """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def packed(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[dict] = []
+        made: list[tuple] = []
+        size = 0
         for batch in batches:
             for at in range(batch.num_rows):
                 for row in make(batch.slice(at, 1).to_pylist()[0]):
                     made.append(row)
-                    if len(made) >= 10_000:
-                        yield pa.RecordBatch.from_pylist(made, arrow)
-                        made = []
+                    size += sum(len(v) for v in row if isinstance(v, (bytes, str)))
+                    if len(made) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield packed(made)
+                        made, size = [], 0
         if made:
-            yield pa.RecordBatch.from_pylist(made, arrow)
+            yield packed(made)
 
     return df.mapInArrow(run, schema)
 
 
-def upto(*keys: str, order: str = "ev_id") -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-
+def joined(value: Column | str, order: Column | str, separator: str = "") -> Column:
+    """Aggregate: the values in order, as one string."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o") if isinstance(order, str) else order.alias("o"), (F.col(value) if isinstance(value, str) else value).alias("v"))))
+    return F.array_join(F.transform(pairs, lambda p: p["v"]), separator)
 
-def latest(value: Column, window: WindowSpec, default: object = None) -> Column:
-    """The last value that was assigned: a variable of a state machine."""
-    last = F.last(value, ignorenulls=True).over(window)
-    return last if default is None else F.coalesce(last, F.lit(default))
 
+def capped(df: DataFrame, key: str, order: str, limit: int) -> DataFrame:
+    """The first rows of each group as ``n`` = 1, 2, ..., and whether it has more.
 
-def within(on: Column, off: Column, window: WindowSpec) -> Column:
-    """Whether ``on`` came after the last ``off``."""
-    return latest(F.when(on, True).when(off, False), window, False)
+    The limit on row numbers works before the shuffle; totals are partial counts.
+    """
+    first = df.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("n") <= limit)
+    totals = df.groupBy(F.col(key).alias("__key")).agg((F.count("*") > limit).alias("truncated"))
+    return first.join(totals, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
-def joined(value: Column | str, order: Column | str, separator: str = "") -> Column:
-    """Aggregate: the values in order, as one string."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o") if isinstance(order, str) else order.alias("o"), (F.col(value) if isinstance(value, str) else value).alias("v"))))
-    return F.array_join(F.transform(pairs, lambda p: p["v"]), separator)
+def first_match(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """A lookup table: of rows with equal keys, the value of the first."""
+    return df.groupBy(*keys).agg(F.min_by(value, order).alias(value))

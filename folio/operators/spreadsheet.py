@@ -2,127 +2,174 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import builtin_format, column_of_ref, custom_format, leading_number, percent_text, serial_text
-from folio.operators.containers import part_nodes
-from folio.operators.rows import joined, upto, within
+from folio.functions.text import builtin_format, custom_format, leading_number, percent_text, serial_text
+from folio.operators.containers import Container, relations
+from folio.operators.office import NO_PART, NO_ZIP, number
+from folio.operators.rows import expand, first_match
 from folio.sources.work import stored
 
 MAX_SHEETS, MAX_ROWS, MAX_COLS = 16, 5_000, 256
-WANTED = r"xl/(workbook\.xml|_rels/workbook\.xml\.rels|sharedStrings\.xml|styles\.xml|worksheets/.*\.xml)"
-
-
-
-def _opens(name: str):
-    return F.col("ev").isin("start", "empty") & (F.col("name") == name)
-
-
-def _is(ev: str, name: str):
-    return (F.col("ev") == ev) & (F.col("name") == name)
-
-
-def shared_strings(nodes: DataFrame) -> DataFrame:
-    """``path, idx, value``: text of ``t`` in ``si``, without phonetic runs. A self-closed ``si`` has no index."""
-    own = nodes.where("part = 'xl/sharedStrings.xml'")
-    w = upto("path")
-    flagged = own.withColumns(
-        {
-            "in_si": within(_is("start", "si"), _is("end", "si"), w),
-            "in_t": within(_is("start", "t"), _is("end", "t"), w),
-            "in_rph": within(_is("start", "rPh"), _is("end", "rPh"), w),
-            "idx": F.count(F.when(_is("end", "si"), 1)).over(w) - F.when(_is("end", "si"), 1).otherwise(0),
-        }
-    )
-    kept = F.when((F.col("ev") == "text") & F.col("in_si") & F.col("in_t") & ~F.col("in_rph"), F.col("text")).otherwise("")
-    grouped = flagged.groupBy("path", "idx").agg(joined(kept, "ev_id").alias("value"), F.max(_is("end", "si")).alias("closed"))
-    return grouped.where("closed").select("path", F.col("idx").cast("int").alias("idx"), "value")
-
-
-def number_formats(nodes: DataFrame) -> DataFrame:
-    """``path, style, kind``: what a cell style's number format shows."""
-    own = nodes.where("part = 'xl/styles.xml'")
-    w = upto("path")
-    in_xfs = within(_is("start", "cellXfs"), _is("end", "cellXfs"), w)
-    flagged = own.withColumn("in_xfs", in_xfs)
-    xf = flagged.where(_opens("xf") & F.col("in_xfs"))
-    by_order = Window.partitionBy("path").orderBy("ev_id")
-    styles = xf.select("path", (F.row_number().over(by_order) - 1).alias("style"), leading_number(F.coalesce(F.col("attrs")["numFmtId"], F.lit("0")), whole=True).alias("fmt"))
-    codes = own.where(_opens("numFmt") & F.col("attrs")["numFmtId"].isNotNull() & F.col("attrs")["formatCode"].isNotNull())
-    # the first of equal ids counts
-    first = codes.groupBy("path", leading_number(F.col("attrs")["numFmtId"], whole=True).alias("fmt")).agg(F.min_by(F.col("attrs")["formatCode"], "ev_id").alias("code"))
-    kind = F.when(F.col("fmt") < 164, builtin_format(F.col("fmt"))).otherwise(F.coalesce(custom_format(F.col("code")), F.lit("general")))
-    return styles.join(first, ["path", "fmt"], "left").select("path", "style", kind.alias("kind"))
-
-
-def sheets(nodes: DataFrame) -> DataFrame:
-    """``path, sheet_idx, sheet_name, part``: the first 16 sheets; one without a relationship is found by number."""
-    listed = nodes.where((F.col("part") == "xl/workbook.xml") & _opens("sheet") & F.col("attrs")["name"].isNotNull() & F.col("attrs")["id"].isNotNull())
-    numbered = listed.select("path", F.col("attrs")["name"].alias("sheet_name"), F.col("attrs")["id"].alias("rid"), (F.row_number().over(Window.partitionBy("path").orderBy("ev_id")) - 1).alias("sheet_idx")).where(F.col("sheet_idx") < MAX_SHEETS)
-    related = nodes.where((F.col("part") == "xl/_rels/workbook.xml.rels") & F.col("ev").isin("start", "empty") & F.col("name").contains("Relationship") & (F.col("name") != "Relationships"))
-    targets = related.groupBy("path", F.col("attrs")["Id"].alias("rid")).agg(F.min_by(F.col("attrs")["Target"], "ev_id").alias("target"))
-    place = F.when(F.col("target").startswith("/"), F.substring("target", 2, 10_000)).when(F.col("target").isNotNull(), F.concat(F.lit("xl/"), F.col("target")))
-    default = F.concat(F.lit("xl/worksheets/sheet"), (F.col("sheet_idx") + 1).cast("string"), F.lit(".xml"))
-    return numbered.join(targets, ["path", "rid"], "left").select("path", "sheet_idx", "sheet_name", F.coalesce(place, default).alias("part"))
-
-
-def raw_cells(nodes: DataFrame) -> DataFrame:
-    """``path, part, row_idx, nth, col_idx, cell_type, style, raw`` of the first 5,000 rows of each sheet.
-
-    A cell stands at its reference if that is not before the next free column, else
-    there: position k is k plus the largest (reference - its own k) so far.
+
+XLSX = "path string, kind string, sheet_idx int, sheet_name string, row_idx int, col_idx int, gap int, cell_type string, style int, text string, truncated boolean"
+
+
+def column(ref: str) -> int:
+    """The 0-based column of a cell reference (its first four capitals at most), -1 without capitals."""
+    value = 0
+    for c in ref[:4]:
+        if not "A" <= c <= "Z":
+            break
+        value = value * 26 + ord(c) - 64
+    return value - 1
+
+
+def shared_strings(archive: Container) -> Iterator[str]:
+    """The text of ``t`` in ``si``, without phonetic runs."""
+    said, on = None, set()
+    for ev, name, _, text in archive.xml("xl/sharedStrings.xml"):
+        if name == "si":
+            if ev == "end" and said is not None:
+                yield "".join(said)
+            said = [] if ev == "start" else None
+        elif name in ("t", "rPh"):
+            (on.add if ev == "start" else on.discard)(name)
+        elif ev == "text" and said is not None and on == {"t"}:
+            said.append(text)
+
+
+def sheet_cells(archive: Container, part: str, max_rows: int | None, max_cols: int | None) -> Iterator[tuple[int, int, int, str, int, str] | tuple[int, bool]]:
+    """Row, place, empty cells before it, type, style and text of each cell; at last the rows and whether there are more.
+
+    A cell stands at its reference if that is valid, else after the cell before; columns
+    that are left out become empty cells.
     """
-    own = nodes.where(F.col("part").startswith("xl/worksheets/"))
-    w = upto("path", "part")
-    rows = own.withColumns({"row_idx": F.count(F.when(_opens("row"), 1)).over(w) - 1, "in_row": within(_opens("row"), _is("end", "row"), w)}).where((F.col("row_idx") >= 0) & F.col("in_row") & (F.col("row_idx") < MAX_ROWS))
-    in_row = upto("path", "part", "row_idx")
-    flagged = rows.withColumns(
-        {
-            "nth": F.count(F.when(_opens("c"), 1)).over(in_row) - 1,
-            "in_v": within(_is("start", "v"), _is("end", "v"), in_row),
-            "in_is": within(_is("start", "is"), _is("end", "is"), in_row),
-            "in_t": within(_is("start", "t"), _is("end", "t"), in_row),
-        }
-    ).where("nth >= 0")
-    shown = (F.col("ev") == "text") & (F.col("in_v") | (F.col("in_is") & F.col("in_t")))
-    cells = flagged.groupBy("path", "part", "row_idx", "nth").agg(
-        F.max(F.when(_opens("c"), F.col("attrs")["r"])).alias("ref"),
-        F.max(F.when(_opens("c"), F.coalesce(F.col("attrs")["t"], F.lit("")))).alias("cell_type"),
-        F.max(F.when(_opens("c"), F.when(F.col("attrs")["s"].isNotNull(), leading_number(F.col("attrs")["s"], whole=True)).otherwise(-1))).alias("style"),
-        joined(F.when(shown, F.col("text")).otherwise(""), "ev_id").alias("raw"),
-    )
-    ref = column_of_ref(F.coalesce("ref", F.lit("")))
-    valid = F.when((ref >= 0) & (ref < MAX_COLS), ref - F.col("nth"))
-    ahead = F.greatest(F.lit(0), F.max(valid).over(upto("path", "part", "row_idx", order="nth")))
-    return cells.withColumn("col_idx", (F.col("nth") + F.coalesce(ahead, F.lit(0))).cast("int"))
-
-
-def xlsx_cells(files: DataFrame) -> DataFrame:
-    """``path, sheet_idx, sheet_name, row_idx, col_idx, cell_type, raw, kind, display``: a row per cell, gaps filled."""
-    nodes = stored(part_nodes(files, WANTED), "nodes")
-    cells = sheets(nodes).join(raw_cells(nodes), ["path", "part"])
-    named = cells.join(number_formats(nodes), ["path", "style"], "left")
-    index = F.when(F.col("cell_type") == "s", leading_number(F.col("raw"), whole=True).cast("int"))
-    texts = shared_strings(nodes)
-    found = named.withColumn("idx", index).join(texts, ["path", "idx"], "left")
-    kind = F.coalesce("kind", F.lit("general"))
-    number = leading_number(F.col("raw"))
-    plain = F.when(kind.isin("date", "datetime", "time"), serial_text(number, kind)).when(kind == "percent", percent_text(number)).otherwise(F.col("raw"))
-    display = (
-        F.when(F.col("cell_type") == "s", F.coalesce("value", F.lit("")))
-        .when(F.col("cell_type") == "b", F.when(F.col("raw").startswith("1"), "TRUE").otherwise("FALSE"))
-        .when((F.col("cell_type") == "") & (F.col("raw") != ""), plain)
-        .otherwise(F.col("raw"))
-    )
-    keys = ["path", "sheet_idx", "sheet_name", "row_idx"]
-    shown = found.select(*keys, "col_idx", "cell_type", "raw", kind.alias("kind"), display.alias("display"))
-    return fill_gaps(shown, keys)
+    row, place, free, at, cell, on = -1, 0, 0, 0, None, set()
+    for ev, name, attrs, text in archive.xml(part):
+        opens = ev in ("start", "empty")
+        if name == "row":
+            if opens:
+                if max_rows is not None and row + 1 >= max_rows:
+                    yield row + 1, True
+                    return
+                row, place, free = row + 1, 0, 0
+            on = {"row"} if ev == "start" else set()
+        elif "row" not in on:
+            continue
+        elif name == "c":
+            if opens:
+                ref = column(attrs["r"]) if "r" in attrs else free
+                at = ref if 0 <= ref and (max_cols is None or ref < max_cols) else free
+                gap = max(0, at - free)
+                cell = [row, place + gap, gap, attrs.get("t", ""), number(attrs["s"]) if "s" in attrs else -1, ""]
+                if ev == "empty":
+                    yield tuple(cell)
+                    place, free, cell = cell[1] + 1, free + gap + 1, None
+            elif cell is not None:
+                yield tuple(cell)
+                place, free, cell = cell[1] + 1, at + 1, None
+        elif name in ("v", "is") or (name == "t" and ("is" in on or ev == "end")):
+            (on.add if ev == "start" else on.discard)(name)
+        elif ev == "text" and cell is not None and ("v" in on or {"is", "t"} <= on):
+            cell[-1] += text
+    yield row + 1, False
+
+
+def xlsx_rows(path: str, content: bytes | None, max_sheets: int | None, max_rows: int | None, max_cols: int | None) -> Iterator[tuple]:
+    archive = Container(content)
+
+    def told(kind: str, sheet: int | None = None, name: str | None = None, row: int | None = None, col: int | None = None, gap: int | None = None, cell_type: str | None = None, style: int | None = None, text: str | None = None, truncated: bool | None = None) -> tuple:
+        return path, kind, sheet, name, row, col, gap, cell_type, style, text, truncated
+
+    book = archive.read("xl/workbook.xml")
+    yield told("file", text="" if book is not None else NO_PART if archive.ok else NO_ZIP)
+    if book is None:
+        return
+    targets = relations(archive, "xl/_rels/workbook.xml.rels")
+    listed = [a for ev, name, a, _ in archive.xml("xl/workbook.xml") if ev in ("start", "empty") and name == "sheet" and "name" in a and "id" in a]
+    for sheet, attrs in enumerate(listed if max_sheets is None else listed[:max_sheets]):
+        target = targets.get(attrs["id"], f"worksheets/sheet{sheet + 1}.xml")
+        part = target[1:] if target.startswith("/") else "xl/" + target
+        if not archive.holds(part):
+            continue
+        for found in sheet_cells(archive, part, max_rows, max_cols):
+            if len(found) == 2:
+                yield told("sheet", sheet, attrs["name"], row=found[0], truncated=found[1])
+            else:
+                row, col, gap, cell_type, style, text = found
+                yield told("cell", sheet, attrs["name"], row, col, gap, cell_type, style, text)
+    for k, text in enumerate(shared_strings(archive)):
+        yield told("string", col=k, text=text)
+    in_styles, style, nth = False, 0, 0
+    for ev, name, attrs, _ in archive.xml("xl/styles.xml"):
+        if name == "cellXfs":
+            in_styles = ev == "start"
+        elif ev != "end" and name == "xf" and in_styles:
+            yield told("style", style=style, col=number(attrs.get("numFmtId")))
+            style += 1
+        elif ev != "end" and name == "numFmt" and "numFmtId" in attrs and "formatCode" in attrs:
+            yield told("format", row=nth, col=number(attrs["numFmtId"]), text=attrs["formatCode"])
+            nth += 1
+
+
+def read_xlsx(files: DataFrame, max_sheets: int | None = MAX_SHEETS, max_rows: int | None = MAX_ROWS, max_cols: int | None = MAX_COLS) -> DataFrame:
+    """What the reader finds in ``path, content`` rows: sheets, cells, strings, styles and formats; a limit of none is off."""
+    return expand(files.select("path", "content"), lambda row: xlsx_rows(row["path"], row["content"], max_sheets, max_rows, max_cols), XLSX)
+
+
+def format_kind(fmt: Column, code: Column) -> Column:
+    """What a number format shows: a built-in one by its number, another by its code."""
+    return F.when(fmt < 164, builtin_format(fmt)).otherwise(F.coalesce(custom_format(code), F.lit("general")))
+
+
+def number_formats(styles: DataFrame, codes: DataFrame) -> DataFrame:
+    """``path, style, kind`` from ``path, style, fmt`` and ``path, fmt, code, nth``; the first of equal formats counts."""
+    return styles.join(first_match(codes, ["path", "fmt"], "code", "nth"), ["path", "fmt"], "left").select("path", "style", format_kind(F.col("fmt"), F.col("code")).alias("kind"))
+
+
+def with_strings(cells: DataFrame, strings: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``value``: the shared string at a cell's ``idx``, empty beyond the table's ends."""
+    return cells.join(strings, [*keys, "idx"], "left").withColumn("value", F.coalesce("value", F.lit("")))
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    """``path, sheet_idx, sheet_name, row_idx, col_idx, cell_type, raw, kind, display``: a row per cell, gaps filled.
+
+    Only cells with a style or a shared string take part in the joins.
+    """
+    of = lambda kind: rows.where(F.col("kind") == kind)
+    keys = ["path", "sheet_idx", "sheet_name", "row_idx", "col_idx"]
+    formats = number_formats(of("style").select("path", "style", F.col("col_idx").alias("fmt")), of("format").select("path", F.col("col_idx").alias("fmt"), F.col("text").alias("code"), F.col("row_idx").alias("nth")))
+    strings = of("string").select("path", F.col("col_idx").alias("idx"), F.col("text").alias("value"))
+    cells = of("cell").select(*keys, "gap", "cell_type", "style", F.col("text").alias("raw"))
+    is_text = F.col("cell_type") == "s"
+    is_styled = (F.col("style") >= 0) & ~is_text
+    plain = cells.where(~is_text & ~is_styled).withColumns({"kind": F.lit("general"), "value": F.lit("")})
+    styled = cells.where(is_styled).join(formats, ["path", "style"], "left").withColumns({"kind": F.coalesce("kind", F.lit("general")), "value": F.lit("")})
+    texts = with_strings(cells.where(is_text).withColumn("idx", leading_number(F.col("raw"), whole=True).cast("int")), strings, ["path"]).drop("idx").withColumn("kind", F.lit("general"))
+    every = plain.unionByName(styled).unionByName(texts)
+    value = leading_number(F.col("raw"))
+    shown = F.when(F.col("kind").isin("date", "datetime", "time"), serial_text(value, F.col("kind"))).when(F.col("kind") == "percent", percent_text(value)).otherwise(F.col("raw"))
+    display = F.when(is_text, F.col("value")).when(F.col("cell_type") == "b", F.when(F.col("raw").startswith("1"), "TRUE").otherwise("FALSE")).when((F.col("cell_type") == "") & (F.col("raw") != ""), shown).otherwise(F.col("raw"))
+    found = every.select(*keys, "gap", "cell_type", "raw", "kind", display.alias("display"))
+    return _filled(found, (F.col("col_idx") - F.col("gap")).cast("int"), keys[:-1]).drop("gap")
+
+
+def xlsx_cells(files: DataFrame, max_sheets: int | None = MAX_SHEETS, max_rows: int | None = MAX_ROWS, max_cols: int | None = MAX_COLS) -> DataFrame:
+    return cells_of(stored(read_xlsx(files, max_sheets, max_rows, max_cols), "xlsx"))
+
+
+def _filled(cells: DataFrame, first_free: Column, keys: list[str]) -> DataFrame:
+    gaps = cells.withColumn("__from", first_free).where(F.col("__from") < F.col("col_idx")).select(*keys, F.explode(F.sequence(F.col("__from"), (F.col("col_idx") - 1).cast("int"))).alias("col_idx"))
+    empty = {c: F.lit("") for c in ("cell_type", "raw", "display")} | {"kind": F.lit("general")}
+    return cells.unionByName(gaps.withColumns(empty), allowMissingColumns=True)
 
 
 def fill_gaps(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Adds an empty cell for each column that a row leaves out before its last one."""
     before = F.coalesce(F.lag("col_idx").over(Window.partitionBy(*keys).orderBy("col_idx")), F.lit(-1))
-    gaps = cells.withColumn("from", before + 1).where(F.col("from") < F.col("col_idx")).select(*keys, F.explode(F.sequence(F.col("from").cast("int"), (F.col("col_idx") - 1).cast("int"))).alias("col_idx"))
-    empty = {c: F.lit("") for c in ("cell_type", "raw", "display")} | {"kind": F.lit("general")}
-    return cells.unionByName(gaps.withColumns(empty))
+    return _filled(cells.withColumn("__before", before), (F.col("__before") + 1).cast("int"), keys).drop("__before")

@@ -18,12 +18,13 @@ from folio.operators.markdown import md_blocks
 from folio.operators.notebook import ipynb_cells, ipynb_outputs
 from folio.operators.office import docx_pieces, list_tags, odf_pieces, pptx_slides
 from folio.operators.richtext import rtf_runs
-from folio.operators.rows import joined
-from folio.operators.spreadsheet import fill_gaps, xlsx_cells
+from folio.operators.rows import capped, first_match, joined
+from folio.operators.spreadsheet import fill_gaps, format_kind, with_strings, xlsx_cells
 from folio.plans import values
 from folio.plans.render import STYLE, render
 from folio.sources.build import packed
 from folio.sources.corpus import from_texts
+from folio.sources.listing import with_notes
 from folio.sources.work import spread
 from folio.streaming.watch import latest
 
@@ -69,12 +70,6 @@ SQL_EXT = r"lower(regexp_extract(regexp_extract({0}, '[^/]*$'), '^.+\.([A-Za-z0-
 # --- pages and links
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """``page_id, href``: the link targets of each page, decoded."""
-    href = F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)))
-    return pages.select("page_id", href.alias("href")).withColumn("href", X.xml_decode("href"))
-
-
 @query(f"""
 WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages),
 a AS (SELECT page_id, count(*) AS n_links, count(*) FILTER (NOT {SQL_SAFE.format(sql_decode('h'))}) AS n_blocked FROM l GROUP BY 1)
@@ -84,10 +79,14 @@ FROM pages LEFT JOIN a USING (page_id)""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page its title, escaped, and how many links it has and how many of them are blocked."""
     pages = table(spark, sf_dir, "pages")
-    counts = links(pages).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if(~X.safe_link(F.col("href"))).alias("n_blocked"))
-    titles = pages.select("page_id", X.xml_decode(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("t"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return titles.join(counts, "page_id", "left").select("page_id", X.escape_html(F.col("t")).alias("title_html"), zero("n_links"), zero("n_blocked"))
+    found = pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("t"), F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)).alias("hrefs"))
+    # references stand in few links, so only texts with any go to Python
+    coded = lambda x: F.contains(x, F.lit("&"))
+    told = found.select("page_id", "hrefs", F.coalesce(X.xml_decode(F.when(coded(F.col("t")), F.col("t"))), "t").alias("t"), X.xml_decode_all(F.filter("hrefs", coded)).alias("decoded"))
+    blocked = lambda links: F.size(F.filter(links, lambda x: ~X.safe_link(x)))
+    n_blocked = blocked(F.filter("hrefs", lambda x: ~coded(x))) + blocked("decoded")
+    count = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return told.select("page_id", X.escape_html(F.col("t")).alias("title_html"), count(F.size("hrefs"), "n_links"), count(n_blocked, "n_blocked"))
 
 
 @query(f"SELECT url, {SQL_SCHEME.format('url')} AS scheme, {SQL_SAFE.format('url')} AS safe, count(*) AS n FROM (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES {values.URLS}) v(url)) GROUP BY 1, 2, 3")
@@ -149,12 +148,6 @@ def ansi_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.strip_ansi(coded)).alias("text_md5"))
 
 
-@query()
-def hex_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hex dumps of the heads of texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", X.hex_dump(F.encode("text", "UTF-8")).alias("dump"))
-
-
 @query("SELECT event_id, replace(json_pretty(props), '    ', '  ') AS pretty FROM events")
 def json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON re-indented."""
@@ -227,11 +220,15 @@ SELECT '/csv/' || file || '.csv' AS path, row_idx::INTEGER AS row_idx, k::INTEGE
 FROM r, (VALUES (0), (1), (2)) x(k)""")
 def csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV files of up to 500 documents, with whole quoted texts, read back as cells."""
+    return csv_cells(csv_files(spark, sf_dir))
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("file", F.floor(F.col("doc_id") / 500))
     line = F.concat_ws(",", F.col("doc_id").cast("string"), _quoted("lang"), _quoted("text"))
     files = docs.groupBy("file").agg(joined(line, "doc_id", "\r\n").alias("body"))
     text = F.concat(F.lit("doc_id,lang,text\r\n"), "body", F.lit("\r\n"))
-    return csv_cells(from_texts(files, F.concat(F.lit("/csv/"), F.col("file").cast("string"), F.lit(".csv")), text))
+    return from_texts(files, F.concat(F.lit("/csv/"), F.col("file").cast("string"), F.lit(".csv")), text)
 
 
 # --- spreadsheets
@@ -260,8 +257,7 @@ SELECT fmt, CASE WHEN fmt < 164 THEN CASE WHEN fmt BETWEEN 14 AND 17 THEN 'date'
 def cell_format_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What number formats show."""
     rows = literal(spark, values.FORMATS.replace('\\"', '"'), "fmt, code")
-    kind = F.when(F.col("fmt") < 164, X.builtin_format(F.col("fmt"))).otherwise(F.coalesce(X.custom_format(F.col("code").cast("string")), F.lit("general")))
-    return rows.select("fmt", kind.alias("kind"))
+    return rows.select("fmt", format_kind(F.col("fmt"), F.col("code").cast("string")).alias("kind"))
 
 
 @query(f"""
@@ -276,8 +272,8 @@ def col_of_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_string_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions in a table of strings; beyond its ends an empty cell."""
     cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") - 5).alias("idx"))
-    strings = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), "p_name")
-    return cells.join(strings, "idx", "left").select("l_orderkey", "l_linenumber", "idx", F.coalesce("p_name", F.lit("")).alias("display"))
+    strings = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("value"))
+    return with_strings(cells, strings, []).select("l_orderkey", "l_linenumber", "idx", F.col("value").alias("display"))
 
 
 @query(f"""
@@ -285,7 +281,7 @@ WITH k AS (SELECT path, rid, min_by(target, ord) AS target FROM (VALUES {values.
 SELECT a.path, a.rid, coalesce(target, '#blocked') AS href FROM (VALUES {values.ASKED}) a(path, rid) LEFT JOIN k ON k.path = a.path AND k.rid = a.rid""")
 def first_match_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookups where the first of equal keys counts."""
-    keyed = literal(spark, values.LOOKUPS, "path, rid, target, ord").groupBy("path", "rid").agg(F.min_by("target", "ord").alias("target"))
+    keyed = first_match(literal(spark, values.LOOKUPS, "path, rid, target, ord"), ["path", "rid"], "target", "ord")
     return literal(spark, values.ASKED, "path, rid").join(keyed, ["path", "rid"], "left").select("path", "rid", F.coalesce("target", F.lit("#blocked")).alias("href"))
 
 
@@ -321,14 +317,8 @@ def xlsx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY source) AS total FROM documents)
 SELECT source, doc_id, n::INTEGER AS n, total > 30 AS truncated FROM r WHERE n <= 30""")
 def row_cap_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rows of each group and whether there are more.
-
-    The limit on row numbers works before the shuffle; totals are partial counts.
-    """
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id")
-    first = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 30")
-    totals = docs.groupBy(F.col("source").alias("s")).agg((F.count("*") > 30).alias("truncated"))
-    return first.join(totals, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    """The first rows of each group and whether there are more."""
+    return capped(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 30)
 
 
 @query(f"""
@@ -340,8 +330,7 @@ def listing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of folders in their order, with sizes for people."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/d"), F.floor(F.col("doc_id") / 100).cast("string")).alias("dir"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("n_chars").alias("size"), (F.col("doc_id") % 7 == 0).alias("is_dir"))
     more = literal(spark, values.SIZES, "s").select(F.lit("/s").alias("dir"), F.concat(F.lit("size"), F.col("s").cast("string")).alias("name"), F.col("s").cast("long").alias("size"), F.lit(False).alias("is_dir"))
-    note = F.when(F.col("is_dir"), "folder").otherwise(X.human_size(F.col("size")))
-    return docs.unionByName(more).select("dir", "name", "is_dir", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("is_dir"), "name")).alias("place"), note.alias("note"))
+    return with_notes(docs.unionByName(more)).select("dir", "name", "is_dir", "place", "note")
 
 
 @query("SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS body_md5, count(*) AS n FROM conversations GROUP BY 1")
@@ -388,8 +377,8 @@ FROM l, unnest(range(1, len(ls) + 1)) u(i) GROUP BY 1"""
 @query(sql_paragraphs("docx"))
 def docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as word documents, read back as paragraphs."""
-    pieces = docx_pieces(packed(document_lines(spark, sf_dir, "docx"), "docx")).where("kind = 'p'")
-    return pieces.groupBy("path").agg(F.count("*").alias("n_blocks"), F.md5(joined("html", "seq")).alias("html_md5"))
+    pieces = docx_pieces(packed(document_lines(spark, sf_dir, "docx"), "docx"))
+    return pieces.groupBy("path").agg(F.count_if(F.col("kind") == "p").alias("n_blocks"), F.md5(joined("html", "seq")).alias("html_md5"))
 
 
 @query(sql_paragraphs("odt"))
@@ -428,8 +417,7 @@ FROM conversations GROUP BY 1""")
 def ipynb_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A notebook per conversation, its sources in two spellings, read back."""
     text, is_code = F.to_json(F.array("text")), F.col("role") == "assistant"
-    one = F.substring(text, 2, 10_000_000)
-    source = F.when(F.col("turn") % 2 == 0, text).otherwise(F.regexp_replace(one, r"\]$", ""))
+    source = F.when(F.col("turn") % 2 == 0, text).otherwise(F.regexp_replace(text, r"^\[|\]$", ""))
     cell = F.concat(F.when(is_code, '{"cell_type":"code","execution_count":7,"outputs":[{"output_type":"stream","text":["x"]},{"output_type":"display_data"}],"source":').otherwise('{"cell_type":"raw","source":'), source, F.lit("}"))
     files = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(joined(cell, "turn", ",").alias("cells"))
     nb = files.select(F.concat(F.lit("/n/"), F.col("conv_id").cast("string"), F.lit(".ipynb")).alias("path"), F.concat(F.lit('{"cells":['), "cells", F.lit("]}")).alias("text"))
@@ -463,3 +451,4 @@ def rendered_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(from_texts(docs.unionByName(pages), F.col("path"), F.col("text"))).select("path", "file_type", F.md5("html").alias("html_md5"))
 
 
+from folio.plans import documents as _documents  # noqa: E402, F401  adds its queries

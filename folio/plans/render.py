@@ -13,25 +13,27 @@ from pyspark.sql import functions as F
 
 from folio.functions.classify import classify, image_mime
 from folio.functions.text import basename, data_uri, directory, escape_html, hex_dump, json_reindent, parent
-from folio.operators.containers import openable
 from folio.operators.delimited import MAX_ROWS, csv_cells
 from folio.operators.markdown import md_blocks
 from folio.operators.notebook import ipynb_pieces, notebooks
-from folio.operators.office import docx_pieces, odf_pieces, pptx_pieces
+from folio.operators.office import NO_PART, NO_ZIP, docx_html, faults, odf_html, pptx_html, read_docx, read_odf, read_pptx
 from folio.operators.pdf import pdf_info
 from folio.operators.raster import raster_png
 from folio.operators.richtext import rtf_pieces
 from folio.operators.rows import joined
 from folio.operators.spreadsheet import MAX_ROWS as MAX_SHEET_ROWS
-from folio.operators.spreadsheet import xlsx_cells
+from folio.operators.spreadsheet import cells_of, read_xlsx
 from folio.sources.corpus import texts
 from folio.sources.listing import listing_row
 from folio.sources.work import stored
 
+#: Names of wanted images that are sent to all executors, at most; more are joined by shuffle.
+BROADCAST_PATHS = 100_000
 #: Above, code is shown without the class that asks for highlighting.
 MAX_HIGHLIGHT = 400 * 1024
 STYLE = "body{font-family:system-ui,sans-serif;margin:0;padding:24px}table{border-collapse:collapse}th,td{border:1px solid #ccc;padding:4px 8px}.errbox{text-align:center;margin-top:15vh}.rownum{color:#888}"
-REQUIRED = {"docx": (r"word/document\.xml", "Not a valid DOCX file", "word/document.xml missing or oversized"), "xlsx": (r"xl/workbook\.xml", "Not a valid XLSX file", "xl/workbook.xml missing"), "pptx": (r"ppt/slides/slide1\.xml", "Not a valid PPTX file", "no slides found"), "opendocument": (r"content\.xml", "Not a valid OpenDocument file", "content.xml missing")}
+#: The member that each container must have, and what its readers call it.
+REQUIRED = {"docx": ("word/document.xml", "word document"), "xlsx": ("xl/workbook.xml", "workbook"), "pptx": ("ppt/slides/slide1.xml", "presentation"), "opendocument": ("content.xml", "open document")}
 
 
 def page(title: Column, body: Column, offline: bool = False, pdf: Column | None = None) -> Column:
@@ -65,18 +67,21 @@ def csv_body(files: DataFrame) -> DataFrame:
     head = F.concat(F.lit('<thead><tr><th class="rownum"></th>'), "cells", F.lit("</tr></thead><tbody>"))
     row = F.concat(F.lit('<tr><td class="rownum">'), F.col("row_idx").cast("string"), F.lit("</td>"), "cells", F.lit("</tr>"))
     body = rows.groupBy("path").agg(joined(F.when(F.col("row_idx") == 0, head).otherwise(row), "row_idx").alias("rows"), F.max("truncated").alias("truncated"))
-    note = F.when(F.col("truncated"), f'<p class="filehead">Showing first {MAX_ROWS} rows only.</p>').otherwise("")
+    note = F.when(F.col("truncated"), f'<p class="filehead">Cut off after {MAX_ROWS} rows.</p>').otherwise("")
     made = body.select("path", F.concat(F.lit('<div class="datatable"><table>'), "rows", F.lit("</tbody></table>"), note, F.lit("</div>")).alias("body"))
     return files.select("path").join(made, "path", "left").select("path", F.coalesce("body", F.lit('<div class="datatable"><table></tbody></table></div>')).alias("body"))
 
 
-def xlsx_body(files: DataFrame) -> DataFrame:
-    cells = xlsx_cells(files)
-    rows = cells.groupBy("path", "sheet_idx", "sheet_name", "row_idx").agg(joined(F.concat(F.lit("<td>"), escape_html(F.col("display")), F.lit("</td>")), "col_idx").alias("cells"))
-    tables = rows.groupBy("path", "sheet_idx", "sheet_name").agg(joined(F.concat(F.lit("<tr>"), "cells", F.lit("</tr>")), "row_idx").alias("rows"), F.max("row_idx").alias("last"))
-    note = F.when(F.col("last") >= MAX_SHEET_ROWS - 1, f'<p class="filehead">Showing first {MAX_SHEET_ROWS} rows only.</p>').otherwise("")
-    html = F.concat(F.lit('<h2 class="sheet">'), escape_html(F.col("sheet_name")), F.lit("</h2><table>"), "rows", F.lit("</table>"), note)
-    return _whole(tables.select("path", F.col("sheet_idx").alias("seq"), html.alias("html")))
+def xlsx_body(found: DataFrame) -> DataFrame:
+    """Workbooks as tables, from what ``read_xlsx`` found; rows without cells are empty rows."""
+    sheets = found.where("kind = 'sheet'").select("path", "sheet_idx", "sheet_name", F.col("row_idx").alias("n_rows"), "truncated")
+    rows = cells_of(found).groupBy("path", "sheet_idx", "row_idx").agg(joined(F.concat(F.lit("<td>"), escape_html(F.col("display")), F.lit("</td>")), "col_idx").alias("cells"))
+    every = sheets.select("path", "sheet_idx", F.explode(F.when(F.col("n_rows") > 0, F.sequence(F.lit(0), F.col("n_rows") - 1))).alias("row_idx"))
+    shown = every.join(rows, ["path", "sheet_idx", "row_idx"], "left").withColumn("cells", F.coalesce("cells", F.lit("")))
+    tables = shown.groupBy("path", "sheet_idx").agg(joined(F.concat(F.lit("<tr>"), "cells", F.lit("</tr>")), "row_idx").alias("rows"))
+    note = F.when(F.col("truncated"), f'<p class="filehead">Cut off after {MAX_SHEET_ROWS} rows.</p>').otherwise("")
+    html = F.concat(F.lit('<h2 class="sheet">'), escape_html(F.col("sheet_name")), F.lit("</h2><table>"), F.coalesce("rows", F.lit("")), F.lit("</table>"), note)
+    return _whole(sheets.join(tables, ["path", "sheet_idx"], "left").select("path", F.col("sheet_idx").alias("seq"), html.alias("html")))
 
 
 def embedded_images(blocks: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -92,7 +97,11 @@ def embedded_images(blocks: DataFrame, corpus: DataFrame) -> DataFrame:
     settled = F.regexp_replace(F.regexp_replace(target, r"/\./", "/"), r"[^/]+/\.\./", "")
     mime = image_mime(F.col("c"), F.lower(F.regexp_extract("src", r"\.([A-Za-z0-9]+)$", 1)))
     is_svg = (mime == "image/svg+xml") & ~F.contains(F.substring("c", 1, 1024), F.lit(b"<svg"))
-    found = local.withColumn("target", settled).join(corpus.select(F.col("path").alias("target"), F.col("content").alias("c")), "target")
+    wanted = stored(local.withColumn("target", settled), "wanted-images")
+    # contents are fetched of files that some text names, and of no others
+    names = wanted.select(F.col("target").alias("path")).distinct()
+    there = corpus.join(F.broadcast(names) if names.count() <= BROADCAST_PATHS else names, "path", "left_semi")
+    found = wanted.join(there.select(F.col("path").alias("target"), F.col("content").alias("c")), "target")
     uris = found.select("path", "seq", "src", F.when((mime != "application/octet-stream") & ~is_svg, data_uri(mime, F.col("c"))).alias("uri"))
     maps = uris.groupBy("path", "seq").agg(F.collect_list(F.struct("src", "uri")).alias("uris"))
 
@@ -138,14 +147,14 @@ def render(files: DataFrame, offline: bool = False) -> DataFrame:
         return ok(told.select("path", F.concat(F.lit('<div class="pdf" data-src="'), uri, F.lit('"></div>'), note).alias("body")))
 
     def binary() -> DataFrame:
-        head = F.concat(F.lit("<p>No preview available: "), escape_html(F.col("path")), F.lit(", "), F.length("content").cast("string"), F.lit(" bytes</p><pre>"))
+        head = F.concat(F.lit("<p>This file can't be shown: "), escape_html(F.col("path")), F.lit(", "), F.length("content").cast("string"), F.lit(" bytes</p><pre>"))
         return ok(of("binary").select("path", F.concat(head, escape_html(hex_dump(F.col("content"))), F.lit("</pre>")).alias("body")))
 
     def raster() -> DataFrame:
         shown = of("raster").select("path", "ext", raster_png("content").alias("png"))
         body = F.concat(F.lit('<img src="'), data_uri(F.lit("image/png"), F.col("png")), F.lit('" alt="">'))
         bad = F.col("png").isNull()
-        return shown.select("path", body.alias("body"), F.when(bad, "Could not decode image").alias("message"), F.when(bad, F.col("ext")).alias("detail"))
+        return shown.select("path", body.alias("body"), F.when(bad, "This picture can't be decoded").alias("message"), F.when(bad, F.col("ext")).alias("detail"))
 
     def markdown() -> DataFrame:
         return ok(wrapped(_whole(embedded_images(md_blocks(texts(of("markdown"))), kinds))))
@@ -155,13 +164,14 @@ def render(files: DataFrame, offline: bool = False) -> DataFrame:
         body = F.concat(F.lit('<div class="nb">'), F.coalesce("body", F.lit("")), F.lit("</div>"))
         return notebooks(nb).join(_whole(ipynb_pieces(nb)), "path", "left").select("path", body.alias("body"), F.col("error_message").alias("message"), F.col("error_detail").alias("detail"))
 
-    def container(kind: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        part, message, detail = REQUIRED[kind]
-        bad = F.when(~F.col("is_zip"), "could not open ZIP container").when(~F.col("has_part"), detail)
+    def container(kind: str, read: Callable[[DataFrame], DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        part, name = REQUIRED[kind]
+        found = stored(read(of(kind)), kind)
+        fault = F.when(F.col("fault") == NO_ZIP, "it is no ZIP archive").when(F.col("fault") == NO_PART, f"it has no part {part} within the budget")
         if kind == "xlsx":
-            bad = F.coalesce(bad, F.when(F.col("body").isNull(), "no readable worksheets"))
-        made = openable(of(kind), part).join(make(of(kind)), "path", "left")
-        return made.select("path", F.coalesce("body", F.lit("")).alias("body"), F.when(bad.isNotNull(), message).alias("message"), bad.alias("detail"))
+            fault = F.coalesce(fault, F.when(F.col("body").isNull(), "none of its sheets can be read"))
+        made = faults(found).join(make(found), "path", "left")
+        return made.select("path", F.coalesce("body", F.lit("")).alias("body"), F.when(fault.isNotNull(), f"This {name} can't be read").alias("message"), fault.alias("detail"))
 
     branches = {
         "text": code,
@@ -174,17 +184,17 @@ def render(files: DataFrame, offline: bool = False) -> DataFrame:
         "rtf": lambda: ok(wrapped(_whole(rtf_pieces(of("rtf"))))),
         "markdown": markdown,
         "notebook": notebook,
-        "docx": lambda: container("docx", lambda f: wrapped(_whole(docx_pieces(f)))),
-        "xlsx": lambda: container("xlsx", xlsx_body),
-        "pptx": lambda: container("pptx", lambda f: _whole(pptx_pieces(f))),
-        "opendocument": lambda: container("opendocument", lambda f: wrapped(_whole(odf_pieces(f)))),
+        "docx": lambda: container("docx", read_docx, lambda found: wrapped(_whole(docx_html(found)))),
+        "xlsx": lambda: container("xlsx", read_xlsx, xlsx_body),
+        "pptx": lambda: container("pptx", read_pptx, lambda found: _whole(pptx_html(found))),
+        "opendocument": lambda: container("opendocument", read_odf, lambda found: wrapped(_whole(odf_html(found)))),
     }
     every = files.sparkSession.createDataFrame([], "path string, body string, message string, detail string")
     for kind, branch in branches.items():
         if kind in present:
             every = every.unionByName(branch())
     both = kinds.select("path", "file_type", F.when(F.col("file_type") == "html", F.col("content").cast("string")).alias("own")).join(every, "path", "left")
-    message = F.when(F.col("file_type") != "html", F.coalesce("message", F.when(F.col("body").isNull() & ~F.col("file_type").isin("rtf", "markdown"), "Unsupported file type")))
+    message = F.when(F.col("file_type") != "html", F.coalesce("message", F.when(F.col("body").isNull() & ~F.col("file_type").isin("rtf", "markdown"), "Files of this kind are not converted")))
     body = F.when(message.isNotNull(), error_box(message, F.col("detail"))).otherwise(F.coalesce("body", F.lit("")))
     html = F.when(F.col("file_type") == "html", F.col("own")).otherwise(page(basename(F.col("path")), body, offline, F.col("file_type") == "pdf"))
     url = F.when(F.col("file_type") == "html", F.concat(F.lit("file://"), "path"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from xml.sax.saxutils import escape
 
 
-def _zip(parts: dict[str, str]) -> bytes:
+def _zip(parts: dict[str, str | bytes]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
@@ -43,7 +43,78 @@ def xlsx(lines: list[str]) -> bytes:
     return _zip({"xl/workbook.xml": '<workbook><sheets><sheet name="Sheet" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>', "xl/sharedStrings.xml": f"<sst>{strings}</sst>", "xl/styles.xml": '<styleSheet><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>', "xl/worksheets/sheet1.xml": f"<worksheet><sheetData>{rows}</sheetData></worksheet>"})
 
 
-WRITERS = {"docx": docx, "odt": odt, "pptx": pptx, "xlsx": xlsx}
+def relations(targets: dict[str, str]) -> str:
+    return "<Relationships>" + "".join(f'<Relationship Id="{k}" Target="{escape(v, QUOTE)}"/>' for k, v in targets.items()) + "</Relationships>"
+
+
+QUOTE = {'"': "&quot;"}
+#: A picture of one pixel.
+PIXEL = bytes.fromhex("89504e470d0a1a0a0000000d4948445200000001000000010802000000907753de0000000c4944415478da63f8cfc0000003010100c9fe92ef0000000049454e44ae426082")
+NUMBERING = '<w:numbering><w:abstractNum w:abstractNumId="3"><w:lvl w:ilvl="0"><w:numFmt w:val="bullet"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="7"><w:abstractNumId w:val="3"/></w:num></w:numbering>'
+
+
+def rich_docx(lines: list[str]) -> bytes:
+    """A paragraph per line, of a kind that the text before its first tab tells: a heading, a list item of level 0 or 1,
+    a run in bold, italic or colour, deleted text, a link with its target, a row of a table, a picture."""
+    body, targets = [], {"pic": "media/p.png", "gone": "media/q.png"}
+    for n, line in enumerate(lines):
+        kind, _, rest = line.partition("\t")
+        run = lambda text, props="": f'<w:r>{f"<w:rPr>{props}</w:rPr>" if props else ""}<w:t xml:space="preserve">{escape(text)}</w:t></w:r>'
+        if kind in ("0", "1"):
+            body.append(f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{kind}"/><w:numId w:val="7"/></w:numPr></w:pPr>{run(rest)}</w:p>')
+        elif kind == "link":
+            text, _, targets[f"r{n}"] = rest.partition("\t")
+            body.append(f'<w:p><w:hyperlink r:id="r{n}">{run(text)}</w:hyperlink></w:p>')
+        elif kind == "row":
+            cells = "".join(f"<w:tc><w:p>{run(c)}</w:p></w:tc>" for c in rest.split("\t"))
+            body.append(f"<w:tbl><w:tr>{cells}</w:tr></w:tbl>")
+        elif kind == "picture":
+            body.append(f'<w:p><w:r><w:drawing><wp:extent cx="{rest}"/><a:blip r:embed="pic"/></w:drawing><w:drawing><a:blip r:embed="gone"/></w:drawing></w:r></w:p>')
+        elif kind == "deleted":
+            body.append(f"<w:p><w:del>{run(rest)}</w:del>{run(rest[:3])}<w:r><w:br/></w:r></w:p>")
+        elif kind == "heading":
+            body.append(f'<w:p><w:pPr><w:pStyle w:val="Heading3"/><w:jc w:val="both"/></w:pPr>{run(rest)}</w:p>')
+        else:
+            props = {"bold": "<w:b/><w:i w:val='0'/>", "colour": '<w:color w:val="0a0B0c"/><w:highlight w:val="cyan"/>', "raised": '<w:vertAlign w:val="superscript"/><w:strike/>'}[kind]
+            body.append(f"<w:p>{run(rest, props)}</w:p>")
+    return _zip({"word/document.xml": f"<w:document><w:body>{''.join(body)}</w:body></w:document>", "word/numbering.xml": NUMBERING, "word/_rels/document.xml.rels": relations(targets), "word/media/p.png": PIXEL})
+
+
+def rich_odt(lines: list[str]) -> bytes:
+    """Lines as in ``rich_docx``: ``heading``, ``bold`` (a style of the text), ``slanted`` (a shared one), ``note``, ``0`` (a list) and ``row``."""
+    style = lambda name, props: f'<style:style style:name="{name}"><style:text-properties {props}/></style:style>'
+    forms = {
+        "heading": '<text:h text:outline-level="9">{}</text:h>', "bold": '<text:p><text:span text:style-name="B">{}</text:span></text:p>', "slanted": '<text:p><text:span text:style-name="S">{}</text:span><text:tab/></text:p>',
+        "note": "<text:p>{}<text:note><text:note-body><text:p>hidden</text:p></text:note-body></text:note></text:p>", "0": "<text:list><text:list-item><text:p>{}</text:p></text:list-item></text:list>",
+        "row": '<table:table><table:table-row><table:table-cell table:number-columns-spanned="2">{}</table:table-cell></table:table-row></table:table>', "picture": '<text:p>{}<draw:image xlink:href="./Pictures/p.png"/></text:p>',
+    }
+    body = "".join(forms[x.partition("\t")[0]].format(escape(x.partition("\t")[2])) for x in lines)
+    own = style("B", 'fo:font-weight="bold" fo:color="#0a0B0c"')
+    shared = style("B", 'fo:font-style="italic"') + style("S", 'fo:font-style="italic" style:text-underline-style="solid"')
+    return _zip({"content.xml": f"<office:document-content><office:automatic-styles>{own}</office:automatic-styles><office:text>{body}</office:text></office:document-content>", "styles.xml": f"<office:styles>{shared}</office:styles>", "Pictures/p.png": PIXEL})
+
+
+def rich_pptx(lines: list[str]) -> bytes:
+    """A slide per line: a title, a tab and a paragraph, an empty paragraph and a picture."""
+    slide = '<p:sld><p:sp><p:ph type="ctrTitle"/><a:p><a:r><a:t>{}</a:t></a:r></a:p></p:sp><p:sp><a:p></a:p><a:p><a:r><a:t>{}</a:t></a:r><a:br/></a:p></p:sp><a:blip r:embed="pic"/><a:blip r:embed="none"/></p:sld>'
+    slides = {f"ppt/slides/slide{k}.xml": slide.format(*map(escape, x.partition("\t")[::2])) for k, x in enumerate(lines, 1)}
+    rels = {f"ppt/slides/_rels/slide{k}.xml.rels": relations({"pic": "../media/p.png"}) for k, _ in enumerate(lines, 1)}
+    return _zip({"ppt/presentation.xml": "<p:presentation/>", "ppt/media/p.png": PIXEL} | slides | rels)
+
+
+def rich_xlsx(lines: list[str]) -> bytes:
+    """Two sheets: rows of a text, a gap, a percentage, a time and a flag; and inline texts, by a full path. Lines hold the text and a number."""
+    first, second = [], []
+    for x in lines:
+        text, _, n = x.partition("\t")
+        first.append(f'<row><c r="A1" t="str"><f>1</f><v>{escape(text)}</v></c><c r="C1" s="1"><v>{int(n) / 100}</v></c><c r="D1" s="2"><v>{int(n) / 64}</v></c><c r="E1" s="3"><v>{n}</v></c><c t="b"><v>{int(n) % 2}</v></c></row>')
+        second.append(f'<row><c r="B1" t="inlineStr"><is><t>{escape(text)}</t></is></c></row>')
+    formats = '<numFmt numFmtId="170" formatCode="0.0%"/><numFmt numFmtId="171" formatCode="[h]:mm &quot;d&quot; ss"/><numFmt numFmtId="170" formatCode="yyyy"/>'
+    sheet = "<worksheet><sheetData>{}</sheetData></worksheet>"
+    return _zip({"xl/workbook.xml": '<workbook><sheets><sheet name="A &amp; B" r:id="a"/><sheet name="C" r:id="c"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": relations({"a": "worksheets/x.xml", "c": "/xl/worksheets/y.xml"}), "xl/styles.xml": f'<styleSheet><numFmts>{formats}</numFmts><cellStyleXfs><xf numFmtId="9"/></cellStyleXfs><cellXfs><xf/><xf numFmtId="170"/><xf numFmtId="171"/><xf numFmtId="3"/></cellXfs></styleSheet>', "xl/worksheets/x.xml": sheet.format("".join(first)), "xl/worksheets/y.xml": sheet.format("".join(second))})
+
+
+WRITERS = {"docx": docx, "odt": odt, "pptx": pptx, "xlsx": xlsx, "rich_docx": rich_docx, "rich_odt": rich_odt, "rich_pptx": rich_pptx, "rich_xlsx": rich_xlsx}
 
 
 def packed(df: DataFrame, kind: str) -> DataFrame:

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    That is ``spark.checkpoint.dir``. Only where it is unset, as in tests on one
-    machine, a new local folder is made and becomes the session's setting.
+    That is ``spark.checkpoint.dir``. Only where it is unset and everything runs on one
+    machine, as in tests, a new local folder is made and becomes the session's setting; on a
+    cluster an unset folder is an error, as executors could not see a local one.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", conf)
         spark.sparkContext.setCheckpointDir(conf)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 
 SCHEMA = "path string, mtime_ns long, content binary"
 #: Files of one task.
@@ -106,6 +107,14 @@ def keep_latest(versions: DataFrame, store: str, checkpoint: str, convert: Calla
     return versions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def run_for(query: StreamingQuery, seconds: float) -> bool:
+    """Let a query run for a time, then stop it; whether it had ended by itself before."""
+    ended = query.awaitTermination(seconds)
+    if not ended:
+        query.stop()
+    return bool(ended)
+
+
 def current(spark: SparkSession, store: str, value: str = "content") -> DataFrame:
     """The latest row of each path over all batches."""
     return latest(spark.read.parquet(f"{store}/batch-*"), order="batch", value=value)

@@ -40,8 +40,8 @@ def test_rasters():
 
 
 def test_settings(spark, tmp_path):
-    (tmp_path / "rc").write_text("# all\nwidth = 900 # px\nwatch=Yes\nbad line\nwidth=800\n = x\n")
-    assert sorted(tuple(r) for r in read_settings(spark, str(tmp_path / "rc")).collect()) == [("watch", "Yes", True), ("width", "800", False)]
+    (tmp_path / "rc").write_text("# all\nwidth = 900 # px\nwatch=Yes\nbad line\nwidth=800\nwidth=199\nheight=10001\n = x\n")
+    assert sorted(tuple(r) for r in read_settings(spark, str(tmp_path / "rc")).collect()) == [("watch", "Yes", True, None), ("width", "800", False, 800)]
 
 
 def test_listing_page(spark, tmp_path):
@@ -53,9 +53,9 @@ def test_listing_page(spark, tmp_path):
 
 def test_sql_functions(spark):
     register(spark)
-    spark.createDataFrame([(samples.docx(), samples.RTF, "a;b\n1;2")], "d binary, r binary, c string").createOrReplaceTempView("f")
+    spark.createDataFrame([(samples.tide_log(), samples.RTF, "a;b\n1;2")], "d binary, r binary, c string").createOrReplaceTempView("f")
     assert spark.sql("SELECT count(*) FROM f, LATERAL csv_cells(c, ';')").first()[0] == 4
     assert spark.sql("SELECT max(bold) FROM f, LATERAL rtf_runs(r)").first()[0]
-    assert spark.sql("SELECT count(*) FROM f, LATERAL doc_parts(d, 'word/.*')").first()[0] == 4
+    assert spark.sql("SELECT count(*) FROM f, LATERAL doc_parts(d, 'word/.*')").first()[0] == 5
     assert spark.sql("SELECT count(*) FROM f, LATERAL doc_nodes(d, 'word/document.xml') WHERE name = 'w:p' AND ev = 'start'").first()[0] > 10
     assert spark.sql("SELECT safe_link('https://x'), safe_link(' java\tscript:x'), json_reindent('[]'), xml_decode('&#65;')").first()[:] == (True, False, "[]", "A")

@@ -2,6 +2,9 @@
 
 import base64
 import datetime
+import random
+import time
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -10,9 +13,12 @@ from pyspark.sql import functions as F
 
 from folio.functions import classify as K
 from folio.functions import text as X
-from folio.operators.delimited import split_rows
-from folio.operators.markdown import to_html
+from folio.operators.delimited import csv_cells, split_rows
+from folio.operators.markdown import MAX_NESTING, inline, to_html
+from folio.operators.office import list_tags
+from folio.operators.pdf import pdf_info
 from folio.operators.richtext import runs
+from tests import samples
 
 
 @pytest.fixture(scope="module")
@@ -74,6 +80,19 @@ def test_hex_dump(apply):
     assert text[0].split("\n")[1].startswith("00000010  10 11 12 13 ") and text[1] == "" and text[2].endswith("... (88 more bytes)")
 
 
+def test_picture_sizes(spark):
+    cases = {samples.png(width=3, height=1): (3, 1), samples.GIF: (7, 5), samples.BMP: (4, 2), samples.JPEG: (13, 11), b"GIF8": None, b"\xff\xd8\xff": None, b"\xff\xd8\xff\xe0\xff\xff": None, b"plain": None}
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, c binary").select("k", K.image_size(F.col("c")).alias("s")).orderBy("k").collect()
+    assert [tuple(r.s) if r.s and r.s.width else None for r in rows] == list(cases.values())
+
+
+def test_pages_in_object_streams(spark):
+    packed = zlib.compress(b"1 0 2 20 << /Type /Page >> << /Type /Pages >> << /Type/Page/Parent 2 0 R >>")
+    data = b"%PDF-1.5\n3 0 obj << /Type /ObjStm /N 2 /Filter /FlateDecode >>\nstream\r\n" + packed + b"\nendstream\n<< /Type /Page >>"
+    files = spark.createDataFrame([("/a", data), ("/b", data.replace(packed, b"damaged")), ("/c", b"%PDF-1.4"), ("/d", None)], "path string, content binary")
+    assert [r.note for r in pdf_info(files).orderBy("path").collect()] == ["3 pages", "1 page", None, None]
+
+
 def test_detection(spark):
     cases = [("notes.md", b"a\x00b", "binary"), ("notes.md", b"%PDF-1.4 all text", "markdown"), ("x", b"%PDF-", "pdf"), ("x.png", b"text", "image"), ("x", b"plain", "text"), ("x", b"", "text"), ("x.txt", b"\x89PNG\r\n\x1a\n\x00\x00", "image"), ("x", b"BM" + b"\0" * 20, "binary"), ("a.docx", b"nonsense", "docx")]
     rows = spark.createDataFrame([(k, p, c) for k, (p, c, _) in enumerate(cases)], "k int, path string, content binary").select("k", K.detect(F.col("path"), F.col("content")).alias("t")).orderBy("k").collect()
@@ -96,6 +115,39 @@ def test_csv_rules():
     assert rows_of(' "a"') == [[' "a"']]
 
 
+def test_csv_limit_at_under_and_over(spark):
+    files = spark.createDataFrame([("/a.csv", b"h\n1\n2\n3\n"), ("/b.csv", b'h\n"1\n\n\n"\n')], "path string, content binary")
+    for limit, kept, more in ((3, 3, True), (4, 4, False), (5, 4, False), (None, 4, False)):
+        rows = csv_cells(files, max_rows=limit).where("path = '/a.csv'").collect()
+        assert len(rows) == kept and {r.truncated for r in rows} == {more}
+    assert [(r.value, r.truncated) for r in csv_cells(files, max_rows=2).where("path = '/b.csv'").orderBy("row_idx").collect()] == [("h", False), ("1\n\n\n", False)]
+
+
+def nested_tags(steps):
+    """The stack of open lists, kept by hand."""
+    stack, out = [], []
+    for want, is_ul in steps:
+        tags = ""
+        while len(stack) > want:
+            tags += f"</{stack.pop()}>"
+        kind = "ul" if is_ul else "ol"
+        if want and len(stack) == want and stack[-1] != kind:
+            tags += f"</{stack.pop()}>"
+        while len(stack) < want:
+            stack.append(kind)
+            tags += f"<{kind}>"
+        out.append(tags)
+    return out
+
+
+def test_list_tags_against_a_stack(spark):
+    rng = random.Random(5)
+    docs = {str(d): [(rng.choice((0, 0, 1, 1, 2, 3, 5)), rng.random() < 0.5) for _ in range(60)] for d in range(12)} | {"flat": [(0, True)] * 3}
+    rows = [(d, k, want, is_ul) for d, steps in docs.items() for k, (want, is_ul) in enumerate(steps)]
+    got = list_tags(spark.createDataFrame(rows, "path string, seq int, want int, is_ul boolean")).collect()
+    assert {(r.path, r.seq): r.tags for r in got} == {(d, k): tags for d, steps in docs.items() for k, tags in enumerate(nested_tags(steps))}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.text(max_size=8), min_size=1, max_size=4), min_size=1, max_size=5))
 def test_csv_round_trip(rows):
@@ -112,6 +164,25 @@ def test_markdown_never_leaves_tags_open(text):
     assert "<script" not in html
 
 
+def test_markdown_spans():
+    cases = {
+        "***a***": "<em><strong>a</strong></em>", "**a *b* c**": "<strong>a <em>b</em> c</strong>", "a_b_c __d__": "a_b_c <strong>d</strong>", "*a **b*": "*a *<em>b</em>", "** a**": "** a**", "2 * 3 * 4": "2 * 3 * 4",
+        "~~x~~ ~y~ ~~~z~~~": "<del>x</del> <del>y</del> ~~~z~~~", "`` a`b `` `c": "<code>a`b</code> `c", "`*a*`": "<code>*a*</code>", "\\*a*": "*a*", "[a *b](c) d*": '<a href="c">a *b</a> d*', "[a [b](c)](d)": '[a <a href="c">b</a>](d)',
+        "![a **b**](c 'd')": '<img src="c" alt="a b" title="d">', "[x](<y>)": '<a href="y">x</a>', "[x]": "[x]", "&copy; &lt; &nothing;": "© &lt; &amp;nothing;", "<https://a.b/?c&d>": '<a href="https://a.b/?c&amp;d">https://a.b/?c&amp;d</a>', "see www.a.b/_c_.": 'see <a href="http://www.a.b/_c_">www.a.b/_c_</a>.',
+    }
+    assert {k: inline(k) for k in cases} == cases
+
+
+def test_markdown_takes_odd_texts_in_linear_time():
+    n = 20_000
+    odd = [">" * n, "- " * n, "**a " * n, "*a _b " * n, " ".join("`" * (k % 50 + 1) for k in range(n)), "[" * n + "](b)" * n, "# " + " " * n + "x", "---" + " " * n + "x", "![" * n + "](a)" * n, "<http:" * n, "www." * n, "[x](" * n, "&#" * n, "|" * n + "\n" + "-|" * n]
+    began = time.perf_counter()
+    for text in odd:
+        to_html(text)
+    assert time.perf_counter() - began < 30
+    assert to_html("> " * (MAX_NESTING + 3) + "x").count("<blockquote>") == MAX_NESTING
+
+
 def test_rich_text_corner_cases():
     said = lambda data: "".join(t for _, k, t, _ in runs(data) if k == "text")
     assert said(rb"{\rtf1 \u233\'e9 \u8364 ?\'80x}") == "éé €€x"

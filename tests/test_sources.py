@@ -3,9 +3,13 @@
 import os
 import time
 
+import pytest
+
 from folio.operators import containers
+from folio.plans.navigate import opened
 from folio.sources.corpus import classified, read_corpus
-from folio.sources.listing import read_listing
+from folio.sources.listing import read_listing, remote_entries
+from folio.sources.work import shared_dir
 from folio.streaming import watch as W
 from tests import samples
 
@@ -31,6 +35,44 @@ def test_listing(spark, tmp_path):
     assert rows[0].path == f"{tmp_path}/zdir"
 
 
+def test_listing_of_a_tree(spark, tmp_path):
+    for name in ("a/b/c", "d", "a/.hidden"):
+        (tmp_path / name).mkdir(parents=True)
+    (tmp_path / "a" / "b" / "c" / "deep.txt").write_text("12345")
+    (tmp_path / "d" / "loop").symlink_to(tmp_path)
+    rows = read_listing(spark, tmp_path, recursive=True).collect()
+    assert [(r.path.removeprefix(str(tmp_path)), r.is_dir, r.place) for r in rows] == [("/a", True, 1), ("/d", True, 2), ("/a/b", True, 1), ("/a/b/c", True, 1), ("/a/b/c/deep.txt", False, 1), ("/d/loop", True, 1)]
+    assert sorted(r.name for r in remote_entries(spark, f"file://{tmp_path}").collect()) == ["a", "d"]
+
+
+def test_opening_a_path(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "n.md").write_text("# here")
+    (tmp_path / "p.html").write_text("<p>as is")
+    assert "sub/" in opened(spark, str(tmp_path)).first().html
+    assert "<h1>here</h1>" in opened(spark, str(tmp_path / "sub" / "n.md")).first().html
+    page = opened(spark, str(tmp_path / "p.html")).first()
+    assert page.html is None and page.url == f"file://{tmp_path}/p.html"
+    assert opened(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_shared_folder_must_be_named_on_a_cluster(spark):
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Elsewhere)
+
+
+def test_a_query_runs_for_a_time(spark, tmp_path):
+    query = W.watch(spark, str(tmp_path)).writeStream.format("noop").option("checkpointLocation", str(tmp_path / ".check")).start()
+    assert W.run_for(query, 1) is False and not query.isActive
+
+
 def test_watch_follows_changes(spark, tmp_path):
     folder, store, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     os.mkdir(folder)
@@ -76,11 +118,10 @@ def test_latest_keeps_the_last_good_version(spark):
     assert sorted((r.path, bytes(r.content)) for r in W.latest(df).collect()) == [("a", b"x"), ("b", b"z")]
 
 
-def test_parts_stay_within_the_budget(spark, monkeypatch):
-    monkeypatch.setattr(containers.members, "__defaults__", (1000,))
-    bomb = samples.archive({"word/document.xml": "<w:document><w:p><w:r><w:t>survived</w:t></w:r></w:p></w:document>", "word/numbering.xml": "0" * 5000})
+def test_parts_stay_within_the_budget(spark):
+    bomb = samples.archive({"word/document.xml": "<w:document><w:p><w:r><w:t>still here</w:t></w:r></w:p></w:document>", "word/numbering.xml": "0" * 5000})
     df = spark.createDataFrame([("/b.docx", bomb), ("/t.docx", bomb[:60]), ("/n", None)], "path string, content binary")
-    rows = {(r.path, r.part): r for r in containers.parts(df, r"word/.*").collect()}
+    rows = {(r.path, r.part): r for r in containers.parts(df, r"word/.*", budget=1000).collect()}
     assert set(rows) == {("/b.docx", "word/document.xml"), ("/b.docx", "word/numbering.xml")}
     assert rows["/b.docx", "word/numbering.xml"].refused and not rows["/b.docx", "word/document.xml"].refused
 
