@@ -25,11 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Where a match of the splitting pattern always ends: after a visible character
-#: before ASCII white space, after a letter before a visible ASCII character that is
-#: no letter, and after a digit before one that is no digit. No alternative of the
-#: pattern can hold both characters of such a pair next to each other.
-FIXED_CUT = re.compile(r"(?<=[!-~])(?=[ \t\n\r])|(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[0-9])(?=[!-/:-~])")
+# Fixed value: the splitting pattern whose cuts are known.
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters of common scripts, and marks that are no letters, digits or white space in any edition of the tables.
+LETTER = "A-Za-zÀ-ÖØ-öø-žΑ-ΡΣ-Ωα-ωА-яぁ-ゖァ-ヺ一-龥가-힣"
+MARK = r"!-/:-@\[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧‰-⁞、-〃〈-】！-／：-＠"
+#: Where a match of that pattern always ends, as no alternative holds both characters of such a pair next to each
+#: other: after a letter, mark or digit before white space, after a letter before a mark or digit, after a digit
+#: before a letter or mark, and after a mark (but an apostrophe) before a letter or digit.
+FIXED_CUT = re.compile(rf"(?<=[{LETTER}{MARK}0-9])(?=[ \t\n\r　])|(?<=[{LETTER}])(?=[{MARK}0-9])|(?<=[0-9])(?=[{LETTER}{MARK}])|(?<=[{MARK}])(?<!')(?=[{LETTER}0-9])")
+#: Other patterns have no known cuts: there a join encodes both halves again, as a whole.
+NO_CUT = re.compile(r"(?!)")
 
 
 class TreeBpe:
@@ -42,6 +48,7 @@ class TreeBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self._bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._width = {i: len(b) for b, i in ranks.items()}
+        self._cuts = FIXED_CUT if pattern == KNOWN_PATTERN else NO_CUT
         self._leaf_chars, self._leaf_tokens = max(1, leaf_chars), max(1, leaf_tokens)
 
     def encode(self, text: str) -> list[int]:
@@ -58,7 +65,7 @@ class TreeBpe:
         reach = 16
         while True:
             start, end = max(lo, mid - reach), min(hi, mid + reach)
-            cuts = [start + m.start() for m in FIXED_CUT.finditer(text[start:end])]
+            cuts = [start + m.start() for m in self._cuts.finditer(text[start:end])]
             before = max((c for c in cuts if start < c <= mid), default=None)
             after = min((c for c in cuts if mid <= c < end), default=None)
             a = before if before is not None else lo if start == lo else None

@@ -109,6 +109,24 @@ def test_tree_gives_the_librarys_ids():
     assert tree.encode("a" * 50_000) == tree._bpe.encode_ordinary("a" * 50_000)
 
 
+def test_tree_of_other_scripts_and_patterns():
+    rng = random.Random(2)
+    alphabet = "aé 's1３\n\t　。、（）「」一二漢かなカナ한글Ωя½²·ªµ\u00ad\u0301\u200d\x85\xa0!-_€™"
+    other = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    for pattern in (P.PATTERN, other):
+        tree = bpe.TreeBpe(queries.BYTE_RANKS, pattern, leaf_chars=4)
+        for _ in range(2000):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(50)))
+            assert tree.encode(text) == tree._bpe.encode_ordinary(text)
+    assert bpe.KNOWN_PATTERN == P.PATTERN
+    # without ASCII words windows stay small all the same
+    tree, seen = bpe.TreeBpe(queries.BYTE_RANKS, P.PATTERN), []
+    plain = tree._bpe.encode_ordinary
+    tree._bpe = type("Counting", (), {"encode_ordinary": staticmethod(lambda t: seen.append(len(t)) or plain(t))})
+    text = "漢字。かな、" * 20_000
+    assert tree.encode(text) == plain(text) and sum(seen) < 1.2 * len(text)
+
+
 def test_bpe_query(spark, awkward, tmp_path):
     tree = bpe.TreeBpe(queries.BYTE_RANKS, P.PATTERN)
     rows = queries.op2_byte_bpe(spark, saved(tmp_path, awkward)).collect()
