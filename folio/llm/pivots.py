@@ -137,11 +137,11 @@ def ranges(table: DataFrame) -> DataFrame:
     return table.select("block", "x", "far").mapInArrow(partly, schema).groupBy("block").applyInPandas(whole, schema)
 
 
-def products(x: np.ndarray, q: np.ndarray, exact: bool) -> list[int]:
+def products(x: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
     if exact:
-        return (x @ q).astype(np.int64).tolist()
+        return (x @ q).astype(np.int64)
     whole = [int(a) for a in q]
-    return [max(-LONG - 1, min(LONG, sum(int(a) * b for a, b in zip(row, whole, strict=True)))) for row in x]
+    return np.array([max(-LONG - 1, min(LONG, sum(int(a) * b for a, b in zip(row, whole, strict=True)))) for row in x], np.int64)
 
 
 def upper_bound(qq, xx, apart):
@@ -151,34 +151,40 @@ def upper_bound(qq, xx, apart):
 
 
 def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, step: int = 256) -> pd.DataFrame:
-    """The k best of one block of candidates for each query of one block, as far as they reach the query's ``least`` score."""
+    """The k best of one block of candidates for each query of one block, as far as they reach the query's ``least`` score.
+
+    The candidates with the highest bounds are evaluated first; each round leaves out those whose bounds lie below
+    the k-th score so far, and the search ends when none is left.
+    """
     qs, xs = ([np.frombuffer(b) for b in d["x"]] for d in (queries, candidates))
     dim = max(max(map(len, qs)), max(map(len, xs)))
     q, x = padded(qs, dim), padded(xs, dim)
-    far_q, far_x = (np.stack([np.frombuffer(b) for b in d["far"]]) for d in (queries, candidates))
+    far_q, far_x = (np.stack([np.frombuffer(b) for b in d["far"]], axis=1) for d in (queries, candidates))
     with np.errstate(over="ignore", invalid="ignore"):
         qq, xx = (q**2).sum(axis=1), (x**2).sum(axis=1)
         exact = float(np.sqrt(qq.max() * xx.max())) < EXACT
     ids = candidates["id"].to_numpy()
-    out: list[tuple[int, int, int, int]] = []
+    out: list[np.ndarray] = []
     for i, (query, row, least) in enumerate(zip(queries["id"], queries["row"], queries["least"], strict=True)):
-        left = np.flatnonzero(ids != query)
-        apart = np.zeros(len(left))
-        for some in np.array_split(np.argsort(far_q[i]), 4):  # near pivots first; what they rule out meets no others
-            with np.errstate(over="ignore", invalid="ignore"):
-                apart = np.maximum(apart, np.abs(far_x[np.ix_(left, some)] - far_q[i, some]).max(axis=1, initial=0))
-            bound = upper_bound(qq[i], xx[left], apart)
-            may = bound >= least
-            left, apart, bound = left[may], apart[may], bound[may]
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[int, int]] = []
-        for at in range(0, len(order), step):
-            if len(best) == k and bound[order[at]] < -best[-1][0]:
-                break  # no bound that is left reaches the k-th score
-            part = left[order[at : at + step]]
-            best = sorted(best + [(-s, int(ids[j])) for s, j in zip(products(x[part], q[i], exact), part, strict=True)])[:k]
-        out += [(query, row, j, -s) for s, j in best]
-    return pd.DataFrame(out, columns=FOUND).astype("int64")
+        with np.errstate(over="ignore", invalid="ignore"):
+            apart = np.abs(far_x - far_q[:, i : i + 1]).max(axis=0, initial=0)
+        bound = upper_bound(qq[i], xx, apart)
+        left = np.flatnonzero((bound >= least) & (ids != query))
+        best_score, best_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n = step
+        while len(left):
+            bounds = bound[left]
+            first = np.argpartition(-bounds, n)[:n] if len(left) > n else np.arange(len(left))
+            part = left[first]
+            score, name = np.append(best_score, products(x[part], q[i], exact)), np.append(best_id, ids[part])
+            order = np.lexsort((name, ~score))[:k]  # ~ falls as scores rise, and never overflows
+            best_score, best_id = score[order], name[order]
+            bounds[first] = -np.inf
+            # a bound that equals the k-th score may still hold a tie
+            left = left[bounds >= (best_score[-1] if len(best_score) == k else np.finfo(np.float64).min)]
+            n *= 2
+        out.append(np.stack([np.full(len(best_id), query), np.full(len(best_id), row), best_id, best_score], axis=1))
+    return pd.DataFrame(np.concatenate(out), columns=FOUND).astype("int64")
 
 
 FOUND = ["query_id", "row", "vec_id", "score"]
