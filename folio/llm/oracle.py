@@ -35,8 +35,6 @@ f AS (
          coalesce(n_long, 0) AS n_long, coalesce(n_pair, 0) AS n_pair,
          length(text) - length(replace(text, '!', '')) AS n_calls, length(regexp_replace(text, '[^{}]', '', 'g')) AS n_braces,
          len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper,
-         strlen(text) AS n_bytes, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS n_ascii,
-         len(list_filter(ws, lambda x: regexp_full_match(x, '(?i)the|be|to|of|and|that|have|with|is|in|der|die|und|den|von|zu|das|mit|ist|le|la|de|et|les|des|en|un|une|est|el|que|y|los|del|las|una'))) AS n_stop,
          len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words
   FROM w LEFT JOIN hit USING (rid) LEFT JOIN lines USING (rid) LEFT JOIN long USING (rid) LEFT JOIN top_pair USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
@@ -45,7 +43,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          OR word_chars < 2 * n_words OR word_chars > 30 * n_words OR 2 * n_letter_words < n_words
          OR 10 * n_bullets > 9 * greatest(1, n_lines) OR 10 * n_broken > 3 * n_lines
          OR 5 * n_calls > n_words OR 2 * n_upper > n_words OR 10 * n_braces > n_words
-         OR (n_words >= 50 AND 5 * (n_bytes - n_ascii) <= n_bytes AND n_stop < 2)
          OR (n_pair > 2 AND 10 * n_pair > n_words) OR 20 * n_long > 3 * n_words) AS kept
 FROM b
 """

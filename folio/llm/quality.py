@@ -29,8 +29,6 @@ SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 #: Bytes that are neither white space nor a letter; those of other scripts count as letters.
 NO_LETTERS = bytes(b for b in range(0x80) if not chr(b).isalpha() and b not in SPACES)
-#: Frequent function words of four languages.
-STOP_WORDS = frozenset(b"the be to of and that have with is in der die und den von zu das mit ist le la de et les des en un une est el que y los del las una".split())
 #: Documents of the sample, at most: the first of an eighth of all texts. It only decides the order of the rules.
 SAMPLE_DOCS = 256
 
@@ -117,13 +115,6 @@ def many_braces(t: Text) -> bool:
     return 10 * (t.raw.count(b"{") + t.raw.count(b"}")) > t.n_words
 
 
-def no_stop_words(t: Text) -> bool:
-    """Of 50 words or more in Latin letters, under two are frequent ones of a known language."""
-    if t.n_words < 50 or 5 * len(t.raw.translate(None, bytes(range(0x80)))) > len(t.raw):
-        return False
-    return sum(w in STOP_WORDS for w in t.raw.lower().split()) < 2
-
-
 def one_pair_again(t: Text) -> bool:
     """The most frequent pair of words makes up over a fifth of the text, and stands there three times or more."""
     most = max(Counter(zip(t.words, t.words[1:], strict=False)).values(), default=0)
@@ -136,7 +127,7 @@ def long_repeats(t: Text) -> bool:
 
 
 Rule = Callable[[Text], bool]
-RULES: dict[str, Rule] = {f.__name__: f for f in (too_few_letters, bullet_lines, odd_word_length, too_many_equal_lines, too_many_symbols, ellipsis_lines, shouting, many_braces, no_stop_words, one_pair_again, long_repeats)}
+RULES: dict[str, Rule] = {f.__name__: f for f in (too_few_letters, bullet_lines, odd_word_length, too_many_equal_lines, too_many_symbols, ellipsis_lines, shouting, many_braces, one_pair_again, long_repeats)}
 
 
 def cascade_order(df: DataFrame, text_col: str = "text", rules: dict[str, Rule] | None = None, sample_docs: int = SAMPLE_DOCS) -> list[str]:
