@@ -10,13 +10,12 @@
    candidates are (hub, member): linear in the bucket's size. Members that turn out
    linked need no further comparison with each other, as they share a component. Buckets
    that still hold several components get another hub, ``HUB_ROUNDS`` times.
-   What is left of them is compared in blocks of bounded size. Of a bucket of over ``BLOCK``
-   members only those are compared that share a second bucket; a pair that shares a bucket
-   lacks a second one with probability ``MISS`` at most again. No other pair that
-   could join two components is left out.
+   What is left of them is compared in blocks of bounded size, by signatures. No other pair
+   that could join two components is left out.
 4. A candidate pair's signatures are compared batch by batch. With m of n equal and a
    uniform prior, P(similarity >= t) = P(Binomial(n + 1, t) <= m); below the chosen
-   miss probability the pair is dropped. Survivors alone meet their full sets, in a join.
+   miss probability the pair is dropped. Survivors alone meet their full sets: hubs' pairs in a
+   join, those of blocks in blocks of bounded size.
 
 Defined results: texts without words (or null) have no shingles and are linked with
 nothing; fewer than five words are one shingle; copies, ties and repeated rows are
@@ -42,7 +41,8 @@ from folio.llm.components import connect
 
 WIDTH, HASHES, BATCH = 5, 128, 32
 MISS = 1e-6
-BLOCK = 512
+#: Members of a block of a bucket, and shingles of a block of its survivors, about.
+BLOCK, CELL = 4096, 1 << 20
 HUB_ROUNDS = 3
 
 
@@ -199,44 +199,90 @@ def verified(survivors: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return survivors.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Members of ``n_blocks`` blocks of a bucket, dealt to the pairs (i, j) of blocks that hold them."""
+    block = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("n_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    both = placed.withColumn("block", block).select("bucket", "cls", "label", "block", other)
+    return both.select("bucket", "cls", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _partners(key: tuple, rows: pd.DataFrame, percent: int, least: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row the later ones that sequential verification lets pass: of another ``label``, in the first bucket that both share."""
+    sig = np.frombuffer(b"".join(rows["sig"]), "<u2").reshape(-1, HASHES)
+    bands, own, n = np.stack(rows["bands"]), rows["block"].to_numpy(), rows["n_shingles"].to_numpy()
+    label = pd.factorize(rows["label"])[0]
+    bucket, i, j = key
+    for k in range(len(rows) - 1):
+        # a pair within one block belongs to (i, i), one across to (i, j)
+        fits = 100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k])
+        rest = k + 1 + np.flatnonzero(fits & (label[k + 1 :] != label[k]) & ((own[k + 1 :] != own[k]) | (i == j)))
+        if len(rest):
+            rest = rest[bayes_survivors(np.broadcast_to(sig[k], (len(rest), HASHES)), sig[rest], least)]
+        if len(rest):
+            rest = rest[bands[k][(bands[rest] == bands[k]).argmax(axis=1)] == bucket]
+        if len(rest):
+            yield k, rest[np.argsort(-(sig[rest] == sig[k]).sum(axis=1), kind="stable")]
+
+
 def block_survivors(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket that sequential verification lets pass, from blocks of about ``BLOCK`` members.
+    """``bucket, cls``: members of a bucket with a partner in another component that sequential verification lets pass.
 
-    Only signatures travel. In a bucket within ``BLOCK`` a pair belongs to the first bucket that
-    it shares; larger ones are dealt again by each other band of a member.
+    A bucket is compared in blocks of about ``BLOCK`` members; only signatures travel, and no pairs are given out.
     """
     least = least_matches(percent)
-    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("size")), "open-buckets")
-    sized = members.select("bucket", "cls", "label").join(sizes, "bucket")
-    small = sized.where(F.col("size") <= BLOCK).select("bucket", F.col("bucket").alias("part"), "cls", "label")
-    bands = nodes.select("cls", F.explode("bands").alias("other"))
-    large = sized.where(F.col("size") > BLOCK).join(bands, "cls").where("other != bucket").select("bucket", F.xxhash64("bucket", "other").alias("part"), "cls", "label")
-    parts = stored(small.unionByName(large), "open-parts")
-    blocks = parts.groupBy("bucket", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket", "part", "n_blocks")
-    block = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("n_blocks")).cast("int")
-    placed = parts.join(stored(blocks, "blocks"), ["bucket", "part"]).withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    dealt = placed.select("bucket", "part", "cls", "label", "block", other).select("bucket", "part", "cls", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    dealt = _dealt(members.select("bucket", "cls", "label").join(stored(sizes, "open-buckets"), "bucket"))
     whole = dealt.join(nodes.select("cls", "sig", "bands", "n_shingles"), "cls")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bucket, part, i, j = key
         rows = rows.sort_values("cls")
-        sig = np.frombuffer(b"".join(rows["sig"]), "<u2").reshape(-1, HASHES)
-        bands, cls, own, n = np.stack(rows["bands"]), rows["cls"].to_numpy(), rows["block"].to_numpy(), rows["n_shingles"].to_numpy()
-        label = pd.factorize(rows["label"])[0]
-        out: list[tuple[bytes, bytes]] = []
-        for k in range(len(rows) - 1):
-            # a pair within one block belongs to (i, i), one across to (i, j)
-            fits = 100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k])
-            rest = k + 1 + np.flatnonzero(fits & (label[k + 1 :] != label[k]) & ((own[k + 1 :] != own[k]) | (i == j)))
-            if len(rest) and bucket == part:
-                rest = rest[bands[k][(bands[rest] == bands[k]).argmax(axis=1)] == bucket]
-            if len(rest):
-                out += [(cls[k], cls[x]) for x in rest[bayes_survivors(np.broadcast_to(sig[k], (len(rest), HASHES)), sig[rest], least)]]
+        found = np.zeros(len(rows), bool)
+        for k, rest in _partners(key, rows, percent, least):
+            found[k] = True
+            found[rest] = True
+        return rows.loc[found, ["bucket", "cls"]]
+
+    return whole.groupBy("bucket", "i", "j").applyInPandas(compare, "bucket long, cls binary").distinct()
+
+
+def block_links(members: DataFrame, survivors: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between components that the survivors' full sets confirm.
+
+    A bucket's survivors are compared once more, now with their sets, in blocks of about ``CELL`` shingles.
+    A block verifies a member's likeliest partners first, and leaves out those whose components it has found linked already.
+    """
+    least = least_matches(percent)
+    here = stored(members.select("bucket", "cls", "label").join(survivors, ["bucket", "cls"]).join(nodes.select("cls", "n_shingles"), "cls"), "surviving")
+    sizes = here.groupBy("bucket").agg(F.ceil(F.sum("n_shingles") / CELL).cast("int").alias("n_blocks"))
+    dealt = _dealt(here.drop("n_shingles").join(stored(sizes, "cells"), "bucket"))
+    whole = dealt.join(nodes.select("cls", "sig", "bands", "n_shingles"), "cls").join(sets, "cls")
+
+    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cls")
+        cls, known, name = rows["cls"].to_numpy(), rows["shingles"].to_numpy(), pd.factorize(rows["label"])[0]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        out = []
+        for k, rest in _partners(key, rows, percent, least):
+            for x in rest:
+                a, b = find(name[k]), find(name[x])
+                if a != b and _similar(known[k], known[x], percent):
+                    out.append((cls[k], cls[x]))
+                    root[max(a, b)] = min(a, b)
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return whole.groupBy("bucket", "part", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    return whole.groupBy("bucket", "i", "j").applyInPandas(verify, "a binary, b binary").distinct()
+
+
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -254,8 +300,8 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     shared = stored(placed.join(sizes, "bucket"), "buckets")
     degree = stored(shared.groupBy("cls").agg(F.sum(F.col("size") - 1).alias("degree")), "degrees")
     nodes = stored(classes.join(degree, "cls").select("cls", "text_hash", "n_shingles", "sig", "bands"), "nodes")
-    # one text of each class that shares a bucket
-    sets = stored(shingle_sets(rows.select("text", "text_hash").join(nodes.select("text_hash"), "text_hash", "left_semi")).dropDuplicates(["cls"]), "sets")
+    # one text of each class that shares a bucket; both sides grow with the corpus, so neither is for broadcast
+    sets = stored(shingle_sets(rows.select("text", "text_hash").join(nodes.select("text_hash").hint("merge"), "text_hash", "left_semi")).dropDuplicates(["cls"]), "sets")
 
     members = shared.select("bucket", "cls").join(degree, "cls").withColumn("label", F.col("cls"))
     links, labels = None, None
@@ -270,7 +316,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, id_col: str = "doc_id", te
         if members.isEmpty():
             break
     else:
-        labels = connect(links.unionByName(verified(stored(block_survivors(members, nodes, percent), "survivors"), sets, percent)).distinct())
+        labels = connect(links.unionByName(block_links(members, stored(block_survivors(members, nodes, percent), "survivors"), nodes, sets, percent)).distinct())
     of_class = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first_doc", F.coalesce("label", "cls").alias("cluster"))
     smallest = of_class.groupBy("cluster").agg(F.min("first_doc").alias("least_doc"))
     result = seen.drop("sig", "bands").join(of_class.select("cls", "cluster").join(smallest, "cluster"), "cls", "left")

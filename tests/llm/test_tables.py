@@ -417,6 +417,7 @@ def test_near_duplicates(spark, tmp_path, monkeypatch):
 def test_hot_bucket_of_texts_that_are_hardly_linked(spark, monkeypatch):
     """Texts around the threshold, far more than a block holds: every link that joins components is found."""
     monkeypatch.setattr(minhash, "BLOCK", 40)
+    monkeypatch.setattr(minhash, "CELL", 5000)
     monkeypatch.setattr(minhash, "HUB_ROUNDS", 2)
     rng = random.Random(3)
     base = [f"b{k}" for k in range(120)]
