@@ -242,4 +242,42 @@ SELECT doc_id, n_lines, n_dropped, dropped, sha256(rest) AS text_sha256
 FROM documents JOIN d ON d.t = coalesce(text, '') JOIN o USING (tid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": OP1, "op8_line_templates": OP8, "op3_preferences": OP3, "op5_mix_sources": OP5, "op7_top_k": OP7, "op9_quality_rules": OP9, "op10_minhash": OP10}
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+least AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+          100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first_id, false)] AS fails
+  FROM d JOIN least USING (t) LEFT JOIN lab USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+o AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (
+  SELECT array_to_string([substr('ABCDE', k, 1) for k in ks], '') AS filter_order, step, ks[step] AS k, list_slice(ks, 1, step - 1) AS earlier
+  FROM o, unnest([1, 2, 3, 4, 5]) AS u(step)),
+r AS (
+  SELECT part, filter_order, step, k, fails[k] AS hit, len([1 for i in earlier if fails[i]]) > 0 AS gone,
+         len([1 for y in fails if y]) = 1 AS alone, n, good, toxic
+  FROM s, m),
+c AS (
+  SELECT part, filter_order, step, k,
+         coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (hit AND alone), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, k)::BIGINT AS shapley
+FROM c"""
+
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": OP12, "op1_secret_scan": OP1, "op8_line_templates": OP8, "op3_preferences": OP3, "op5_mix_sources": OP5, "op7_top_k": OP7, "op9_quality_rules": OP9, "op10_minhash": OP10}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, lines, minhash, mixing, ngrams, pivots, quality, secrets, tokenfile
+from folio.llm import audit, bpe, chat, lines, minhash, mixing, ngrams, pivots, quality, secrets, tokenfile, toxicity
 from folio.llm.common import documents, new_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85).drop("cluster")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.coalesce(toxicity.crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    spans = F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans")
+    return toxicity.with_toxicity(docs, model).select("doc_id", held_out, "score", "predicted", spans)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op3_preferences, op4_katz_backoff, op5_mix_sources, op6_token_files, op7_top_k, op8_line_templates, op9_quality_rules, op10_minhash)
+    f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op3_preferences, op4_katz_backoff, op5_mix_sources, op6_token_files, op7_top_k, op8_line_templates, op9_quality_rules, op10_minhash, op11_toxicity, op12_filter_audit)
 }
