@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import audit, bpe, chat, lines, minhash, mixing, ngrams, pivots, quality, secrets, tokenfile, toxicity
+from folio.llm import align, audit, bpe, chat, lines, minhash, mixing, ngrams, pivots, quality, secrets, tokenfile, toxicity
 from folio.llm.common import documents, new_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +84,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(documents(spark, sf_dir), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op3_preferences, op4_katz_backoff, op5_mix_sources, op6_token_files, op7_top_k, op8_line_templates, op9_quality_rules, op10_minhash, op11_toxicity, op12_filter_audit)
+    f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op3_preferences, op4_katz_backoff, op5_mix_sources, op6_token_files, op7_top_k, op8_line_templates, op9_quality_rules, op10_minhash, op11_toxicity, op12_filter_audit, op13_cross_tokenizer)
 }
