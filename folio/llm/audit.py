@@ -143,9 +143,10 @@ def orders(part: str, v: np.ndarray) -> list[tuple]:
 def audit(docs: DataFrame, labels: DataFrame, part_col: str = "lang", flush_bytes: int = FLUSH_BYTES) -> DataFrame:
     """A row per part, order of the filters and step."""
     spark = docs.sparkSession
+    n_parts = docs.agg(F.approx_count_distinct(F.coalesce(part_col, F.lit("")))).first()[0]
     yes: Callable[[str], F.Column] = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)).cast("long")).alias(c)
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(yes("quality"), yes("toxic"))
     found = masks(docs, part_col, flush_bytes).groupBy("doc_id", "part", "mask").agg(F.sum("n").alias("n")).join(known, "doc_id", "left")
     rows = found.select("part", "mask", "n", *(F.when(F.col(c) == 1, F.col("n")).otherwise(0).alias(c) for c in ("quality", "toxic")))
-    summed = audited(rows.rdd.map(lambda r: (r[0], tuple(r[1:]))), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    summed = audited(rows.rdd.map(lambda r: (r[0], tuple(r[1:]))), max(1, min(n_parts, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return spark.createDataFrame(summed.flatMap(lambda x: orders(*x)), OUT, verifySchema=False)
