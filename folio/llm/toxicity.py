@@ -2,7 +2,8 @@
 
 Labels are of whole documents, so words are labelled first: a word is toxic where it stands in a
 toxic document and is found there far oftener than in other documents (a word of few documents:
-than in others is its longest beginning that stands in enough of them). The field has two states and learns from windows of ``WINDOW`` words; a window
+than in others is its longest beginning that stands in enough of them). Of a document's words only
+those near its highest odds count: they explain the label, others may have come along in copies. The field has two states and learns from windows of ``WINDOW`` words; a window
 starts after and ends before a harmless state. Forward-backward gives each word's marginal and
 each window's exact probability that no word of it is toxic. A document's evidence is the strongest
 window, the expected number of toxic words and the length; a logistic fit on labelled documents that
@@ -12,7 +13,7 @@ are the offending spans (code points, neighbours joined).
 The classifier is fitted on a bounded sample: per label the ``SAMPLE_DOCS`` documents of the smallest
 hashes of their ids (three quarters teach, one quarter calibrates) and ``SAMPLE_WINDOWS`` windows per
 state. Counts over the sample are made in tasks, in ``BUCKETS`` hashed features. Every text is then
-scored whole, in one pass without a shuffle; a model of 2 MB is broadcast.
+scored whole, in one pass without a shuffle; a model of 32 MB (8 bytes a feature) is broadcast.
 
 Defined results: a null or empty text has no words and gets the score of that evidence; a null ``doc_id`` is
 not held out and never in the sample; of several labels of an id the largest counts, null labels
@@ -41,10 +42,12 @@ from folio.llm.common import per_worker, stored
 #: Documents per label that the classifier is fitted on, and windows per state.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 8192, 3000
 #: Words of a window, hashed features, and words that a worker remembers.
-WINDOW, BUCKETS, REMEMBERED = 64, 1 << 18, 400_000
+WINDOW, BUCKETS, REMEMBERED = 64, 1 << 22, 400_000
 #: A word is labelled by a log odds of that much with that much evidence (twice the log likelihood ratio), and by its
 #: beginning if fewer documents hold it.
 SURE_ODDS, SURE_EVIDENCE, ENOUGH_DOCS = 1.5, 25.0, 8
+#: Log odds that a labelled word may lie below the highest of its document.
+MARGIN = 1.5
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -254,7 +257,7 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a task that hold a feature, by label; and, as feature -1, all of them."""
-    counts, n, known = np.zeros((2, BUCKETS), np.int64), [0, 0], {}
+    counts, n, known = np.zeros((2, BUCKETS), np.int32), [0, 0], {}
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             found: set[int] = set()
@@ -272,17 +275,18 @@ def labelled_windows(model: Model):
     """Windows of a document as words and labels, with the state that they are an example of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds: dict[str, bool] = {}
+        odds: dict[str, float] = {}
         for batch in batches:
             out: list[tuple] = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = WORDS.findall(text or "")
                 if len(odds) > REMEMBERED:
                     odds.clear()
+                told = [odds[w] if w in odds else odds.setdefault(w, model.own(w)[1]) for w in words] if toxic else [0.0] * len(words)
+                least = max(SURE_ODDS, max(told, default=0.0) - MARGIN)
                 for at in range(0, len(words), WINDOW):
-                    part = words[at : at + WINDOW]
-                    marks = bytes(bool(toxic) and (odds[w] if w in odds else odds.setdefault(w, model.own(w)[1] >= SURE_ODDS)) for w in part)
-                    out.append((any(marks), part, marks))
+                    marks = bytes(x >= least for x in told[at : at + WINDOW])
+                    out.append((any(marks), words[at : at + WINDOW], marks))
             names = ["example", "words", "marks"]
             columns = list(zip(*out, strict=True)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.list_(pa.string()), pa.binary()), strict=True)], names=names)
@@ -303,9 +307,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     picked = stored(docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id"), "toxic-sample")  # two times sample_docs ids
     teach, calibrate = picked.where("pmod(h, 4) != 0").select("text", "toxic"), picked.where("pmod(h, 4) = 0").select("text", "toxic")
 
-    counted = teach.mapInArrow(feature_counts, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas()  # BUCKETS rows at most
+    counted = teach.mapInArrow(feature_counts, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(f"feature < 0 or toxic + other >= {ENOUGH_DOCS}").toPandas()  # BUCKETS rows at most
     total = counted[counted.feature == -1]
-    table = np.zeros((2, BUCKETS), np.int64)
+    table = np.zeros((2, BUCKETS), np.int32)
     table[:, counted.feature[counted.feature >= 0]] = counted.loc[counted.feature >= 0, ["toxic", "other"]].to_numpy().T
     if not len(total) or not total.toxic.sum() or not total.other.sum():
         return sizes[1] / (sizes[0] + sizes[1])
@@ -317,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     if rows:
         fit_field(model, [(r.words, bytes(r.marks)) for r in rows])
 
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(vars(model))
     judged = calibrate.mapInArrow(lambda b: evidence_of(b, shared), "toxic int, strongest double, expected double, n_words double").toPandas()  # under two times sample_docs rows
     y = judged.toxic.to_numpy(float)
     if not 0 < y.sum() < len(y):
@@ -332,7 +336,7 @@ def slices(batch: pa.RecordBatch, rows: int = 128) -> Iterator[pa.RecordBatch]:
 
 
 def evidence_of(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    reader = Reader(shared.value)
+    reader = Reader(Model(**shared.value))
     for whole in batches:
         for batch in slices(whole):
             e = reader.read([t or "" for t in batch.column("text").to_pylist()])[0]
@@ -348,10 +352,10 @@ def with_toxicity(docs: DataFrame, model: Model | float, text_col: str = "text")
     added = {"score": T.DoubleType(), "predicted": T.IntegerType(), "toxic_spans": spans_type}
     before = [f for f in docs.schema.fields if f.name not in added]
     names = [f.name for f in before]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = per_worker("toxicity", shared.value.name, lambda: Reader(shared.value))
+        reader = per_worker("toxicity", shared.value["name"], lambda: Reader(Model(**shared.value)))
         for whole in batches:
             for batch in slices(whole):
                 evidence, spans = reader.read([t or "" for t in batch.column("__text").to_pylist()])
