@@ -1,52 +1,380 @@
-"""What the bytes of a PDF tell without rendering it."""
+"""PDF files: what they tell of themselves, and the text and links of their pages.
+
+A reader goes once over a file and gives rows: its pages with their sizes, links, and runs of text
+with their places, in the order in which they are drawn. Lines and pages are put
+together from runs by windows and an aggregation.
+"""
 
 from __future__ import annotations
 
+import bisect
 import re
+import unicodedata
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.operators.pdf_objects import BUDGET, Damaged, Name, Op, Pdf, Ref, Stream, TooLarge, tokens
+from folio.operators.rows import expand, joined
+
 MAX_PAGES = 200
-#: Bytes that the object streams of one file may inflate to.
-MAX_OBJECTS = 64 << 20
-_OBJECTS = re.compile(rb"/ObjStm\b[^>]*>>\s*stream\r?\n")
+#: Forms drawn within each other.
+FORMS = 8
+ROWS = "path string, kind string, page int, seq int, x double, y double, size double, width double, text string"
+PAGE = re.compile(rb"/Type\s*/Page(?![A-Za-z])")
+OBJECTS = re.compile(rb"/ObjStm\b[^>]*>>\s*stream\r?\n")
+TELL = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("partial", T.BooleanType())])
+
+IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+# Glyph names that follow from no rule.
+ACCENTS = {"grave": "̀", "acute": "́", "circumflex": "̂", "tilde": "̃", "macron": "̄", "breve": "̆", "dotaccent": "̇", "dieresis": "̈", "ring": "̊", "hungarumlaut": "̋", "caron": "̌", "cedilla": "̧", "ogonek": "̨"}
+GLYPHS = {
+    "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/",
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@",
+    "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~", "quoteleft": "‘", "quoteright": "’", "quotedblleft": "“", "quotedblright": "”", "endash": "–", "emdash": "—", "bullet": "•", "ellipsis": "…", "fi": "fi", "fl": "fl", "ff": "ff", "germandbls": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "oslash": "ø", "Oslash": "Ø", "dotlessi": "ı", "Euro": "€", "copyright": "©", "registered": "®", "degree": "°", "section": "§",
+}
+
+
+def glyph(name: str) -> str:
+    base = name.partition(".")[0]
+    if base in GLYPHS or len(base) == 1:
+        return GLYPHS.get(base, base)
+    if m := re.fullmatch(r"(?:uni|u)([0-9A-F]{4,6})", base):
+        code = int(m[1][:4] if base.startswith("uni") else m[1], 16)
+        return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
+    m = re.fullmatch(rf"(dotlessi|[A-Za-z])({'|'.join(ACCENTS)})", base)
+    return unicodedata.normalize("NFC", m[1][-1] + ACCENTS[m[2]]) if m else "�"
+
+
+class CMap:
+    """What codes mean, as ranges: (first, last, UTF-16 of the first), or one value a code."""
+
+    def __init__(self, data: bytes):
+        self.ranges: list[tuple[int, int, list[bytes]]] = []
+        self.code_bytes = 0
+        held: list = []
+        for value, _ in tokens(data):
+            if not isinstance(value, Op):
+                held.append(value)
+                continue
+            if value == b"endcodespacerange":
+                self.code_bytes = max([self.code_bytes, *(len(x) for x in held if isinstance(x, bytes))])
+            elif value in (b"endbfchar", b"endbfrange"):
+                step = 2 if value == b"endbfchar" else 3
+                for k in range(0, len(held) - step + 1, step):
+                    first, last, to = held[k], held[k + step - 2], held[k + step - 1]
+                    if isinstance(first, bytes) and isinstance(last, bytes):
+                        to = [x for x in to if isinstance(x, bytes)] if isinstance(to, list) else [to]
+                        self.ranges.append((int.from_bytes(first), int.from_bytes(last), to))
+            held = []
+        self.ranges.sort(key=lambda r: r[0])
+        self.firsts = [r[0] for r in self.ranges]
+
+    def meaning(self, code: int) -> bytes | None:
+        k = bisect.bisect_right(self.firsts, code) - 1
+        if k < 0 or code > self.ranges[k][1]:
+            return None
+        first, _, to = self.ranges[k]
+        if len(to) > 1:
+            return to[code - first] if code - first < len(to) else None
+        if not to or not isinstance(to[0], bytes):
+            return None
+        return (int.from_bytes(to[0]) + code - first).to_bytes(len(to[0]) + 1)[1:]
+
+
+class Font:
+    """How a font's codes read and how far they go (thousandths of its size)."""
+
+    def __init__(self, pdf: Pdf, about: dict):
+        get = pdf.get
+        self.wide = get(about.get("Subtype")) == "Type0"
+        self.widths: dict[int, float] = {}
+        self.usual, self.known = 500.0, {}
+        under = get((get(about.get("DescendantFonts")) or [None])[0], {}) if self.wide else {}
+        if self.wide:
+            self.usual = float(get(under.get("DW"), 1000))
+            self._cid_widths([get(x) for x in get(under.get("W"), [])], get)
+        else:
+            first = get(about.get("FirstChar"), 0)
+            self.widths = {first + k: float(w) for k, w in enumerate(map(get, get(about.get("Widths"), []))) if isinstance(w, (int, float))}
+        told = get(about.get("ToUnicode"))
+        self.cmap = CMap(pdf.content(told)) if isinstance(told, Stream) else None
+        encoding = get(about.get("Encoding"))
+        base = get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else encoding
+        self.codec = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
+        self.names: dict[int, str] = {}
+        at = 0
+        for x in get(encoding.get("Differences"), []) if isinstance(encoding, dict) else []:
+            if isinstance(x, Name):
+                self.names[at] = x
+                at += 1
+            elif isinstance(x, int):
+                at = x
+        self.code_bytes = (self.cmap.code_bytes if self.cmap else 0) or 2 if self.wide else 1
+
+    def _cid_widths(self, w: list, get) -> None:
+        k = 0
+        while k + 1 < len(w):
+            if isinstance(w[k + 1], list):
+                self.widths |= {w[k] + n: float(get(x)) for n, x in enumerate(w[k + 1])}
+                k += 2
+            else:
+                if k + 2 < len(w) and w[k + 1] - w[k] <= 0xFFFF:
+                    self.widths |= dict.fromkeys(range(w[k], w[k + 1] + 1), float(w[k + 2]))
+                k += 3
+
+    def read(self, code: int) -> tuple[bytes, float]:
+        """UTF-16 and width of a code."""
+        if code not in self.known:
+            said = self.cmap.meaning(code) if self.cmap else None
+            if said is None:
+                if self.wide:
+                    text = "�"
+                elif code in self.names:
+                    text = glyph(self.names[code])
+                else:
+                    text = bytes([code]).decode(self.codec, "replace")
+                said = text.encode("utf-16-be", "surrogatepass")
+            self.known[code] = said, self.widths.get(code, self.usual)
+        return self.known[code]
+
+    def codes(self, raw: bytes) -> list[int]:
+        n = self.code_bytes
+        return list(raw) if n == 1 else [int.from_bytes(raw[k : k + n]) for k in range(0, len(raw), n)]
+
+
+def times(a: tuple, b: tuple) -> tuple:
+    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
+
+
+def instructions(data: bytes) -> Iterator[tuple[bytes, list]]:
+    """Operators with what stands before them; pictures in line are passed over."""
+    held: list = []
+    it = tokens(data)
+    while (got := next(it, None)) is not None:
+        value, at = got
+        if not isinstance(value, Op):
+            held.append(value)
+            continue
+        if value == b"ID":
+            end = re.compile(rb"[\s]EI(?=[\s]|$)").search(data, at)
+            it = tokens(data, end.end() if end else len(data))
+        else:
+            yield value, held
+        held = []
+
+
+class Drawing:
+    """The text that content streams draw, as (x, y, size, width, text)."""
 
+    def __init__(self, pdf: Pdf):
+        self.pdf, self.fonts = pdf, {}
 
-def packed_objects(data: bytes, limit: int = MAX_OBJECTS) -> str:
-    """The text of a file's object streams, as far as they can be inflated within the limit."""
-    out = []
-    for m in _OBJECTS.finditer(data):
-        inflate = zlib.decompressobj()
+    def font(self, ref: object) -> Font | None:
+        key = ref.number if isinstance(ref, Ref) else id(ref)
+        if key not in self.fonts:
+            about = self.pdf.get(ref)
+            self.fonts[key] = (Font(self.pdf, about) if isinstance(about, dict) else None), ref  # the object is held, so its id stays its own
+        return self.fonts[key][0]
+
+    def runs(self, data: bytes, resources: dict, ctm: tuple = IDENTITY, depth: int = 0) -> Iterator[tuple]:
+        get = self.pdf.get
+        fonts, forms = get(resources.get("Font"), {}), get(resources.get("XObject"), {})
+        state = {"ctm": ctm, "font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0}
+        saved: list[dict] = []
+        line = matrix = IDENTITY
+
+        def show(parts: list) -> tuple | None:
+            nonlocal matrix
+            font, size, scale = state["font"], state["size"], state["Tz"]
+            if font is None:
+                return None
+            start = times((1, 0, 0, 1, 0, state["Ts"]), times(matrix, state["ctm"]))
+            said, moved = bytearray(), 0.0
+            for part in parts:
+                if isinstance(part, (int, float)):
+                    moved -= part / 1000 * size * scale
+                    if part < -200 and said and not said.endswith(b"\0 "):
+                        said += b"\0 "
+                elif isinstance(part, bytes):
+                    for code in font.codes(part):
+                        text, width = font.read(code)
+                        said += text
+                        moved += (width / 1000 * size + state["Tc"] + (state["Tw"] if code == 32 and not font.wide else 0)) * scale
+            matrix = times((1, 0, 0, 1, moved, 0), matrix)
+            text = said.decode("utf-16-be", "replace").replace("\0", "")
+            across = (start[0] ** 2 + start[1] ** 2) ** 0.5
+            return (start[4], start[5], abs(size) * (start[2] ** 2 + start[3] ** 2) ** 0.5, moved * across, text) if text else None
+
+        def shift(x: float, y: float) -> None:
+            nonlocal line, matrix
+            line = matrix = times((1, 0, 0, 1, x, y), line)
+
+        for op, args in instructions(data):
+            try:
+                run = None
+                if op == b"q":
+                    saved.append(dict(state))
+                elif op == b"Q":
+                    state = saved.pop() if saved else state
+                elif op == b"cm":
+                    state["ctm"] = times(tuple(map(float, args[-6:])), state["ctm"])
+                elif op == b"BT":
+                    line = matrix = IDENTITY
+                elif op == b"Tf":
+                    state["font"], state["size"] = self.font(fonts.get(args[-2])), float(args[-1])
+                elif op in (b"Tc", b"Tw", b"TL", b"Ts"):
+                    state[op.decode()] = float(args[-1])
+                elif op == b"Tz":
+                    state["Tz"] = args[-1] / 100
+                elif op in (b"Td", b"TD"):
+                    state["TL"] = -float(args[-1]) if op == b"TD" else state["TL"]
+                    shift(float(args[-2]), float(args[-1]))
+                elif op == b"Tm":
+                    line = matrix = tuple(map(float, args[-6:]))
+                elif op == b"T*":
+                    shift(0, -state["TL"])
+                elif op == b"Tj":
+                    run = show(args[-1:])
+                elif op == b"TJ":
+                    run = show(args[-1])
+                elif op in (b"'", b'"'):
+                    if op == b'"':
+                        state["Tw"], state["Tc"] = float(args[-3]), float(args[-2])
+                    shift(0, -state["TL"])
+                    run = show(args[-1:])
+                elif op == b"Do" and depth < FORMS:
+                    form = get(forms.get(args[-1]))
+                    if isinstance(form, Stream) and get(form.about.get("Subtype")) == "Form":
+                        own = [float(get(x)) for x in get(form.about.get("Matrix"), IDENTITY)]
+                        yield from self.runs(self.pdf.content(form), get(form.about.get("Resources"), resources), times(tuple(own), state["ctm"]), depth + 1)
+                if run:
+                    yield run
+            except TooLarge:
+                raise
+            except (ArithmeticError, AttributeError, IndexError, TypeError, ValueError, zlib.error):
+                continue  # an instruction that can't be followed
+
+
+def page_rows(pdf: Pdf, drawing: Drawing, page: dict) -> Iterator[tuple]:
+    """(kind, x, y, size, width, text) of a page: itself, its links, its runs."""
+    get = pdf.get
+    box = [float(x) if isinstance(x := get(v), (int, float)) else 0.0 for v in get(page.get("CropBox"), get(page.get("MediaBox"), []))]
+    box = box if len(box) == 4 else [0.0, 0.0, 612.0, 792.0]
+    yield "page", abs(box[2] - box[0]), abs(box[3] - box[1]), float(get(page.get("Rotate"), 0) % 360), None, None
+    for note in get(page.get("Annots"), []):
+        note = get(note, {})
+        target = get(get(note.get("A"), {}).get("URI")) if isinstance(note, dict) and get(note.get("Subtype")) == "Link" else None
+        if isinstance(target, bytes):
+            at = [float(get(x)) for x in get(note.get("Rect"), [0, 0])]
+            yield "link", at[0], at[1], None, None, target.decode("utf-8", "replace")
+    parts = get(page.get("Contents"))
+    streams = [s for s in map(get, parts if isinstance(parts, list) else [parts]) if isinstance(s, Stream)]
+    for x, y, size, width, text in drawing.runs(b"\n".join(map(pdf.content, streams)), get(page.get("Resources"), {})):
+        yield "run", x, y, size, width, text
+
+
+def read_pdf(files: DataFrame, max_pages: int | None = None, budget: int = BUDGET) -> DataFrame:
+    """Rows (``ROWS``) of ``path, content``: the file (``page`` is the number of pages, ``text`` what is wrong), then
+    pages (x, y: width and height; size: rotation), links (x, y of their corner) and runs, numbered from 1."""
+
+    def read(row: dict) -> Iterator[tuple]:
+        path, n, wrong = row["path"], 0, None
+        try:
+            pdf = Pdf(row["content"] or b"", budget)
+            if "Encrypt" in pdf.trailer:
+                raise Damaged("the document is encrypted")
+            drawing = Drawing(pdf)
+            for n, page in enumerate(pdf.pages(), 1):
+                if max_pages is not None and n > max_pages:
+                    continue
+                seq = 0
+                try:
+                    for kind, *rest in page_rows(pdf, drawing, page):
+                        yield path, kind, n, seq, *rest
+                        seq += 1
+                except TooLarge:
+                    raise
+                except (ArithmeticError, AttributeError, IndexError, TypeError, ValueError, zlib.error) as e:
+                    yield path, "fault", n, seq, None, None, None, None, str(e)
+            wrong = None if n else "no pages could be read"
+        except (TooLarge, Damaged) as e:
+            wrong = str(e)
+        yield path, "file", n, 0, None, None, None, None, wrong
+
+    return expand(files.select("path", "content"), read, ROWS)
+
+
+def page_texts(rows: DataFrame) -> DataFrame:
+    """``path, page, width, height, rotation, text, n_links, fault`` of ``read_pdf``'s rows: a run on another height begins a
+    line, one that stands off begins a word."""
+    order = Window.partitionBy("path", "page").orderBy("seq")
+    runs = rows.where("kind = 'run'")
+    end, last_y, last = (F.lag(c).over(order) for c in (F.col("x") + F.col("width"), F.col("y"), F.col("text")))
+    apart = (F.col("x") - end > F.col("size") / 5) & ~F.startswith(F.col("text"), F.lit(" ")) & ~F.endswith(last, F.lit(" "))
+    gap = F.when(last_y.isNull(), "").when(F.abs(F.col("y") - last_y) > F.col("size") / 2, "\n").when(apart, " ").otherwise("")
+    texts = runs.select("path", "page", "seq", F.concat(gap, "text").alias("piece")).groupBy("path", "page").agg(joined("piece", "seq").alias("text"))
+    about = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    facts = rows.where("kind in ('page', 'link', 'fault')").groupBy("path", "page").agg(about("page", "x").alias("width"), about("page", "y").alias("height"), about("page", "size").cast("int").alias("rotation"), F.count_if(F.col("kind") == "link").alias("n_links"), about("fault", "text").alias("fault"))
+    return facts.join(texts, ["path", "page"], "left").select("path", "page", "width", "height", "rotation", F.coalesce("text", F.lit("")).alias("text"), "n_links", "fault")
+
+
+def links(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 'link'").select("path", "page", "seq", "x", "y", F.col("text").alias("target"))
+
+
+def packed_pages(data: bytes, limit: int) -> tuple[int, bool]:
+    """Page objects in object streams, and whether the limit on inflated bytes left some uncounted. A stream is gone over piece by piece."""
+    n = 0
+    for m in OBJECTS.finditer(data):
+        end = data.find(b"endstream", m.end())
+        raw, tool, tail = memoryview(data)[m.end() : end if end >= 0 else len(data)], zlib.decompressobj(), b""
         try:
-            out.append(inflate.decompress(data[m.end() :], limit))
+            while piece := tool.decompress(raw, 1 << 20):
+                raw, text = tool.unconsumed_tail, tail + piece
+                stop, last = max(0, len(text) - 64), 0  # what begins near the end is looked at with the next piece
+                for page in PAGE.finditer(text):
+                    if page.start() < stop:
+                        n, last = n + 1, page.end()
+                tail, limit = text[max(last, stop) :], limit - len(piece)
+                if limit <= 0:
+                    return n, True
         except zlib.error:  # another filter, or damaged
-            continue
-        limit -= len(out[-1])
-        if limit <= 0:
-            break
-    return b"\n".join(out).decode("latin-1")
+            pass
+        n += len(PAGE.findall(tail))
+    return n, False
 
 
-@F.pandas_udf(T.StringType())
-def object_streams(content: pd.Series) -> pd.Series:
-    return content.map(packed_objects, na_action="ignore")
+def counted_pages(data: bytes, budget: int = BUDGET) -> tuple[int, bool]:
+    """Pages by the page tree; in a file without one, page objects in the open and in object streams."""
+    try:
+        if n := sum(1 for _ in Pdf(data, budget).pages()):
+            return n, False
+    except (ArithmeticError, AttributeError, IndexError, KeyError, TypeError, ValueError, zlib.error):
+        pass
+    n, partial = packed_pages(data, budget) if b"/ObjStm" in data else (0, False)
+    return len(PAGE.findall(data)) + n, partial
 
 
-def page_count(content: Column) -> Column:
-    """Page objects, in the open or in object streams; only files with such streams go to Python."""
-    page = F.lit(r"/Type\s*/Page(?![A-Za-z])")
-    packed = object_streams(F.when(F.contains(content, F.lit(b"/ObjStm")), content))
-    return F.regexp_count(F.decode(content, "ISO-8859-1"), page) + F.coalesce(F.regexp_count(packed, page), F.lit(0))
+@F.pandas_udf(TELL)
+def told_pages(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([counted_pages(c or b"") for c in content], columns=["n", "partial"])
 
 
-def pdf_info(files: DataFrame) -> DataFrame:
-    """``path, version, n_pages, encrypted, note`` of ``path, content`` rows."""
+def with_pdf_info(files: DataFrame) -> DataFrame:
+    """Add ``version, n_pages, encrypted, note`` to rows with ``content``; ``n_pages`` of a file that inflates beyond the budget is a lower bound, as its note says."""
     raw = F.decode("content", "ISO-8859-1")
-    n = F.col("n_pages")
-    read = files.select("path", F.regexp_extract(raw, r"^%PDF-([0-9]+\.[0-9]+)", 1).alias("version"), page_count(F.col("content")).alias("n_pages"), raw.contains("/Encrypt").alias("encrypted"))
-    note = F.when(n > MAX_PAGES, F.concat(n.cast("string"), F.lit(f" pages, the first {MAX_PAGES} of them shown"))).when(n == 1, "1 page").when(n > 0, F.concat(n.cast("string"), F.lit(" pages")))
-    return read.withColumn("note", note)
+    n, partial = F.col("__told.n"), F.col("__told.partial")
+    text = F.concat(F.when(partial, "at least ").otherwise(""), n.cast("string"))
+    note = F.when(n > MAX_PAGES, F.concat(text, F.lit(f" pages, the first {MAX_PAGES} of them shown"))).when(partial, F.concat(text, F.lit(" pages"))).when(n == 1, "1 page").when(n > 0, F.concat(text, F.lit(" pages")))
+    added = {"version": F.regexp_extract(raw, r"^%PDF-([0-9]+\.[0-9]+)", 1), "n_pages": F.when(F.col("content").isNotNull(), n), "encrypted": raw.contains("/Encrypt"), "note": note}
+    return files.withColumn("__told", told_pages("content")).withColumns(added).drop("__told")
+
+
+def pdf_info(files: DataFrame) -> DataFrame:
+    return with_pdf_info(files.select("path", "content")).drop("content")

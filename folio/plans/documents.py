@@ -17,7 +17,7 @@ from folio.operators.delimited import csv_cells
 from folio.operators.markdown import md_blocks
 from folio.operators.notebook import ipynb_cells, ipynb_outputs
 from folio.operators.office import TAB, docx_pieces, odf_pieces, pptx_slides
-from folio.operators.pdf import pdf_info
+from folio.operators.pdf import page_texts, pdf_info, read_pdf
 from folio.operators.rows import joined
 from folio.operators.spreadsheet import xlsx_cells
 from folio.plans.registry import csv_files, query, sql_escape, table
@@ -170,6 +170,18 @@ def pdf_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf_info(files).select("path", "version", "n_pages", "encrypted", "note")
 
 
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents),
+w AS (SELECT doc_id, page, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l)
+SELECT '/t/' || doc_id || '.pdf' AS path, page::INTEGER AS page, CASE WHEN page % 2 = 1 THEN 500 + (page - 1) % 100 ELSE 600 END::DOUBLE AS width, CASE WHEN page % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n_links,
+       array_to_string([array_to_string(list_slice(ws, k * 12 + 1, k * 12 + 12), ' ') for k in range((len(ws) + 11) // 12)], chr(10)) AS text FROM w""")
+def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as PDFs, a page per line, and read back: sizes, links and text of every page."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    files = packed(docs.select(F.concat(F.lit("/t/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.split("text", "\n", -1).alias("lines")), "pdf")
+    return page_texts(read_pdf(files)).select("path", "page", "width", "n_links", "text")
+
+
 # --- paths and numbers
 
 

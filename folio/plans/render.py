@@ -17,7 +17,7 @@ from folio.operators.delimited import MAX_ROWS, csv_cells
 from folio.operators.markdown import md_blocks
 from folio.operators.notebook import ipynb_pieces, notebooks
 from folio.operators.office import NO_PART, NO_ZIP, docx_html, faults, odf_html, pptx_html, read_docx, read_odf, read_pptx
-from folio.operators.pdf import pdf_info
+from folio.operators.pdf import with_pdf_info
 from folio.operators.raster import raster_png
 from folio.operators.richtext import rtf_pieces
 from folio.operators.rows import joined
@@ -143,7 +143,7 @@ def render(files: DataFrame, offline: bool = False) -> DataFrame:
     def pdf() -> DataFrame:
         uri = data_uri(F.lit("application/pdf"), F.col("content"))
         note = F.coalesce(F.concat(F.lit('<p class="filehead">'), "note", F.lit("</p>")), F.lit(""))
-        told = of("pdf").join(pdf_info(of("pdf")).select("path", "note"), "path")
+        told = with_pdf_info(of("pdf"))
         return ok(told.select("path", F.concat(F.lit('<div class="pdf" data-src="'), uri, F.lit('"></div>'), note).alias("body")))
 
     def binary() -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,7 +117,71 @@ def rich_xlsx(lines: list[str]) -> bytes:
     return _zip({"xl/workbook.xml": '<workbook><sheets><sheet name="A &amp; B" r:id="a"/><sheet name="C" r:id="c"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": relations({"a": "worksheets/x.xml", "c": "/xl/worksheets/y.xml"}), "xl/styles.xml": f'<styleSheet><numFmts>{formats}</numFmts><cellStyleXfs><xf numFmtId="9"/></cellStyleXfs><cellXfs><xf/><xf numFmtId="170"/><xf numFmtId="171"/><xf numFmtId="3"/></cellXfs></styleSheet>', "xl/worksheets/x.xml": sheet.format("".join(first)), "xl/worksheets/y.xml": sheet.format("".join(second))})
 
 
-WRITERS = {"docx": docx, "odt": odt, "pptx": pptx, "xlsx": xlsx, "rich_docx": rich_docx, "rich_odt": rich_odt, "rich_pptx": rich_pptx, "rich_xlsx": rich_xlsx}
+def lzw_packed(data: bytes) -> bytes:
+    """Codes of nine bits only: the table is cleared before it grows beyond them."""
+    codes = [c for at in range(0, len(data), 200) for c in (256, *data[at : at + 200])] + [257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8))
+
+
+def pdf(lines: list[str], form: int | None = None, per_line: int = 12) -> bytes:
+    """A page per line, with so many words in a row, and a link on every other page. The number of lines tells the form: words
+    as kerned, placed or whole strings, packed in three ways, found by a table, by a packed stream with packed objects, or not at all."""
+    form = len(lines) % 3 if form is None else form
+    coded = lambda w: w.encode("utf-16-be", "surrogatepass")
+    literal = lambda raw: b"(" + re.sub(rb"([()\\\r\n])", lambda m: b"\\%03o" % m[1][0], raw) + b")"
+
+    def drawn(line: str) -> bytes:
+        words, out = re.findall(r"[^\x20\x09-\x0D]+", line), [b"q 2 0 0 2 9 700 cm BT /F1 10 Tf 14 TL"]
+        for at in range(0, len(words), per_line):
+            row = words[at : at + per_line]
+            if form == 0:
+                out.append(b"[" + b" -300 ".join(b"<" + coded(w).hex().encode() + b">" for w in row) + b"] TJ T*")
+            elif form == 1:
+                steps = [len(coded(w)) // 2 * 5 + 3 for w in row]
+                out += [b"<%s> Tj %d 0 Td" % (coded(w).hex().encode(), n) for w, n in zip(row, steps, strict=True)]
+                out.append(b"%d -14 Td" % -sum(steps))
+            else:
+                out.append(literal(coded(" ".join(row))) + b" Tj T*")
+        return b"\n".join([*out, b"ET Q BI /W 1 ID (ET EI"])
+
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+    n = len(lines)
+    stream = lambda about, raw: b"<< %s /Length %d >>\nstream\n%s\nendstream" % (about, len(raw), raw)
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type0 /DescendantFonts [<< /DW 500 >>] /ToUnicode 4 0 R >>", 4: stream(b"", cmap)}
+    objects[2] = b"<< /Type /Pages /MediaBox [0 0 600 800] /Resources << /Font << /F1 3 0 R >> >> /Count %d /Kids [%s] >>" % (n, b" ".join(b"%d 0 R" % (5 + 2 * k) for k in range(n)))
+    for k, line in enumerate(lines):
+        note = b"/Annots [<< /Subtype /Link /Rect [1 2 3 4] /A << /URI (https://h.example/%d) >> >>]" % k if k % 2 else b"/MediaBox [0 0 %d 800]" % (500 + k % 100)
+        objects[5 + 2 * k] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R %s >>" % (6 + 2 * k, note)
+        raw = drawn(line)
+        objects[6 + 2 * k] = stream(b"/Filter /FlateDecode", zlib.compress(raw)) if form == 0 else stream(b"/Filter [/ASCII85Decode /LZWDecode]", base64.a85encode(lzw_packed(raw)) + b"~>") if form == 1 else stream(b"", raw)
+    out, places = bytearray(b"%PDF-1.7\n"), {}
+    if form == 1:
+        inner = [k for k, v in objects.items() if b"stream\n" not in v]
+        heads, bodies, at = [], [], 0
+        for k in inner:
+            heads.append(b"%d %d" % (k, at))
+            bodies.append(objects.pop(k) + b"\n")
+            at += len(bodies[-1])
+        first = b" ".join(heads) + b"\n"
+        holder = 5 + 2 * n
+        objects[holder] = stream(b"/Type /ObjStm /N %d /First %d /Filter /FlateDecode" % (len(inner), len(first)), zlib.compress(first + b"".join(bodies)))
+    for k, body in objects.items():
+        places[k] = (1, len(out), 0)
+        out += b"%d 0 obj\n%s\nendobj\n" % (k, body)
+    at = len(out)
+    if form == 1:
+        places |= {k: (2, holder, i) for i, k in enumerate(inner)} | {0: (0, 0, 0), holder + 1: (1, at, 0)}
+        rows = [bytes([a]) + b.to_bytes(4) + c.to_bytes(2) for _, (a, b, c) in sorted(places.items())]
+        above = [bytes(7), *rows]
+        packed_rows = b"".join(b"\x02" + bytes((x - y) % 256 for x, y in zip(r, u, strict=True)) for r, u in zip(rows, above, strict=False))
+        out += b"%d 0 obj\n%s\nendobj\n" % (holder + 1, stream(b"/Type /XRef /Size %d /W [1 4 2] /Root 1 0 R /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 7 >>" % (holder + 2), zlib.compress(packed_rows)))
+    elif form == 0:
+        out += b"xref\n0 1\n0000000000 65535 f \n" + b"".join(b"%d 1\n%010d 00000 n \n" % (k, p) for k, (_, p, _) in places.items()) + b"trailer << /Root 1 0 R /Size %d >>\n" % (5 + 2 * n)
+    return bytes(out + b"startxref\n%d\n%%%%EOF" % (at if form < 2 else 7))
+
+
+WRITERS = {"pdf": pdf, "docx": docx, "odt": odt, "pptx": pptx, "xlsx": xlsx, "rich_docx": rich_docx, "rich_odt": rich_odt, "rich_pptx": rich_pptx, "rich_xlsx": rich_xlsx}
 
 
 def packed(df: DataFrame, kind: str) -> DataFrame:
