@@ -31,7 +31,7 @@ def split_rows(text: str, delimiter: str, max_rows: int | None = MAX_ROWS) -> It
     delimiter at the end of the text opens no cell.
     """
     d = re.escape(delimiter)
-    field = re.compile(rf'"((?:[^"]|"")*)(?:"[^{d}\r\n]*|$)|([^{d}\r\n]*)')
+    field = re.compile(rf'"((?:[^"]++|"")*+)(?:"[^{d}\r\n]*|\Z)|([^{d}\r\n]*)')
     at = row = col = 0
     while at < len(text):
         if max_rows is not None and row >= max_rows:

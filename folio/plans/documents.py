@@ -18,12 +18,14 @@ from folio.operators.markdown import md_blocks
 from folio.operators.notebook import ipynb_cells, ipynb_outputs
 from folio.operators.office import TAB, docx_pieces, odf_pieces, pptx_slides
 from folio.operators.pdf import page_texts, pdf_info, read_pdf
+from folio.operators.ranges import large_csv_cells
 from folio.operators.rows import joined
 from folio.operators.spreadsheet import xlsx_cells
-from folio.plans.registry import csv_files, query, sql_escape, table
+from folio.plans.registry import _quoted, csv_files, query, sql_escape, table
 from folio.plans.render import render
 from folio.sources.build import PIXEL, packed
 from folio.sources.corpus import from_texts
+from folio.sources.work import new_path
 
 PIXEL_URI = "data:image/png;base64," + base64.b64encode(PIXEL).decode()
 
@@ -182,6 +184,16 @@ def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(read_pdf(files)).select("path", "page", "width", "n_links", "text")
 
 
+@query("SELECT doc_id::VARCHAR AS doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents")
+def csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as large CSV files, whose ranges are read by tasks of their own, quoted line ends and all."""
+    folder = new_path(spark, "csv")
+    table(spark, sf_dir, "documents").select(F.concat_ws(",", F.col("doc_id").cast("string"), _quoted("lang"), _quoted("text"))).write.text(folder)
+    cells = large_csv_cells(spark, folder, ",")
+    cell = lambda k: F.max(F.when(F.col("col_idx") == k, F.col("value")))
+    return cells.groupBy("path", "row_idx").agg(cell(0).alias("doc_id"), cell(1).alias("lang"), cell(2).alias("text")).drop("path", "row_idx")
+
+
 # --- paths and numbers
 
 
