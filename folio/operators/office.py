@@ -11,14 +11,15 @@ pieces in order, whose concatenation is the body.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.classify import part_mime
 from folio.functions.text import data_uri, escape_html, safe_link
-from folio.operators.containers import Container, events, relations
+from folio.operators.containers import Container, Event, relations
 from folio.operators.rows import expand, joined
 from folio.sources.work import stored
 
@@ -114,7 +115,7 @@ def bullets(archive: Container) -> dict[int, dict[int, bool]]:
 
 def docx_rows(path: str, content: bytes | None) -> Iterator[tuple]:
     archive = Container(content)
-    body = archive.read("word/document.xml")
+    body = archive.part("word/document.xml")
     yield _docx(path, 0, "file", "" if body is not None else NO_PART if archive.ok else NO_ZIP)
     if body is None:
         return
@@ -125,7 +126,7 @@ def docx_rows(path: str, content: bytes | None) -> Iterator[tuple]:
     held: list[list] = []  # runs of a paragraph whose kind is not known yet
     cell: list | None = None
     embed, width = "", 0
-    for ev, name, attrs, text in _events(body):
+    for ev, name, attrs, text in body():
         opens = ev in ("start", "empty")
         if name in ("w:pPr", "w:rPr", "w:del", "w:t", "w:instrText", "w:tcPr", "w:drawing") and (ev != "empty" or name == "w:t"):
             (on.add if ev == "start" else on.discard)(name)
@@ -198,10 +199,6 @@ def docx_rows(path: str, content: bytes | None) -> Iterator[tuple]:
             yield _docx(path, 0, "image", None, place, data)
 
 
-def _events(part: bytes) -> Iterator[tuple[str, str, dict[str, str], str]]:
-    return events(part.decode("utf-8", "replace"))
-
-
 def _row(kind: str, text: str | None = None, image: str | None = None, run: dict = RUN, align: str = "", want: int | None = None, is_ul: bool = True, size: int | None = None) -> list:
     return [kind, text, image, run, align, want, is_ul, size]
 
@@ -275,14 +272,14 @@ def pptx_rows(path: str, content: bytes | None, max_slides: int | None) -> Itera
     images: dict[str, None] = {}
     n, seq = 0, 0
     while max_slides is None or n < max_slides:
-        slide = archive.read(f"ppt/slides/slide{n + 1}.xml")
+        slide = archive.part(f"ppt/slides/slide{n + 1}.xml")
         if slide is None:
             break
         n, has_title, is_title, said = n + 1, False, False, None
         on: set[str] = set()
         yield path, n, seq, "slide", None, None, None
         targets = relations(archive, f"ppt/slides/_rels/slide{n}.xml.rels")
-        for ev, name, attrs, text in _events(slide):
+        for ev, name, attrs, text in slide():
             opens = ev in ("start", "empty")
             seq += 1
             if name == "p:sp":
@@ -343,10 +340,10 @@ ODF_TAGS = {"text:p": "p", "text:list": "ul", "text:list-item": "li", "table:tab
 UNSEEN = ("text:note-body", "office:annotation")
 
 
-def odf_styles(archive: Container, own: bytes) -> dict[str, str]:
+def odf_styles(archive: Container, own: Callable[[], Iterator[Event]]) -> dict[str, str]:
     """CSS of run styles by name: those of the content itself go before the shared ones."""
     css: dict[str, str] = {}
-    for part in (own, archive.read("styles.xml") or b""):
+    for part in (own, partial(archive.xml, "styles.xml")):
         name, given = None, {}
 
         def close() -> None:
@@ -354,7 +351,7 @@ def odf_styles(archive: Container, own: bytes) -> dict[str, str]:
                 lines = " ".join(line for line in ("underline", "line-through") if given.get(line))
                 css.setdefault(name, "".join([given.get("bold", ""), given.get("italic", ""), f"text-decoration:{lines};" if lines else "", given.get("color", "")]))
 
-        for ev, tag, attrs, _ in _events(part):
+        for ev, tag, attrs, _ in part():
             if ev in ("start", "empty") and tag == "style:style":
                 close()
                 name, given = attrs.get("name", ""), {}
@@ -370,13 +367,13 @@ def odf_styles(archive: Container, own: bytes) -> dict[str, str]:
 
 def odf_rows(path: str, content: bytes | None) -> Iterator[tuple]:
     archive = Container(content)
-    body = archive.read("content.xml")
+    body = archive.part("content.xml")
     yield path, 0, "file", "" if body is not None else NO_PART if archive.ok else NO_ZIP, None, None, None
     if body is None:
         return
     styles, images = odf_styles(archive, body), {}
     level, unseen = "1", 0
-    for seq, (ev, name, attrs, text) in enumerate(_events(body)):
+    for seq, (ev, name, attrs, text) in enumerate(body()):
         opens, ends = ev in ("start", "empty"), ev == "end"
         if name in UNSEEN:
             unseen += {"start": 1, "end": -1}.get(ev, 0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import builtin_format, custom_format, leading_number, percent_text, serial_text
-from folio.operators.containers import Container, relations
+from folio.operators.containers import BUDGET, Container, relations
 from folio.operators.office import NO_PART, NO_ZIP, number
 from folio.operators.rows import expand, first_match
 from folio.sources.work import stored
@@ -30,7 +30,8 @@ def column(ref: str) -> int:
 
 def shared_strings(archive: Container) -> Iterator[str]:
     """The text of ``t`` in ``si``, without phonetic runs."""
-    said, on = None, set()
+    said: list[str] | None = None
+    on: set[str] = set()
     for ev, name, _, text in archive.xml("xl/sharedStrings.xml"):
         if name == "si":
             if ev == "end" and said is not None:
@@ -79,31 +80,20 @@ def sheet_cells(archive: Container, part: str, max_rows: int | None, max_cols: i
     yield row + 1, False
 
 
-def xlsx_rows(path: str, content: bytes | None, max_sheets: int | None, max_rows: int | None, max_cols: int | None) -> Iterator[tuple]:
-    archive = Container(content)
+def xlsx_rows(path: str, content: bytes | None, max_sheets: int | None, max_rows: int | None, max_cols: int | None, budget: int = BUDGET) -> Iterator[tuple]:
+    archive = Container(content, budget)
 
     def told(kind: str, sheet: int | None = None, name: str | None = None, row: int | None = None, col: int | None = None, gap: int | None = None, cell_type: str | None = None, style: int | None = None, text: str | None = None, truncated: bool | None = None) -> tuple:
         return path, kind, sheet, name, row, col, gap, cell_type, style, text, truncated
 
-    book = archive.read("xl/workbook.xml")
+    book = archive.part("xl/workbook.xml")
     yield told("file", text="" if book is not None else NO_PART if archive.ok else NO_ZIP)
     if book is None:
         return
-    targets = relations(archive, "xl/_rels/workbook.xml.rels")
-    listed = [a for ev, name, a, _ in archive.xml("xl/workbook.xml") if ev in ("start", "empty") and name == "sheet" and "name" in a and "id" in a]
-    for sheet, attrs in enumerate(listed if max_sheets is None else listed[:max_sheets]):
-        target = targets.get(attrs["id"], f"worksheets/sheet{sheet + 1}.xml")
-        part = target[1:] if target.startswith("/") else "xl/" + target
-        if not archive.holds(part):
-            continue
-        for found in sheet_cells(archive, part, max_rows, max_cols):
-            if len(found) == 2:
-                yield told("sheet", sheet, attrs["name"], row=found[0], truncated=found[1])
-            else:
-                row, col, gap, cell_type, style, text = found
-                yield told("cell", sheet, attrs["name"], row, col, gap, cell_type, style, text)
+    # strings and styles before the sheets: when the budget runs out, a sheet is lost and not the texts of all
     for k, text in enumerate(shared_strings(archive)):
         yield told("string", col=k, text=text)
+    targets = relations(archive, "xl/_rels/workbook.xml.rels")
     in_styles, style, nth = False, 0, 0
     for ev, name, attrs, _ in archive.xml("xl/styles.xml"):
         if name == "cellXfs":
@@ -114,11 +104,27 @@ def xlsx_rows(path: str, content: bytes | None, max_sheets: int | None, max_rows
         elif ev != "end" and name == "numFmt" and "numFmtId" in attrs and "formatCode" in attrs:
             yield told("format", row=nth, col=number(attrs["numFmtId"]), text=attrs["formatCode"])
             nth += 1
+    listed = [a for ev, name, a, _ in book() if ev in ("start", "empty") and name == "sheet" and "name" in a and "id" in a]
+    for sheet, attrs in enumerate(listed if max_sheets is None else listed[:max_sheets]):
+        target = targets.get(attrs["id"], f"worksheets/sheet{sheet + 1}.xml")
+        part = target[1:] if target.startswith("/") else "xl/" + target
+        if not archive.holds(part):
+            archive.read(part)  # notes it, if it is there
+            continue
+        for found in sheet_cells(archive, part, max_rows, max_cols):
+            if len(found) == 2:
+                yield told("sheet", sheet, attrs["name"], row=found[0], truncated=found[1])
+            else:
+                row, col, gap, cell_type, style, text = found
+                yield told("cell", sheet, attrs["name"], row, col, gap, cell_type, style, text)
+    for part in archive.refused:
+        yield told("refused", text=part)
 
 
-def read_xlsx(files: DataFrame, max_sheets: int | None = MAX_SHEETS, max_rows: int | None = MAX_ROWS, max_cols: int | None = MAX_COLS) -> DataFrame:
-    """What the reader finds in ``path, content`` rows: sheets, cells, strings, styles and formats; a limit of none is off."""
-    return expand(files.select("path", "content"), lambda row: xlsx_rows(row["path"], row["content"], max_sheets, max_rows, max_cols), XLSX)
+def read_xlsx(files: DataFrame, max_sheets: int | None = MAX_SHEETS, max_rows: int | None = MAX_ROWS, max_cols: int | None = MAX_COLS, budget: int = BUDGET) -> DataFrame:
+    """What the reader finds in ``path, content`` rows: strings, styles, formats, sheets, cells, and parts (``refused``)
+    that the budget couldn't hold; a limit of none is off."""
+    return expand(files.select("path", "content"), lambda row: xlsx_rows(row["path"], row["content"], max_sheets, max_rows, max_cols, budget), XLSX)
 
 
 def format_kind(fmt: Column, code: Column) -> Column:
