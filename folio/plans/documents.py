@@ -25,6 +25,7 @@ from folio.plans.registry import _quoted, csv_files, query, sql_escape, table
 from folio.plans.render import render
 from folio.sources.build import PIXEL, packed
 from folio.sources.corpus import from_texts
+from folio.sources.sink import write_pages
 from folio.sources.work import new_path
 
 PIXEL_URI = "data:image/png;base64," + base64.b64encode(PIXEL).decode()
@@ -194,6 +195,15 @@ def csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("path", "row_idx").agg(cell(0).alias("doc_id"), cell(1).alias("lang"), cell(2).alias("text")).drop("path", "row_idx")
 
 
+@query("SELECT 'p/' || page_id || '.html' AS name, md5(coalesce(html, '')) AS md5 FROM pages")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as a file each, all or none, and read back."""
+    folder = new_path(spark, "pages")
+    write_pages(table(spark, sf_dir, "pages").select(F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("path"), "html"), folder)
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    return files.select(F.regexp_extract("_metadata.file_path", "(p/[^/]*)$", 1).alias("name"), F.md5("value").alias("md5"))
+
+
 # --- paths and numbers
 
 
