@@ -27,6 +27,8 @@ from folio.sources.build import PIXEL, packed
 from folio.sources.corpus import from_texts
 from folio.sources.sink import write_pages
 from folio.sources.work import new_path
+from folio.streaming.store import Store
+from folio.streaming.watch import current, keep_latest, watch
 
 PIXEL_URI = "data:image/png;base64," + base64.b64encode(PIXEL).decode()
 
@@ -200,8 +202,30 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as a file each, all or none, and read back."""
     folder = new_path(spark, "pages")
     write_pages(table(spark, sf_dir, "pages").select(F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("path"), "html"), folder)
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
-    return files.select(F.regexp_extract("_metadata.file_path", "(p/[^/]*)$", 1).alias("name"), F.md5("value").alias("md5"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(F.regexp_extract("path", "(p/[^/]*)$", 1).alias("name"), F.md5("content").alias("md5"))
+
+
+@query("SELECT 'p/' || page_id || '.html' AS name, md5(coalesce(html, '')) AS md5 FROM pages")
+def watched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of pages, watched until all are in the table of current files."""
+    folder, store, checkpoint = (new_path(spark, n) for n in ("watched", "current", "offsets"))
+    write_pages(table(spark, sf_dir, "pages").select(F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("path"), "html"), folder)
+    keep_latest(watch(spark, folder, "*.html"), store, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return current(spark, store).select(F.regexp_extract("path", "(p/[^/]*)$", 1).alias("name"), F.md5("content").alias("md5"))
+
+
+@query("""
+WITH b AS (SELECT user_id, event_id % 5 AS batch, max(event_id) AS event_id FROM events GROUP BY ALL), l AS (SELECT user_id, max(batch) AS batch FROM b GROUP BY 1)
+SELECT user_id::VARCHAR AS path, event_id, batch FROM b JOIN l USING (user_id, batch) WHERE event_id % 7 <> 0""")
+def watch_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest version of each path over batches that are merged in generations, with deletions."""
+    store = Store(spark, new_path(spark, "store"), fan=2)
+    events = table(spark, sf_dir, "events")
+    for batch in range(5):
+        rows = events.where(F.col("event_id") % 5 == batch).groupBy(F.col("user_id").cast("string").alias("path")).agg(F.max("event_id").alias("event_id"))
+        store.append(batch, rows.withColumn("deleted", F.col("event_id") % 7 == 0))
+    return store.current().select("path", "event_id", "batch")
 
 
 # --- paths and numbers

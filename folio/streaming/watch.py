@@ -1,13 +1,16 @@
-"""Files that change, as a stream: each version of a file is a row, and the latest is kept.
+"""Files that change, as a stream: what folders hold, scan by scan, and a table of what is current.
 
-Spark's own file stream tells new files only; this source's offset is the table of
-modification times, so a file that was written again comes again.
+The source's offset is a number, however many files there are: a batch is the listing of all
+folders at its time, made by tasks. What is new, changed or gone is told by a join with the table that earlier batches
+left, so only names and times are compared and only changed files are opened, by tasks and
+at most so many a batch; what is left over differs still at the next scan.
 """
 
 from __future__ import annotations
 
 import fnmatch
-import os
+import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,56 +19,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
-SCHEMA = "path string, mtime_ns long, content binary"
-#: Files of one task.
-FILES = 64
+from folio.operators.rows import expand
+from folio.sources.sink import opened
+from folio.streaming.store import DELETED, Store
+
+SCHEMA = "path string, mtime_ns long, size long, scan long"
+#: Files that one batch opens, at most.
+MAX_FILES = 100_000
 
 
 @dataclass
-class Changed(InputPartition):
-    """Paths, with their modification times, that one task reads."""
+class Branch(InputPartition):
+    """A folder that one task lists, with all below it or without."""
 
-    files: list[tuple[str, int]]
+    folder: str
+    deep: bool
+    scan: int
 
 
 class WatchReader(DataSourceStreamReader):
-    """The driver looks at names and times only; contents are read by tasks."""
+    """The driver looks at the first level of folders only; the rest is listed by tasks."""
 
     def __init__(self, options: dict):
-        self._folder, self._pattern = options["path"], options.get("pattern", "*")
-        self._latest: dict[str, int] = {}
+        self._folders, self._pattern = json.loads(options["folders"]), options.get("pattern", "*")
+        self._recursive, self._last = options.get("recursive", "true") == "true", 0
 
     def initialOffset(self) -> dict:
-        return {}
-
-    def _times(self) -> dict[str, int]:
-        found = {}
-        for entry in os.scandir(self._folder):
-            if not entry.name.startswith(".") and fnmatch.fnmatch(entry.name, self._pattern):
-                try:
-                    if entry.is_file():
-                        found[entry.path] = entry.stat().st_mtime_ns
-                except OSError:  # gone or unreadable just now: seen again later
-                    continue
-        return found
+        return {"scan": 0}
 
     def latestOffset(self) -> dict:
-        # files that are gone keep their last time
-        self._latest = {**self._latest, **self._times()}
-        return self._latest
+        self._last = max(time.time_ns() // 1_000_000, self._last + 1)
+        return {"scan": self._last}
+
+    def partitions(self, start: dict, end: dict) -> list[Branch]:
+        from pyarrow.fs import FileSelector, FileType
+
+        self._last = max(self._last, end["scan"])
+        made = []
+        for folder in self._folders:
+            made.append(Branch(folder, False, end["scan"]))
+            if self._recursive:
+                fs, path = opened(folder)
+                below = [i.base_name for i in fs.get_file_info(FileSelector(path)) if i.type == FileType.Directory and not i.base_name.startswith(".")]
+                made += [Branch(f"{folder}/{name}", True, end["scan"]) for name in below]
+        return made
 
-    def partitions(self, start: dict, end: dict) -> list[Changed]:
-        self._latest = {**start, **end, **self._latest}
-        changed = sorted((p, t) for p, t in end.items() if start.get(p) != t)
-        return [Changed(changed[at : at + FILES]) for at in range(0, len(changed), FILES)]
+    def read(self, branch: Branch) -> Iterator[tuple]:
+        """Files without a hidden part below the folder. A folder that can't be listed is an error, not an empty one."""
+        from pyarrow.fs import FileSelector, FileType
 
-    def read(self, partition: Changed) -> Iterator[tuple]:
-        for path, time in partition.files:
-            try:
-                with open(path, "rb") as f:
-                    yield path, time, f.read()
-            except OSError:
-                yield path, time, None
+        fs, path = opened(branch.folder)
+        for i in fs.get_file_info(FileSelector(path, recursive=branch.deep)):
+            below = i.path[len(path) :].strip("/")
+            if i.type == FileType.File and fnmatch.fnmatch(i.base_name, self._pattern) and not any(p.startswith(".") for p in below.split("/")):
+                yield f"{branch.folder}/{below}", i.mtime_ns, i.size, branch.scan
 
 
 class WatchSource(DataSource):
@@ -80,10 +87,38 @@ class WatchSource(DataSource):
         return WatchReader(self.options)
 
 
-def watch(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """A streaming DataFrame of ``path, mtime_ns, content``; content is null where a read failed."""
+def watch(spark: SparkSession, folders: str | list[str], pattern: str = "*", recursive: bool = True) -> DataFrame:
+    """A streaming DataFrame of ``path, mtime_ns, size, scan``: each batch is what the folders hold."""
     spark.dataSource.register(WatchSource)
-    return spark.readStream.format("watch").option("pattern", pattern).load(folder)
+    listed = [f.rstrip("/") for f in ([folders] if isinstance(folders, str) else folders)]
+    return spark.readStream.format("watch").option("folders", json.dumps(listed)).option("pattern", pattern).option("recursive", str(recursive).lower()).load()
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """``path, mtime_ns, content`` of ``path, mtime_ns`` rows, read by tasks; what can't be read is left out."""
+
+    def read(row: dict) -> Iterator[tuple]:
+        try:
+            fs, path = opened(row["path"])
+            with fs.open_input_stream(path) as f:
+                yield row["path"], row["mtime_ns"], f.read()
+        except OSError:
+            return
+
+    return expand(files.select("path", "mtime_ns"), read, "path string, mtime_ns long, content binary")
+
+
+def changes(seen: DataFrame, known: DataFrame | None, batch: int, max_files: int) -> tuple[DataFrame, DataFrame]:
+    """Files to open (``path, mtime_ns``), and paths that are gone. Which files go first differs from batch to batch, so none waits for ever."""
+    now = seen.groupBy("path").agg(F.max("mtime_ns").alias("mtime_ns"))
+    if known is None:
+        new, gone = now, now.where("false").select("path")
+    else:
+        old = known.where(~F.col(DELETED)).select("path", F.col("mtime_ns").alias("was"))
+        both = now.join(old, "path", "full")
+        new = both.where("mtime_ns is not null and (was is null or mtime_ns != was)").select("path", "mtime_ns")
+        gone = both.where("mtime_ns is null").select("path")
+    return new.orderBy(F.xxhash64("path", F.lit(batch)), "path").limit(max_files), gone
 
 
 def latest(versions: DataFrame, key: str = "path", order: str = "mtime_ns", value: str = "content") -> DataFrame:
@@ -92,19 +127,21 @@ def latest(versions: DataFrame, key: str = "path", order: str = "mtime_ns", valu
     return versions.where(F.col(value).isNotNull()).withColumn("__n", newest).where("__n = 1").drop("__n")
 
 
-def keep_latest(versions: DataFrame, store: str, checkpoint: str, convert: Callable[[DataFrame], DataFrame] | None = None):
-    """Write a stream of versions as a table of what is current, batch by batch.
+def keep_latest(snapshots: DataFrame, store: str, checkpoint: str, convert: Callable[[DataFrame], DataFrame] | None = None, max_files: int = MAX_FILES):
+    """Write what a watched folder holds as a table of current files (``Store``), batch by batch; ``current`` reads it.
 
-    Each batch is a Parquet folder of its own, named by its number: a batch that runs
-    again after a failure replaces itself. ``current`` reads the table.
+    A file that can't be read keeps its last version and is tried again at each scan; one that is gone leaves the table.
+    A batch that runs again after a failure changes nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = latest(batch)
+        kept = Store(batch.sparkSession, store)
+        opened_now, gone = changes(batch, kept.rows("mtime_ns", DELETED), number, max_files)
+        rows = contents(opened_now.repartition(batch.sparkSession.sparkContext.defaultParallelism))
         made = rows.select("path", "mtime_ns").join(convert(rows), "path") if convert else rows
-        made.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{store}/batch-{number:012d}")
+        kept.append(number, made.withColumn(DELETED, F.lit(False)).unionByName(gone.withColumn(DELETED, F.lit(True)), allowMissingColumns=True))
 
-    return versions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def run_for(query: StreamingQuery, seconds: float) -> bool:
@@ -115,6 +152,6 @@ def run_for(query: StreamingQuery, seconds: float) -> bool:
     return bool(ended)
 
 
-def current(spark: SparkSession, store: str, value: str = "content") -> DataFrame:
-    """The latest row of each path over all batches."""
-    return latest(spark.read.parquet(f"{store}/batch-*"), order="batch", value=value)
+def current(spark: SparkSession, store: str) -> DataFrame:
+    """The files that were there at the last batch, each in the latest version that could be read."""
+    return Store(spark, store).current()

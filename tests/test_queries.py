@@ -49,9 +49,11 @@ def test_works_without_the_training_data_part(tmp_path):
     """The library, its queries and its tests work when that part has been taken away."""
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(copy), *filter(None, [os.environ.get("PYTHONPATH")])])}
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), len(e.oracle_sql()), any(n.startswith('op') for n in q))"
-    said = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True).stdout
+    said = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, check=True).stdout
     assert said.split()[-3:] == [str(len(registry.QUERIES)), str(len(registry.ORACLE_SQL)), "False"]
     rest = ["tests/test_functions.py", "tests/test_queries.py::test_entry", "tests/test_queries.py::test_query[docx_rich]"]
-    subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *rest], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True)
-    subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "-p", "no:cacheprovider"], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, check=True)
+    for args in (rest, ["--collect-only"]):
+        ran = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *args], cwd=copy, env=env, capture_output=True, text=True)
+        assert ran.returncode == 0, ran.stdout[-3000:] + ran.stderr[-3000:]

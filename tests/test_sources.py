@@ -97,21 +97,6 @@ def test_watch_follows_changes(spark, tmp_path):
     assert got == {"a.md": "two", "b.md": "same"}
 
 
-def test_watch_reads_contents_in_tasks(tmp_path):
-    for k in range(W.FILES + 1):
-        (tmp_path / f"{k}.md").write_text(str(k))
-    reader = W.WatchReader({"path": str(tmp_path), "pattern": "*.md"})
-    end = reader.latestOffset()
-    parts = reader.partitions({}, end)
-    assert [len(p.files) for p in parts] == [W.FILES, 1]
-    assert not any(isinstance(x, bytes) for p in parts for f in p.files for x in f)
-    assert sorted(bytes(c).decode() for p in parts for _, _, c in reader.read(p)) == sorted(str(k) for k in range(W.FILES + 1))
-    os.remove(tmp_path / "0.md")
-    assert reader.partitions(end, reader.latestOffset()) == []  # what is gone is no change
-    os.utime(tmp_path / "1.md", ns=(1, 1))
-    assert [p.files for p in reader.partitions(end, reader.latestOffset())] == [[(str(tmp_path / "1.md"), 1)]]
-
-
 def test_latest_keeps_the_last_good_version(spark):
     rows = [("a", 1, b"x"), ("a", 2, None), ("b", 1, b"y"), ("b", 3, b"z"), ("c", 1, None)]
     df = spark.createDataFrame(rows, "path string, mtime_ns long, content binary")
