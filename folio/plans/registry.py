@@ -180,14 +180,15 @@ def ext_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH b AS (SELECT h, unhex(h) AS c FROM (VALUES {values.BLOBS}) v(h))
-SELECT h, CASE WHEN h LIKE '255044462D%' THEN 'pdf' WHEN h LIKE '7B5C727466%' THEN 'rtf'
+WITH b AS (SELECT page_id, [{', '.join(map(repr, values.HEADS))}][page_id % {len(values.HEADS)} + 1] || hex(coalesce(html, '')) AS h FROM pages)
+SELECT page_id, CASE WHEN h LIKE '255044462D%' THEN 'pdf' WHEN h LIKE '7B5C727466%' THEN 'rtf'
   WHEN h LIKE '89504E470D0A1A0A%' OR h LIKE 'FFD8FF%' OR h LIKE '474946383761%' OR h LIKE '474946383961%' OR (h LIKE '52494646%' AND substr(h, 17, 8) = '57454250') OR (h LIKE '424D%' AND length(h) > 52) THEN 'image'
   WHEN h LIKE '504B0304%' THEN CASE WHEN h LIKE '%776F72642F646F63756D656E742E786D6C%' THEN 'docx' WHEN h LIKE '%7070742F70726573656E746174696F6E2E786D6C%' THEN 'pptx' WHEN h LIKE '%786C2F776F726B626F6F6B2E786D6C%' THEN 'xlsx' WHEN h LIKE '%766E642E6F617369732E6F70656E646F63756D656E74%' THEN 'opendocument' END END AS kind FROM b""")
 def magic_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kind of files by their bytes."""
-    blobs = literal(spark, values.BLOBS, "h").withColumn("c", F.unhex("h"))
-    return blobs.select("h", K.kind_of_bytes(F.col("c")).alias("kind"))
+    """The kind of files by their bytes: pages behind the first bytes of many formats."""
+    head = F.element_at(F.array(*map(F.lit, values.HEADS)), (F.col("page_id") % len(values.HEADS) + 1).cast("int"))
+    pages = table(spark, sf_dir, "pages").withColumn("c", F.concat(F.unhex(head), F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
+    return pages.select("page_id", K.kind_of_bytes(F.col("c")).alias("kind"))
 
 
 # --- delimited text
@@ -251,21 +252,30 @@ SQL_BARE = r"""regexp_replace(code, '"[^"]*("|$)|\[[^\]]*(\]|$)|\\.?', '', 'g')"
 
 
 @query(f"""
-WITH f AS (SELECT fmt, code, {SQL_BARE} AS b FROM (VALUES {values.FORMATS}) v(fmt, code))
-SELECT fmt, CASE WHEN fmt < 164 THEN CASE WHEN fmt BETWEEN 14 AND 17 THEN 'date' WHEN fmt = 22 THEN 'datetime' WHEN fmt BETWEEN 18 AND 21 OR fmt BETWEEN 45 AND 47 THEN 'time' WHEN fmt IN (9, 10) THEN 'percent' ELSE 'general' END
+WITH v AS (SELECT p_partkey, fmt, code || '"' || p_type || '"' AS code FROM part JOIN (VALUES {values.FORMATS}) v(fmt, code) ON fmt = {values.FORMAT_IDS}[(p_partkey % {len(values.FORMAT_IDS)})::INTEGER + 1]),
+f AS (SELECT p_partkey, fmt, code, {SQL_BARE} AS b FROM v)
+SELECT p_partkey, fmt, CASE WHEN fmt < 164 THEN CASE WHEN fmt BETWEEN 14 AND 17 THEN 'date' WHEN fmt = 22 THEN 'datetime' WHEN fmt BETWEEN 18 AND 21 OR fmt BETWEEN 45 AND 47 THEN 'time' WHEN fmt IN (9, 10) THEN 'percent' ELSE 'general' END
   WHEN b LIKE '%\\%%' ESCAPE '\\' THEN 'percent' WHEN regexp_matches(b, '[yYdD]') AND regexp_matches(b, '[hHsS]') THEN 'datetime' WHEN regexp_matches(b, '[yYdD]') THEN 'date' WHEN regexp_matches(b, '[hHsS]') THEN 'time' ELSE 'general' END AS kind FROM f""")
 def cell_format_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What number formats show."""
-    rows = literal(spark, values.FORMATS.replace('\\"', '"'), "fmt, code")
-    return rows.select("fmt", format_kind(F.col("fmt"), F.col("code").cast("string")).alias("kind"))
+    """What number formats show, with a part's type as quoted text."""
+    formats = literal(spark, values.FORMATS.replace('\\"', '"'), "fmt, code")
+    fmt = F.element_at(F.array(*map(F.lit, values.FORMAT_IDS)), (F.col("p_partkey") % len(values.FORMAT_IDS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").withColumn("fmt", fmt).join(formats, "fmt").withColumn("code", F.concat("code", F.lit('"'), "p_type", F.lit('"')))
+    return rows.select("p_partkey", "fmt", format_kind(F.col("fmt"), F.col("code").cast("string")).alias("kind"))
 
 
 @query(f"""
-WITH r AS (SELECT ref, regexp_extract(ref, '^[A-Z]{{1,4}}') AS l FROM (VALUES {values.REFS}) v(ref))
-SELECT ref, (CASE WHEN l = '' THEN -1 ELSE list_reduce(list_transform(string_split(l, ''), lambda c: (ascii(c) - 64)::BIGINT), lambda a, b: a * 26 + b) - 1 END)::INTEGER AS col FROM r""")
+WITH a AS (SELECT o_orderkey, o_custkey, upper(substr(o_orderpriority, 3)) AS p, chr((65 + o_orderkey % 26)::INTEGER) || CASE WHEN o_orderkey % 3 > 0 THEN chr((65 + o_orderkey // 26 % 26)::INTEGER) ELSE '' END AS l FROM orders),
+o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN lower(l) ELSE l END || CASE WHEN o_orderkey % 7 = 0 THEN p ELSE o_custkey::VARCHAR END AS ref FROM a),
+r AS (SELECT o_orderkey, ref, regexp_extract(ref, '^[A-Z]{{1,4}}') AS l FROM o UNION ALL SELECT -1, ref, regexp_extract(ref, '^[A-Z]{{1,4}}') FROM (VALUES {values.REFS}) v(ref))
+SELECT o_orderkey, ref, (CASE WHEN l = '' THEN -1 ELSE list_reduce(list_transform(string_split(l, ''), lambda c: (ascii(c) - 64)::BIGINT), lambda a, b: a * 26 + b) - 1 END)::INTEGER AS col FROM r""")
 def col_of_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of cell references."""
-    return literal(spark, values.REFS, "ref").select("ref", X.column_of_ref(F.col("ref")).alias("col"))
+    letters = F.expr("char(65 + o_orderkey % 26) || CASE WHEN o_orderkey % 3 > 0 THEN char(65 + (o_orderkey div 26) % 26) ELSE '' END")
+    key = F.col("o_orderkey")
+    ref = F.concat(F.when(key % 5 == 4, F.lower(letters)).otherwise(letters), F.when(key % 7 == 0, F.upper(F.substring("o_orderpriority", 3, 99))).otherwise(F.col("o_custkey").cast("string")))
+    refs = table(spark, sf_dir, "orders").select("o_orderkey", ref.alias("ref")).unionByName(literal(spark, values.REFS, "ref").withColumn("o_orderkey", F.lit(-1).cast("long")))
+    return refs.select("o_orderkey", "ref", X.column_of_ref(F.col("ref")).alias("col"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey - 5 AS idx, coalesce(p_name, '') AS display FROM lineitem LEFT JOIN part ON p_partkey = l_partkey - 5")
@@ -276,13 +286,16 @@ def shared_string_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_strings(cells, strings, []).select("l_orderkey", "l_linenumber", "idx", F.col("value").alias("display"))
 
 
-@query(f"""
-WITH k AS (SELECT path, rid, min_by(target, ord) AS target FROM (VALUES {values.LOOKUPS}) v(path, rid, target, ord) GROUP BY 1, 2)
-SELECT a.path, a.rid, coalesce(target, '#blocked') AS href FROM (VALUES {values.ASKED}) a(path, rid) LEFT JOIN k ON k.path = a.path AND k.rid = a.rid""")
+@query("""
+WITH k AS (SELECT l_orderkey AS path, l_linenumber % 3 AS rid, min_by(l_shipdate::DATE::VARCHAR, l_linenumber * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) AS target FROM lineitem GROUP BY 1, 2),
+a AS (SELECT o_orderkey AS path, unnest([0, 1, 2, 3]) AS rid FROM orders)
+SELECT a.path, a.rid, coalesce(target, '#blocked') AS href FROM a LEFT JOIN k ON k.path = a.path AND k.rid = a.rid""")
 def first_match_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookups where the first of equal keys counts."""
-    keyed = first_match(literal(spark, values.LOOKUPS, "path, rid, target, ord"), ["path", "rid"], "target", "ord")
-    return literal(spark, values.ASKED, "path, rid").join(keyed, ["path", "rid"], "left").select("path", "rid", F.coalesce("target", F.lit("#blocked")).alias("href"))
+    targets = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_linenumber") % 3).alias("rid"), F.to_date("l_shipdate").cast("string").alias("target"), (F.col("l_linenumber") * 100_000 + F.unix_date(F.to_date("l_shipdate"))).alias("ord"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.explode(F.array(*map(F.lit, range(4)))).alias("rid"))
+    keyed = first_match(targets, ["path", "rid"], "target", "ord")
+    return asked.join(keyed, ["path", "rid"], "left").select("path", "rid", F.coalesce("target", F.lit("#blocked")).alias("href"))
 
 
 @query("""
