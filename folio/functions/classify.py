@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.functions.pictures import HEAD, boxed_size
 from folio.functions.text import basename, extension
 
 # Extensions by kind.
@@ -102,13 +103,15 @@ def jpeg_size(content: pd.Series) -> pd.DataFrame:
 
 
 def image_size(content: Column) -> Column:
-    """``width, height`` of PNG, GIF, BMP and JPEG images, null for others; only JPEGs go to Python."""
+    """``width, height`` of PNG, GIF, BMP, JPEG, WebP, ICO, AVIF and SVG images, null for others; the first three stay in the JVM."""
+    looks_boxed = (starts(content, b"RIFF") & (F.substring(content, 9, 4) == F.lit(b"WEBP"))) | starts(content, b"\0\0\1\0") | (F.substring(content, 5, 4) == F.lit(b"ftyp")) | F.contains(F.substring(content, 1, HEAD), F.lit(b"<svg")) | F.contains(F.substring(content, 1, HEAD), F.lit(b":svg"))
+    boxed = boxed_size(F.when(looks_boxed, content))
     jpeg = jpeg_size(F.when(starts(content, b"\xff\xd8\xff"), content))
     size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
     tall = _whole(content, 23, 4, True)
     up = F.when(tall >= 2**31, 2**32 - tall).otherwise(tall)  # rows from the top have a negative height
     known = F.when(starts(content, b"\x89PNG\r\n\x1a\n"), size(_whole(content, 17, 4), _whole(content, 21, 4))).when(starts(content, b"GIF8"), size(_whole(content, 7, 2, True), _whole(content, 9, 2, True))).when(starts(content, b"BM"), size(_whole(content, 19, 4, True), up))
-    return F.coalesce(known, F.when(jpeg["width"].isNotNull(), jpeg))
+    return F.coalesce(known, F.when(jpeg["width"].isNotNull(), jpeg), F.when(boxed["width"].isNotNull(), boxed))
 
 
 def part_mime(content: Column, name: Column, dialect: str) -> Column:

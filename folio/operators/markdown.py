@@ -3,6 +3,10 @@
 Headings (ATX and setext), paragraphs, fenced and indented code, quotes, bullet, numbered
 and task lists, tables and rules; emphasis, strong, strikethrough, code, links, images and
 autolinks. Links with a scheme that is not allowed lead to ``#blocked``.
+
+Definitions of link targets and footnotes are gathered from the whole text before any span is read, so
+they may come after their use. Of equal labels the first counts. Footnotes follow the text as a
+list, in the order of their first use, each with the way back to all of its uses.
 """
 
 from __future__ import annotations
@@ -33,6 +37,9 @@ _TOKEN = re.compile(
     r"|(?<![\w/])(?P<bare>(?:https?://|www\.)[^\s<>\"]*[^\s<>\".,;:!?)'])|(?P<break>(?:(?<! )  ++|\\)\n)|(?P<entity>&(?:[A-Za-z][A-Za-z0-9]{0,31}|\#[0-9]{1,7}|\#[xX][0-9A-Fa-f]{1,6});)"
 )
 _TARGET = re.compile(r"\(\s*+<?+((?:[^\s()<>]|\([^\s()]*+\))*+)>?+(?:\s++(?:\"([^\"]*+)\"|'([^']*+)'))?+\s*+\)")
+_DEFINITION = re.compile(r" {0,3}\[(?!\^)((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*+(?:<([^<>]*+)>|(\S++))(?:[ \t]++(?:\"([^\"]*+)\"|'([^']*+)'|\(([^()]*+)\)))?+[ \t]*+$")
+_NOTE = re.compile(r" {0,3}\[\^([^\]\s]{1,99})\]:[ \t]*(.*)$")
+_LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.){0,999}+)\]")
 #: How deep quotes and lists may lie in each other; what is deeper is a paragraph.
 MAX_NESTING = 32
 
@@ -101,15 +108,68 @@ def emphasize(runs: list[Run]) -> None:
             openers.append(run)
 
 
-def inline(text: str) -> str:
+def label(text: str) -> str:
+    """A label as it is compared: without case, white space as one space."""
+    return " ".join(text.split()).casefold()
+
+
+class Definitions:
+    """What a text defines: targets and titles by label, and lines of footnotes; and which footnotes its spans used, in order."""
+
+    def __init__(self) -> None:
+        self.links: dict[str, tuple[str, str | None]] = {}
+        self.notes: dict[str, list[str]] = {}
+        self.used: dict[str, int] = {}
+        self.numbers: dict[str, int] = {}
+
+    def take(self, lines: list[str]) -> list[str]:
+        """The lines without definitions. Those within code, and targets that would go on a paragraph, are none."""
+        rest: list[str] = []
+        fence = None
+        at, in_paragraph = 0, False
+        while at < len(lines):
+            line = lines[at]
+            at += 1
+            if fence:
+                rest.append(line)
+                fence = None if fence.match(line) else fence
+                continue
+            if m := _FENCE.match(line):
+                fence = re.compile(rf" {{0,3}}{re.escape(m[1][0])}{{{len(m[1])},}}[ ]*$")
+            elif m := _NOTE.match(line):
+                body = [m[2]]
+                while at < len(lines) and (lines[at].startswith("    ") or not lines[at].strip() and at + 1 < len(lines) and lines[at + 1].startswith("    ")):
+                    body.append(lines[at][4:])
+                    at += 1
+                self.notes.setdefault(label(m[1]), body)
+                in_paragraph = False
+                continue
+            elif not in_paragraph and (m := _DEFINITION.match(line)) and m[1].strip():
+                self.links.setdefault(label(m[1]), (m[3] if m[2] is None else m[2], next((t for t in m.groups()[3:] if t is not None), None)))
+                continue
+            in_paragraph = bool(line.strip()) and not line.startswith("    ") and not _HEADING.match(line) and not _RULE.match(line)
+            rest.append(line)
+        return rest
+
+    def note(self, name: str) -> str:
+        """A footnote's reference."""
+        nth = self.numbers.setdefault(name, len(self.numbers) + 1)
+        uses = self.used[name] = self.used.get(name, 0) + 1
+        return f'<sup class="footnote-ref"><a href="#fn-{nth}" id="fnref-{nth}{f"-{uses}" if uses > 1 else ""}">{nth}</a></sup>'
+
+
+NOTHING = Definitions()
+
+
+def inline(text: str, defined: Definitions = NOTHING) -> str:
     """The spans of a paragraph, in one pass: code, links and pictures by a stack of brackets, then emphasis."""
     ticks: dict[int, list[int]] = {}
     for m in re.finditer("`+", text):
         ticks.setdefault(len(m[0]), []).append(m.start())
     out: list[str | Run] = []
     runs: list[Run] = []
-    brackets: list[tuple[int, int, bool]] = []  # places in ``out`` and ``runs``, and whether it is a picture
-    at = 0
+    brackets: list[tuple[int, int, bool, int]] = []  # places in ``out``, ``runs`` and the text, and whether it is a picture
+    at = linked = 0  # brackets up to ``linked`` hold a link, so those for links among them are plain text
     while m := _TOKEN.search(text, at):
         out.append(escaped(text[at : m.start()]))
         at = m.end()
@@ -125,24 +185,35 @@ def inline(text: str) -> str:
                 out.append(f"<code>{escaped(code[1:-1] if len(code) > 2 and code[0] == code[-1] == ' ' and code.strip() else code)}</code>")
                 at = ends[k] + len(m[0])
         elif m["open"]:
-            brackets.append((len(out), len(runs), m[0] == "!["))
+            if defined.notes and m[0] == "[" and (n := _LABEL.match(text, m.start())) and n[1].startswith("^") and label(n[1][1:]) in defined.notes:
+                out.append(defined.note(label(n[1][1:])))
+                at = n.end()
+                continue
+            brackets.append((len(out), len(runs), m[0] == "![", at))
             out.append(m[0])
         elif m["close"]:
             target = _TARGET.match(text, at) if brackets else None
-            opened, first, is_picture = brackets.pop() if brackets else (0, 0, False)
-            if target is None:
+            opened, first, is_picture, begun = brackets.pop() if brackets else (0, 0, False, 0)
+            plain = not is_picture and len(brackets) < linked
+            linked = min(linked, len(brackets))
+            url, title = (target[1], target[2] if target[2] is not None else target[3]) if target else (None, None)
+            if target is None and begun and defined.links:
+                named = _LABEL.match(text, at)
+                said = named[1] if named and named[1].strip() else text[begun : m.start()] if m.start() - begun <= 999 else ""
+                if label(said) in defined.links:
+                    (url, title), target = defined.links[label(said)], named if named and (named[1].strip() or not named[1]) else m
+            if target is None or plain:
                 out.append("]")
                 continue
             at = target.end()
-            title = target[2] if target[2] is not None else target[3]
             emphasize(runs[first:])
             inner = "".join(map(str, out[opened + 1 :]))
             del out[opened:], runs[first:]
             if is_picture:
-                out.append(f'<img src="{escaped(decode_entities(target[1]))}" alt="{re.sub("<[^>]*>", "", inner)}"' + (f' title="{escaped(title)}"' if title else "") + ">")
+                out.append(f'<img src="{escaped(decode_entities(url))}" alt="{re.sub("<[^>]*>", "", inner)}"' + (f' title="{escaped(title)}"' if title else "") + ">")
             else:
-                out.append(link(target[1], inner, title))
-                brackets = [b for b in brackets if b[2]]  # links do not hold links
+                out.append(link(url, inner, title))
+                linked = len(brackets)  # links do not hold links
         elif m["auto"]:
             out.append(link(m["auto"], escaped(m["auto"])))
         elif m["run"]:
@@ -165,16 +236,38 @@ def cells(line: str) -> list[str]:
     return [p.strip().replace("\\|", "|") for p in (parts[:-1] if parts[-1].strip() == "" and len(parts) > 1 else parts)]
 
 
-def table(head: str, divider: str, rows: list[str]) -> str:
+def table(head: str, divider: str, rows: list[str], defined: Definitions = NOTHING) -> str:
     sides = [{(True, True): "center", (False, True): "right", (True, False): "left"}.get((d.startswith(":"), d.endswith(":"))) for d in cells(divider)]
-    row = lambda line, tag: "<tr>" + "".join(f"<{tag}" + (f' align="{s}"' if s else "") + f">{inline(c)}</{tag}>" for c, s in zip((*cells(line), *[""] * len(sides)), sides, strict=False)) + "</tr>\n"
+    row = lambda line, tag: "<tr>" + "".join(f"<{tag}" + (f' align="{s}"' if s else "") + f">{inline(c, defined)}</{tag}>" for c, s in zip((*cells(line), *[""] * len(sides)), sides, strict=False)) + "</tr>\n"
     return "<table>\n<thead>\n" + row(head, "th") + "</thead>\n" + ("<tbody>\n" + "".join(row(r, "td") for r in rows) + "</tbody>\n" if rows else "") + "</table>\n"
 
 
-def blocks(text: str, tight: bool = False, depth: int = 0) -> Iterator[tuple[str, str]]:
-    """Kind and HTML of each block, in order. Below ``MAX_NESTING`` there are no more quotes and lists."""
+def lines_of(text: str) -> list[str]:
+    """Lines with tabs at the start as spaces up to the next stop of four; later ones stay."""
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    return [(x[: len(x) - len(x.lstrip(" \t"))].expandtabs(4) + x.lstrip(" \t") if x[:1] in " \t" else x) if "\t" in x else x for x in lines]
+
+
+def blocks(text: str) -> Iterator[tuple[str, str]]:
+    """Kind and HTML of each block, in order, and at last the footnotes."""
+    defined = Definitions()
+    lines = defined.take(lines_of(text))
+    yield from _blocks(lines, defined)
+    names, items = [], []
+    while len(items) < len(defined.used):  # a footnote may use others
+        names = names if len(names) > len(items) else list(defined.used)
+        name = names[len(items)]
+        items.append((name, "".join(h for _, h in _blocks(defined.notes[name], defined, tight=True))))
+    if items:
+        back = lambda n, uses: " ".join(f'<a href="#fnref-{n}{f"-{k}" if k > 1 else ""}" class="footnote-backref">\u21a9</a>' for k in range(1, uses + 1))
+        rows = "".join(f'<li id="fn-{n}">{body} {back(n, defined.used[name])}</li>\n' for n, (name, body) in enumerate(items, 1))
+        yield "footnotes", f'<section class="footnotes">\n<ol>\n{rows}</ol>\n</section>\n'
+
+
+def _blocks(lines: list[str], defined: Definitions, tight: bool = False, depth: int = 0) -> Iterator[tuple[str, str]]:
+    """Below ``MAX_NESTING`` there are no more quotes and lists."""
     nests = depth < MAX_NESTING
-    lines, at = text.expandtabs(4).replace("\r\n", "\n").replace("\r", "\n").split("\n"), 0
+    at = 0
     while at < len(lines):
         line = lines[at]
         if not line.strip():
@@ -190,7 +283,7 @@ def blocks(text: str, tight: bool = False, depth: int = 0) -> Iterator[tuple[str
             title = line[m.end() :].strip()
             bare = title.rstrip("#")
             title = bare.rstrip() if not bare or bare[-1].isspace() else title
-            yield f"h{len(m[1])}", f"<h{len(m[1])}>{inline(title)}</h{len(m[1])}>\n"
+            yield f"h{len(m[1])}", f"<h{len(m[1])}>{inline(title, defined)}</h{len(m[1])}>\n"
             at += 1
         elif _RULE.match(line):
             yield "hr", "<hr>\n"
@@ -202,27 +295,27 @@ def blocks(text: str, tight: bool = False, depth: int = 0) -> Iterator[tuple[str
             at = end
         elif nests and re.match(" {0,3}>", line):
             end = next((k for k in range(at, len(lines)) if not lines[k].strip()), len(lines))
-            inner = "\n".join(re.sub("^ {0,3}> ?", "", x) for x in lines[at:end])
-            yield "quote", "<blockquote>\n" + "".join(h for _, h in blocks(inner, depth=depth + 1)) + "</blockquote>\n"
+            inner = [re.sub("^ {0,3}> ?", "", x) for x in lines[at:end]]
+            yield "quote", "<blockquote>\n" + "".join(h for _, h in _blocks(inner, defined, depth=depth + 1)) + "</blockquote>\n"
             at = end
         elif nests and (m := _ITEM.match(line)):
-            at = yield from _list(lines, at, m, depth)
+            at = yield from _list(lines, at, m, defined, depth)
         elif at + 1 < len(lines) and "|" in line and _DIVIDER.match(lines[at + 1]) and len(cells(line)) == len(cells(lines[at + 1])):
             end = next((k for k in range(at + 2, len(lines)) if not lines[k].strip()), len(lines))
-            yield "table", table(line, lines[at + 1], lines[at + 2 : end])
+            yield "table", table(line, lines[at + 1], lines[at + 2 : end], defined)
             at = end
         else:
             end = at + 1
             while end < len(lines) and lines[end].strip() and not (_FENCE.match(lines[end]) or _HEADING.match(lines[end]) or _RULE.match(lines[end]) or re.match(r" {0,3}(>|[-*+][ \t]|1[.)][ \t]|=+[ \t]*$|-+[ \t]*$)", lines[end])):
                 end += 1
             under = re.match(r" {0,3}(=+|-+)[ \t]*$", lines[end]) if end < len(lines) else None
-            body = inline("\n".join(x.lstrip() for x in lines[at:end]).rstrip())
+            body = inline("\n".join(x.lstrip() for x in lines[at:end]).rstrip(), defined)
             tag = ("h1" if "=" in under[1] else "h2") if under else "p"
             yield tag, body if tight and tag == "p" else f"<{tag}>{body}</{tag}>\n"
             at = end + bool(under)
 
 
-def _list(lines: list[str], at: int, first: re.Match, depth: int):
+def _list(lines: list[str], at: int, first: re.Match, defined: Definitions, depth: int):
     """The list that begins here; its items hold blocks of their own."""
     ordered = first[2][-1] in ".)"
     same = lambda m: m and (m[2][-1] == first[2][-1] if ordered else m[2] == first[2])
@@ -246,7 +339,7 @@ def _list(lines: list[str], at: int, first: re.Match, depth: int):
     for body in items:
         task = _TASK.match(body)
         box = f'<input type="checkbox" class="task-list-item-checkbox" disabled{" checked" if task[1] != " " else ""}>' if task else ""
-        inner = "".join(h for _, h in blocks(body[task.end() :] if task else body, tight=not loose, depth=depth + 1))
+        inner = "".join(h for _, h in _blocks((body[task.end() :] if task else body).split("\n"), defined, tight=not loose, depth=depth + 1))
         out += f"<li{' class=\"task-list-item\"' if task else ''}>{box}{inner}</li>\n"
     yield tag, out + f"</{tag}>\n"
     return at

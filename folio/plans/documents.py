@@ -164,6 +164,34 @@ def image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", size["width"].alias("width"), size["height"].alias("height"), K.image_mime(F.col("c"), F.lit("x")).alias("mime"), K.part_mime(F.col("c"), F.lit("x"), "odf").alias("odf_mime"))
 
 
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 3 THEN p_partkey % 250 + 1 WHEN 4 THEN p_partkey % 10000 + 1 ELSE p_size END::BIGINT AS width, CASE p_partkey % 6 WHEN 3 THEN p_size WHEN 4 THEN p_size WHEN 2 THEN p_partkey % 250 + 1 ELSE p_partkey % 10000 + 1 END::BIGINT AS height FROM part""")
+def picture_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of WebP, ICO, AVIF and SVG pictures, from chunks, boxes and attributes."""
+    w, h = F.col("p_size").cast("long"), F.col("p_partkey") % 10_000 + 1
+    low = F.col("p_partkey") % 250 + 1
+    hexed = lambda text: F.hex(F.encode(text, "UTF-8"))
+    riff = lambda chunk: F.concat(F.lit("524946460000000057454250" + "4A554E4B0100000000" + "00"), chunk)
+    ispe = lambda a, b: F.concat(F.lit("0000001469737065" + "00000000"), _number(a, 4), _number(b, 4))
+    # ftyp; meta with the primary item 2, properties (two sizes and a turn), and who owns them: item 1 the first, item 2 the others
+    avif = F.concat(
+        F.lit("0000001066747970" + "6176696600000000" + "000000746D65746100000000" + "0000000E7069746D000000000002" + "0000005A69707270" + "000000396970636F"), ispe(F.lit(9), F.lit(9)), ispe(w, h),
+        F.lit("0000000969726F7401" + "0000001969706D61" + "0000000000000002" + "00010101" + "0002020203"),
+    )
+    bits = (w - 1) + (h - 1) * 2**14
+    heads = [
+        riff(F.concat(F.lit("565038580A000000" + "00000000"), _number(w - 1, 3, True), _number(h - 1, 3, True))),
+        riff(F.concat(F.lit("5650384C050000002F"), _number(bits, 4, True))),
+        F.concat(F.lit("000001000200" + "01010000" + "00" * 12), _number(w, 1), _number(low, 1), F.lit("0000" + "00" * 12)),
+        hexed(F.concat(F.lit("<?xml?><!-- <svg width='1' height='1'> --><svg a='>' viewBox='0 0 "), low.cast("string"), F.lit(" "), w.cast("string"), F.lit("' width='"), low.cast("string"), F.lit("px'>"))),
+        avif,
+        riff(F.concat(F.lit("565038200A000000" + "0000009D012A"), _number(w, 2, True), _number(h, 2, True))),
+    ]
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.element_at(F.array(*heads), (F.col("p_partkey") % 6 + 1).cast("int"))).alias("c"))
+    size = K.image_size(F.col("c"))
+    return rows.select("p_partkey", size["width"].alias("width"), size["height"].alias("height"))
+
+
 @query("""
 WITH p AS (SELECT doc_id, doc_id % 230 AS n FROM documents)
 SELECT '/p/' || doc_id || '.pdf' AS path, '1.' || (doc_id % 8) AS version, n::INTEGER AS n_pages, doc_id % 3 = 0 AS encrypted,
@@ -305,6 +333,16 @@ def markdown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md_blocks(texts)
 
 
+@query(f"""
+SELECT '/m/' || s_suppkey || '.md' AS path, 0 AS seq, '<p>see <a href="https://s.example/' || s_suppkey || '" title="' || {sql_escape('s_name')} || '">' || {sql_escape('s_name')} || '</a>, <a href="https://s.example/' || s_suppkey || '" title="' || {sql_escape('s_name')} || '">k</a><sup class="footnote-ref"><a href="#fn-1" id="fnref-1">1</a></sup></p>' || chr(10) AS html FROM supplier
+UNION ALL SELECT '/m/' || s_suppkey || '.md', 1, '<section class="footnotes">' || chr(10) || '<ol>' || chr(10) || '<li id="fn-1">balance <em>' || s_acctbal::VARCHAR || '</em> <a href="#fnref-1" class="footnote-backref">\u21a9</a></li>' || chr(10) || '</ol>' || chr(10) || '</section>' || chr(10) FROM supplier""")
+def markdown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and footnotes of Markdown whose definitions come after their use."""
+    name, key = F.col("s_name"), F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("see ["), name, F.lit("][K], [k][][^n]\n\n[k]: https://s.example/"), key, F.lit(' "'), name, F.lit('"\n[^n]: balance *'), F.col("s_acctbal").cast("string"), F.lit("*\n"))
+    return md_blocks(table(spark, sf_dir, "supplier").select(F.concat(F.lit("/m/"), key, F.lit(".md")).alias("path"), text.alias("text"))).select("path", "seq", "html")
+
+
 @query(f"""
 SELECT '/m/' || s_suppkey || '.md' AS path, ['{PIXEL_URI}', 'img/none.png', NULL][(s_suppkey % 3)::INTEGER + 1] AS src FROM supplier""")
 def markdown_images(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folio.functions import classify as K
+from folio.functions import pictures as P
 from folio.functions import text as X
 from folio.operators.delimited import csv_cells, split_rows
 from folio.operators.markdown import MAX_NESTING, inline, to_html
@@ -86,6 +87,26 @@ def test_picture_sizes(spark):
     assert [tuple(r.s) if r.s and r.s.width else None for r in rows] == list(cases.values())
 
 
+def test_sizes_in_chunks_and_boxes():
+    svg = lambda attrs: P.size_of(f"<?xml?><svg {attrs}>".encode())
+    assert [svg(a) for a in ("width='10' height='20'", "width='1in' height='36pt'", "viewBox='0 0 30 15'", "viewBox='0,0,30,15' height='5'", "width='100%' height='3'", "", "width='5em' viewBox='0 0 3 0'")] == [(10, 20), (96, 48), (30, 15), (10, 5), P.NONE, P.NONE, P.NONE]
+    assert P.size_of(b"<s:svg width='1' height='2'/>") == (1, 2) and P.size_of(b"<p>svg</p>") == P.NONE and P.size_of(None) == P.NONE
+    assert P.size_of(b"\0\0\1\0\2\0" + bytes([0, 0]) + bytes(14) + bytes([16, 16]) + bytes(14)) == (256, 256) and P.size_of(b"\0\0\1\0\x09\0") == P.NONE
+    box = lambda kind, body: (8 + len(body)).to_bytes(4) + kind + body
+    ispe = lambda w, h: box(b"ispe", bytes(4) + w.to_bytes(4) + h.to_bytes(4))
+    loose = box(b"ftyp", b"avif") + box(b"meta", bytes(4) + box(b"iprp", box(b"ipco", ispe(3, 4) + ispe(5, 6))))
+    assert P.size_of(loose) == (5, 6)
+    wide = box(b"ipma", b"\1\0\0\1" + (1).to_bytes(4) + (7).to_bytes(4) + b"\1" + (0x8001).to_bytes(2))
+    assert P.size_of(box(b"ftyp", b"avif") + box(b"meta", bytes(4) + box(b"pitm", b"\1\0\0\0" + (7).to_bytes(4)) + box(b"iprp", box(b"ipco", ispe(3, 4) + ispe(5, 6)) + wide))) == (3, 4)
+    rnd = random.Random(8)
+    for _ in range(2000):  # whatever the bytes are, it ends
+        raw = bytearray(loose * 2)
+        for _ in range(5):
+            raw[rnd.randrange(len(raw))] = rnd.choice((0, 1, 8, 255))
+        P.size_of(bytes(raw))
+        P.size_of(b"RIFF0000WEBP" + bytes(rnd.randrange(256) for _ in range(30)))
+
+
 def test_pages_in_object_streams(spark):
     packed = zlib.compress(b"1 0 2 20 << /Type /Page >> << /Type /Pages >> << /Type/Page/Parent 2 0 R >>")
     data = b"%PDF-1.5\n3 0 obj << /Type /ObjStm /N 2 /Filter /FlateDecode >>\nstream\r\n" + packed + b"\nendstream\n<< /Type /Page >>"
