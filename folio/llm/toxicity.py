@@ -13,7 +13,7 @@ are the offending spans (code points, neighbours joined).
 The classifier is fitted on a bounded sample: per label the ``SAMPLE_DOCS`` documents of the smallest
 hashes of their ids (three quarters teach, one quarter calibrates) and ``SAMPLE_WINDOWS`` windows per
 state. Counts over the sample are made in tasks, in ``BUCKETS`` hashed features. Every text is then
-scored whole, in one pass without a shuffle; a model of 32 MB (8 bytes a feature) is broadcast.
+scored whole, in one pass without a shuffle; of the model's 32 MB (8 bytes a feature) what is not empty is broadcast.
 
 Defined results: a null or empty text has no words and gets the score of that evidence; a null ``doc_id`` is
 not held out and never in the sample; of several labels of an id the largest counts, null labels
@@ -82,6 +82,17 @@ class Model:
     logistic: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def packed(self) -> dict:
+        """What is to be sent: of tables that are mostly empty, the rest."""
+        odds, weights = np.flatnonzero(~np.isnan(self.odds)).astype(np.uint32), np.flatnonzero(self.weights).astype(np.uint32)
+        return vars(self) | {"odds": (odds, self.odds[odds]), "weights": (weights, self.weights[weights])}
+
+    @classmethod
+    def unpacked(cls, sent: dict) -> Model:
+        odds, weights = np.full(BUCKETS, np.nan, np.float32), np.zeros(BUCKETS, np.float32)
+        odds[sent["odds"][0]], weights[sent["weights"][0]] = sent["odds"][1], sent["weights"][1]
+        return cls(**sent | {"odds": odds, "weights": weights})
+
     def own(self, word: str) -> tuple[list[int], float]:
         """A word's features, and its log odds: those of its longest spelling that enough documents hold."""
         ids = spellings(word)
@@ -271,11 +282,11 @@ def feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_pydict({"feature": [-1, *there.tolist()], "toxic": [n[1], *counts[1, there].tolist()], "other": [n[0], *counts[0, there].tolist()]})
 
 
-def labelled_windows(model: Model):
+def labelled_windows(shared):
     """Windows of a document as words and labels, with the state that they are an example of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds: dict[str, float] = {}
+        model, odds = Model.unpacked(shared.value), {}
         for batch in batches:
             out: list[tuple] = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -315,14 +326,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
         return sizes[1] / (sizes[0] + sizes[1])
     model = Model(weighed_odds(table[0], table[1], int(total.toxic.iloc[0]), int(total.other.iloc[0])))
 
-    cut = teach.mapInArrow(labelled_windows(model), "example boolean, words array<string>, marks binary")
+    shared = spark.sparkContext.broadcast(model.packed())
+    cut = teach.mapInArrow(labelled_windows(shared), "example boolean, words array<string>, marks binary")
     rank = F.xxhash64("words", "marks")
     rows = [r for k in (True, False) for r in cut.where(F.col("example") == k).orderBy(rank).limit(sample_windows).select("words", "marks").collect()]
+    shared.destroy()
     if rows:
         fit_field(model, [(r.words, bytes(r.marks)) for r in rows])
 
-    shared = spark.sparkContext.broadcast(vars(model))
+    shared = spark.sparkContext.broadcast(model.packed())
     judged = calibrate.mapInArrow(lambda b: evidence_of(b, shared), "toxic int, strongest double, expected double, n_words double").toPandas()  # under two times sample_docs rows
+    shared.destroy()
     y = judged.toxic.to_numpy(float)
     if not 0 < y.sum() < len(y):
         return sizes[1] / (sizes[0] + sizes[1])
@@ -336,7 +350,7 @@ def slices(batch: pa.RecordBatch, rows: int = 128) -> Iterator[pa.RecordBatch]:
 
 
 def evidence_of(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    reader = Reader(Model(**shared.value))
+    reader = Reader(Model.unpacked(shared.value))
     for whole in batches:
         for batch in slices(whole):
             e = reader.read([t or "" for t in batch.column("text").to_pylist()])[0]
@@ -352,10 +366,10 @@ def with_toxicity(docs: DataFrame, model: Model | float, text_col: str = "text")
     added = {"score": T.DoubleType(), "predicted": T.IntegerType(), "toxic_spans": spans_type}
     before = [f for f in docs.schema.fields if f.name not in added]
     names = [f.name for f in before]
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = per_worker("toxicity", shared.value["name"], lambda: Reader(Model(**shared.value)))
+        reader = per_worker("toxicity", shared.value["name"], lambda: Reader(Model.unpacked(shared.value)))
         for whole in batches:
             for batch in slices(whole):
                 evidence, spans = reader.read([t or "" for t in batch.column("__text").to_pylist()])
