@@ -1,7 +1,7 @@
 """Raster formats that browsers don't show, decoded and packed as PNG.
 
-Binary PNM, Targa, the merged image of Photoshop files (8 or 16 bits, grey or RGB) and
-Radiance HDR. What can't be decoded gives null.
+Binary PNM, Targa, the merged image of Photoshop files (8 or 16 bits, grey or RGB),
+Radiance HDR and Softimage PIC. What can't be decoded gives null.
 """
 
 from __future__ import annotations
@@ -130,10 +130,42 @@ def radiance(data: bytes) -> np.ndarray:
     return np.clip(light ** (1 / 2.2) * 255 + 0.5, 0, 255).astype(np.uint8)
 
 
+def softimage(data: bytes) -> np.ndarray:
+    """Rows by packets of channels, each packed its own way: as it is (0), as runs (1), or as runs and stretches (2)."""
+    if data[88:92] != b"PICT":
+        raise ValueError("kind")
+    width, height = struct.unpack(">HH", data[92:96])
+    _fits(width, height)
+    packets, at, more = [], 104, True
+    while more:
+        more, size, how, mask = data[at : at + 4]
+        at += 4
+        if size != 8 or how > 2 or len(packets) == 8:
+            raise ValueError("packet")
+        packets.append((how, [k for k in range(4) if mask & 0x80 >> k]))
+    pixels = np.zeros((height, width, 4), np.uint8)
+    pixels[..., 3] = 255
+    for y in range(height):
+        for how, channels in packets:
+            step, row = len(channels), bytearray()
+            while len(row) < width * step:
+                n, whole = (width, True) if how == 0 else (data[at], False) if how == 1 else (data[at] + 1, True) if data[at] < 128 else (data[at] - 127, False)
+                at += how > 0
+                if how == 2 and not whole and n == 1:  # a long run has its length in two bytes
+                    n, at = struct.unpack(">H", data[at : at + 2])[0], at + 2
+                part = data[at : at + step * (n if whole else 1)]
+                if not part or not n:
+                    raise ValueError("row")
+                row += part if whole else part * n
+                at += len(part)
+            pixels[y][:, channels] = np.frombuffer(bytes(row[: width * step]), np.uint8).reshape(width, step)
+    return pixels if any(3 in c for _, c in packets) else pixels[..., :3]
+
+
 def to_png(data: bytes | None) -> bytes | None:
     if not data:
         return None
-    read = pnm if data[:2] in (b"P5", b"P6") else photoshop if data[:4] == b"8BPS" else radiance if data[:2] == b"#?" else targa
+    read = pnm if data[:2] in (b"P5", b"P6") else photoshop if data[:4] == b"8BPS" else radiance if data[:2] == b"#?" else softimage if data[:4] == b"\x53\x80\xf6\x34" else targa
     try:
         return png(np.ascontiguousarray(read(data)))
     except Exception:  # whatever is wrong with it, the file can't be shown
