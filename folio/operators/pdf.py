@@ -314,14 +314,14 @@ def page_texts(rows: DataFrame) -> DataFrame:
     """``path, page, width, height, rotation, text, n_links, fault`` of ``read_pdf``'s rows: a run on another height begins a
     line, one that stands off begins a word."""
     order = Window.partitionBy("path", "page").orderBy("seq")
-    runs = rows.where("kind = 'run'")
-    end, last_y, last = (F.lag(c).over(order) for c in (F.col("x") + F.col("width"), F.col("y"), F.col("text")))
+    is_run = F.col("kind") == "run"
+    end, last_y, last = (F.lag(F.when(is_run, c)).over(order) for c in (F.col("x") + F.col("width"), F.col("y"), F.col("text")))
     apart = (F.col("x") - end > F.col("size") / 5) & ~F.startswith(F.col("text"), F.lit(" ")) & ~F.endswith(last, F.lit(" "))
     gap = F.when(last_y.isNull(), "").when(F.abs(F.col("y") - last_y) > F.col("size") / 2, "\n").when(apart, " ").otherwise("")
-    texts = runs.select("path", "page", "seq", F.concat(gap, "text").alias("piece")).groupBy("path", "page").agg(joined("piece", "seq").alias("text"))
+    pieces = rows.where("kind != 'file'").withColumn("piece", F.when(is_run, F.concat(gap, "text")))
     about = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    facts = rows.where("kind in ('page', 'link', 'fault')").groupBy("path", "page").agg(about("page", "x").alias("width"), about("page", "y").alias("height"), about("page", "size").cast("int").alias("rotation"), F.count_if(F.col("kind") == "link").alias("n_links"), about("fault", "text").alias("fault"))
-    return facts.join(texts, ["path", "page"], "left").select("path", "page", "width", "height", "rotation", F.coalesce("text", F.lit("")).alias("text"), "n_links", "fault")
+    facts = [about("page", "x").alias("width"), about("page", "y").alias("height"), about("page", "size").cast("int").alias("rotation"), joined("piece", "seq").alias("text"), F.count_if(F.col("kind") == "link").alias("n_links"), about("fault", "text").alias("fault")]
+    return pieces.groupBy("path", "page").agg(*facts)
 
 
 def links(rows: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def lzw_packed(data: bytes) -> bytes:
 
 def pdf(lines: list[str], form: int | None = None, per_line: int = 12) -> bytes:
     """A page per line, with so many words in a row, and a link on every other page. The number of lines tells the form: words
-    as kerned, placed or whole strings, packed in three ways, found by a table, by a packed stream with packed objects, or not at all."""
+    as kerned, placed or whole strings, packed in three ways (LZW on every eighth page), found by a table, by a packed stream with packed objects, or not at all."""
     form = len(lines) % 3 if form is None else form
     coded = lambda w: w.encode("utf-16-be", "surrogatepass")
     literal = lambda raw: b"(" + re.sub(rb"([()\\\r\n])", lambda m: b"\\%03o" % m[1][0], raw) + b")"
@@ -154,7 +154,7 @@ def pdf(lines: list[str], form: int | None = None, per_line: int = 12) -> bytes:
         note = b"/Annots [<< /Subtype /Link /Rect [1 2 3 4] /A << /URI (https://h.example/%d) >> >>]" % k if k % 2 else b"/MediaBox [0 0 %d 800]" % (500 + k % 100)
         objects[5 + 2 * k] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R %s >>" % (6 + 2 * k, note)
         raw = drawn(line)
-        objects[6 + 2 * k] = stream(b"/Filter /FlateDecode", zlib.compress(raw)) if form == 0 else stream(b"/Filter [/ASCII85Decode /LZWDecode]", base64.a85encode(lzw_packed(raw)) + b"~>") if form == 1 else stream(b"", raw)
+        objects[6 + 2 * k] = stream(b"/Filter /FlateDecode", zlib.compress(raw)) if form == 0 or form == 1 and k % 8 else stream(b"/Filter [/ASCII85Decode /LZWDecode]", base64.a85encode(lzw_packed(raw)) + b"~>") if form == 1 else stream(b"", raw)
     out, places = bytearray(b"%PDF-1.7\n"), {}
     if form == 1:
         inner = [k for k, v in objects.items() if b"stream\n" not in v]
