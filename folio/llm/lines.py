@@ -1,21 +1,22 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 Lines go down a tree of fixed depth: the number of tokens (split at white space, runs of
-digits masked), then the first three tokens. In a leaf, lines are generalised to templates:
-
-* a line as it stands is a template without variable fields (the only one of lines of
-  under four tokens);
-* a token after the leading ones is constant if it stands at its place in ``MIN_DOCS``
-  texts of the leaf or more, else it is a variable field; the template needs constants at three
-  fifths of its places or more;
-* each token after the leading ones in turn is a variable field whatever stands there,
-  and all others are constant.
-
-A line may so belong to several templates, and a leaf holds as many as there are; what
-else stands in a leaf hides none of them. A template's support is the number of distinct
-texts that hold it (copies of a text have one vote). Lines of templates with a support of
-``MIN_DOCS`` or more are dropped from all texts, whatever their share of a text. With
-``one_vote_per_family``, near copies of an earlier text share its vote: see ``families``.
+digits masked), then the first three tokens. In a leaf, the tokens after the leading ones form
+up to ``STRETCHES`` even stretches, single tokens in lines of up to 13. A template keeps all but ``k`` of
+the stretches, which are its variable fields: k is two fifths of the tokens at most, 4 at most, and leaves a
+stretch constant (a line of four tokens has one field, shorter ones have none). So a line belongs to
+one template per choice of k stretches, and to one without fields: itself.
+
+A template's support is the number of distinct texts that hold it (copies of a text have one vote).
+Lines of templates with a support of ``MIN_DOCS`` or more are dropped from all texts, whatever
+their share of a text. With ``one_vote_per_family``, near copies of an earlier text share its vote:
+see ``families``.
+
+What is constant is a matter of the line alone, never of other lines or of how often a token
+occurs, so more input hides nothing: what goes from a table's subset goes from the table, too (votes of
+families apart). Support falls as stretches are added, so the choices are tried
+by rising size, and only for forms that had enough support before: single stretches, then half lines (one half of a
+line has half of the fields at most), then whole lines.
 
 Defined results: a null text counts as empty: one blank line; lines without a letter
 (blank ones, rules, brackets, numbers) are never dropped; lines repeated within one text count
@@ -25,6 +26,8 @@ gives an empty result; other columns pass through, those of the added names are
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ from folio.llm.common import WS, stored, text_or_empty
 
 LEADING = 3
 MIN_DOCS = 3
+STRETCHES, FIELDS = 10, 4
 #: Percent of two texts' lines, by length, that must be alike for one to share the other's vote.
 ALIKE = 85
 
@@ -74,11 +78,59 @@ def lines_of(rows: DataFrame, ends: bool = False) -> DataFrame:
     return once.withColumn("first", F.coalesce("first", "h"))
 
 
-def templates(rows: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``leaf, key, template``: for each form of a line the templates that may have enough support."""
+def n_fields(stretches: int) -> int:
+    """Variable fields of a line with so many stretches after the leading tokens."""
+    return max(1, min(FIELDS, 2 * (stretches + LEADING) // 5, stretches - 1))
+
+
+def _single(n: int) -> list[int]:
+    return [1 << i for i in range(n)]
+
+
+def _halves(n: int) -> list[int]:
+    """Choices of one half's stretches without half of the fields."""
+    half = (n + 1) // 2
+    return [sum(1 << i for i in kept) for part in (range(half), range(half, n)) for kept in combinations(part, max(0, len(part) - n_fields(n) // 2))]
+
+
+def _wholes(n: int) -> list[int]:
+    return [sum(1 << i for i in kept) for kept in combinations(range(n), n - n_fields(n))]
+
+
+def _choices(of) -> Column:
+    """The choices of stretches for a form's number of them, as bits; those with an unsupported stretch are left out."""
+    table = F.expr(f"array({', '.join(f'array({str(of(n))[1:-1]})' for n in range(1, STRETCHES + 1))})")
+    return F.filter(F.element_at(table, F.size("codes")), lambda m: m.bitwiseAND(F.col("ok")) == m)
+
+
+def _chosen(forms: DataFrame, of, *more: str) -> DataFrame:
+    """``leaf, key, choice, template``: a row for each choice of stretches."""
+    template = lambda m: F.xxhash64("leaf", m, F.aggregate(F.filter("codes", lambda _, i: F.getbit(m, i) == 1), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
+    each = F.transform(_choices(of), lambda m: F.struct(m.alias("choice"), template(m).alias("template")))
+    return forms.select("leaf", "key", *more, F.explode(each).alias("c")).select("leaf", "key", *more, "c.*")
+
+
+def _supported(chosen: DataFrame, min_docs: int) -> DataFrame:
+    enough = chosen.groupBy("template").agg(F.sum("texts").alias("total")).where(F.col("total") >= min_docs).select("template")
+    return chosen.join(enough, "template")
+
+
+def _codes() -> tuple[Column, Column]:
+    """The tokens after the leading ones of ``masked``, and from them, as ``tail``, a hash per stretch."""
+    tail = F.slice(F.split("masked", " ", -1), F.lit(LEADING + 1), F.lit(2**31 - 1))
+    m, n = F.size("tail"), F.least(F.size("tail"), F.lit(STRETCHES))
+    begin = lambda i: F.floor((i * m + n - 1) / n).cast("int")
+    return tail, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(i, F.slice("tail", begin(i) + 1, begin(i + 1) - begin(i))))
+
+
+def candidates(rows: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``leaf, key, codes, ok``: the forms of lines that may have enough support.
+
+    ``codes`` is null for a form that only recurs as it stands; ``ok`` tells the stretches that
+    enough texts of the leaf share.
+    """
     held = lines.groupBy(_leaf().alias("leaf"), "key", "h").agg(F.min("at").alias("at"), F.first("n").alias("n"))
     forms = stored(held.groupBy("leaf", "key").agg(F.count("*").alias("texts"), F.min("h").alias("h"), F.min_by("at", "h").alias("at"), F.first("n").alias("n")), "line-forms")
-    as_they_are = forms.where(F.col("texts") >= min_docs).select("leaf", "key", F.col("key").alias("template"))
     crowded = forms.where(f"n > {LEADING}").groupBy("leaf").agg(F.sum("texts").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)).select("leaf")
     # the words of each such form, from one text that holds it
     wanted = stored(forms.join(crowded, "leaf").select("h", "at", "leaf", "key", "texts"), "wanted-forms")
@@ -86,19 +138,31 @@ def templates(rows: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Da
     picked = F.array_compact(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(_flagged(i), x)))
     # both sides grow with the corpus, so neither is for broadcast
     words = _told(rows.select("h", "text").join(places.hint("merge"), "h").select(F.explode(picked).alias("line"))).groupBy(_leaf().alias("leaf"), "key").agg(F.first("masked").alias("masked"))
-    codes = F.slice(F.transform(F.split("masked", " ", -1), lambda x, i: F.xxhash64(x, i)), F.lit(LEADING + 1), F.lit(2**31 - 1))
-    coded = stored(words.join(wanted.select("leaf", "key", "texts"), ["leaf", "key"]).select("leaf", "key", "texts", codes.alias("codes")), "line-codes")
-
-    tokens = coded.select("leaf", "key", "texts", F.size("codes").alias("m"), F.explode("codes").alias("code"))
-    frequent = tokens.groupBy("leaf", "code").agg(F.sum("texts").alias("total")).where(F.col("total") >= min_docs).select("leaf", "code", F.col("code").alias("constant"))
-    by_tokens = tokens.join(frequent, ["leaf", "code"], "left").groupBy("leaf", "key").agg(F.first("texts").alias("texts"), F.first("m").alias("m"), F.count("constant").alias("constants"), F.coalesce(F.bit_xor("constant"), F.lit(0)).alias("pattern"))
-    by_tokens = by_tokens.where(f"5 * (constants + {LEADING}) >= 3 * (m + {LEADING})").select("leaf", "key", "texts", F.xxhash64("leaf", F.lit(-1), "constants", "pattern").alias("template"))
-    whole = F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    one_field = F.transform("codes", lambda x, i: F.xxhash64("leaf", i, F.col("whole").bitwiseXOR(x)))
-    by_field = coded.withColumn("whole", whole).select("leaf", "key", "texts", F.explode(one_field).alias("template"))
-    every = by_tokens.unionByName(by_field)
-    enough = every.groupBy("template").agg(F.sum("texts").alias("total"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)).select("template")
-    return as_they_are.unionByName(every.join(enough, "template").select("leaf", "key", "template"))
+    tail, codes = _codes()
+    coded = words.join(wanted.select("leaf", "key", "texts"), ["leaf", "key"]).withColumn("tail", tail)
+    coded = stored(coded.select("leaf", "key", "texts", codes.alias("codes"), F.lit(2**STRETCHES - 1).alias("ok")), "line-codes")
+
+    common = _supported(_chosen(coded, _single, "texts"), min_docs).groupBy("leaf", "key").agg(F.bit_or("choice").alias("common"))
+    fields = F.element_at(F.array(*(F.lit(n_fields(n)) for n in range(1, STRETCHES + 1))), F.size("codes"))
+    likely = coded.join(common, ["leaf", "key"], "left").withColumn("ok", F.coalesce("common", F.lit(0))).drop("common")
+    likely = stored(likely.where(F.bit_count("ok") >= F.size("codes") - fields), "likely-forms")
+    halves = stored(_chosen(likely, _halves, "texts"), "line-halves")
+    left = likely.join(_supported(halves, min_docs).select("leaf", "key").distinct(), ["leaf", "key"])
+    as_they_are = forms.where(F.col("texts") >= min_docs).select("leaf", "key")
+    return left.select("leaf", "key", "codes", "ok").join(as_they_are, ["leaf", "key"], "full")
+
+
+def recurring(forms: DataFrame, votes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``leaf, key`` of the forms of lines that go, from ``candidates`` and the distinct ``leaf, key, voter``."""
+    counted = votes.groupBy("leaf", "key").agg(F.count("*").alias("texts"))
+    found = stored(_chosen(forms.where("codes is not null").join(counted, ["leaf", "key"]), _wholes, "texts"), "line-templates")
+    some = stored(found.groupBy("template").agg(F.sum("texts").alias("total"), F.max("texts").alias("most"), F.count("*").alias("forms")).where((F.col("forms") > 1) & (F.col("total") >= min_docs)), "some-templates")
+    # forms of a template may be held by the same few texts
+    few = found.join(some.where(F.col("most") < min_docs).select("template"), "template").join(votes, ["leaf", "key"])
+    enough = few.groupBy("template").agg(F.count_distinct("voter").alias("votes")).where(F.col("votes") >= min_docs).select("template")
+    enough = some.where(F.col("most") >= min_docs).select("template").unionByName(enough)
+    go = found.where(F.col("texts") < min_docs).join(enough, "template").select("leaf", "key").distinct()
+    return go.unionByName(counted.where(F.col("texts") >= min_docs).select("leaf", "key"))
 
 
 def families(lines: DataFrame) -> DataFrame:
@@ -122,11 +186,12 @@ def drops(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_doc
     """``h, dropped, flags``: for each distinct text that loses lines their numbers, from 0, and the same as true values."""
     rows = _keyed(df, id_col, text_col)
     lines = stored(lines_of(rows, one_vote_per_family), "lines")
-    found = stored(templates(rows, lines, min_docs), "templates")
-    mine = stored(lines.select("h", "first", "at", _leaf().alias("leaf"), "key").join(found, ["leaf", "key"]).select("h", "first", "at", "template"), "templated")
+    forms = stored(candidates(rows, lines, min_docs), "candidate-forms")
+    mine = stored(lines.select("h", "first", "at", _leaf().alias("leaf"), "key").join(forms.select("leaf", "key"), ["leaf", "key"]), "candidate-lines")
     voters = mine.join(families(lines), "h", "left").withColumn("voter", F.coalesce("family", "first")) if one_vote_per_family else mine.withColumn("voter", F.col("h"))
-    recurring = stored(voters.groupBy("template").agg(F.count_distinct("voter").alias("votes")).where(F.col("votes") >= min_docs).select("template"), "recurring")
-    return mine.join(recurring, "template").groupBy("h").agg(F.array_sort(F.collect_set("at")).alias("dropped")).withColumn("flags", _flags(F.col("dropped")))
+    votes = stored(voters.select("leaf", "key", "voter").distinct(), "line-votes")
+    gone = stored(recurring(forms, votes, min_docs), "recurring")
+    return mine.join(gone, ["leaf", "key"]).groupBy("h").agg(F.array_sort(F.collect_set("at")).alias("dropped")).withColumn("flags", _flags(F.col("dropped")))
 
 
 def without(text: Column) -> Column:

@@ -221,17 +221,18 @@ y AS (
          len(string_split(form, ' ')) || ':' || array_to_string(string_split(form, ' ')[1:3], ' ') AS leaf
   FROM k WHERE regexp_matches(form, '\p{L}')),
 f AS (SELECT leaf, form, any_value(tokens) AS tokens, any_value(n) AS n, count(DISTINCT tid) AS texts FROM y GROUP BY 1, 2),
-tok AS (SELECT leaf, form, texts, n, u.i AS place, tokens[u.i] AS token FROM f, unnest(range(4, n + 1)) AS u(i)),
-often AS (SELECT leaf, place, token FROM tok GROUP BY 1, 2, 3 HAVING sum(texts) >= 3),
-pattern AS (
-  SELECT leaf, form, any_value(n) AS n, count(often.token) AS constants, string_agg(coalesce(often.token, '\n'), ' ' ORDER BY place) AS words
-  FROM tok LEFT JOIN often USING (leaf, place, token) GROUP BY 1, 2),
+many AS (SELECT leaf FROM f WHERE n > 3 GROUP BY 1 HAVING count(*) > 1 AND sum(texts) > 2),
+b AS (
+  SELECT leaf, form, n - 3 AS m, least(n - 3, 10) AS parts, greatest(1, least(4, (2 * least(n, 13)) // 5, least(n, 13) - 4)) AS fields,
+         [[tokens[4 + t] FOR t IN range(0, n - 3) IF (t * least(n - 3, 10)) // (n - 3) = p] FOR p IN range(0, least(n - 3, 10))] AS stretch
+  FROM f JOIN many USING (leaf)),
 template AS (
-  SELECT leaf, form, 'line' AS kind, form AS words FROM f
-  UNION ALL SELECT leaf, form, 'tokens', words FROM pattern WHERE 5 * (constants + 3) >= 3 * n
-  UNION ALL SELECT leaf, form, 'field ' || u.i, array_to_string(tokens[4:u.i - 1] || tokens[u.i + 1:], ' ') FROM f, unnest(range(4, n + 1)) AS u(i)),
-recurring AS (SELECT leaf, kind, words FROM template JOIN y USING (leaf, form) GROUP BY 1, 2, 3 HAVING count(DISTINCT tid) >= 3),
-gone AS (SELECT DISTINCT leaf, form FROM template JOIN recurring USING (leaf, kind, words)),
+  SELECT leaf, form, -1 AS mask, [form] AS words FROM f
+  UNION ALL
+  SELECT leaf, form, c.i, [array_to_string(stretch[p + 1], ' ') FOR p IN range(0, parts) IF (c.i // (2 ** p)::BIGINT) % 2 = 1]
+  FROM b, range(0, 1024) AS c(i) WHERE c.i < 2 ** parts AND bit_count(c.i) = parts - fields),
+recurring AS (SELECT leaf, mask, words FROM template JOIN y USING (leaf, form) GROUP BY 1, 2, 3 HAVING count(DISTINCT tid) >= 3),
+gone AS (SELECT DISTINCT leaf, form FROM template JOIN recurring USING (leaf, mask, words)),
 r AS (SELECT k.tid, k.pos, k.line, gone.form IS NOT NULL AS gone FROM k LEFT JOIN y USING (tid, pos) LEFT JOIN gone ON gone.leaf = y.leaf AND gone.form = y.form),
 o AS (
   SELECT tid, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,

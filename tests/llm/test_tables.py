@@ -1,5 +1,6 @@
 """Operators that bring rows together: chat, language model, mixing, search, lines, near-duplicates."""
 
+import itertools
 import math
 import random
 import re
@@ -264,16 +265,14 @@ def plain_drops(texts, min_docs=3):
     """Templates by brute force: per text the numbers of its lines that go."""
     lines = {(t, k): tuple(re.sub("[0-9]+", "#", x).split()) for t in {t or "" for t in texts} for k, x in enumerate(t.split("\n"))}
     lines = {at: w for at, w in lines.items() if any(c.isalpha() for c in "".join(w))}
-    holders, by_template = defaultdict(set), defaultdict(set)
-    for (t, _), w in lines.items():
-        for place in range(3, len(w)):
-            holders[len(w), w[:3], place, w[place]].add((t, w))
-    votes = {x: sum(len({t for t, v in who if v == w}) for w in {v for _, v in who}) for x, who in holders.items()}
-    found = {}
+    by_template, found = defaultdict(set), {}
     for at, w in lines.items():
-        marked = tuple(x if p < 3 or votes[len(w), w[:3], p, x] >= min_docs else None for p, x in enumerate(w))
-        mine = {("line", w)} | {("field", w[:p] + (None,) + w[p + 1 :]) for p in range(3, len(w))}
-        found[at] = mine | ({("tokens", marked)} if 5 * (len(w) - marked.count(None)) >= 3 * len(w) and len(w) > 3 else set())
+        tail = w[3:]
+        parts = min(len(tail), 10)
+        stretch = [tuple(x for t, x in enumerate(tail) if t * parts // len(tail) == p) for p in range(parts)]
+        fields = max(1, min(4, 2 * (parts + 3) // 5, parts - 1))
+        ways = itertools.combinations(range(parts), parts - fields) if parts else ()
+        found[at] = {("line", w)} | {(len(w), w[:3], way, tuple(stretch[p] for p in way)) for way in ways}
         for x in found[at]:
             by_template[x].add(at[0])
     gone = defaultdict(list)
@@ -352,6 +351,38 @@ def test_templates_do_not_depend_on_other_lines(spark):
     assert [rows[k] for k in range(len(made))] == [[1]] * 9 + [[]] * 8 + [[1]] * 9
 
 
+def session_lines(rng, n_docs, n_fields, n_values):
+    line = "Session opened for user {} on host {} in zone {} by main {} process now done".split()
+    docs = []
+    for k in range(n_docs):
+        field = iter([f"v{chr(97 + min(rng.randrange(n_values), rng.randrange(n_values)))}" for _ in range(n_fields)] + ["fixed"] * 4)
+        docs.append((k, " ".join(next(field) if x == "{}" else x for x in line) + f"\n{own(k % 400)} {k // 400}"))
+    return docs
+
+
+def test_templates_with_several_fields(spark):
+    rng = random.Random(5)
+    for n_docs in (8, 120):
+        docs = session_lines(rng, n_docs, 3, 20)
+        rows = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert all(r.dropped == [0] for r in rows) and len(rows) == n_docs
+
+
+@pytest.mark.parametrize("n_fields", [1, 2, 3, 4])
+def test_more_texts_hide_no_template(spark, n_fields):
+    rng = random.Random(n_fields)
+    docs = [d for n_values in (2, 9, 25) for d in session_lines(rng, 40, n_fields, n_values)]
+    docs += [(0, "Session opened for " + " ".join(rng.choice("user va vb vc on host in zone by main now".split()) for _ in range(rng.randrange(1, 15)))) for _ in range(150)]
+    docs = [(k, t) for k, (_, t) in enumerate(docs)]
+    dropped = lambda some: {(r.doc_id, k) for r in lines.dedup_lines(spark.createDataFrame(some, "doc_id long, text string")).collect() for k in r.dropped}
+    whole = dropped(docs)
+    want = plain_drops([t for _, t in docs])
+    assert whole == {(i, k) for i, t in docs for k in want[t]} and len(whole) >= 120
+    for size in (12, 60, 150):
+        part = dropped(rng.sample(docs, size))
+        assert part <= whole and part
+
+
 # --- op10
 
 
