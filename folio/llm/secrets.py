@@ -50,7 +50,7 @@ ID = Part("id", "identifier", True, r"""(?i)(client_?id|access_?key_?id|account|
 KEY = Part("key", "secret", True, r"[A-Za-z0-9+/_-]{32,}={0,2}")
 URL = Part("url", "endpoint", True, r"""https?://[^\x20\x09-\x0D"'<>]++""")
 #: A host name that begins where a run of its characters (and of @ and /) begins.
-HOST = Part("host", "endpoint", True, r"(?<![a-z0-9.@/-])(?:[a-z0-9-]|\.(?=[a-z0-9-]))++(?<=\.(?:amazonaws|internal|local|com|net|org|io))(?::[0-9]++)?+")
+HOST = Part("host", "endpoint", True, r"(?<![A-Za-z0-9.@/-])(?:[A-Za-z0-9-]|\.(?=[A-Za-z0-9-]))++(?<=\.(?i:amazonaws|internal|local|com|net|org|io))(?::[0-9]++)?+")
 PARTS = (ASSIGN, ACCESS, HEX, ID, KEY, URL, HOST)
 
 
