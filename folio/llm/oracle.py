@@ -94,13 +94,24 @@ l AS (
 per AS (SELECT coalesce(min_by(lvl, turn), 0) AS per_weight FROM l WHERE lim >= lvl * weight),
 t AS (SELECT source, source_size, least(lim::DOUBLE, per_weight * weight) AS target FROM l, per),
 g AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
-         CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS part FROM t),
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+hist AS (
+  SELECT source, floor(log2(sqrt(size)) * 64) AS step, sum(size) AS words, sum(size * sqrt(size)) AS weighed FROM d WHERE size > 0 GROUP BY ALL),
+edge AS (
+  SELECT hist.source, step, target - whole * source_size AS rest, pow(2::DOUBLE, -(step + 1) / 64) AS m0, pow(2::DOUBLE, -step / 64) AS m1,
+         words, weighed, sum(words) OVER a - words AS sure, sum(weighed) OVER z AS upto
+  FROM hist JOIN g ON hist.source IS NOT DISTINCT FROM g.source
+  WINDOW a AS (PARTITION BY hist.source ORDER BY step DESC), z AS (PARTITION BY hist.source ORDER BY step)),
+both_ends AS (SELECT *, sure + m0 * upto AS e0, sure + words + m1 * (upto - weighed) AS e1 FROM edge WHERE rest > 0),
+mult AS (
+  SELECT source, max_by(CASE WHEN e0 >= rest THEN (rest - sure) / upto ELSE m0 + (m1 - m0) * (rest - e0) / (e1 - e0) END, step) AS m
+  FROM both_ends WHERE e1 >= rest GROUP BY source),
 o AS (
-  SELECT u.doc_id, id, size, source_size, target, whole, u.source, target - whole * source_size AS rest,
-         CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part) * sqrt(greatest(size, 1))) END AS q
-  FROM u JOIN g ON u.source IS NOT DISTINCT FROM g.source),
-r AS (SELECT *, coalesce(q / (1 + q), 1) AS rnk FROM o),
+  SELECT u.doc_id, id, size, source_size, target, whole, u.source, u, target - whole * source_size AS rest,
+         CASE WHEN target - whole * source_size > 0 THEN least(1, coalesce(pow(2::DOUBLE, round(log2(m), 9)), 1e300) * sqrt(greatest(size, 1))) ELSE 0 END AS incl
+  FROM u JOIN g ON u.source IS NOT DISTINCT FROM g.source LEFT JOIN mult ON u.source IS NOT DISTINCT FROM mult.source),
+q AS (SELECT *, CASE WHEN incl >= 1 THEN 0 WHEN incl > 0 THEN (u / (1 - u)) / (incl / (1 - incl)) END AS q FROM o),
+r AS (SELECT *, coalesce(q / (1 + q), 1) AS rnk FROM q),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rnk, id, size ROWS UNBOUNDED PRECEDING) AS upto FROM r),
 k AS (
   SELECT source, max(ROW(rnk, id, size)) AS last FROM c
@@ -161,13 +172,13 @@ def _parts_sql() -> str:
     quoted = {p.kind: p.pattern.replace("'", "''").replace("++", "+") for p in PARTS}
     found = []
     for place, p in enumerate(PARTS):
-        pattern = r"[a-z0-9.@/-]+(?::[0-9]+)?" if p.kind == "host" else quoted[p.kind]
+        pattern = r"[A-Za-z0-9.@/-]+(?::[0-9]+)?" if p.kind == "host" else quoted[p.kind]
         more = f" AND (regexp_matches(t, '{quoted['access']}') OR regexp_matches(t, '{quoted['id']}'))" if p.kind in ("key", "url", "host") else ""
         keep, counts = "length(m[u.i])", f"length(v[u.i]) >= {p.least}"
         if p.kind == "host":
-            name = r"regexp_extract(m[u.i], '^(?:[a-z0-9-]|\.[a-z0-9-])+')"
+            name = r"regexp_extract(m[u.i], '^(?:[A-Za-z0-9-]|\.[A-Za-z0-9-])+')"
             keep = rf"CASE WHEN regexp_matches(substr(m[u.i], length({name}) + 1), '^:[0-9]+$') THEN length(m[u.i]) ELSE length({name}) END"
-            counts = rf"regexp_matches({name}, '\.(amazonaws|internal|local|com|net|org|io)$')"
+            counts = rf"regexp_matches({name}, '\.(?i:amazonaws|internal|local|com|net|org|io)$')"
         found.append(
             f"""SELECT rid, {place} AS place, u.i AS nth, length(g[u.i]) AS gap, length(m[u.i]) AS len, {keep} AS keep, {counts} AS counts
   FROM (SELECT rid, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {p.group}) AS v

@@ -175,6 +175,21 @@ def test_importance_shifts_the_draw(spark):
     assert counts[False] > 1.3 * counts[True]
 
 
+def test_certain_documents_are_taken(spark):
+    """Inclusion is in proportion to importance, clipped at one, and sums up to the words that are drawn."""
+    df = spark.createDataFrame([(k, "w " * (400 if k < 3 else 1 + k % 7), "s" if k % 9 else "t") for k in range(400)], "doc_id long, text string, source string").coalesce(2)
+    rows = mixing.with_copies(df, weights=(1, 4), importance=F.pow(F.col("__size"), 2)).collect()
+    for source in "st":
+        own = [r for r in rows if r.source == source]
+        whole = math.floor(own[0].target / own[0].source_size)
+        rest, free = own[0].target - whole * own[0].source_size, [r for r in own if r.inclusion < 1]
+        assert all(r.copies == whole + 1 for r in own if r.inclusion == 1)
+        assert abs(sum(r.inclusion * r.size for r in own) - rest) < 0.01 * rest + 1e-6
+        factors = [r.inclusion / r.size**2 for r in free]
+        assert not free or max(factors) <= 1.000001 * min(factors)
+    assert any(r.inclusion == 1 for r in rows) and any(0 < r.inclusion < 1 for r in rows)
+
+
 def test_documents_are_drawn_as_often_as_stated(spark):
     """Shares over many seeds against the inclusion probabilities, which add up to the words that are drawn."""
     df = spark.createDataFrame([(k, "w " * (1 + 7 * (k % 5)), "s" if k % 3 else "t") for k in range(300)], "doc_id long, text string, source string").coalesce(2).cache()
