@@ -239,7 +239,7 @@ def watched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of pages, watched until all are in the table of current files."""
     folder, store, checkpoint = (new_path(spark, n) for n in ("watched", "current", "offsets"))
     write_pages(table(spark, sf_dir, "pages").select(F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("path"), "html"), folder)
-    keep_latest(watch(spark, folder, "*.html"), store, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    keep_latest(watch(spark, folder, "*.html"), store, checkpoint, max_files=None).trigger(availableNow=True).start().awaitTermination()
     return current(spark, store).select(F.regexp_extract("path", "(p/[^/]*)$", 1).alias("name"), F.md5("content").alias("md5"))
 
 

@@ -3,7 +3,7 @@
 The source's offset is a number, however many files there are: a batch is the listing of all
 folders at its time, made by tasks. What is new, changed or gone is told by a join with the table that earlier batches
 left, so only names and times are compared and only changed files are opened, by tasks and
-at most so many a batch; what is left over differs still at the next scan.
+at most so many a batch if there is a limit; what is left over differs still at the next scan.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from folio.sources.sink import opened
 from folio.streaming.store import DELETED, Store
 
 SCHEMA = "path string, mtime_ns long, size long, scan long"
-#: Files that one batch opens, at most.
+#: Files that one batch opens, at most, where nothing else is asked for.
 MAX_FILES = 100_000
 
 
@@ -108,8 +108,8 @@ def contents(files: DataFrame) -> DataFrame:
     return expand(files.select("path", "mtime_ns"), read, "path string, mtime_ns long, content binary")
 
 
-def changes(seen: DataFrame, known: DataFrame | None, batch: int, max_files: int) -> tuple[DataFrame, DataFrame]:
-    """Files to open (``path, mtime_ns``), and paths that are gone. Which files go first differs from batch to batch, so none waits for ever."""
+def changes(seen: DataFrame, known: DataFrame | None, batch: int, max_files: int | None) -> tuple[DataFrame, DataFrame]:
+    """Files to open (``path, mtime_ns``), and paths that are gone. Under a limit, which files go first differs from batch to batch, so none waits for ever."""
     now = seen.groupBy("path").agg(F.max("mtime_ns").alias("mtime_ns"))
     if known is None:
         new, gone = now, now.where("false").select("path")
@@ -118,7 +118,7 @@ def changes(seen: DataFrame, known: DataFrame | None, batch: int, max_files: int
         both = now.join(old, "path", "full")
         new = both.where("mtime_ns is not null and (was is null or mtime_ns != was)").select("path", "mtime_ns")
         gone = both.where("mtime_ns is null").select("path")
-    return new.orderBy(F.xxhash64("path", F.lit(batch)), "path").limit(max_files), gone
+    return new if max_files is None else new.orderBy(F.xxhash64("path", F.lit(batch)), "path").limit(max_files), gone
 
 
 def latest(versions: DataFrame, key: str = "path", order: str = "mtime_ns", value: str = "content") -> DataFrame:
@@ -127,9 +127,11 @@ def latest(versions: DataFrame, key: str = "path", order: str = "mtime_ns", valu
     return versions.where(F.col(value).isNotNull()).withColumn("__n", newest).where("__n = 1").drop("__n")
 
 
-def keep_latest(snapshots: DataFrame, store: str, checkpoint: str, convert: Callable[[DataFrame], DataFrame] | None = None, max_files: int = MAX_FILES):
+def keep_latest(snapshots: DataFrame, store: str, checkpoint: str, convert: Callable[[DataFrame], DataFrame] | None = None, max_files: int | None = MAX_FILES):
     """Write what a watched folder holds as a table of current files (``Store``), batch by batch; ``current`` reads it.
 
+    A batch opens ``max_files`` at most and leaves the rest to later scans; ``None`` is no limit. A query that ends after one
+    scan (``availableNow``) and is to leave nothing out needs ``None``: tasks stream what they read, so only their number is unbounded.
     A file that can't be read keeps its last version and is tried again at each scan; one that is gone leaves the table.
     A batch that runs again after a failure changes nothing.
     """

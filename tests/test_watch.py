@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from folio.plans import documents
 from folio.streaming import watch as W
 from folio.streaming.store import Store
 
@@ -48,6 +49,18 @@ def test_many_files_a_limit_at_a_time(watched, tmp_path):
     assert len(offsets) == 3 and len({len(x.splitlines()[-1]) for x in offsets}) == 1 and all(len(x.splitlines()[-1]) < 50 for x in offsets)
 
 
+def test_no_limit_leaves_nothing_out(spark, watched, monkeypatch):
+    folder, step = watched
+    for k in range(40):
+        (folder / f"{k}.txt").write_text(str(k))
+    assert len(step(max_files=30)) == 30 and len(step(max_files=None)) == 40
+    monkeypatch.setattr(W.keep_latest, "__defaults__", (None, 10))
+    sf = "/root/testdata/sf0.001"
+    if os.path.isdir(sf):
+        found = documents.watched_files(spark, sf)
+        assert found.count() == found.select("name").distinct().count() == spark.read.parquet(f"{sf}/pages.parquet").count() > 10
+
+
 def test_an_unreadable_file_keeps_its_version(spark, watched, monkeypatch):
     folder, step = watched
     (folder / "a").write_text("one")
