@@ -21,6 +21,7 @@ def expand(df: DataFrame, make: Callable[[dict], Iterable[tuple]], schema: str)
     than what the reader makes of one row.
     """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    long = [k for k, f in enumerate(arrow) if pa.types.is_string(f.type) or pa.types.is_binary(f.type)]
 
     def packed(made: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
@@ -32,7 +33,9 @@ def expand(df: DataFrame, make: Callable[[dict], Iterable[tuple]], schema: str)
             for at in range(batch.num_rows):
                 for row in make(batch.slice(at, 1).to_pylist()[0]):
                     made.append(row)
-                    size += sum(len(v) for v in row if isinstance(v, (bytes, str)))
+                    for k in long:
+                        if row[k]:
+                            size += len(row[k])
                     if len(made) >= BATCH_ROWS or size >= BATCH_BYTES:
                         yield packed(made)
                         made, size = [], 0
