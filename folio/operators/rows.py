@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows and bytes of a batch that a reader hands on, about.
-BATCH_ROWS, BATCH_BYTES = 10_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
 def expand(df: DataFrame, make: Callable[[dict], Iterable[tuple]], schema: str) -> DataFrame:
@@ -37,8 +37,12 @@ def expand(df: DataFrame, make: Callable[[dict], Iterable[tuple]], schema: str)
                         if row[k]:
                             size += len(row[k])
                     if len(made) >= BATCH_ROWS or size >= BATCH_BYTES:
-                        yield packed(made)
-                        made, size = [], 0
+                        full, made, size = packed(made), [], 0
+                        yield full
+                        del full
+                    del row
+            del batch  # before the next one comes
+            pa.default_memory_pool().release_unused()
         if made:
             yield packed(made)
 

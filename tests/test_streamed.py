@@ -4,11 +4,13 @@ import io
 import random
 import time
 import tracemalloc
+import weakref
 import zipfile
 
+import pyarrow as pa
 import pytest
 
-from folio.operators import containers
+from folio.operators import containers, rows
 from folio.operators.containers import Container, events, streamed_events
 from folio.operators.spreadsheet import read_xlsx, xlsx_rows
 
@@ -89,3 +91,26 @@ def test_a_budget_loses_sheets_not_strings(spark, budget):
     assert [r.text for r in rows if r.kind == "string"] == [f"s{k}" for k in range(7)]
     assert [r.sheet_name for r in rows if r.kind == "sheet"] == (["one", "two"] if budget > 30_000 else ["two"])
     assert [r.text for r in rows if r.kind == "refused"] == ([] if budget > 30_000 else ["xl/worksheets/sheet1.xml"])
+
+
+def test_a_reader_holds_one_batch_and_little_of_what_it_made(spark):
+    """Input batches go before the next is asked for, and batches that were handed on before the next is made."""
+    held, made = [], []
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    def batches():
+        for _ in range(4):
+            assert all(w() is None for w in held)
+            batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1_000_000] * 12)], names=["text"])
+            held.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    run = rows.expand(Frame(), lambda row: [(row["text"],)], "text string")
+    for out in run(batches()):
+        made.append((out.num_rows, out.nbytes))
+        del out
+    assert sum(n for n, _ in made) == 48 and max(size for _, size in made) < 6_000_000
