@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 #: Rows and bytes of a batch that a reader hands on, about.
 BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
+#: Bytes that a value in a list counts as.
+ITEM_BYTES = 32
 
 
 def expand(df: DataFrame, make: Callable[[dict], Iterable[tuple]], schema: str) -> DataFrame:
@@ -22,6 +24,7 @@ def expand(df: DataFrame, make: Callable[[dict], Iterable[tuple]], schema: str)
     """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     long = [k for k, f in enumerate(arrow) if pa.types.is_string(f.type) or pa.types.is_binary(f.type)]
+    lists = [k for k, f in enumerate(arrow) if pa.types.is_list(f.type)]
 
     def packed(made: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
@@ -36,6 +39,9 @@ def expand(df: DataFrame, make: Callable[[dict], Iterable[tuple]], schema: str)
                     for k in long:
                         if row[k]:
                             size += len(row[k])
+                    for k in lists:
+                        if row[k]:
+                            size += ITEM_BYTES * len(row[k])
                     if len(made) >= BATCH_ROWS or size >= BATCH_BYTES:
                         full, made, size = packed(made), [], 0
                         yield full

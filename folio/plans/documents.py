@@ -17,7 +17,7 @@ from folio.operators.delimited import csv_cells
 from folio.operators.markdown import md_blocks
 from folio.operators.notebook import ipynb_cells, ipynb_outputs
 from folio.operators.office import TAB, docx_pieces, odf_pieces, pptx_slides
-from folio.operators.pdf import page_texts, pdf_info, read_pdf
+from folio.operators.pdf import pdf_info, read_pages, texts_of
 from folio.operators.ranges import large_csv_cells
 from folio.operators.rows import joined
 from folio.operators.spreadsheet import xlsx_cells
@@ -26,7 +26,7 @@ from folio.plans.render import render
 from folio.sources.build import PIXEL, packed
 from folio.sources.corpus import from_texts
 from folio.sources.sink import write_pages
-from folio.sources.work import new_path, spread
+from folio.sources.work import dealt, new_path
 from folio.streaming.store import Store
 from folio.streaming.watch import current, keep_latest, watch
 
@@ -210,9 +210,9 @@ SELECT '/t/' || doc_id || '.pdf' AS path, page::INTEGER AS page, CASE WHEN page
        array_to_string([array_to_string(list_slice(ws, k * 12 + 1, k * 12 + 12), ' ') for k in range((len(ws) + 11) // 12)], chr(10)) AS text FROM w""")
 def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as PDFs, a page per line, and read back: sizes, links and text of every page."""
-    docs = spread(table(spark, sf_dir, "documents").where("text is not null"))
+    docs = dealt(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
     files = packed(docs.select(F.concat(F.lit("/t/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.split("text", "\n", -1).alias("lines")), "pdf")
-    return page_texts(read_pdf(files)).select("path", "page", "width", "n_links", "text")
+    return texts_of(read_pages(files)).select("path", "page", "width", "n_links", "text")
 
 
 @query("SELECT doc_id::VARCHAR AS doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents")

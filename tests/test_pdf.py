@@ -10,6 +10,7 @@ import pytest
 from folio.operators import pdf as P
 from folio.operators.pdf_objects import BUDGET, Name, Op, Pdf, Ref, TooLarge, base_85, lzw, run_lengths, tokens, unpredicted
 from folio.sources.build import lzw_packed, pdf
+from folio.sources.work import dealt
 
 LINES = ["one two  three", "", "über (naïve) \\ back ) slash 日本 👩‍👩", " ".join(f"w{k}" for k in range(40)), "\tx\x0by"]
 TEXTS = ["one two three", "", "über (naïve) \\ back ) slash 日本 👩‍👩", "\n".join(" ".join(f"w{k}" for k in range(at, min(40, at + 12))) for at in range(0, 40, 12)), "x y"]
@@ -182,3 +183,58 @@ def test_filters_by_whole_stretches():
             base_85(damaged)
     with pytest.raises(TooLarge):
         lzw(lzw_packed(bytes(5000)), limit=1000)
+
+
+@pytest.mark.parametrize("form", [0, 1, 2])
+def test_pages_of_many_runs_come_in_rows_of_few(spark, form):
+    """A page is a row with its runs in it; one with more runs than are held at once is several, with the same text."""
+    files = spark.createDataFrame([("/0", pdf(LINES, form))], "path string, content binary")
+    assert P.read_pages(files).where("kind = 'page'").count() == len(LINES)
+    rows = P.read_pages(files, at_once=1).cache()
+    assert rows.where("size(text) > 1").count() == 0 and rows.where("page = 4").count() == {0: 4, 1: 40, 2: 4}[form]
+    pages = P.texts_of(rows).orderBy("page").collect()
+    assert [p.text for p in pages] == TEXTS and [(p.width, p.height, p.n_links, p.rotation) for p in pages[:2]] == [(500, 800, 0, 0), (600, 800, 1, 0)]
+    assert pages == P.page_texts(P.read_pdf(files)).orderBy("page").collect()
+
+
+def test_stepped_strings_are_drawn_as_one_by_one(monkeypatch):
+    rnd = random.Random(7)
+    pieces = [b"<0041>", b"<0042 0043> Tj", b"<> Tj", b"3 0 Td", b"-7.5 2 Td", b"<0044> Tj 12 0 Td", b"<0045> Tj 9 -14 Td", b"[<0046> -300 <0047>12] TJ", b"T*", b"2 Ts", b"0 Ts", b"/F 8 Tf", b"/G 8 Tf", b"2 0 .5 2 9 7 cm", b"1 0 1 1 4 4 Tm", b"q", b"Q", b"1 Tc", b"(\0H) Tj"]
+    pages = [b"BT /F 10 Tf " + b"\n".join(rnd.choice(pieces) for _ in range(rnd.randrange(30))) for _ in range(300)]
+    file = Pdf(pdf(["a"], 0))
+    resources = {"Font": {"F": Ref(3)}}
+    drawn = lambda: [[run for runs in P.Drawing(file, P.Fonts()).runs(data, resources) for run in runs] for data in pages]
+    together = drawn()
+    monkeypatch.setattr(P, "STRETCH", P.re.compile(rb"(?!)"))
+    apart = drawn()
+    assert sum(map(len, apart)) > 600 and [[r[4] for r in page] for page in together] == [[r[4] for r in page] for page in apart]
+    assert all(x == pytest.approx(y) for a, b in zip(together, apart, strict=True) for r, s in zip(a, b, strict=True) for x, y in zip(r[:4], s[:4], strict=True))
+
+
+def test_files_share_fonts_only_if_equal(spark):
+    """Fonts under one number that differ in a name or a width stay apart; what is kept of them is bounded."""
+    fonts = [b"<< /Subtype /Type1 /Encoding << /Differences [65 /%s] >> /FirstChar 65 /Widths [%d] >>" % (name, width) for name, width in ((b"eacute", 500), (b"B", 500), (b"B", 5000), (b"eacute", 500))]
+    files = [one_page(b"BT /F 10 Tf (A) Tj 8 0 Td (A) Tj ET", font=f) for f in fonts]
+    rows = P.page_texts(read(spark, *files)).where("page = 1").orderBy("path").collect()
+    assert [r.text for r in rows] == ["é é", "B B", "BB", "é é"]
+    shared = P.Fonts()
+    for k in range(3):
+        font = shared.font(Pdf(files[k]), Pdf(files[k]).get(Ref(4)))
+        pace = font.pace(10.0, 0.0, 0.0, 1.0)
+        for n in range(P.KEPT // 2):
+            pace.strings[b"%d" % n]
+        assert shared.n <= P.KEPT and sum(map(len, shared.kept)) == shared.n
+
+
+def test_texts_of_one_row_group_are_dealt_out(spark, tmp_path):
+    """Partitions that lie within one row group of a file are empty but for one; the work is dealt out all the same."""
+    spark.range(4000).selectExpr("id", "repeat(uuid(), 20) AS text").coalesce(1).write.option("compression", "none").parquet(str(tmp_path / "t"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+        rows = spark.read.parquet(str(tmp_path / "t"))
+        assert rows.rdd.getNumPartitions() > 4
+        shares = [len(x) for x in dealt(rows).rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(shares) >= 16 and max(shares) < 2 * 4000 / len(shares)
